@@ -6,10 +6,25 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, mixing
+from . import exact_dedup, media, mixing, pieces, token_counts
 from .common import documents
 
 
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every distinct length in tokens as a context limit, with totals, quantile and truncated total."""
+    return token_counts.suffix_sums(token_counts.histogram(documents(spark, sf_dir)))
+
+
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every text and the text that they decode to, as digests."""
+    return pieces.encode_decode(documents(spark, sf_dir))
+
+
+def op3_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text as Matroska audio, read back."""
+    return media.media_digest(documents(spark, sf_dir))
+
+
 def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of each document that a 5:2:1 mix of the sources takes, none over three times."""
     return mixing.mix(documents(spark, sf_dir))
@@ -22,6 +37,9 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_token_counts": op1_token_counts,
+        "op2_sentencepiece": op2_sentencepiece,
+        "op3_matroska": op3_matroska,
         "op8_mix_sources": op8_mix_sources,
         "op10_exact_dedup": op10_exact_dedup,
     }
