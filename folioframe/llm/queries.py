@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, media, mixing, pieces, token_counts
-from .common import documents
+from . import exact_dedup, media, mixing, pieces, quality, token_counts, toxicity
+from .common import documents, labels
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,11 +25,21 @@ def op3_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_digest(documents(spark, sf_dir))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every text, learnt from the labelled rows that are not held out."""
+    return toxicity.toxicity(documents(spark, sf_dir), labels(spark, sf_dir))
+
+
 def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of each document that a 5:2:1 mix of the sources takes, none over three times."""
     return mixing.mix(documents(spark, sf_dir))
 
 
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every text, learnt from the labelled rows that are not held out."""
+    return quality.quality(documents(spark, sf_dir), labels(spark, sf_dir))
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The surviving row of every group of equal texts."""
     return exact_dedup.exact_duplicates(documents(spark, sf_dir))
@@ -40,7 +50,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_token_counts": op1_token_counts,
         "op2_sentencepiece": op2_sentencepiece,
         "op3_matroska": op3_matroska,
+        "op5_toxicity": op5_toxicity,
         "op8_mix_sources": op8_mix_sources,
+        "op9_quality_rules": op9_quality_rules,
         "op10_exact_dedup": op10_exact_dedup,
     }
 
