@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, media, mixing, pieces, quality, token_counts, toxicity
+from . import exact_dedup, media, mixing, pieces, quality, simhash, token_counts, toxicity
 from .common import documents, labels
 
 
@@ -30,6 +30,11 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(documents(spark, sf_dir), labels(spark, sf_dir))
 
 
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SimHash fingerprint and component of every document."""
+    return simhash.near_duplicate_report(documents(spark, sf_dir))
+
+
 def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of each document that a 5:2:1 mix of the sources takes, none over three times."""
     return mixing.mix(documents(spark, sf_dir))
@@ -51,6 +56,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_sentencepiece": op2_sentencepiece,
         "op3_matroska": op3_matroska,
         "op5_toxicity": op5_toxicity,
+        "op7_simhash": op7_simhash,
         "op8_mix_sources": op8_mix_sources,
         "op9_quality_rules": op9_quality_rules,
         "op10_exact_dedup": op10_exact_dedup,
