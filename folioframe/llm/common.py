@@ -6,6 +6,7 @@ import atexit
 import os
 import shutil
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -106,3 +107,27 @@ def tokenizer_path(name: str) -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """The rows as a compressed table in the shared checkpoint folder, read back; removed when the driver ends."""
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    if not _tables:
+        atexit.register(_drop_tables)
+    _tables.append((spark, path))
+    return spark.read.schema(df.schema).parquet(path)
+
+
+_tables: list[tuple[SparkSession, str]] = []
+
+
+def _drop_tables() -> None:
+    for spark, path in _tables:
+        try:
+            hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+            hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+        except Exception:  # the session has gone; the folder is the cluster's to clean
+            return

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, media, mixing, pieces, quality, simhash, token_counts, toxicity
+from . import exact_dedup, media, mixing, pieces, quality, simhash, substrings, token_counts, toxicity
 from .common import documents, labels
 
 
@@ -30,6 +30,11 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(documents(spark, sf_dir), labels(spark, sf_dir))
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What stays of every text without the 100-byte strings that start earlier too."""
+    return substrings.remove_repeats(documents(spark, sf_dir)).drop("kept")
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SimHash fingerprint and component of every document."""
     return simhash.near_duplicate_report(documents(spark, sf_dir))
@@ -56,6 +61,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_sentencepiece": op2_sentencepiece,
         "op3_matroska": op3_matroska,
         "op5_toxicity": op5_toxicity,
+        "op6_suffix_dedup": op6_suffix_dedup,
         "op7_simhash": op7_simhash,
         "op8_mix_sources": op8_mix_sources,
         "op9_quality_rules": op9_quality_rules,
