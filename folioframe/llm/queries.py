@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, media, mixing, pieces, quality, simhash, substrings, token_counts, toxicity
+from . import context_mixing, exact_dedup, media, mixing, pieces, quality, simhash, substrings, token_counts, toxicity
 from .common import documents, labels
 
 
@@ -25,6 +25,11 @@ def op3_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_digest(documents(spark, sf_dir))
 
 
+def op4_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probability of every text under the context-mixing model, and its unigram base."""
+    return context_mixing.score(documents(spark, sf_dir))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity score of every text, learnt from the labelled rows that are not held out."""
     return toxicity.toxicity(documents(spark, sf_dir), labels(spark, sf_dir))
@@ -60,6 +65,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_token_counts": op1_token_counts,
         "op2_sentencepiece": op2_sentencepiece,
         "op3_matroska": op3_matroska,
+        "op4_context_mixing": op4_context_mixing,
         "op5_toxicity": op5_toxicity,
         "op6_suffix_dedup": op6_suffix_dedup,
         "op7_simhash": op7_simhash,
