@@ -21,6 +21,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import batches_by_bytes, durable, hex64, keyed
 from .components import components
@@ -199,17 +200,46 @@ def linked_fingerprints(distinct: DataFrame, n: int, distance: int = DISTANCE) -
     return distinct.select("fp").mapInArrow(route, "shard long, fp long").groupBy("shard").applyInArrow(link, "u long, v long")
 
 
+def _classes(prints: DataFrame, distance: int) -> DataFrame:
+    """fp, component_id, n_rows (of the component) for every fingerprint of `prints` (doc_id, fp)."""
+    distinct = durable(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")))
+    roots = components(linked_fingerprints(distinct, distinct.count(), distance))
+    rooted = distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", "n", F.coalesce("root", "fp").alias("root"))
+    ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.sum("n").alias("n_rows"))
+    return rooted.select("fp", "root").join(ids, "root").select(F.col("fp").alias("c_fp"), "root", "component_id", "n_rows")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, distance: int = DISTANCE) -> DataFrame:
     """doc_id, fp, component_id: the least id that is reachable over links, for every row."""
     prints = durable(fingerprints(docs, id_col, text_col, words))
-    distinct = durable(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    roots = components(linked_fingerprints(distinct, distinct.count(), distance))
-    classes = distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    ids = classes.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = classes.join(ids, "root").select(F.col("fp").alias("c_fp"), "component_id")
+    classes = _classes(prints, distance)
     return prints.join(classes, F.col("fp") == F.col("c_fp")).select("doc_id", "fp", "component_id")
 
 
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, distance: int = DISTANCE) -> DataFrame:
+    """The rows of `docs`, all columns, with one row of each component: that of the least id.
+
+    Among rows with that id the least row, compared column by column, stays. Rows alone in their
+    component pass straight through; the others meet in partial minima.
+    """
+    schema = T.StructType([T.StructField("row", docs.schema), T.StructField("fp", T.LongType())])
+    packed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text"))
+
+    def run(it):
+        for b in batches_by_bytes(it, "text", 4 << 20):
+            fps = np.array([fingerprint(t, words) for t in b.column("text").to_pylist()], np.uint64)
+            yield pa.record_batch([b.column("row"), pa.array(fps.view(np.int64))], ["row", "fp"])
+
+    prints = durable(fingerprints(docs, id_col, text_col, words))
+    classes = _classes(prints, distance).filter("n_rows > 1").select("c_fp", "root")
+    marked = packed.mapInArrow(run, schema).join(classes, F.col("fp") == F.col("c_fp"), "left")
+    alone = marked.filter(F.col("root").isNull()).select("row")
+    # a null id is above the others here: a row with an id stays if there is one
+    first = F.struct(F.col(f"row.{id_col}").isNull().alias("n"), F.col(f"row.{id_col}").alias("i"), F.col("row").alias("row"))
+    kept = marked.filter(F.col("root").isNotNull()).groupBy("root").agg(F.min(first).alias("f")).select(F.col("f.row").alias("row"))
+    return alone.unionByName(kept).select("row.*")
+
+
 def near_duplicate_report(docs: DataFrame) -> DataFrame:
     """doc_id, fingerprint as 16 hex digits, component_id."""
     return near_duplicates(docs).select("doc_id", hex64(F.col("fp")).alias("fingerprint"), "component_id")
