@@ -1,15 +1,670 @@
-"""Registered queries of the package and the SQL that says the same."""
+"""Registered queries of the package over the parquet tables, each beside the SQL that says the same.
+
+How an office operation maps onto a table is this package's reading: documents are texts of
+paragraphs (lines) and pages (40 lines); orders, customer and part are sheets of cells below a
+header row; events, labels and conversations stand in for revisions, form fields and comments.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
+
+from . import model
+from .functions import exprs as X
+from .operators import cells as C
+from .operators import diff, graph, integrity, layout, search
+from .operators import sequences as S
+from .plans import plans
+
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+
+def _query(name: str, sql: str | None = None):
+    def add(f: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+        class Tables:
+            def __init__(self, spark: SparkSession, sf_dir: str):
+                self.spark, self.dir = spark, sf_dir
+
+            def __getattr__(self, table: str) -> DataFrame:
+                return self.spark.read.parquet(f"{self.dir}/{table}.parquet")
+
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            return f(Tables(spark, sf_dir))
 
+        run.__doc__ = f.__doc__
+        _QUERIES[name] = run
+        if sql:
+            _SQL[name] = sql
+        return f
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return add
+
+
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
+
+
+# ---- text: paragraphs, pages, search, replace ------------------------------------------------
+
+_PARA = "para AS (SELECT doc_id, i - 1 AS idx, p[i] AS text FROM (SELECT doc_id, string_split(text, chr(10)) AS p FROM documents) t, LATERAL unnest(range(1, len(p) + 1)) u(i))"
+_PAGES = f"{_PARA}, pages_ AS (SELECT doc_id, idx // 40 AS page, string_agg(text, chr(10) ORDER BY idx) AS text FROM para GROUP BY 1, 2)"
+_NEEDLE = "the"
+_HITS = f"""{_PAGES}, h0 AS (SELECT doc_id, page, text, regexp_split_to_array(text, '(?i)the') AS gaps, regexp_extract_all(text, '(?i)the') AS hits FROM pages_),
+ h AS (SELECT doc_id, page, text, i - 1 AS hit, hits[i] AS match,
+   list_sum(list_transform(gaps[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(hits[1:i - 1], lambda x: length(x))), 0) AS o
+   FROM h0, LATERAL unnest(range(1, len(hits) + 1)) u(i)),
+ r AS (SELECT *, CAST(o AS BIGINT) AS off, count(*) OVER (PARTITION BY doc_id) AS total, row_number() OVER (PARTITION BY doc_id ORDER BY page, hit) AS rn FROM h)"""
+
+
+@_query("text_search", f"""WITH {_HITS} SELECT doc_id, page, hit, CAST(off AS INTEGER) AS "offset",
+ length(text[1:off]) - length(replace(text[1:off], chr(10), '')) + 1 AS line, match,
+ substr(text, greatest(off - 40, 0) + 1, off - greatest(off - 40, 0)) AS context_before, substr(text, off + length(match) + 1, 40) AS context_after,
+ total AS total_matches FROM r WHERE rn <= 100""")
+def _(t):
+    """office_search_pdf: hits with page, offset, line and context, 100 of each document."""
+    return search.search(model.text_pages(t.documents), _NEEDLE)
+
+
+@_query("search_totals", f"""WITH {_PAGES} SELECT doc_id, CAST(sum(len(regexp_extract_all(text, '(?i)the'))) AS BIGINT) AS total_matches,
+ CAST(least(sum(len(regexp_extract_all(text, '(?i)the'))), 100) AS BIGINT) AS returned_matches, sum(len(regexp_extract_all(text, '(?i)the'))) > 100 AS truncated,
+ count(*) AS pages_scanned, CAST(sum(length(text)) AS BIGINT) AS chars_scanned FROM pages_ GROUP BY doc_id""")
+def _(t):
+    """office_search_pdf: true totals behind the cap."""
+    return search.search_totals(model.text_pages(t.documents), _NEEDLE)
+
+
+@_query("search_by_page", f"""WITH {_HITS} SELECT doc_id, page, count(*) AS matches, CAST(count(*) FILTER (rn <= 20) AS BIGINT) AS returned_by_page FROM r GROUP BY 1, 2""")
+def _(t):
+    """office_search_pdf: matches by page, of which returned under a cap of 20."""
+    return search.search_by_page(model.text_pages(t.documents), _NEEDLE, max_results=20)
+
+
+@_query("doc_paragraphs", f"WITH {_PARA} SELECT doc_id, idx, text, length(text) AS n_chars, text[1:30] || CASE WHEN length(text) > 30 THEN '…' ELSE '' END AS preview FROM para")
+def _(t):
+    """office_read_docx (paragraphs)."""
+    return model.paragraphs(t.documents).select("doc_id", "idx", "text", F.length("text").alias("n_chars"), X.preview(F.col("text")).alias("preview"))
+
+
+@_query("paragraph_page", f"WITH {_PARA} SELECT doc_id, idx, text, max(idx) OVER (PARTITION BY doc_id) + 1 AS total FROM para QUALIFY idx >= 10 AND idx < 15")
+def _(t):
+    """office_read_docx (offset 10, limit 5) with the true total."""
+    p = t.documents.select("doc_id", F.split("text", "\n", -1).alias("p"))
+    sliced = p.select("doc_id", F.size("p").alias("total"), F.posexplode(F.slice("p", 11, 5)).alias("i", "text"))
+    return sliced.select("doc_id", (F.col("i") + 10).alias("idx"), "text", "total")
+
+
+@_query("doc_text_truncated", "SELECT doc_id, text[1:200] AS text, length(text) > 200 AS truncated, length(text) AS length FROM documents")
+def _(t):
+    """office_read_docx / office_read_pdf (text): cut with the whole length beside it."""
+    return t.documents.select("doc_id", F.left("text", F.lit(200)).alias("text"), (F.length("text") > 200).alias("truncated"), F.length("text").alias("length"))
+
+
+@_query("doc_structure", f"""WITH {_PAGES} SELECT doc_id, (SELECT count(*) FROM para p WHERE p.doc_id = d.doc_id) AS paragraphs,
+ (SELECT count(*) FROM para p WHERE p.doc_id = d.doc_id AND trim(text) <> '') AS non_empty, (SELECT count(*) FROM pages_ g WHERE g.doc_id = d.doc_id) AS pages, length(text) AS chars FROM documents d""")
+def _(t):
+    """office_read_docx / office_read_pptx / office_read_pdf (structure)."""
+    p = F.split("text", "\n", -1)
+    return t.documents.select("doc_id", F.size(p).cast("long").alias("paragraphs"), F.size(F.filter(p, lambda x: F.trim(x) != "")).cast("long").alias("non_empty"), F.ceil(F.size(p) / model.PAGE_LINES).cast("long").alias("pages"), F.length("text").alias("chars"))
+
+
+@_query("doc_text_export", f"WITH {_PAGES} SELECT doc_id, string_agg(trim(regexp_replace(text, '\\n{{3,}}', chr(10) || chr(10), 'g'), ' ' || chr(10)), chr(10) || chr(12) || chr(10) ORDER BY page) AS text FROM pages_ GROUP BY doc_id")
+def _(t):
+    """office_export_docx / office_read_pdf (text): pages trimmed and joined by form feeds."""
+    parts, n = F.split("text", "\n", -1), model.PAGE_LINES
+    d = t.documents.select("doc_id", parts.alias("p"))
+    page = lambda i: F.trim(F.regexp_replace(F.array_join(F.slice("p", i * n + 1, F.lit(n)), "\n"), "\n{3,}", "\n\n"), F.lit(" \n"))
+    return d.select("doc_id", F.array_join(F.transform(F.sequence(F.lit(0), F.floor((F.size("p") - 1) / n).cast("int")), page), "\n\f\n").alias("text"))
+
+
+@_query("docx_replace_runs", f"""WITH {_PARA}, runs AS (SELECT doc_id, idx, i - 1 AS run, w[i] AS text FROM (SELECT doc_id, idx, regexp_extract_all(text, '.{{1,40}}') AS w FROM para) t, LATERAL unnest(range(1, len(w) + 1)) u(i)),
+ n AS (SELECT *, contains(lower(text), 'tion') AS hit, CASE WHEN contains(lower(text), 'tion') THEN regexp_replace(text, 'tion', 'TION$1', 'gi') ELSE text END AS new FROM runs),
+ g AS (SELECT doc_id, idx, CAST(sum(hit::INT) AS BIGINT) AS runs_changed, string_agg(text, '' ORDER BY run) AS a, string_agg(new, '' ORDER BY run) AS b FROM n GROUP BY 1, 2)
+ SELECT doc_id, idx, runs_changed, contains(lower(a), 'tion') AND runs_changed = 0 AS spans_runs, a[1:30] || CASE WHEN length(a) > 30 THEN '…' ELSE '' END AS before, b[1:30] || CASE WHEN length(b) > 30 THEN '…' ELSE '' END AS after
+ FROM g WHERE runs_changed > 0 OR contains(lower(a), 'tion')""")
+def _(t):
+    """office_find_and_replace_docx over runs of 40 characters."""
+    runs = model.paragraphs(t.documents).select("doc_id", "idx", F.posexplode(F.regexp_extract_all("text", F.lit("(.{1,40})"), F.lit(1))).alias("run", "text"))
+    return search.replace_runs(runs, "tion", "TION$1")
+
+
+@_query("insert_paragraph", f"WITH {_PARA} SELECT doc_id, CAST(CASE WHEN idx > 1 THEN idx + 1 ELSE idx END AS BIGINT) AS idx, text FROM para UNION ALL SELECT doc_id, 2, 'New paragraph' FROM para GROUP BY doc_id HAVING max(idx) >= 1")
+def _(t):
+    """office_insert_paragraph behind the second one."""
+    return S.insert_after(model.paragraphs(t.documents), ["doc_id"], "idx", 1, {"text": F.lit("New paragraph")})
+
+
+@_query("delete_paragraph", f"WITH {_PARA}, n AS (SELECT *, count(*) OVER (PARTITION BY doc_id) AS n FROM para) SELECT doc_id, CAST(CASE WHEN idx > 0 AND n > 1 THEN idx - 1 ELSE idx END AS BIGINT) AS idx, text FROM n WHERE idx <> 0 OR n = 1")
+def _(t):
+    """office_delete_paragraph: the first, unless it is the only one."""
+    return S.delete_at(model.paragraphs(t.documents), ["doc_id"], "idx", 0)
+
+
+@_query("update_paragraph", f"WITH {_PARA} SELECT doc_id, idx, CASE WHEN idx = 0 AND NOT contains(text, '|') THEN 'Changed' ELSE text END AS text FROM para")
+def _(t):
+    """office_update_paragraph: the first, unless it holds protected markup (here a bar)."""
+    return S.update_at(model.paragraphs(t.documents), "idx", 0, "text", F.lit("Changed"), F.contains(F.col("text"), F.lit("|")))
+
+
+# ---- sheets ----------------------------------------------------------------------------------
+
+_ORDER_COLS = ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderpriority"]
+_CUST_COLS = ["c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"]
+
+
+def _sheet_sql(table: str, key: str, columns: list[str], text: list[str]) -> str:
+    rows = f"SELECT row_number() OVER (ORDER BY {key}) + 1 AS row, * FROM {table}"
+    parts = [
+        f"SELECT row, {i} AS col, '{chr(64 + i)}' || row AS ref, row * 16384 + {i} AS ord, '{'string' if c in text else 'number'}' AS value_type, "
+        f"{'CAST(NULL AS DOUBLE)' if c in text else f'CAST({c} AS DOUBLE)'} AS num, {c if c in text else 'CAST(NULL AS VARCHAR)'} AS str FROM r_{table}"
+        for i, c in enumerate(columns, 1)
+    ]
+    return f"r_{table} AS ({rows}), cells AS ({' UNION ALL '.join(parts)})"
+
+
+_ORDERS = _sheet_sql("orders", "o_orderkey", _ORDER_COLS, ["o_orderstatus", "o_orderpriority"])
+_CUSTOMERS = _sheet_sql("customer", "c_custkey", _CUST_COLS, ["c_name", "c_mktsegment"])
+_NUMBER = "CASE WHEN {x} = floor({x}) AND abs({x}) < 1e18 THEN CAST(CAST({x} AS BIGINT) AS VARCHAR) ELSE CAST({x} AS VARCHAR) END"
+_REF = "CASE WHEN {c} > 26 THEN chr(64 + ({c} - 1) // 26) ELSE '' END || chr(65 + ({c} - 1) % 26) || {r}"
+
+
+def _orders(t):
+    return model.sheet(t.orders, "o_orderkey", _ORDER_COLS)
+
+
+def _customers(t):
+    return model.sheet(t.customer, "c_custkey", _CUST_COLS)
+
+
+@_query("sheet_cells_page", f"WITH {_ORDERS} SELECT * FROM cells ORDER BY ord OFFSET 100 LIMIT 50")
+def _(t):
+    """office_read_sheet (offset 100, limit 50)."""
+    return C.page(_orders(t), 100, 50)
+
+
+@_query("sheet_cells", f"WITH {_CUSTOMERS} SELECT * FROM cells")
+def _(t):
+    """office_read_sheet: all cells."""
+    return _customers(t)
+
+
+@_query("sheet_dimensions", f"WITH {_ORDERS} SELECT max(row) AS max_row, max(col) AS max_col, count(*) AS n_cells, count(*) FILTER (value_type = 'number') AS n_numbers, count(*) FILTER (value_type = 'string') AS n_strings FROM cells")
+def _(t):
+    """office_read_workbook: rows, columns and cells of a sheet."""
+    return C.dimensions(_orders(t))
+
+
+@_query("sheet_range_grid", f"""WITH {_CUSTOMERS}, v AS (SELECT *, coalesce(str, {_NUMBER.format(x='num')}) AS v FROM cells)
+ SELECT g.r AS row, max(CASE WHEN col = 1 THEN v END) AS a, max(CASE WHEN col = 2 THEN v END) AS b, max(CASE WHEN col = 3 THEN v END) AS c, max(CASE WHEN col = 4 THEN v END) AS d FROM range(1, 21) g(r) LEFT JOIN v ON v.row = g.r AND col <= 4 GROUP BY 1""")
+def _(t):
+    """office_read_range A1:D20, empty cells included."""
+    g = C.grid(_customers(t), "A1:D20")
+    return g.select("row", *[F.col("cells")[i]["value"].alias(n) for i, n in enumerate("abcd")])
+
+
+@_query("a1_roundtrip", """SELECT CAST(n AS BIGINT) AS n, CASE WHEN n > 702 THEN chr(CAST(65 + ((n - 1) // 26 - 1) // 26 - 1 AS INT)) ELSE '' END || CASE WHEN n > 26 THEN chr(CAST(65 + ((n - 1) // 26 - 1) % 26 AS INT)) ELSE '' END || chr(CAST(65 + (n - 1) % 26 AS INT)) || n AS ref, CAST(n AS BIGINT) AS col, CAST(n AS BIGINT) AS row FROM (SELECT DISTINCT o_custkey % 16384 + 1 AS n FROM orders)""")
+def _(t):
+    """parseRef and indexToCol: column numbers to letters and back."""
+    d = t.orders.select((F.col("o_custkey") % X.MAX_COLUMN + 1).alias("n")).distinct().withColumn("ref", X.a1(F.col("n"), F.col("n")))
+    col, row = X.parse_ref(F.col("ref"))
+    return d.select("n", "ref", col.cast("long").alias("col"), row.cast("long").alias("row"))
+
+
+@_query("serial_dates", "SELECT o_orderkey, (epoch_ms(o_orderdate) + 2209161600000) / 86400000.0 AS serial, o_orderdate AS back FROM orders")
+def _(t):
+    """serialToIso and isoToSerial: dates to day numbers and back."""
+    d = t.orders.select("o_orderkey", X.timestamp_to_serial(F.col("o_orderdate")).alias("serial"))
+    return d.withColumn("back", X.serial_to_timestamp(F.col("serial")).cast("timestamp_ntz"))
+
+
+@_query("date_formats", """SELECT f.id, f.code, f.id IN (14,15,16,17,18,19,20,21,22,27,30,36,45,46,47,50,57) OR (regexp_matches(regexp_replace(f.code, '"[^"]*"|\\[[^\\]]*\\]|\\\\.', '', 'g'), '(?i)[ymdhs]') AND NOT regexp_matches(f.code, '(?i)general')) AS is_date
+ FROM (VALUES (0, 'General'), (14, ''), (164, 'yyyy-mm-dd'), (165, '0.00'), (166, '"day" 0'), (167, '[Red]0'), (168, 'h:mm')) f(id, code)""")
+def _(t):
+    """isDateFormat over built-in ids and format codes."""
+    rows = [(0, "General"), (14, ""), (164, "yyyy-mm-dd"), (165, "0.00"), (166, '"day" 0'), (167, "[Red]0"), (168, "h:mm")]
+    return t.spark.createDataFrame(rows, "id int, code string").select("id", "code", X.is_date_format(F.col("id"), F.col("code")).alias("is_date"))
+
+
+@_query("replace_substring_ci", f"WITH {_CUSTOMERS} SELECT ref, CASE WHEN value_type = 'string' AND contains(lower(str), 'cust') THEN regexp_replace(str, 'cust', 'K$1', 'gi') ELSE str END AS new FROM cells")
+def _(t):
+    """office_find_and_replace: substring, case aside, replacement literal."""
+    return search.replace_cells(_customers(t), "cust", "K$1").select("ref", "new")
+
+
+@_query("replace_whole_cell", f"WITH {_CUSTOMERS} SELECT ref, CASE WHEN lower(str) = 'building' THEN 'HOUSE' ELSE str END AS new, coalesce(lower(str) = 'building', false) AS hit FROM cells")
+def _(t):
+    """office_find_and_replace: whole cells."""
+    return search.replace_cells(_customers(t), "building", "HOUSE", whole_cell=True).select("ref", "new", "hit")
+
+
+@_query("replace_changelog", f"WITH {_CUSTOMERS} SELECT ref, str AS \"from\", 'X' AS \"to\", replace(str, 'BUILD', 'X') AS new_text FROM cells WHERE contains(str, 'BUILD')")
+def _(t):
+    """office_find_and_replace: the change log."""
+    return search.change_log(search.replace_cells(_customers(t), "BUILD", "X", match_case=True), "X")
+
+
+@_query("replace_preview", f"WITH {_CUSTOMERS} SELECT 'find_and_replace' AS operation, 'customer' AS target, count(*) AS impact, false AS destructive, count(*) > 100 AS needs_confirm, 'previewed' AS status FROM cells WHERE contains(lower(str), 'building')")
+def _(t):
+    """office_preview_operation: impact of a replacement, counted by the same plan."""
+    return plans.preview("find_and_replace", "customer", search.replace_cells(_customers(t), "building", "x").filter("hit")).drop("plan_id")
+
+
+@_query("write_cells_upsert", f"""WITH {_CUSTOMERS}, e AS (SELECT row, 4 AS col, num * 2 AS num FROM cells WHERE col = 4 AND row % 3 = 0), cl AS (SELECT row, 5 AS col FROM cells WHERE col = 5 AND row % 7 = 0), ad AS (SELECT row, 6 AS col, num FROM cells WHERE col = 1 AND row % 5 = 0)
+ SELECT * FROM cells WHERE (row, col) NOT IN (SELECT row, col FROM e UNION ALL SELECT row, col FROM cl) UNION ALL SELECT row, 4, 'D' || row, row * 16384 + 4, 'number', num, NULL FROM e UNION ALL SELECT row, 6, 'F' || row, row * 16384 + 6, 'number', num, NULL FROM ad""")
+def _(t):
+    """office_write_cells: change every third balance, clear and add cells."""
+    c = _customers(t)
+    none = F.lit(None).cast("string")
+    change = c.filter("col = 4 AND row % 3 = 0").select("row", "col", F.lit("number").alias("value_type"), (F.col("num") * 2).alias("num"), none.alias("str"))
+    clear = c.filter("col = 5 AND row % 7 = 0").select("row", "col", none.alias("value_type"), F.lit(None).cast("double").alias("num"), none.alias("str"))
+    add = c.filter("col = 1 AND row % 5 = 0").select("row", F.lit(6).alias("col"), F.lit("number").alias("value_type"), "num", none.alias("str"))
+    return C.upsert(c, change.unionByName(clear).unionByName(add))
+
+
+def _shift_sql(cond: str, row: str, col: str) -> str:
+    return f"WITH {_CUSTOMERS}, s AS (SELECT {row} AS row, {col} AS col, value_type, num, str FROM cells WHERE {cond}) SELECT row, col, {_REF.format(c='col', r='row')} AS ref, row * 16384 + col AS ord, value_type, num, str FROM s"
+
+
+@_query("insert_rows", _shift_sql("true", "CASE WHEN row >= 10 THEN row + 3 ELSE row END", "col"))
+def _(t):
+    """office_insert_rows (start 10, count 3)."""
+    return C.shift(_customers(t), "row", 10, 3)
+
+
+@_query("delete_rows", _shift_sql("row NOT BETWEEN 10 AND 12", "CASE WHEN row >= 13 THEN row - 3 ELSE row END", "col"))
+def _(t):
+    """office_delete_rows (start 10, count 3)."""
+    return C.shift(_customers(t), "row", 10, 3, delete=True)
+
+
+@_query("insert_columns", _shift_sql("true", "row", "CASE WHEN col >= 2 THEN col + 30 ELSE col END"))
+def _(t):
+    """office_insert_columns (start 2, count 30)."""
+    return C.shift(_customers(t), "col", 2, 30)
+
+
+@_query("delete_columns", _shift_sql("col NOT BETWEEN 2 AND 3", "row", "CASE WHEN col >= 4 THEN col - 2 ELSE col END"))
+def _(t):
+    """office_delete_columns (start 2, count 2), checked against the columns."""
+    return C.shift(_customers(t), "col", 2, 2, delete=True)
+
+
+@_query("csv_lines", f"""WITH v AS (SELECT row_number() OVER (ORDER BY doc_id) + 1 AS row, source, n_chars, text[1:60] AS t FROM documents)
+ SELECT row, source || ',' || n_chars || ',' || CASE WHEN regexp_matches(t, '[",\\r\\n]') THEN '"' || replace(t, '"', '""') || '"' ELSE t END AS line FROM v""")
+def _(t):
+    """office_export_workbook (csv): quoting only where needed."""
+    return C.csv_lines(model.sheet(t.documents.select("doc_id", "source", "n_chars", F.left("text", F.lit(60)).alias("head")), "doc_id", ["source", "n_chars", "head"]))
+
+
+@_query("number_text", f"SELECT p_partkey, {_NUMBER.format(x='p_retailprice')} AS price, {_NUMBER.format(x='CAST(p_size AS DOUBLE)')} AS size FROM part")
+def _(t):
+    """Numbers as the CSV export prints them."""
+    return t.part.select("p_partkey", X.number_text(F.col("p_retailprice")).alias("price"), X.number_text(F.col("p_size")).alias("size"))
+
+
+@_query("text_number", """SELECT i AS id, x AS value FROM (VALUES (1, 0.0::DOUBLE), (2, 12.5), (3, 'nan'::DOUBLE), (4, 255.0), (5, 1000.0), (6, 'nan'::DOUBLE), (7, 'infinity'::DOUBLE), (8, 0.5)) v(i, x)""")
+def _(t):
+    """Texts as numbers: blank is 0, junk is NaN, hexadecimal counts."""
+    rows = [(1, "  "), (2, " 12.5 "), (3, "1d"), (4, "0xFF"), (5, "1e3"), (6, "not-a-number"), (7, "Infinity"), (8, ".5")]
+    return t.spark.createDataFrame(rows, "id int, s string").select("id", X.text_number(F.col("s")).alias("value"))
+
+
+@_query("intern_strings", "SELECT p_type, CAST(row_number() OVER (ORDER BY min(p_partkey), p_type) - 1 AS BIGINT) AS id FROM part GROUP BY p_type")
+def _(t):
+    """Shared strings: dense ids by first use."""
+    return C.intern(t.part, "p_type", "p_partkey")
+
+
+@_query("style_ids", """WITH d AS (SELECT p_brand || '/' || (p_size % 5) AS style, min(p_partkey) AS f FROM part GROUP BY 1), i AS (SELECT style, CAST(163 + row_number() OVER (ORDER BY f, style) AS BIGINT) AS id FROM d)
+ SELECT p_partkey, i.id AS style_id FROM part JOIN i ON i.style = p_brand || '/' || (p_size % 5)""")
+def _(t):
+    """office_set_cell_style: distinct styles numbered from 164, joined back."""
+    p = t.part.select("p_partkey", F.concat_ws("/", "p_brand", (F.col("p_size") % 5).cast("string")).alias("style"))
+    return p.join(C.intern(p, "style", "p_partkey", 164).withColumnRenamed("id", "style_id"), "style").select("p_partkey", "style_id")
+
+
+@_query("header_dedupe", """WITH n AS (SELECT p_partkey AS pos, CASE WHEN p_size % 10 = 0 THEN 'Column' || p_partkey ELSE p_brand END AS base FROM part WHERE p_partkey <= 100)
+ SELECT pos, base || CASE WHEN row_number() OVER (PARTITION BY lower(base) ORDER BY pos) > 1 THEN CAST(row_number() OVER (PARTITION BY lower(base) ORDER BY pos) AS VARCHAR) ELSE '' END AS header FROM n""")
+def _(t):
+    """office_create_table: unique headers."""
+    names = t.part.filter("p_partkey <= 100").select(F.col("p_partkey").alias("pos"), F.when(F.col("p_size") % 10 == 0, F.lit(" ")).otherwise(F.col("p_brand")).alias("name"))
+    return C.dedupe_headers(names)
+
+
+@_query("range_overlap", """WITH r AS (SELECT s_suppkey AS id, s_suppkey * 3 AS r0, s_nationkey AS c0, s_suppkey * 3 + s_nationkey AS r1, s_nationkey + 2 AS c1 FROM supplier)
+ SELECT x.id AS a, y.id AS b FROM r x JOIN r y ON x.id < y.id AND x.r0 <= y.r1 AND y.r0 <= x.r1 AND x.c0 <= y.c1 AND y.c0 <= x.c1""")
+def _(t):
+    """office_create_table / office_merge_cells: rectangles that overlap."""
+    k, n = F.col("s_suppkey"), F.col("s_nationkey").cast("long")
+    return C.overlaps(t.supplier.select(k.alias("id"), (k * 3).alias("r0"), n.alias("c0"), (k * 3 + n).alias("r1"), (n + 2).alias("c1")))
+
+
+@_query("chart_cache", f"WITH {_CUSTOMERS} SELECT col AS series, count(*) AS n_points, sum(coalesce(num, 0)) AS total FROM cells WHERE row BETWEEN 2 AND 50 AND col BETWEEN 3 AND 5 GROUP BY col")
+def _(t):
+    """office_create_chart: value caches of C2:E50; texts count as 0."""
+    return C.chart_cache(_customers(t), "C2:E50").select("series", F.size("points").cast("long").alias("n_points"), F.aggregate("points", F.lit(0.0), lambda a, x: a + x).alias("total"))
+
+
+# ---- checks, comparison ----------------------------------------------------------------------
+
+
+@_query("dangling_refs", "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
+def _(t):
+    """Documents without a label, as references without a target."""
+    return integrity.dangling(t.documents.select("doc_id"), "doc_id", t.labels, "doc_id")
+
+
+@_query("required_parts", "SELECT r AS part FROM (VALUES ('en'), ('fr'), ('it'), ('xx')) v(r) WHERE r NOT IN (SELECT lang FROM documents)")
+def _(t):
+    """Required parts (here languages) that are missing."""
+    return integrity.missing_parts(t.documents, "lang", ["en", "fr", "it", "xx"])
+
+
+@_query("validate_all", """SELECT * FROM (SELECT 'orders_customer' AS "check", count(*) = 0 AS ok, count(*) AS failures FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer)
+ UNION ALL SELECT 'documents_labels', count(*) = 0, count(*) FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) UNION ALL SELECT 'empty_text', count(*) = 0, count(*) FROM documents WHERE text = ''
+ UNION ALL SELECT 'part_names', count(*) = 0, count(*) FROM part WHERE NOT regexp_matches(p_name, '^[^\\[\\]:*?/\\\\]{1,31}$'))""")
+def _(t):
+    """office_validate_workbook / docx / pptx / pdf: a checklist."""
+    return integrity.checklist({
+        "orders_customer": integrity.dangling(t.orders, "o_custkey", t.customer, "c_custkey"),
+        "documents_labels": integrity.dangling(t.documents, "doc_id", t.labels, "doc_id"),
+        "empty_text": t.documents.filter("text = ''"),
+        "part_names": t.part.filter(~integrity.name_ok(F.col("p_name"), integrity.SHEET_NAME)),
+    })
+
+
+@_query("bookmark_unique", "SELECT lower(p_brand) AS name_key, count(*) AS n FROM part GROUP BY 1 HAVING count(*) > 1")
+def _(t):
+    """office_insert_bookmark: names that clash, case aside."""
+    return integrity.clashing_names(t.part, "p_brand")
+
+
+_BASE = "a AS (SELECT doc_id, text FROM documents WHERE doc_id % 11 <> 0), b AS (SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN replace(text, 'e', 'E') ELSE text END AS text FROM documents WHERE doc_id % 13 <> 0)"
+
+
+def _versions(t):
+    d = t.documents.select("doc_id", "text")
+    return d.filter("doc_id % 11 <> 0"), d.filter("doc_id % 13 <> 0").withColumn("text", F.when(F.col("doc_id") % 7 == 0, F.replace(F.col("text"), F.lit("e"), F.lit("E"))).otherwise(F.col("text")))
+
+
+@_query("part_diff", f"""WITH {_BASE} SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, CASE WHEN a.doc_id IS NULL THEN 'added' WHEN b.doc_id IS NULL THEN 'removed' ELSE 'changed' END AS status,
+ sha256(a.text) AS before, sha256(b.text) AS after FROM a FULL JOIN b USING (doc_id) WHERE sha256(a.text) IS DISTINCT FROM sha256(b.text)""")
+def _(t):
+    """office_validate_* with a baseline: parts by hash."""
+    a, b = (x.select("doc_id", F.sha2("text", 256).alias("h")) for x in _versions(t))
+    return diff.keyed_diff(a, b, ["doc_id"], "h")
+
+
+_CELLDIFF = "a AS (SELECT p_partkey AS r, p_name AS t FROM part), b AS (SELECT p_partkey AS r, CASE WHEN p_partkey % 10 = 3 THEN p_name || '!' ELSE p_name END AS t FROM part WHERE p_partkey % 50 <> 0)"
+
+
+@_query("table_cell_diff", f"WITH {_CELLDIFF} SELECT coalesce(a.r, b.r) AS r, CASE WHEN b.r IS NULL THEN 'removed' ELSE 'changed' END AS status, a.t AS before, b.t AS after FROM a FULL JOIN b ON a.r = b.r WHERE a.t IS DISTINCT FROM b.t")
+def _(t):
+    """office_compare_docx (tables): cells by position."""
+    a = t.part.select(F.col("p_partkey").alias("r"), F.col("p_name").alias("t"))
+    b = a.filter("r % 50 <> 0").withColumn("t", F.when(F.col("r") % 10 == 3, F.concat("t", F.lit("!"))).otherwise(F.col("t")))
+    return diff.keyed_diff(a, b, ["r"], "t")
+
+
+@_query("style_set_diff", "SELECT p_type, 'only_a' AS side FROM part WHERE p_partkey % 2 = 0 AND p_type NOT IN (SELECT p_type FROM part WHERE p_partkey % 2 = 1) GROUP BY 1 UNION ALL SELECT p_type, 'only_b' FROM part WHERE p_partkey % 2 = 1 AND p_type NOT IN (SELECT p_type FROM part WHERE p_partkey % 2 = 0) GROUP BY 1")
+def _(t):
+    """office_compare_docx (styles)."""
+    return diff.set_diff(t.part.filter("p_partkey % 2 = 0"), t.part.filter("p_partkey % 2 = 1"), "p_type")
+
+
+@_query("metadata_diff", "SELECT c_mktsegment AS key, CASE WHEN max(c_acctbal) FILTER (c_nationkey < 12) IS NULL THEN 'added' WHEN max(c_acctbal) FILTER (c_nationkey >= 12) IS NULL THEN 'removed' ELSE 'changed' END AS status, max(c_acctbal) FILTER (c_nationkey < 12) AS before, max(c_acctbal) FILTER (c_nationkey >= 12) AS after FROM customer GROUP BY 1 HAVING max(c_acctbal) FILTER (c_nationkey < 12) IS DISTINCT FROM max(c_acctbal) FILTER (c_nationkey >= 12)")
+def _(t):
+    """office_compare_docx (metadata): values by key over the union of keys."""
+    m = lambda cond: t.customer.filter(cond).groupBy(F.col("c_mktsegment").alias("key")).agg(F.max("c_acctbal").alias("v"))
+    return diff.keyed_diff(m("c_nationkey < 12"), m("c_nationkey >= 12"), ["key"], "v")
+
+
+@_query("positional_diff", f"WITH {_PARA}, a AS (SELECT * FROM para WHERE doc_id % 2 = 0), b AS (SELECT doc_id - 1 AS doc_id, idx, text FROM para WHERE doc_id % 2 = 1) SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, coalesce(a.idx, b.idx) AS idx, CASE WHEN a.doc_id IS NULL THEN 'added' WHEN b.doc_id IS NULL THEN 'removed' ELSE 'changed' END AS status, a.text AS before, b.text AS after FROM a FULL JOIN b ON a.doc_id = b.doc_id AND a.idx = b.idx WHERE a.text IS DISTINCT FROM b.text")
+def _(t):
+    """office_compare_docx beyond the alignment limit: paragraphs by position."""
+    p = model.paragraphs(t.documents)
+    return diff.keyed_diff(p.filter("doc_id % 2 = 0"), p.filter("doc_id % 2 = 1").withColumn("doc_id", F.col("doc_id") - 1), ["doc_id", "idx"], "text")
+
+
+@_query("bigram_dice", """WITH p AS (SELECT a.p_partkey AS k, a.p_name AS x, b.p_name AS y FROM part a JOIN part b ON b.p_partkey = a.p_partkey + 1),
+ g AS (SELECT k, x, y, list_transform(range(1, length(x)), lambda i: substr(x, i, 2)) AS gx, list_transform(range(1, length(y)), lambda i: substr(y, i, 2)) AS gy FROM p)
+ SELECT k, CASE WHEN x = y THEN 1.0 WHEN len(gx) + len(gy) = 0 THEN 0.0 ELSE 2.0 * coalesce(list_sum(list_transform(list_distinct(gx), lambda e: least(len(list_filter(gx, lambda z: z = e)), len(list_filter(gy, lambda z: z = e))))), 0) / (len(gx) + len(gy)) END AS score FROM g""")
+def _(t):
+    """textSimilarity of neighbouring names."""
+    a = t.part.select(F.col("p_partkey").alias("k"), F.col("p_name").alias("x"))
+    b = t.part.select((F.col("p_partkey") - 1).alias("k"), F.col("p_name").alias("y"))
+    return a.join(b, "k").select("k", X.dice(F.col("x"), F.col("y")).alias("score"))
+
+
+@_query("doc_compare_lcs")
+def _(t):
+    """office_compare_docx: aligned paragraph changes of each document and its edited version."""
+    p = model.paragraphs(t.documents).select(F.col("doc_id").alias("pair_id"), "idx", F.lit(None).cast("string").alias("style"), "text")
+    edited = p.filter("idx % 9 <> 4").withColumn("text", F.when(F.col("idx") % 5 == 2, F.concat("text", F.lit(" more"))).otherwise(F.col("text"))).withColumn("style", F.when(F.col("idx") % 7 == 3, F.lit("Quote")))
+    return diff.compare_documents(p, edited)
+
+
+# ---- pages, slides, tables -------------------------------------------------------------------
+
+_P0 = f"WITH {_PAGES}, p AS (SELECT doc_id, page, length(text) AS chars FROM pages_)"
+
+
+def _pages(t):
+    return model.text_pages(t.documents).select("doc_id", "page", F.length("text").alias("chars"))
+
+
+@_query("rotate_pages", f"{_P0} SELECT doc_id, page, chars, ((CAST(floor((chars - 300) / 90.0 + 0.5) AS INT) * 90) % 360 + 360) % 360 AS rotation FROM p")
+def _(t):
+    """office_rotate_pdf_pages: any angle to quarter turns."""
+    return S.rotate(_pages(t), F.col("chars") - 300)
+
+
+@_query("reorder_pages", f"{_P0}, n AS (SELECT * FROM p WHERE page < 3 QUALIFY count(*) OVER (PARTITION BY doc_id) = 3) SELECT doc_id, CAST(CASE page WHEN 2 THEN 0 WHEN 0 THEN 1 ELSE 2 END AS BIGINT) AS page, chars FROM n")
+def _(t):
+    """office_reorder_pdf_pages: the permutation 2, 0, 1 of three pages."""
+    n = F.count(F.lit(1)).over(W.partitionBy("doc_id"))
+    return S.reorder(_pages(t).filter("page < 3").withColumn("n", n).filter("n = 3").drop("n"), "page", [2, 0, 1])
+
+
+@_query("move_slide", f"{_P0} SELECT doc_id, CAST(CASE WHEN page = 0 THEN 2 WHEN page <= 2 THEN page - 1 ELSE page END AS BIGINT) AS page, chars FROM p")
+def _(t):
+    """office_reorder_slides (from 0 to 2)."""
+    return S.move(_pages(t), "page", 0, 2)
+
+
+@_query("split_pages", f"{_P0} SELECT doc_id, CAST(CASE page WHEN 1 THEN 0 ELSE 1 END AS BIGINT) AS page, chars FROM p WHERE page IN (0, 1)")
+def _(t):
+    """office_split_pdf: pages 1, 0 in that order."""
+    return S.pick(_pages(t), "page", [1, 0])
+
+
+@_query("delete_page", f"{_P0}, n AS (SELECT *, count(*) OVER (PARTITION BY doc_id) AS n FROM p) SELECT doc_id, CAST(CASE WHEN page > 0 AND n > 1 THEN page - 1 ELSE page END AS BIGINT) AS page, chars FROM n WHERE page <> 0 OR n = 1")
+def _(t):
+    """office_delete_pdf_page / office_delete_slide: the first, unless it is the only one."""
+    return S.delete_at(_pages(t), ["doc_id"], "page", 0)
+
+
+@_query("duplicate_slide", f"{_P0} SELECT doc_id, CAST(CASE WHEN page > 0 THEN page + 1 ELSE page END AS BIGINT) AS page, chars FROM p UNION ALL SELECT doc_id, 1, NULL FROM p WHERE page = 0")
+def _(t):
+    """office_duplicate_slide: a copy behind the first, its notes dropped."""
+    return S.duplicate(_pages(t), "page", 0, ["chars"])
+
+
+@_query("merge_docs", f"""{_P0}, c AS (SELECT doc_id // 10 AS g, doc_id, count(*) AS n FROM p GROUP BY 1, 2), o AS (SELECT g, doc_id, coalesce(sum(n) OVER (PARTITION BY g ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS o FROM c)
+ SELECT p.doc_id, page, chars, g AS merged_doc, CAST(o + page AS BIGINT) AS merged_index FROM p JOIN o USING (doc_id)""")
+def _(t):
+    """office_merge_pdfs: documents in tens, pages renumbered by running offsets."""
+    return S.concatenate(_pages(t), "doc_id", F.expr("doc_id div 10"), "page")
+
+
+@_query("page_labels", f"{_P0}, n AS (SELECT *, count(*) OVER (PARTITION BY doc_id) AS total FROM p) SELECT doc_id, page, chars, 'Page ' || (row_number() OVER (PARTITION BY doc_id ORDER BY page) + 4) || ' of ' || total || ' (' || count(*) OVER (PARTITION BY doc_id) || ')' AS label FROM n WHERE page IN (0, 2)")
+def _(t):
+    """office_add_pdf_page_numbers from 5 on the first and third page."""
+    return S.label(_pages(t), ["doc_id"], "page", "Page {page} of {total} ({n})", 5, [0, 2])
+
+
+@_query("watermark_pages", f"{_P0} SELECT doc_id, page, 'DRAFT' AS overlay FROM p WHERE page <= 1")
+def _(t):
+    """office_add_pdf_watermark: a text on chosen pages."""
+    return _pages(t).filter("page <= 1").select("doc_id", "page", F.lit("DRAFT").alias("overlay"))
+
+
+@_query("pad_table", f"WITH {_PARA}, r AS (SELECT doc_id * 1000 + idx AS r, string_split(text, ' ')[1:4] AS cells FROM para WHERE idx < 3), w AS (SELECT max(len(cells)) AS w FROM r) SELECT r, list_aggregate(list_transform(range(1, w + 1), lambda i: coalesce(cells[i], '')), 'string_agg', '|') AS line FROM r, w")
+def _(t):
+    """office_create_docx_table / office_add_slide_table: ragged rows padded."""
+    rows = model.paragraphs(t.documents).filter("idx < 3").select((F.col("doc_id") * 1000 + F.col("idx")).alias("r"), F.slice(F.split("text", " ", -1), 1, 4).alias("cells"))
+    return S.pad_table(rows).select("r", F.array_join("cells", "|").alias("line"))
+
+
+@_query("merge_table_cells", f"""WITH {_PARA}, c AS (SELECT doc_id, idx AS r, i - 1 AS c, w[i] AS text FROM (SELECT doc_id, idx, string_split(text, ' ') AS w FROM para WHERE idx < 4) x, LATERAL unnest(range(1, len(w) + 1)) u(i) WHERE i <= 4)
+ SELECT doc_id, r, c, text FROM c WHERE NOT (r BETWEEN 0 AND 1 AND c BETWEEN 0 AND 1) UNION ALL SELECT doc_id, 0, 0, coalesce(string_agg(text, chr(10) ORDER BY r, c) FILTER (text <> ''), '') FROM c WHERE r BETWEEN 0 AND 1 AND c BETWEEN 0 AND 1 GROUP BY doc_id""")
+def _(t):
+    """office_merge_docx_table_cells: a 2 by 2 rectangle, texts in reading order."""
+    cells = model.paragraphs(t.documents).filter("idx < 4").select("doc_id", F.col("idx").alias("r"), F.posexplode(F.slice(F.split("text", " ", -1), 1, 4)).alias("c", "text"))
+    return S.merge_cells(cells, ["doc_id"], 0, 0, 2, 2)
+
+
+@_query("aspect_names", """SELECT p_partkey, CASE WHEN abs(r - 16.0/9) < 0.02 THEN '16:9' WHEN abs(r - 4.0/3) < 0.02 THEN '4:3' WHEN abs(r - 1.6) < 0.02 THEN '16:10' ELSE CASE WHEN floor(r * 100 + 0.5) / 100 = floor(floor(r * 100 + 0.5) / 100) THEN CAST(CAST(floor(r * 100 + 0.5) / 100 AS BIGINT) AS VARCHAR) ELSE CAST(floor(r * 100 + 0.5) / 100 AS VARCHAR) END || ':1' END AS aspect FROM (SELECT p_partkey, (p_size + 4) / 9.0::DOUBLE AS r FROM part)""")
+def _(t):
+    """office_read_pptx: names of aspect ratios."""
+    return t.part.select("p_partkey", X.aspect_name(F.col("p_size") + 4.0, F.lit(9.0)).alias("aspect"))
+
+
+@_query("set_slide_layout", "WITH l AS (SELECT lower(p_brand) AS k, min(p_partkey) AS layout FROM part GROUP BY 1) SELECT p_partkey, layout FROM part JOIN l ON lower(p_brand) = k")
+def _(t):
+    """office_set_slide_layout / office_set_theme: by name, the first of equal names."""
+    layouts = t.part.groupBy(F.lower("p_brand").alias("k")).agg(F.min("p_partkey").alias("layout"))
+    return t.part.join(layouts, F.lower("p_brand") == F.col("k")).select("p_partkey", "layout")
+
+
+@_query("image_pages", "SELECT l_partkey AS object_key, list_aggregate(list_sort(list(DISTINCT l_orderkey)), 'string_agg', ',') AS pages, count(DISTINCT l_orderkey) AS n_pages FROM lineitem GROUP BY 1")
+def _(t):
+    """office_extract_pdf_images: each object once with the pages that use it."""
+    g = t.lineitem.groupBy(F.col("l_partkey").alias("object_key")).agg(F.sort_array(F.collect_set("l_orderkey")).alias("p"))
+    return g.select("object_key", F.array_join(F.transform("p", lambda x: x.cast("string")), ",").alias("pages"), F.size("p").cast("long").alias("n_pages"))
+
+
+@_query("line_gaps", """WITH y AS (SELECT DISTINCT o_custkey AS doc_id, 0 AS page, round(o_totalprice, 2) AS y FROM orders), g AS (SELECT doc_id, page, lag(y) OVER (PARTITION BY doc_id ORDER BY y DESC) - y AS gap FROM y),
+ m AS (SELECT doc_id, page, list_sort(list(gap) FILTER (gap > 0.5)) AS l FROM g GROUP BY 1, 2) SELECT doc_id, page, coalesce(l[len(l) // 2 + 1], 12.0) AS median_gap, greatest(2.0, least(coalesce(l[len(l) // 2 + 1], 12.0) * 0.45, 12.0)) AS tolerance FROM m""")
+def _(t):
+    """Line distances behind table extraction: upper median and tolerance."""
+    return layout.row_gaps(t.orders.select(F.col("o_custkey").alias("doc_id"), F.lit(0).alias("page"), F.lit("x").alias("text"), F.col("o_totalprice").alias("y")))
+
+
+@_query("pdf_table_extract")
+def _(t):
+    """office_extract_pdf_tables over runs laid out from the orders of each customer."""
+    row = F.row_number().over(W.partitionBy("o_custkey").orderBy("o_orderkey"))
+    o = t.orders.withColumn("i", row).filter("i <= 40")
+    cell = lambda k, x, v: F.struct(F.lit(float(x)).alias("x"), v.cast("string").alias("text"))
+    runs = o.select(F.col("o_custkey").alias("doc_id"), F.lit(0).alias("page"), (800 - F.col("i") * 14.0).alias("y"), F.lit(10.0).alias("font_size"), F.inline(F.array(cell(0, 50, F.col("o_orderkey")), cell(1, 200, F.col("o_orderstatus")), cell(2, 300, F.col("o_orderpriority")))))
+    return layout.extract_tables(runs)
+
+
+@_query("paginate_lines")
+def _(t):
+    """office_create_pdf: lines wrapped to 480 points, 50 lines a page."""
+    return layout.paginate(t.documents, 480.0, 50)
+
+
+@_query("reachable_objects", """WITH RECURSIVE e AS (SELECT o_orderkey AS src, (o_orderkey * 7 + 3) % n AS dst FROM orders, (SELECT count(*) AS n FROM orders)), r AS (SELECT 1::BIGINT AS node UNION SELECT dst FROM r JOIN e ON r.node = e.src),
+ k AS (SELECT node FROM r) SELECT node, row_number() OVER (ORDER BY node) AS new_id FROM k""")
+def _(t):
+    """office_optimize_pdf: objects reachable from a root through cyclic references, renumbered."""
+    n = t.orders.count()
+    edges = t.orders.select(F.col("o_orderkey").alias("src"), ((F.col("o_orderkey") * 7 + 3) % n).alias("dst"))
+    root = t.spark.createDataFrame([(1,)], "node long")
+    return graph.renumber(graph.reachable(edges, root).select("node"))
+
+
+# ---- reports, forms, plans -------------------------------------------------------------------
+
+
+@_query("file_info", """SELECT page_id, octet_length(encode(html)) AS size, sha256(html) AS sha256, CASE WHEN starts_with(html, '%PDF-') THEN 'pdf' WHEN starts_with(html, 'PK') THEN 'zip' WHEN regexp_matches(lower(html[1:64]), '<!doctype html|<html') THEN 'html' ELSE 'unknown' END AS kind FROM pages""")
+def _(t):
+    """office_get_file_info: size, hash and kind by the first bytes."""
+    from .sources.files import sniff
+
+    b = F.encode("html", "UTF-8")
+    return t.pages.select("page_id", F.length(b).cast("long").alias("size"), F.sha2(b, 256).alias("sha256"), sniff(b).alias("kind"))
+
+
+@_query("file_list", "SELECT page_id, url, regexp_extract(lower(url), '\\.([a-z0-9]+)$', 1) AS ext FROM pages WHERE NOT regexp_matches(url, '/\\.[^/]*$')")
+def _(t):
+    """office_list_files: extensions, hidden names left out."""
+    return t.pages.filter(~F.col("url").rlike(r"/\.[^/]*$")).select("page_id", "url", F.regexp_extract(F.lower("url"), r"\.([a-z0-9]+)$", 1).alias("ext"))
+
+
+@_query("sheet_catalog", "SELECT n_nationkey AS pos, CASE WHEN n_name = 'FRANCE' THEN 'Gaul' ELSE n_name END AS name FROM nation WHERE n_nationkey <> 3 UNION ALL SELECT max(n_nationkey) + 1, 'Totals' FROM nation")
+def _(t):
+    """office_add_worksheet, office_rename_worksheet and office_delete_worksheet on a list of sheets."""
+    s = t.nation.select(F.col("n_nationkey").alias("pos"), F.col("n_name").alias("name"))
+    kept = s.filter("pos <> 3").withColumn("name", F.when(F.col("name") == "FRANCE", "Gaul").otherwise(F.col("name")))
+    return kept.unionByName(s.agg((F.max("pos") + 1).alias("pos")).select("pos", F.lit("Totals").alias("name")))
+
+
+@_query("revisions_by_type", "SELECT event_type AS type, count(*) AS n, count(DISTINCT user_id) AS authors, min(ts) AS first, max(ts) AS last FROM events GROUP BY 1")
+def _(t):
+    """office_read_docx (revisions): counts by type."""
+    return t.events.groupBy(F.col("event_type").alias("type")).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("user_id").alias("authors"), F.min("ts").alias("first"), F.max("ts").alias("last"))
+
+
+@_query("comment_anchors", "SELECT conv_id, turn, role, (SELECT min(d.doc_id) FROM documents d WHERE d.doc_id = c.conv_id) AS anchored FROM conversations c")
+def _(t):
+    """office_read_docx (comments): anchors by left join, the first one wins."""
+    anchors = t.documents.groupBy(F.col("doc_id").alias("a")).agg(F.min("doc_id").alias("anchored"))
+    return t.conversations.join(anchors, F.col("conv_id") == F.col("a"), "left").select("conv_id", "turn", "role", "anchored")
+
+
+@_query("annotations_by_page", "SELECT conv_id AS page, count(*) AS annotations, count(DISTINCT role) AS types FROM conversations GROUP BY 1")
+def _(t):
+    """office_read_pdf (annotations): per page."""
+    return t.conversations.groupBy(F.col("conv_id").alias("page")).agg(F.count(F.lit(1)).alias("annotations"), F.count_distinct("role").alias("types"))
+
+
+@_query("loss_report", "SELECT count(*) FILTER (p_size > 40) AS animations, count(*) FILTER (p_type LIKE '%STEEL%') AS media, count(*) FILTER (p_retailprice > 1500) AS hidden, count(*) AS slides FROM part")
+def _(t):
+    """office_export_presentation: what an export would lose."""
+    return t.part.agg(F.count_if(F.col("p_size") > 40).alias("animations"), F.count_if(F.col("p_type").contains("STEEL")).alias("media"), F.count_if(F.col("p_retailprice") > 1500).alias("hidden"), F.count(F.lit(1)).alias("slides"))
+
+
+@_query("form_fill", """SELECT doc_id, source AS field, CASE WHEN l.quality IS NULL THEN NULL WHEN l.quality IN (0, 1) AND lang <> 'de' THEN CAST(l.quality AS VARCHAR) END AS value,
+ CASE WHEN l.quality IS NULL THEN 'unchanged' WHEN lang = 'de' THEN 'read_only' ELSE 'filled' END AS outcome FROM documents d LEFT JOIN labels l USING (doc_id)""")
+def _(t):
+    """office_fill_pdf_form: typed values by name, options checked, read-only fields refused."""
+    q = F.col("quality")
+    j = t.documents.select("doc_id", "source", "lang").join(t.labels.select("doc_id", "quality"), "doc_id", "left")
+    ok = F.array_contains(F.array(F.lit(0), F.lit(1)), q)
+    outcome = F.when(q.isNull(), "unchanged").when(F.col("lang") == "de", "read_only").when(ok, "filled").otherwise("invalid")
+    return j.select("doc_id", F.col("source").alias("field"), F.when(ok & (F.col("lang") != "de"), q.cast("string")).alias("value"), outcome.alias("outcome"))
+
+
+@_query("metadata_upsert", "SELECT n_name AS key, n_regionkey::VARCHAR AS \"from\", CASE WHEN n_nationkey % 4 = 0 THEN 'set' ELSE n_regionkey::VARCHAR END AS \"to\" FROM nation UNION ALL SELECT 'Keywords', NULL, 'set'")
+def _(t):
+    """office_set_pdf_metadata: values by key, before and after."""
+    have = t.nation.select(F.col("n_name").alias("key"), F.col("n_regionkey").cast("string").alias("from"))
+    put = t.nation.filter("n_nationkey % 4 = 0").select(F.col("n_name").alias("key")).unionByName(t.spark.createDataFrame([("Keywords",)], "key string")).withColumn("new", F.lit("set"))
+    return have.join(put, "key", "full_outer").select("key", "from", F.coalesce("new", "from").alias("to"))
+
+
+@_query("plan_transition", """SELECT o_orderkey AS plan_id, CASE WHEN NOT (o_orderstatus = 'F' OR o_totalprice > 300000) THEN 'executed' ELSE 'previewed' END AS status FROM orders""")
+def _(t):
+    """office_execute_operation without confirmation: only plans that need none run."""
+    p = t.orders.select(F.col("o_orderkey").alias("plan_id"), F.lit("previewed").alias("status"), ((F.col("o_orderstatus") == "F") | (F.col("o_totalprice") > 300000)).alias("needs_confirm"))
+    return plans.transition(p, "execute").select("plan_id", "status")
+
+
+@_query("audit_summary", "SELECT event_type AS tool, count(*) AS calls, count(*) FILTER (value < 10) AS failures, round(sum(value), 4) AS total_ms, max(value) AS longest_ms FROM events GROUP BY 1")
+def _(t):
+    """The audit log by tool."""
+    s = plans.audit_summary(t.events, F.col("event_type"), F.col("value") >= 10, F.col("value"))
+    return s.withColumn("total_ms", F.round("total_ms", 4))
