@@ -156,5 +156,6 @@ def compare_documents(a: DataFrame, b: DataFrame) -> DataFrame:
         out["aligned"] = aligned
         return out
 
-    own = lambda d: d.select("pair_id", "idx", "style", "text").groupBy("pair_id")
-    return own(a).cogroup(own(b)).applyInPandas(run, CHANGES)
+    # columns of their own on both sides, which may come from one table
+    own = lambda d, k: d.select(*[F.expr(c).alias(f"{k}_{c}") for c in ("pair_id", "idx", "style", "text")]).toDF("pair_id", "idx", "style", "text").groupBy("pair_id")
+    return own(a, "a").cogroup(own(b, "b")).applyInPandas(run, CHANGES)
