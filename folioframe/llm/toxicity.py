@@ -185,7 +185,8 @@ def score(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_co
 def labelled_rows(docs: DataFrame, labels: DataFrame, label_col: str, training: Column) -> DataFrame:
     """doc_id, text, label of the labelled rows that `training` (over doc_id) admits."""
     own = labels.select(labels["doc_id"].cast("long").alias("doc_id"), labels[label_col].cast("int").alias("label")).filter(F.col("label").isin(0, 1))
-    return keyed(docs).join(own.filter(training), "doc_id").select("doc_id", "text", "label")
+    # neither side has a size bound, so the join is a merge join at every size
+    return keyed(docs).join(own.filter(training).hint("merge"), "doc_id").select("doc_id", "text", "label")
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
