@@ -38,7 +38,12 @@ def _split_wide_gaps(run: tuple) -> list[tuple]:
     x, text, size = run
     if "  " not in text:
         return [run]
-    return [(round(x + text_width(text[: m.start()], size), 2), m[0], size) for m in re.finditer(r"(?:(?! {2,}).)+", text, re.S)] or []
+    out, at = [], 0
+    for gap in re.finditer(r" {2,}|\Z", text):
+        if gap.start() > at:
+            out.append((round(x + text_width(text[:at], size), 2), text[at : gap.start()], size))
+        at = gap.end()
+    return out
 
 
 def _nearest(starts: list[float], x: float) -> int:
