@@ -29,7 +29,7 @@ from .components import components
 #: Words of a shingle, seed of its hash, bits that linked fingerprints may differ in.
 WORDS, SEED, DISTANCE = 3, 42, 3
 #: Fingerprints the tree is fitted on, shard size aimed at, points that are compared without a tree.
-SAMPLE, SHARD, LEAF = 1 << 15, 1 << 14, 1 << 10
+SAMPLE, SHARD, LEAF = 1 << 15, 1 << 16, 1 << 10
 
 
 def fingerprint(text: str, words: int = WORDS, seed: int = SEED) -> int:
