@@ -170,8 +170,10 @@ def repeated_windows(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.nda
 
 def _sort_shard(t: pa.Table) -> pa.Table:
     """Segments of some hashes' blocks -> runs of windows that occur earlier, and the windows of split hashes."""
+    keys = np.stack([t.column(c).to_numpy() for c in ("m", "did", "th", "start")], 1)
+    t = t.take(pa.array(np.sort(np.unique(keys, axis=0, return_index=True)[1])))  # equal rows cut the same segments
     blobs = t.column("bytes").to_pylist()
-    did, th, start, block, n_blocks, m = (t.column(c).to_numpy() for c in ("did", "th", "start", "block", "n_blocks", "m"))
+    did, th, start, n_blocks = (t.column(c).to_numpy() for c in ("did", "th", "start", "n_blocks"))
     order = np.lexsort((start, th, did))
     rank = np.empty(len(order), np.int64)
     rank[order] = np.arange(len(order))
@@ -223,11 +225,8 @@ def removed_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     def cut(it):
         unpack = zstandard.ZstdDecompressor().decompress
         for b in it:
-            out, seen = [], set()
+            out = []
             for did, th, z, want in zip(*(b.column(c).to_pylist() for c in ("did", "th", "z", "want")), strict=True):
-                if (did, th) in seen:  # equal rows ask for the same segments
-                    continue
-                seen.add((did, th))
                 raw = unpack(z)
                 out += [(w["m"], did, th, w["start"], w["n_blocks"], w["block"], raw[w["start"] : w["start"] + w["windows"] + WINDOW - 1]) for w in want]
             if out:
