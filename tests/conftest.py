@@ -4,13 +4,10 @@ import sys
 import pytest
 
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-sys.path.insert(0, ROOT)
+sys.path[:0] = [ROOT, os.path.join(ROOT, "tests")]
 os.environ["PYTHONPATH"] = f"{ROOT}:{os.environ.get('PYTHONPATH', '')}"
 os.environ.setdefault("TZ", "UTC")
 
-DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
-
-
 @pytest.fixture(scope="session")
 def spark():
     from pyspark.sql import SparkSession
@@ -27,26 +24,10 @@ def spark():
 @pytest.fixture(scope="session")
 def duck():
     import duckdb
+    from helpers import DATA
 
     c = duckdb.connect()
     c.sql("SET timezone = 'UTC'")
     for name in "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split():
         c.sql(f"CREATE VIEW {name} AS SELECT * FROM '{DATA}/{name}.parquet'")
     return c
-
-
-def normal(value):
-    if isinstance(value, float):
-        return "nan" if value != value else f"{value:.9g}"
-    return "~" if value is None else str(value)
-
-
-def same_rows(spark_df, relation):
-    """Equal column names and, in any order, equal rows."""
-    cols = sorted(spark_df.columns)
-    assert cols == sorted(relation.columns)
-    ours = sorted(tuple(map(normal, r)) for r in spark_df.select(*cols).collect())
-    quoted = ", ".join(f'"{c}"' for c in cols)
-    theirs = sorted(tuple(map(normal, r)) for r in relation.project(quoted).fetchall())
-    assert ours == theirs
-    return len(ours)
