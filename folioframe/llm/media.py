@@ -106,7 +106,9 @@ def elements(data: bytes, at: int, end: int, stops: frozenset[int] = frozenset()
     """(id, start, body start, end) of the children; one of unknown size ends before an id of `stops`."""
     while head := _header(data, at, end):
         ident, body, stop = head
-        if stop < 0:
+        if stop < 0 and ident == SEGMENT:
+            stop = end
+        elif stop < 0:
             stop = body
             while (inner := _header(data, stop, end)) and inner[0] not in stops and inner[2] >= 0:
                 stop = inner[2]
@@ -148,7 +150,7 @@ def packets(data: bytes) -> tuple[list[tuple[int, int, int, int, int, int, bool]
             if ident != SEGMENT:
                 continue
             scale, cluster = 1_000_000, -1
-            for ident, _, body, end in elements(data, seg, seg_end if seg_end > seg else len(data), top):
+            for ident, _, body, end in elements(data, seg, seg_end, top):
                 if ident == INFO:
                     scale = next((int.from_bytes(data[b:e], "big") for i, _, b, e in elements(data, body, end) if i == TIMESTAMP_SCALE), scale)
                 elif ident == CLUSTER:

@@ -213,6 +213,8 @@ class PieceModel:
 
     def check(self, cuts: list[str], ids: list[list[int]], texts: list[str]) -> None:
         """Compare with the library, behind a character that merges with nothing."""
+        if not cuts:
+            return
         head, n = self.guard_ids, len(self.guard_ids)
         theirs = self.library.encode([self.guard + c for c in cuts], num_threads=1)
         if [t[n:] for t in theirs] != ids or any(t[:n] != head for t in theirs):

@@ -48,8 +48,8 @@ def test_probabilities_sum_to_one():
     mixer = context_mixing.Mixer(logits, np.full((context_mixing.CONTEXTS + 1, context_mixing.GATES), 0.3), rng.integers(0, 9, (2, 256 * context_mixing.BUCKETS)).astype(float))
     total = 0.0
     for c in range(256):
-        bits, at, depth, before, _ = coder.decisions([b"some co" + bytes([c])])
-        x, gate = mixer.inputs(at, depth)
+        bits, at, before, _ = coder.decisions([b"some co" + bytes([c])])
+        x, gate = mixer.inputs(at)
         p = mixer.refine(mixer.mix(x, gate), before)
         n = int(coder.lengths[ord("o"), c])
         total += float(np.prod(np.where(bits == 1, p, 1 - p)[-n:].astype(float)))
@@ -60,12 +60,12 @@ def test_texts_are_coded_apart():
     coder = context_mixing.Coder(*context_mixing.code_trees(np.ones((256, 256), int)))
     alone = coder.decisions([b"second text\n"])
     both = coder.decisions([b"first one\n", b"second text\n"])
-    k = both[4][0]
+    k = both[3][0]
     assert (both[0][k:] == alone[0]).all() and all((b[k:] == a).all() for a, b in zip(alone[1], both[1], strict=True))
 
 
 def test_the_mixture_beats_the_unigram_base_on_held_out_text(spark):
-    got = context_mixing.score(documents(spark, "/root/testdata/sf0.01")).filter("held_out").agg(F.sum("score"), F.sum("base_score")).first()
+    got = context_mixing.score(documents(spark, "/root/testdata/sf0.1")).filter("held_out").agg(F.sum("score"), F.sum("base_score")).first()
     assert got[0] > got[1]
 
 
@@ -83,11 +83,8 @@ def test_toxicity_learns_what_marks_it(spark):
 def test_toxicity_of_odd_rows(odd, empty, labels):
     got = toxicity.toxicity(odd, labels).collect()
     assert len(got) == odd.count() and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.3) and r.held_out == (held(r.doc_id, 4) == 2) for r in got)
-    by_text = {}
-    for r, s in zip(sorted(texts_of(odd), key=str), sorted(got, key=str), strict=True):
-        by_text.setdefault(r[1], []).append(s)
     assert toxicity.toxicity(empty, labels).count() == 0
-    assert {r.score for r in toxicity.toxicity(odd, labels.limit(0)).collect()} == {pytest.approx(0, abs=1e-9)}
+    assert all(r.score < 1e-9 for r in toxicity.toxicity(odd, labels.limit(0)).collect())
     kept = toxicity.drop_toxic(odd, labels)
     assert kept.columns == odd.columns and kept.count() <= odd.count()
     assert toxicity.drop_toxic(empty, labels).count() == 0
