@@ -34,7 +34,7 @@ from .suffixes import permuted_common_prefixes, suffix_array
 WINDOW, GRAM = 100, 32
 GRAMS = WINDOW - GRAM + 1
 #: Distinct segments of a hash in one block; bytes of a shard, about; text hashed at a time.
-BLOCK, SHARD_BYTES, PIECE = 1 << 13, 1 << 20, 1 << 21
+BLOCK, SHARD_BYTES, PIECE = 1 << 13, 1 << 20, 1 << 20
 #: Bits of the filter that goes to all tasks, at most (16 MB).
 FILTER_BITS = 1 << 27
 
