@@ -576,12 +576,13 @@ def _(t):
     return layout.paginate(t.documents, 480.0, 50)
 
 
-@_query("reachable_objects", """WITH RECURSIVE e AS (SELECT o_orderkey AS src, (o_orderkey * 7 + 3) % n AS dst FROM orders, (SELECT count(*) AS n FROM orders)), r AS (SELECT 1::BIGINT AS node UNION SELECT dst FROM r JOIN e ON r.node = e.src),
+@_query("reachable_objects", """WITH RECURSIVE c AS (SELECT count(*) AS n FROM orders), e AS (SELECT o_orderkey AS src, (o_orderkey * 7 + 3) % n AS dst FROM orders, c UNION ALL SELECT o_orderkey, (o_orderkey * 2 + 1) % n FROM orders, c), r AS (SELECT 1::BIGINT AS node UNION SELECT dst FROM r JOIN e ON r.node = e.src),
  k AS (SELECT node FROM r) SELECT node, row_number() OVER (ORDER BY node) AS new_id FROM k""")
 def _(t):
     """office_optimize_pdf: objects reachable from a root through cyclic references, renumbered."""
     n = t.orders.count()
-    edges = t.orders.select(F.col("o_orderkey").alias("src"), ((F.col("o_orderkey") * 7 + 3) % n).alias("dst"))
+    k = F.col("o_orderkey")
+    edges = t.orders.select(k.alias("src"), F.explode(F.array((k * 7 + 3) % n, (k * 2 + 1) % n)).alias("dst"))
     root = t.spark.createDataFrame([(1,)], "node long")
     return graph.renumber(graph.reachable(edges, root).select("node"))
 
