@@ -587,6 +587,85 @@ def _(t):
     return graph.renumber(graph.reachable(edges, root).select("node"))
 
 
+_T0 = f"""WITH {_PARA}, c AS (SELECT doc_id, idx AS r, i - 1 AS c, w[i] AS text FROM (SELECT doc_id, idx, string_split(text, ' ') AS w FROM para WHERE idx < 4) x, LATERAL unnest(range(1, len(w) + 1)) u(i) WHERE i <= 4)"""
+
+
+def _table(t):
+    """The first words of a document's first lines as a table: doc_id, r, c, text."""
+    return model.paragraphs(t.documents).filter("idx < 4").select("doc_id", F.col("idx").alias("r"), F.posexplode(F.slice(F.split("text", " ", -1), 1, 4)).alias("c", "text"))
+
+
+@_query("update_table_cell", f"{_T0} SELECT doc_id, r, c, CASE WHEN r = 1 AND c = 2 THEN 'New' ELSE text END AS text FROM c")
+def _(t):
+    """office_update_docx_table_cell: row 1, column 2, both from 0."""
+    return S.update_at(_table(t), "r", 1, "text", F.when(F.col("c") == 2, F.lit("New")).otherwise(F.col("text")))
+
+
+@_query("insert_table_row", f"{_T0}, w AS (SELECT doc_id, max(r) AS last, max(c) AS w FROM c GROUP BY 1) SELECT doc_id, CAST(CASE WHEN r > 0 THEN r + 1 ELSE r END AS BIGINT) AS r, c, text FROM c UNION ALL SELECT doc_id, 1, unnest(range(0, w + 1)), '' FROM w")
+def _(t):
+    """office_insert_docx_table_row: an empty row as wide as the table behind the first."""
+    table = _table(t)
+    blank = table.groupBy("doc_id").agg(F.max("c").alias("w")).select("doc_id", F.lit(1).cast("long").alias("r"), F.explode(F.sequence(F.lit(0), F.col("w"))).alias("c"), F.lit("").alias("text"))
+    return table.withColumn("r", F.when(F.col("r") > 0, F.col("r") + 1).otherwise(F.col("r")).cast("long")).unionByName(blank)
+
+
+@_query("delete_table_row", f"{_T0}, n AS (SELECT *, max(r) OVER (PARTITION BY doc_id) AS last FROM c) SELECT doc_id, CAST(CASE WHEN r > 0 AND last > 0 THEN r - 1 ELSE r END AS BIGINT) AS r, c, text FROM n WHERE r <> 0 OR last = 0")
+def _(t):
+    """office_delete_docx_table_row: the first, unless it is the only one."""
+    last = F.max("r").over(W.partitionBy("doc_id"))
+    kept = _table(t).withColumn("last", last).filter("r <> 0 OR last = 0")
+    return kept.withColumn("r", F.when((F.col("r") > 0) & (F.col("last") > 0), F.col("r") - 1).otherwise(F.col("r")).cast("long")).drop("last")
+
+
+@_query("paragraph_styles", f"WITH {_PARA} SELECT doc_id, idx, CASE WHEN idx = 0 THEN 'Heading1' END AS style, CASE WHEN idx = 1 THEN 'Strong' END AS run_style FROM para")
+def _(t):
+    """office_set_paragraph_style and office_set_character_style by index."""
+    none = F.lit(None).cast("string")
+    p = model.paragraphs(t.documents).select("doc_id", "idx", none.alias("style"), none.alias("run_style"))
+    return S.update_at(S.update_at(p, "idx", 0, "style", F.lit("Heading1")), "idx", 1, "run_style", F.lit("Strong"))
+
+
+@_query("missing_styles", "SELECT p_type AS style FROM part WHERE p_partkey % 2 = 0 EXCEPT SELECT p_type FROM part WHERE p_size > 48")
+def _(t):
+    """Styles that are set but not defined, to be created: an anti join."""
+    used = t.part.filter("p_partkey % 2 = 0").select(F.col("p_type").alias("style")).distinct()
+    return integrity.dangling(used, "style", t.part.filter("p_size > 48"), "p_type")
+
+
+@_query("add_slide", f"{_P0} SELECT doc_id, CAST(CASE WHEN page > 0 THEN page + 1 ELSE page END AS BIGINT) AS page, CAST(chars AS BIGINT) AS chars FROM p UNION ALL SELECT doc_id, 1, 0 FROM p GROUP BY doc_id")
+def _(t):
+    """office_add_slide behind the first."""
+    return S.insert_after(_pages(t).withColumn("chars", F.col("chars").cast("long")), ["doc_id"], "page", 0, {"chars": F.lit(0).cast("long")})
+
+
+@_query("slide_text", f"WITH {_PAGES} SELECT doc_id, string_agg(text, chr(10) || chr(10) ORDER BY page) AS text, count(*) AS slides FROM pages_ GROUP BY doc_id")
+def _(t):
+    """office_read_pptx (text): slides in order."""
+    g = model.text_pages(t.documents).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("page", "text"))).alias("s"))
+    return g.select("doc_id", F.array_join(F.transform("s", lambda x: x["text"]), "\n\n").alias("text"), F.size("s").cast("long").alias("slides"))
+
+
+@_query("update_slide_text", "SELECT conv_id AS slide, turn AS shape, i - 1 AS paragraph, p[i] AS text FROM (SELECT conv_id, turn, string_split(CASE WHEN turn = 0 THEN 'First' || chr(10) || 'Second' ELSE text END, chr(10)) AS p FROM conversations) c, LATERAL unnest(range(1, len(p) + 1)) u(i)")
+def _(t):
+    """office_update_slide_text: a shape's text, line breaks as paragraphs."""
+    text = F.when(F.col("turn") == 0, F.lit("First\nSecond")).otherwise(F.col("text"))
+    return t.conversations.select(F.col("conv_id").alias("slide"), F.col("turn").alias("shape"), F.posexplode(F.split(text, "\n", -1)).alias("paragraph", "text"))
+
+
+@_query("chart_matrix", "SELECT o_orderpriority AS label, o_orderstatus AS series, round(sum(o_totalprice), 2) AS value FROM orders GROUP BY 1, 2")
+def _(t):
+    """office_add_slide_chart: labels by series as long rows."""
+    wide = t.orders.groupBy(F.col("o_orderpriority").alias("label")).pivot("o_orderstatus", ["F", "O", "P"]).agg(F.sum("o_totalprice"))
+    return wide.select("label", F.explode(F.map_from_arrays(F.array(*map(F.lit, "FOP")), F.array("F", "O", "P"))).alias("series", "value")).filter(F.col("value").isNotNull()).withColumn("value", F.round("value", 2))
+
+
+@_query("page_text_search_page", f"{_P0.replace('length(text) AS chars', 'text')} SELECT doc_id, page, len(regexp_extract_all(text, 'est')) AS n FROM p WHERE page = 1 AND contains(text, 'est')")
+def _(t):
+    """office_search_pdf (page 1 only, case kept)."""
+    p = model.text_pages(t.documents).filter("page = 1")
+    return p.select("doc_id", "page", X.literal_count(F.col("text"), "est", True).cast("long").alias("n")).filter("n > 0")
+
+
 # ---- reports, forms, plans -------------------------------------------------------------------
 
 
@@ -664,6 +743,13 @@ def _(t):
     return plans.transition(p, "execute").select("plan_id", "status")
 
 
+@_query("plan_cancel_rollback", """SELECT o_orderkey AS plan_id, CASE o_orderstatus WHEN 'F' THEN 'rolled_back' WHEN 'O' THEN 'cancelled' ELSE 'cancelled' END AS status FROM orders""")
+def _(t):
+    """office_cancel_task and office_rollback_operation: previewed plans cancel, executed ones roll back."""
+    p = t.orders.select(F.col("o_orderkey").alias("plan_id"), F.when(F.col("o_orderstatus") == "F", "executed").otherwise("previewed").alias("status"))
+    return plans.transition(plans.transition(p, "cancel"), "rollback")
+
+
 @_query("audit_summary", "SELECT event_type AS tool, count(*) AS calls, count(*) FILTER (value < 10) AS failures, round(sum(value), 4) AS total_ms, max(value) AS longest_ms FROM events GROUP BY 1")
 def _(t):
     """The audit log by tool."""
