@@ -2,7 +2,7 @@
 
 A text is the sequence of its words (A-Z lower-cased), a blank after each but the last, and an end.
 Each byte is coded as binary decisions on the path of a Huffman tree chosen by the byte before it.
-A decision has one predictor per context (two, three and five bytes before, and the word so far):
+A decision has one predictor per context (three, four and six bytes before, and the word so far):
 counts of both outcomes in a hashed slot. The predictors' logits are mixed by weights that a gate
 selects, learnt online: every shard predicts a block before it learns from it, block after block.
 An adaptive map refines the mixture by what came true at that estimate behind the byte before.
@@ -32,14 +32,25 @@ from .common import batches_by_bytes, durable, fold, keyed, stored
 
 #: Slots per predictor (bits), predictors, gates, buckets of the adaptive map, logits' scale.
 SLOT_BITS, CONTEXTS, GATES, BUCKETS, SCALE = 21, 4, 16, 33, 16
-#: Bytes coded at a time, learning rate of the weights, share of tokens that makes a word frequent.
-PIECE, RATE, FREQUENT = 1 << 18, 0.02, 1 << 20
+#: Bytes coded at a time, decisions of a learning step, its rate, share of tokens that makes a word frequent.
+PIECE, STEP, RATE, FREQUENT = 1 << 16, 1 << 14, 1.5, 1 << 20
 #: Slots of a range when counts are merged; words held by a counter.
 RANGE, HELD = 1 << 17, 200_000
-END = 10
+END, PAD = 10, 6
 
 _U = np.uint64
 _WORD = 0x9E3779B97F4A7C15
+_PADDING = bytes([END] * PAD)
+_MIXED = np.arange(256, dtype=np.uint64) * _U(0xC2B2AE3D27D4EB4F) + _U(0x165667B19E3779F9)
+_LOGIT = (np.arange(256).astype(np.uint8).view(np.int8) / SCALE).astype(np.float32)
+_known_powers: list[np.ndarray] = [np.zeros(0, np.uint64), np.zeros(0, np.uint64)]
+
+
+def _powers(n: int) -> list[np.ndarray]:
+    """Powers of the hash base and of its inverse, n of each at least."""
+    if len(_known_powers[0]) < n:
+        _known_powers[:] = [np.cumprod(np.full(2 * n, _U(x))) for x in (_WORD, pow(_WORD, -1, 1 << 64))]
+    return _known_powers
 
 
 def words_of(text: str) -> list[bytes]:
@@ -75,46 +86,58 @@ class Coder:
     def __init__(self, codes: np.ndarray, lengths: np.ndarray):
         self.codes, self.lengths = codes, lengths
 
-    def decisions(self, texts: list[bytes]) -> tuple[np.ndarray, list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
-        """(bits, slots by context, depth, byte before, decisions of each text); texts end with END."""
-        data = np.frombuffer(b"".join(texts), np.uint8)
-        sizes = np.array([len(t) for t in texts])
+    def decisions(self, texts: list[bytes]) -> tuple[np.ndarray, list[np.ndarray], np.ndarray, np.ndarray]:
+        """(bits, slots by context, byte before, decisions of each text); texts end with END.
+
+        Every text is coded behind PAD ends, so no context reaches into the text before it.
+        """
+        data = np.frombuffer(_PADDING + _PADDING.join(texts), np.uint8)
+        sizes = np.array([len(t) for t in texts]) + PAD
         n = len(data)
-        first = np.repeat(np.cumsum(sizes) - sizes, sizes)
-        place = np.arange(n) - first
-        before = []
-        for j in range(1, 6):
-            c = np.full(n, END, np.uint8)
-            c[j:] = data[:-j] if j < n else c[j:]
-            c[place < j] = END
-            before.append(c.astype(np.uint64))
-        two = before[0] | before[1] << _U(8)
-        three = two | before[2] << _U(16)
-        five = three | before[3] << _U(24) | before[4] << _U(32)
+        q1 = data.astype(np.uint64)
+        q2 = q1.copy()
+        q2[1:] |= q1[:-1] << _U(8)
+        q4 = q2.copy()
+        q4[2:] |= q2[:-2] << _U(16)
+        four = np.zeros(n, np.uint64)
+        four[1:] = q4[:-1]
+        six = four.copy()
+        six[5:] |= q2[:-5] << _U(32)
         # hash of the word so far: a difference of prefix sums, freed of its place
-        powers = np.cumprod(np.full(n, _U(_WORD)))
-        inverse = np.cumprod(np.full(n, _U(pow(_WORD, -1, 1 << 64))))
-        sums = np.r_[_U(0), np.cumsum((data.astype(np.uint64) * _U(0xC2B2AE3D27D4EB4F) + _U(0x165667B19E3779F9)) * powers)]
-        gap = (data == 32) | (data == END)
-        start = np.maximum.accumulate(np.r_[0, np.where(gap[:-1], np.arange(1, n), 0)])
-        word = (sums[np.arange(n)] - sums[start]) * inverse[start]
-        prev = before[0].astype(np.int64)
-        length = self.lengths[prev, data].astype(np.int64)
-        code = self.codes[prev, data]
-        pos = np.repeat(np.arange(n, dtype=np.int32), length)
-        ends = np.cumsum(length)
-        depth = (np.arange(len(pos)) - np.repeat(ends - length, length)).astype(np.uint32)
-        path = code[pos]
-        shift = length.astype(np.uint32)[pos] - np.uint32(1) - depth
-        bits = (path >> shift) & np.uint32(1)
-        node = (path >> (shift + np.uint32(1)) | np.uint32(1) << depth) * np.uint32(0x9E3779B1)
+        powers, inverse = _powers(n)
+        sums = np.zeros(n + 1, np.uint64)
+        np.cumsum(_MIXED[data] * powers[:n], out=sums[1:])
+        gap = np.flatnonzero((data == 32) | (data == END)) + 1
+        start = np.zeros(n + 1, np.int64)
+        start[gap] = gap
+        start = np.maximum.accumulate(start[:-1])
+        word = (sums[:-1] - sums[start]) * inverse[start]
+        prev = np.empty(n, np.uint8)
+        prev[0], prev[1:] = END, data[:-1]
+        pair = prev.astype(np.int32) << 8 | data
+        length = self.lengths.ravel()[pair]
+        begins = np.cumsum(sizes) - sizes
+        for j in range(PAD):
+            length[begins + j] = 0  # the padding is not coded
+        wide = length.astype(np.int32)
+        ends = np.cumsum(wide, dtype=np.int32)
+        pos = np.repeat(np.arange(n, dtype=np.int32), wide)
+        depth = (np.arange(len(pos), dtype=np.int32) - (ends - wide)[pos]).view(np.uint32)
+        path = self.codes.ravel()[pair][pos]
+        path >>= (wide - 1)[pos].view(np.uint32) - depth
+        bits = (path & np.uint32(1)).astype(np.uint8)
+        node = (path >> np.uint32(1) | np.uint32(1) << depth) * np.uint32(0x9E3779B1)
         slots = []
-        for k, c in enumerate((two, three, five, word)):
+        for k, c in enumerate((four & _U(0xFFFFFF), four, six, word)):
             h = (c + _U(k + 1)) * _U(0xBF58476D1CE4E5B9)
-            h = ((h ^ h >> _U(29)) * _U(0x94D049BB133111EB) >> _U(32)).astype(np.uint32)
-            slots.append((((h[pos] ^ node) * np.uint32(0x85EBCA6B)) >> np.uint32(32 - SLOT_BITS)).astype(np.int32))
-        per_text = np.add.reduceat(length, np.cumsum(sizes) - sizes)
-        return bits, slots, depth, prev[pos], per_text
+            h ^= h >> _U(29)
+            h *= _U(0x94D049BB133111EB)
+            at = (h >> _U(32)).astype(np.uint32)[pos]
+            at ^= node
+            at *= np.uint32(0x85EBCA6B)
+            at >>= np.uint32(32 - SLOT_BITS)
+            slots.append(at.view(np.int32))
+        return bits, slots, prev[pos], np.add.reduceat(wide, begins)
 
 
 def squash(x: np.ndarray) -> np.ndarray:
@@ -127,16 +150,20 @@ def logits_of(counts: np.ndarray) -> np.ndarray:
     return np.clip(np.rint(x * SCALE), -127, 127).astype(np.int8)
 
 
+_SURE = np.searchsorted([1, 16, 44], np.abs(np.arange(256).astype(np.uint8).view(np.int8).astype(int)), side="right")
+
+
 class Mixer:
     """Logits per slot, gated weights and the adaptive map."""
 
     def __init__(self, logits: list[np.ndarray], weights: np.ndarray, hits: np.ndarray):
         self.logits, self.weights, self.hits = logits, weights, hits
 
-    def inputs(self, slots: list[np.ndarray], depth: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    def inputs(self, slots: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
         raw = [t[s] for t, s in zip(self.logits, slots, strict=True)]
-        gate = (raw[2] != 0).astype(np.int64) * 8 + (raw[3] != 0) * 4 + np.minimum(depth, 3)
-        return [r.astype(np.float32) * np.float32(1 / SCALE) for r in raw], gate
+        # how sure the long context and the word are: unseen, unsure, likely, nearly certain
+        gate = _SURE[raw[2].view(np.uint8)] * 4 + _SURE[raw[3].view(np.uint8)]
+        return [_LOGIT[r.view(np.uint8)] for r in raw], gate
 
     def mix(self, x: list[np.ndarray], gate: np.ndarray) -> np.ndarray:
         w = self.weights.astype(np.float32)
@@ -147,7 +174,7 @@ class Mixer:
 
     @staticmethod
     def bucket(z: np.ndarray, before: np.ndarray) -> np.ndarray:
-        return before * BUCKETS + np.rint((np.clip(z, -8, 8) + 8) * ((BUCKETS - 1) / 16)).astype(np.int64)
+        return before.astype(np.int32) * BUCKETS + np.rint((np.clip(z, -8, 8) + np.float32(8)) * np.float32((BUCKETS - 1) / 16)).astype(np.int32)
 
     def refine(self, z: np.ndarray, before: np.ndarray) -> np.ndarray:
         """The mean of the mixture's probability and the adaptive map's."""
@@ -207,25 +234,25 @@ def _learn_shards(training: DataFrame, coder: Coder) -> DataFrame:
         counts = [np.zeros(2 * slots, np.uint32) for _ in range(CONTEXTS)]
         mixer = Mixer([np.zeros(slots, np.int8) for _ in range(CONTEXTS)], np.full((CONTEXTS + 1, GATES), 0.35), np.zeros((2, 256 * BUCKETS)))
         mixer.weights[CONTEXTS] = 0
-        total, seen, due = 0, 0, PIECE
+        total, seen, due = 0, 0, 1 << 18
         for b in _pieces(it):
             texts = [_normal(t) for t in b.column("text").to_pylist()]
-            bits, at, depth, before, _ = coder.decisions(texts)
-            x, gate = mixer.inputs(at, depth)
-            for i in range(0, len(bits), 1 << 16):
-                part = slice(i, i + (1 << 16))
+            bits, at, before, _ = coder.decisions(texts)
+            x, gate = mixer.inputs(at)
+            for i in range(0, len(bits), STEP):
+                part = slice(i, i + STEP)
                 g, y, xs = gate[part], bits[part], [v[part] for v in x]
                 z = mixer.mix(xs, g)
-                error = y - squash(z)
-                n = np.bincount(g, minlength=GATES) + 256.0
+                error = y.astype(np.float32) - squash(z)
+                n = np.bincount(g, minlength=GATES) + 64.0
                 for k in range(CONTEXTS):
-                    mixer.weights[k] += RATE * 8 * np.bincount(g, weights=error * xs[k], minlength=GATES) / n
-                mixer.weights[CONTEXTS] += RATE * 8 * np.bincount(g, weights=error, minlength=GATES) / n
+                    mixer.weights[k] += RATE * np.bincount(g, weights=error * xs[k], minlength=GATES) / n
+                mixer.weights[CONTEXTS] += RATE * np.bincount(g, weights=error, minlength=GATES) / n
                 spot = Mixer.bucket(z, before[part])
                 mixer.hits[1] += np.bincount(spot, weights=y, minlength=256 * BUCKETS)
-                mixer.hits[0] += np.bincount(spot, weights=1.0 - y, minlength=256 * BUCKETS)
+                mixer.hits[0] += np.bincount(spot, weights=1 - y, minlength=256 * BUCKETS)
             for k in range(CONTEXTS):
-                np.add.at(counts[k], at[k] * 2 + bits.astype(np.int32), np.uint32(1))
+                np.add.at(counts[k], at[k] * 2 + bits, np.uint32(1))
             total += len(bits)
             seen += sum(map(len, texts))
             if seen >= due:  # logits are renewed as the shard doubles, then every 4 MB
@@ -310,11 +337,11 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mod:
                 rare += few
                 sizes.append(len(few))
             coded = [b" ".join(w) + b"\n" for w in texts]
-            bits, at, depth, before, per_text = coder.decisions(coded)
+            bits, at, before, per_text = coder.decisions(coded)
             out = np.empty(len(bits), np.float32)
             for i in range(0, len(bits), 1 << 16):
                 part = slice(i, i + (1 << 16))
-                x, gate = mixer.inputs([a[part] for a in at], depth[part])
+                x, gate = mixer.inputs([a[part] for a in at])
                 p = mixer.refine(mixer.mix(x, gate), before[part])
                 out[part] = np.log(np.where(bits[part] == 1, p, 1 - p))
             ends = np.cumsum(per_text)
