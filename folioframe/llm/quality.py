@@ -141,7 +141,8 @@ def train(labelled: DataFrame, sample: int = SAMPLE) -> RuleEnsemble:
     chosen = labelled.join(F.broadcast(ids), "doc_id", "left_semi")
     stats = statistics(F.col("text"))
     names = list(stats)
-    rows = chosen.select("label", *[c.alias(n) for n, c in stats.items()]).toPandas()
+    # an id may stand on many rows: the bound holds for rows too
+    rows = chosen.select(F.xxhash64("doc_id", "text").alias("k"), "label", *[c.alias(n) for n, c in stats.items()]).orderBy("k", "label").limit(sample).toPandas()
     rows = rows.sort_values(["label", *names])
     y, x = rows["label"].to_numpy(float), rows[names].to_numpy(float)
     if len(y) == 0 or y.min() == y.max():

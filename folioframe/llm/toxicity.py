@@ -152,12 +152,13 @@ def train(labelled: DataFrame, sample: int = SAMPLE) -> ToxicityModel:
             doc, slot = _distinct(doc[hit], slot[hit])
             cuts = np.searchsorted(doc, np.arange(b.num_rows + 1))
             cols = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(column[slot], pa.int32()))
-            yield pa.record_batch([b.column("label"), cols], ["label", "cols"])
+            yield pa.record_batch([b.column("k"), b.column("label"), cols], ["k", "label", "cols"])
 
-    chosen = labelled.select("doc_id", "text", F.col("label").cast("int").alias("label"))
+    chosen = labelled.select("doc_id", F.xxhash64("doc_id", "text").alias("k"), "text", F.col("label").cast("int").alias("label"))
     ids = labelled.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     chosen = chosen.join(F.broadcast(ids), "doc_id", "left_semi")  # at most `sample` ids
-    rows = chosen.select("text", "label").mapInArrow(features, "label int, cols array<int>").toArrow()
+    # an id may stand on many rows: the bound holds for rows too, and their order is fixed
+    rows = chosen.select("k", "text", "label").mapInArrow(features, "k long, label int, cols array<int>").orderBy("k", "label").limit(sample).toArrow()
     y = rows.column("label").to_numpy().astype(float)
     lists = rows.column("cols").combine_chunks()
     lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
