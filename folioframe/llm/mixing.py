@@ -115,14 +115,22 @@ def _documents_in_streams(docs: DataFrame, id_col: str, text_col: str, source_co
     d = d.join(offsets, F.col("source").eqNullSafe(F.col("o_source")) & (F.col("chunk") == F.col("o_chunk")))
     d = d.withColumn("start", F.col("offset") + F.col("inside")).drop("chunk", "o_chunk", "o_source", "offset", "inside")
     s = sources.select(F.col("source").alias("s_source"), "pos", "source_size", "target")
-    return durable(d.join(s, F.col("source").eqNullSafe(F.col("s_source"))).drop("s_source")), sources
+    # rows here are narrow and blow up into blocks, so their number of partitions follows the blocks
+    n_parts = _partitions(sources, "n", 4 * CHUNK_SLOTS)
+    return durable(d.join(s, F.col("source").eqNullSafe(F.col("s_source"))).drop("s_source").repartition(n_parts, "pos", "start")), sources
+
+
+def _partitions(sources: DataFrame, count: str, per_task: int) -> int:
+    """Tasks for all sources' blocks or slots; an explicit number is not merged back by size."""
+    total = sources.agg(F.coalesce(F.sum(count), F.lit(0))).first()[0]
+    return max(int(sources.sparkSession.conf.get("spark.sql.shuffle.partitions")), total // per_task + 1)
 
 
 def slots(sources: DataFrame, block: int = BLOCK, shard: int = SHARD) -> DataFrame:
     """The mixture's plan: out_shard, slot, pos (of the source), epoch, block, take (its first words)."""
     last = (F.col("slots") - 1).cast("long")
     chunks = sources.filter("slots > 0").withColumn("c", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(last / CHUNK_SLOTS))))
-    chunks = chunks.repartition("pos", "c")
+    chunks = chunks.repartition(_partitions(sources, "slots", 4 * CHUNK_SLOTS), "pos", "c")
     k = chunks.withColumn("k", F.explode(F.sequence(F.col("c") * CHUNK_SLOTS, F.least(last, (F.col("c") + 1) * CHUNK_SLOTS - 1))))
     k = k.withColumn("epoch", F.expr("k div n"))
     k = _permuted(k, "block", F.col("k") % F.col("n"), F.col("n"), F.struct("pos", F.col("epoch").cast("int")), 1)
