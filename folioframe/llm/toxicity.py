@@ -133,8 +133,11 @@ class ToxicityModel:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def train(labelled: DataFrame, sample: int = SAMPLE) -> ToxicityModel:
-    """labelled: doc_id, text, label (0 or 1). Without both classes the score is the base rate."""
+def train(labelled: DataFrame, sample: int = SAMPLE, again: DataFrame | None = None) -> ToxicityModel:
+    """labelled: doc_id, text, label (0 or 1). Without both classes the score is the base rate.
+
+    again: the same rows by a plan that lets the sample's ids filter the texts before they are joined.
+    """
     ones, zeros, n1, n0 = class_counts(labelled)
     if not n0 or not n1:
         return ToxicityModel(np.zeros(1 << SLOT_BITS), 30.0 if n1 else -30.0)
@@ -154,7 +157,7 @@ def train(labelled: DataFrame, sample: int = SAMPLE) -> ToxicityModel:
             cols = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(column[slot], pa.int32()))
             yield pa.record_batch([b.column("k"), b.column("label"), cols], ["k", "label", "cols"])
 
-    chosen = labelled.select("doc_id", F.xxhash64("doc_id", "text").alias("k"), "text", F.col("label").cast("int").alias("label"))
+    chosen = (labelled if again is None else again).select("doc_id", F.xxhash64("doc_id", "text").alias("k"), "text", F.col("label").cast("int").alias("label"))
     ids = labelled.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     chosen = chosen.join(F.broadcast(ids), "doc_id", "left_semi")  # at most `sample` ids
     # an id may stand on many rows: the bound holds for rows too, and their order is fixed
@@ -183,23 +186,32 @@ def score(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_co
     return keyed(docs, id_col, text_col).mapInArrow(run, "doc_id long, score double")
 
 
-def labelled_rows(docs: DataFrame, labels: DataFrame, label_col: str, training: Column) -> DataFrame:
-    """doc_id, text, label of the labelled rows that `training` (over doc_id) admits."""
+def labelled_rows(docs: DataFrame, labels: DataFrame, label_col: str, training: Column, merge: bool = False) -> DataFrame:
+    """doc_id, text, label of the labelled rows that `training` (over doc_id) admits.
+
+    merge: neither side has a size bound, so take a merge join at every size.
+    """
     own = labels.select(labels["doc_id"].cast("long").alias("doc_id"), labels[label_col].cast("int").alias("label")).filter(F.col("label").isin(0, 1))
-    # neither side has a size bound, so the join is a merge join at every size
-    return keyed(docs).join(own.filter(training).hint("merge"), "doc_id").select("doc_id", "text", "label")
+    own = own.filter(training)
+    return keyed(docs).join(own.hint("merge") if merge else own, "doc_id").select("doc_id", "text", "label")
+
+
+def learn(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
+    """The model of the labelled rows whose fold is not 2 of 4."""
+    rows = [labelled_rows(docs, labels, "toxic", fold(F.col("doc_id"), 4) != 2, merge) for merge in (True, False)]
+    return train(rows[0], again=rows[1])
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted; learnt from the rows whose fold is not 2 of 4."""
-    model = train(labelled_rows(docs, labels, "toxic", fold(F.col("doc_id"), 4) != 2))
+    model = learn(docs, labels)
     scored = score(docs, model)
     return scored.select("doc_id", (fold(F.col("doc_id"), 4) == 2).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of `docs`, all columns, that are not predicted toxic."""
-    model = train(labelled_rows(docs, labels, "toxic", fold(F.col("doc_id"), 4) != 2))
+    model = learn(docs, labels)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     schema = docs.schema
     at = docs.columns.index("text")
