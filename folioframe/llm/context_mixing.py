@@ -3,10 +3,12 @@
 A text is the sequence of its words (A-Z lower-cased), a blank after each but the last, and an end.
 Each byte is coded as binary decisions on the path of a Huffman tree chosen by the byte before it.
 A decision has one predictor per context (three, four and six bytes before, and the word so far):
-counts of both outcomes in a hashed slot. The predictors' logits are mixed by weights that a gate
-selects, learnt online: every shard predicts a block before it learns from it, block after block.
-An adaptive map refines the mixture by what came true at that estimate behind the byte before.
-Counts of all shards add up, weights are averaged by decisions. Total bits give the log probability.
+counts of both outcomes in a hashed slot. Counts are keyed by 31 bits and only seen keys are kept, so
+they grow with the corpus; a predictor's table then gets two slots or more for each of its keys.
+The predictors' logits are mixed by weights that a gate selects, learnt online on a held-back share
+of the training rows against the merged counts of the others; an adaptive map refines the mixture by
+what came true at that estimate behind the byte before. Weights are averaged by decisions. Scoring
+uses the counts of all training rows. Total bits give the log probability.
 
 Beside the mixture each text gets its unigram base score; words above 2**-20 of all tokens (at most
 2**20 words) go to the tasks, the others are joined.
@@ -30,12 +32,14 @@ from pyspark.sql import functions as F
 
 from .common import batches_by_bytes, durable, fold, keyed, stored
 
-#: Slots per predictor (bits), predictors, gates, buckets of the adaptive map, logits' scale.
+#: Slots per predictor (bits, at least), predictors, gates, buckets of the adaptive map, logits' scale.
 SLOT_BITS, CONTEXTS, GATES, BUCKETS, SCALE = 21, 4, 16, 33, 16
 #: Bytes coded at a time, decisions of a learning step, its rate, share of tokens that makes a word frequent.
 PIECE, STEP, RATE, FREQUENT = 1 << 16, 1 << 14, 1.5, 1 << 20
-#: Slots of a range when counts are merged; words held by a counter.
-RANGE, HELD = 1 << 17, 200_000
+#: Bits of a key, training bytes of a range when counts are merged, ranges (bits, at least); keys sorted at a time, keys and words held by a counter.
+KEY_BITS, RANGE, RANGE_BITS, SORTED, KEYS_HELD, HELD = 31, 1 << 25, 4, 1 << 21, 6 << 20, 200_000
+#: One training row in so many is held back to learn weights; its bytes for a task that learns.
+SHARE, LEARN = 8, 1 << 22
 END, PAD = 10, 6
 
 _U = np.uint64
@@ -83,8 +87,8 @@ def code_trees(pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 class Coder:
     """The decisions of joined texts with their slots and gates."""
 
-    def __init__(self, codes: np.ndarray, lengths: np.ndarray):
-        self.codes, self.lengths = codes, lengths
+    def __init__(self, codes: np.ndarray, lengths: np.ndarray, slot_bits: tuple[int, ...] = (SLOT_BITS,) * CONTEXTS):
+        self.codes, self.lengths, self.slot_bits = codes, lengths, slot_bits
 
     def decisions(self, texts: list[bytes]) -> tuple[np.ndarray, list[np.ndarray], np.ndarray, np.ndarray]:
         """(bits, slots by context, byte before, decisions of each text); texts end with END.
@@ -135,7 +139,7 @@ class Coder:
             at = (h >> _U(32)).astype(np.uint32)[pos]
             at ^= node
             at *= np.uint32(0x85EBCA6B)
-            at >>= np.uint32(32 - SLOT_BITS)
+            at >>= np.uint32(32 - self.slot_bits[k])
             slots.append(at.view(np.int32))
         return bits, slots, prev[pos], np.add.reduceat(wide, begins)
 
@@ -226,18 +230,145 @@ def _count_corpus(training: DataFrame) -> DataFrame:
     return training.select("text").mapInArrow(run, "kind int, key binary, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
 
 
-def _learn_shards(training: DataFrame, coder: Coder) -> DataFrame:
-    """(part, blob): every shard's counts by slot range, then its weights and map (part -1)."""
-    slots = 1 << SLOT_BITS
+def _runs(keys: np.ndarray) -> np.ndarray:
+    """Distinct keys (upper half of the words) with their counts, sorted."""
+    keys = np.sort(keys)
+    at = np.flatnonzero(np.r_[len(keys) > 0, keys[1:] != keys[:-1]][: len(keys)])
+    return keys[at].astype(np.uint64) << _U(32) | np.diff(np.r_[at, len(keys)]).astype(np.uint64)
+
+
+def _merged(runs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(keys, counts) of several runs."""
+    x = np.concatenate(runs)
+    if not len(x):
+        return x, x
+    x.sort()
+    new = np.ones(len(x), bool)
+    new[1:] = x.view(np.uint32)[3::2] != x.view(np.uint32)[1:-2:2]
+    at = np.flatnonzero(new)
+    keys = x[at] >> _U(32)
+    x &= _U(0xFFFFFFFF)  # in place: a worker holds millions of keys
+    return keys, np.add.reduceat(x, at)
+
+
+def _planes(x: np.ndarray) -> bytes:
+    """All first bytes, all second bytes and so on, compressed."""
+    return zstandard.ZstdCompressor(level=3).compress(np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes())
+
+
+def _of_planes(blob: bytes, width: int) -> np.ndarray:
+    """Rows of `width` bytes."""
+    return np.ascontiguousarray(np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8).reshape(width, -1).T)
+
+
+def _pack(run: np.ndarray) -> bytes:
+    """Steps between keys, and counts."""
+    return _planes(np.stack([np.diff(run >> _U(32), prepend=_U(0)).astype(np.uint32), run.astype(np.uint32)], axis=1))
+
+
+def _unpack(blob: bytes) -> np.ndarray:
+    both = _of_planes(blob, 8).view(np.uint32)
+    return np.cumsum(both[:, 0], dtype=np.uint64) << _U(32) | both[:, 1]
+
+
+def _count_slots(training: DataFrame, coder: Coder, range_bits: int) -> DataFrame:
+    """(part, late, blob): counts of (key, outcome) by context and range of keys; late rows are those held back."""
+    bounds = np.arange(1, 1 << range_bits, dtype=np.uint64) << _U(64 - range_bits)
+
+    def counted(late: bool):
+        def run(it):
+            raw, size = [[] for _ in range(CONTEXTS)], 0
+            held, new = [np.zeros(0, np.uint64) for _ in range(CONTEXTS)], [[] for _ in range(CONTEXTS)]
+
+            def settle(k, least):
+                new[k].append(_runs(np.concatenate(raw[k])))
+                raw[k].clear()
+                if sum(map(len, new[k])) >= least:
+                    keys, n = _merged([held[k], *new[k]])
+                    keys <<= _U(32)
+                    keys |= n
+                    held[k] = keys
+                    new[k].clear()
+
+            def emit(k):
+                parts = [(i, x) for i, x in enumerate(np.split(held[k], np.searchsorted(held[k], bounds))) if len(x)]
+                held[k] = np.zeros(0, np.uint64)
+                return pa.record_batch([pa.array([k << range_bits | i for i, _ in parts], pa.int32()), pa.array([late] * len(parts)), pa.array([_pack(x) for _, x in parts], pa.binary())], ["part", "late", "blob"])
+
+            for b in _pieces(it):
+                bits, at, _, _ = coder.decisions([_normal(t) for t in b.column("text").to_pylist()])
+                for k in range(CONTEXTS):
+                    raw[k].append(at[k].view(np.uint32) << np.uint32(1) | bits)
+                size += len(bits)
+                if size >= SORTED:
+                    size = 0
+                    for k in range(CONTEXTS):
+                        settle(k, SORTED)
+                        if len(held[k]) > KEYS_HELD:
+                            yield emit(k)
+            for k in range(CONTEXTS):
+                raw[k].append(np.zeros(0, np.uint32))
+                settle(k, 0)
+                if len(held[k]):
+                    yield emit(k)
+
+        return training.filter(F.col("late") if late else ~F.col("late")).select("text").mapInArrow(run, "part int, late boolean, blob binary")
+
+    def merge(t: pa.Table) -> pa.Table:
+        """The part's keys and, for early rows and for all, counts of both outcomes."""
+        part, late = t.column("part")[0].as_py(), np.array(t.column("late").to_pylist())
+        runs = [_unpack(x.as_py()) for x in t.column("blob")]
+        keys, counts = _merged(runs)
+        slots = np.unique(keys >> _U(1))
+        out = np.zeros((2, len(slots), 2), np.int64)
+        out[1][np.searchsorted(slots, keys >> _U(1)), (keys & _U(1)).astype(int)] = counts
+        if not late.all():
+            keys, counts = _merged([r for r, x in zip(runs, late, strict=True) if not x])
+            out[0][np.searchsorted(slots, keys >> _U(1)), (keys & _U(1)).astype(int)] = counts
+        steps = _planes(np.diff(slots, prepend=_U(0)).astype(np.uint32))
+        early, both = (_planes(x.astype(np.uint64)) for x in out)
+        return pa.table({"part": pa.array([part], pa.int32()), "keys": pa.array([len(slots)], pa.int64()), "steps": pa.array([steps], pa.binary()), "early": pa.array([early], pa.binary()), "every": pa.array([both], pa.binary())})
+
+    return counted(False).unionByName(counted(True)).groupBy("part").applyInArrow(merge, "part int, keys long, steps binary, early binary, every binary")
+
+
+def _tables(merged: DataFrame, counts: str, slot_bits: tuple[int, ...], range_bits: int) -> list[np.ndarray]:
+    """Logits by context, from the counts of early rows or of every row."""
 
     def run(it):
-        counts = [np.zeros(2 * slots, np.uint32) for _ in range(CONTEXTS)]
-        mixer = Mixer([np.zeros(slots, np.int8) for _ in range(CONTEXTS)], np.full((CONTEXTS + 1, GATES), 0.35), np.zeros((2, 256 * BUCKETS)))
-        mixer.weights[CONTEXTS] = 0
-        total, seen, due = 0, 0, 1 << 18
+        for b in it:
+            for part, steps, blob in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                bits = slot_bits[part >> range_bits]
+                size = 1 << bits - range_bits
+                slots = np.cumsum(_of_planes(steps, 4).view(np.uint32).ravel(), dtype=np.int64)
+                at = slots >> KEY_BITS - bits & size - 1
+                counts = _of_planes(blob, 16).view(np.int64)
+                both = np.stack([np.bincount(at, weights=counts[:, j], minlength=size) for j in (0, 1)], axis=1)
+                yield pa.record_batch([pa.array([part], pa.int32()), pa.array([logits_of(both).tobytes()], pa.binary())], ["part", "blob"])
+
+    logits = [np.zeros(1 << n, np.int8) for n in slot_bits]
+    for row in merged.select("part", "steps", counts).mapInArrow(run, "part int, blob binary").toLocalIterator():
+        k, i = row.part >> range_bits, row.part & (1 << range_bits) - 1
+        size = 1 << slot_bits[k] - range_bits
+        logits[k][i * size : (i + 1) * size] = np.frombuffer(row.blob, np.int8)
+    return logits
+
+
+def _new_mixer(logits: list[np.ndarray]) -> Mixer:
+    weights = np.full((CONTEXTS + 1, GATES), 0.35)
+    weights[CONTEXTS] = 0
+    return Mixer(logits, weights, np.zeros((2, 256 * BUCKETS)))
+
+
+def _learn_weights(late: DataFrame, coder: Coder, logits: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Weights, averaged by decisions, and the adaptive map, from rows that the logits have not seen."""
+    shared = late.sparkSession.sparkContext.broadcast((coder, logits))
+
+    def run(it):
+        coder, logits = shared.value
+        mixer, total = _new_mixer(logits), 0
         for b in _pieces(it):
-            texts = [_normal(t) for t in b.column("text").to_pylist()]
-            bits, at, before, _ = coder.decisions(texts)
+            bits, at, before, _ = coder.decisions([_normal(t) for t in b.column("text").to_pylist()])
             x, gate = mixer.inputs(at)
             for i in range(0, len(bits), STEP):
                 part = slice(i, i + STEP)
@@ -251,56 +382,36 @@ def _learn_shards(training: DataFrame, coder: Coder) -> DataFrame:
                 spot = Mixer.bucket(z, before[part])
                 mixer.hits[1] += np.bincount(spot, weights=y, minlength=256 * BUCKETS)
                 mixer.hits[0] += np.bincount(spot, weights=1 - y, minlength=256 * BUCKETS)
-            for k in range(CONTEXTS):
-                np.add.at(counts[k], at[k] * 2 + bits, np.uint32(1))
             total += len(bits)
-            seen += sum(map(len, texts))
-            if seen >= due:  # logits are renewed as the shard doubles, then every 4 MB
-                due = seen + min(seen, 1 << 22)
-                mixer.logits = [logits_of(c.reshape(-1, 2)) for c in counts]
-        if not total:
-            return
-        pack = zstandard.ZstdCompressor(level=1).compress
-        for k in range(CONTEXTS):
-            c = counts[k].reshape(-1, 2)
-            parts = [k * (slots // RANGE) + i for i in range(slots // RANGE)]
-            blobs = [pack(c[i * RANGE : (i + 1) * RANGE].tobytes()) for i in range(slots // RANGE)]
-            yield pa.record_batch([pa.array(parts, pa.int32()), pa.array(blobs, pa.binary())], ["part", "blob"])
-        tail = np.concatenate([[float(total)], mixer.weights.ravel() * total, mixer.hits.ravel()])
-        yield pa.record_batch([pa.array([-1], pa.int32()), pa.array([pack(tail.tobytes())], pa.binary())], ["part", "blob"])
-
-    def merge(t: pa.Table) -> pa.Table:
-        unpack = zstandard.ZstdDecompressor().decompress
-        part = t.column("part")[0].as_py()
-        kind = np.float64 if part < 0 else np.uint32
-        total = 0
-        for blob in t.column("blob"):
-            x = np.frombuffer(unpack(blob.as_py()), kind)
-            total = total + (x if part < 0 else x.astype(np.int64))
-        out = total if part < 0 else logits_of(total.reshape(-1, 2))
-        return pa.table({"part": pa.array([part], pa.int32()), "blob": pa.array([out.tobytes()], pa.binary())})
+        if total:
+            tail = np.concatenate([[float(total)], mixer.weights.ravel() * total, mixer.hits.ravel()])
+            yield pa.record_batch([pa.array([zstandard.ZstdCompressor(level=1).compress(tail.tobytes())], pa.binary())], ["blob"])
 
-    return training.select("text").mapInArrow(run, "part int, blob binary").groupBy("part").applyInArrow(merge, "part int, blob binary")
+    mixer, x = _new_mixer(logits), 0
+    for row in durable(late.select("text").mapInArrow(run, "blob binary")).toLocalIterator():
+        x = x + np.frombuffer(zstandard.ZstdDecompressor().decompress(row.blob), np.float64)
+    shared.destroy()
+    if isinstance(x, int):
+        return mixer.weights, mixer.hits
+    return x[1 : 1 + mixer.weights.size].reshape(mixer.weights.shape) / x[0], x[1 + mixer.weights.size :].reshape(mixer.hits.shape)
 
 
 def learn(training: DataFrame, counted: DataFrame) -> tuple[Coder, Mixer]:
-    """The coder and mixer of the training texts. What reaches the driver has a fixed size."""
+    """The coder and mixer of the training texts (doc_id, text). The logits that reach the driver grow with the distinct keys."""
     pairs = np.zeros((256, 256), np.int64)
     for row in counted.filter("kind = 1").collect():  # 65536 rows at most
         pairs[row.key[0], row.key[1]] = row.n
-    coder = Coder(*code_trees(pairs))
-    slots = 1 << SLOT_BITS
-    logits = [np.zeros(slots, np.int8) for _ in range(CONTEXTS)]
-    weights, hits = np.zeros((CONTEXTS + 1, GATES)), np.zeros((2, 256 * BUCKETS))
-    for row in durable(_learn_shards(training, coder)).toLocalIterator():
-        if row.part < 0:
-            x = np.frombuffer(row.blob, np.float64)
-            weights = x[1 : 1 + weights.size].reshape(weights.shape) / x[0]
-            hits = x[1 + weights.size :].reshape(hits.shape).copy()
-        else:
-            k, i = divmod(row.part, slots // RANGE)
-            logits[k][i * RANGE : (i + 1) * RANGE] = np.frombuffer(row.blob, np.int8)
-    return coder, Mixer(logits, weights, hits)
+    trees, n_bytes = code_trees(pairs), int(pairs.sum())
+    range_bits = max(RANGE_BITS, (n_bytes // RANGE).bit_length())
+    training = training.withColumn("late", F.pmod(F.xxhash64("doc_id"), F.lit(SHARE)) == 0)
+    merged = durable(_count_slots(training, Coder(*trees, (KEY_BITS,) * CONTEXTS), range_bits))
+    keys = {r.k: r.n for r in merged.groupBy(F.expr(f"shiftright(part, {range_bits})").alias("k")).agg(F.sum("keys").alias("n")).collect()}
+    # two slots a key at least
+    slot_bits = tuple(min(KEY_BITS, max(SLOT_BITS, range_bits, (2 * keys.get(k, 0)).bit_length())) for k in range(CONTEXTS))
+    coder = Coder(*trees, slot_bits)
+    late = training.filter("late").repartition(max(1, n_bytes // SHARE // LEARN))
+    weights, hits = _learn_weights(late, coder, _tables(merged, "early", slot_bits, range_bits))
+    return coder, Mixer(_tables(merged, "every", slot_bits, range_bits), weights, hits)
 
 
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mod: int = 7, held: int = 2) -> DataFrame:
@@ -355,6 +466,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mod:
 
     schema = "doc_id long, held_out boolean, n_tokens long, known long, base double, score double, n_bits double, rare array<struct<w: binary, m: long>>"
     scored = stored(rows.select("doc_id", "held_out", "text").mapInArrow(run, schema).withColumn("row", F.monotonically_increasing_id()))
+    shared.destroy()  # the scores are stored, and the model would stay in workers and block stores
     rare = scored.select("row", F.explode("rare").alias("r")).select("row", "r.w", "r.m")
     found = rare.join(words.select("key", F.col("n").alias("c")), F.col("w") == F.col("key"), "left")
     logs = F.col("m") * (F.log10(F.coalesce("c", F.lit(0)) + F.lit(1.0)) - F.lit(floor))

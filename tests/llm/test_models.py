@@ -69,6 +69,37 @@ def test_the_mixture_beats_the_unigram_base_on_held_out_text(spark):
     assert got[0] > got[1]
 
 
+def test_predictor_tables_grow_with_the_corpus(spark, monkeypatch):
+    """Two slots for every key at least; counts of whole keys are exact, however often a counter is emptied."""
+    monkeypatch.setattr(context_mixing, "SLOT_BITS", 8)
+    monkeypatch.setattr(context_mixing, "SORTED", 5000)
+    monkeypatch.setattr(context_mixing, "KEYS_HELD", 3000)
+    training = documents(spark, DATA).select("doc_id", "text")
+    sizes = []
+    for df in (training.filter("doc_id % 8 = 0"), training):
+        coder, mixer = context_mixing.learn(df, context_mixing._count_corpus(df).cache())
+        full = context_mixing.Coder(coder.codes, coder.lengths, (context_mixing.KEY_BITS,) * context_mixing.CONTEXTS)
+        bits, at, _, _ = full.decisions([context_mixing._normal(t) for _, t in texts_of(df)])
+        for k, table in enumerate(mixer.logits):
+            keys, where = np.unique(at[k], return_inverse=True)
+            assert len(table) >= 2 * len(keys)
+            counts = np.zeros((len(table), 2))
+            np.add.at(counts, (keys[where] >> context_mixing.KEY_BITS - coder.slot_bits[k], bits), 1)
+            assert (context_mixing.logits_of(counts) == table).all()
+        sizes.append(sum(map(len, mixer.logits)))
+    assert sizes[1] > sizes[0]
+
+
+def test_weights_do_not_depend_on_the_split(spark):
+    """Many small partitions learn the gates and the map as one does."""
+    got = []
+    for n in (1, 40):
+        df = documents(spark, DATA).select("doc_id", "text").repartition(n)
+        got.append(context_mixing.learn(df, context_mixing._count_corpus(df).cache())[1])
+        assert np.abs(got[-1].weights[: context_mixing.CONTEXTS] - 0.35).max() > 0.02
+    assert got[0].hits.sum() == got[1].hits.sum() > 0 and np.abs(got[0].weights - got[1].weights).max() < 0.1
+
+
 def test_scores_of_nothing(empty):
     assert context_mixing.score(empty).count() == 0
 
