@@ -562,11 +562,13 @@ def _(t):
 
 @_query("pdf_table_extract")
 def _(t):
-    """office_extract_pdf_tables over runs laid out from the orders of each customer."""
-    row = F.row_number().over(W.partitionBy("o_custkey").orderBy("o_orderkey"))
-    o = t.orders.withColumn("i", row).filter("i <= 40")
+    """office_extract_pdf_tables over runs laid out from the orders of each customer, on even pages of up to 40."""
+    w = W.partitionBy("o_custkey")
+    o = t.orders.withColumns({"i": F.row_number().over(w.orderBy("o_orderkey")), "n": F.count(F.lit(1)).over(w)})
+    o = o.withColumn("pages", F.expr("(n + 39) div 40")).withColumn("page", F.expr("(i - 1) * pages div n"))
+    o = o.withColumn("i", F.expr("i - (page * n + pages - 1) div pages"))
     cell = lambda k, x, v: F.struct(F.lit(float(x)).alias("x"), v.cast("string").alias("text"))
-    runs = o.select(F.col("o_custkey").alias("doc_id"), F.lit(0).alias("page"), (800 - F.col("i") * 14.0).alias("y"), F.lit(10.0).alias("font_size"), F.inline(F.array(cell(0, 50, F.col("o_orderkey")), cell(1, 200, F.col("o_orderstatus")), cell(2, 300, F.col("o_orderpriority")))))
+    runs = o.select(F.col("o_custkey").alias("doc_id"), F.col("page").cast("int"), (800 - F.col("i") * 14.0).alias("y"), F.lit(10.0).alias("font_size"), F.inline(F.array(cell(0, 50, F.col("o_orderkey")), cell(1, 200, F.col("o_orderstatus")), cell(2, 300, F.col("o_orderpriority")))))
     return layout.extract_tables(runs)
 
 
