@@ -62,7 +62,7 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def batches_by_bytes(it: Iterator[pa.RecordBatch], column: str, limit: int) -> Iterator[pa.RecordBatch]:
+def batches_by_bytes(it: Iterator[pa.RecordBatch], column: str | int, limit: int) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches so that the text of one piece stays near `limit` bytes (one row at least)."""
     for batch in it:
         if batch.num_rows == 0:

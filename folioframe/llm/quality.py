@@ -6,7 +6,7 @@ per tree node; lasso logistic regression keeps few of them; the kept rules becom
 
 Defined results: a null text is the empty text, with all counts 0; null labels and labels of
 unknown documents are skipped; without labelled rows of both classes the score is 1 or 0 for the
-class there is (0 without any); an empty table gives an empty table; only id, text and label are read.
+class there is (0 without any); several labels of an id count each; an empty table gives an empty table; only id, text and label are read.
 """
 
 from __future__ import annotations
@@ -136,13 +136,12 @@ class RuleEnsemble:
 
 
 def train(labelled: DataFrame, sample: int = SAMPLE) -> RuleEnsemble:
-    """labelled: doc_id, text, label. Statistics of at most `sample` rows reach the driver."""
-    ids = labelled.select("doc_id", "label").orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(sample).select("doc_id").distinct()
-    chosen = labelled.join(F.broadcast(ids), "doc_id", "left_semi")
+    """labelled: doc_id, text, label, n (how often the row counts). Statistics of at most `sample` rows reach the driver."""
     stats = statistics(F.col("text"))
     names = list(stats)
-    # an id may stand on many rows: the bound holds for rows too
-    rows = chosen.select(F.xxhash64("doc_id", "text").alias("k"), "label", *[c.alias(n) for n, c in stats.items()]).orderBy("k", "label").limit(sample).toPandas()
+    rows = labelled.select(F.xxhash64("doc_id", "text").alias("k"), "label", "n", *[c.alias(n) for n, c in stats.items()]).orderBy("k", "label").limit(sample)
+    # a row counts as often as its id has the label; the bound holds for all of them
+    rows = rows.withColumn("i", F.explode(F.array_repeat(F.lit(0), F.least("n", F.lit(sample)).cast("int")))).drop("n", "i").orderBy("k", "label").limit(sample).toPandas()
     rows = rows.sort_values(["label", *names])
     y, x = rows["label"].to_numpy(float), rows[names].to_numpy(float)
     if len(y) == 0 or y.min() == y.max():
@@ -165,6 +164,6 @@ def score(docs: DataFrame, model: RuleEnsemble, id_col: str = "doc_id", text_col
 
 def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted; learnt from the rows whose fold is not 0 of 5."""
-    model = train(labelled_rows(docs, labels, "quality", fold(F.col("doc_id"), 5) != 0))
+    model = train(labelled_rows(docs, labels, "quality", fold(F.col("doc_id"), 5) != 0, SAMPLE))
     scored = score(docs, model)
     return scored.select("doc_id", (fold(F.col("doc_id"), 5) == 0).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
