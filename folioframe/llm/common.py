@@ -94,6 +94,22 @@ def bytes_of(strings: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8)[at[0] : at[-1]], at - at[0]
 
 
+#: A key is hot if it holds more than one row in so many, so fewer keys than this are hot.
+HOT = 4096
+
+
+def join_hot(left: DataFrame, right: DataFrame, keys: list[str], rows: Column, total: int) -> DataFrame:
+    """Inner join on `keys`, unique in `right`; `rows` says how many rows of `left` a key holds, of `total` at least.
+
+    The hot keys, fewer than HOT of them, are broadcast, so their rows stay where they are; only the others are shuffled.
+    """
+    hot = rows * F.lit(HOT) > F.lit(total)
+    marked = left.join(F.broadcast(right.filter(hot).withColumn("__hot", F.lit(True))), keys, "left")
+    stay = marked.filter("__hot").drop("__hot")
+    move = marked.filter(F.col("__hot").isNull()).select(*left.columns).join(right.filter(~hot), keys)
+    return stay.unionByName(move)
+
+
 def hex64(column: Column) -> Column:
     """A long's 64 bits as 16 lower-case hex digits."""
     return F.lpad(F.lower(F.hex(column)), 16, "0")

@@ -22,14 +22,15 @@ def _induce_by_bucket(s: np.ndarray, small: np.ndarray, lms: np.ndarray, k: int)
     Inside a bucket, suffixes induced by the bucket itself come in waves, one for each repetition of
     its symbol, so a wave is one vector step. The order is that of the usual scan.
     """
-    seeds = np.searchsorted(s[lms[np.argsort(s[lms], kind="stable")]], np.arange(k + 1))
-    by_symbol = lms[np.argsort(s[lms], kind="stable")]
+    small_s = s.astype(np.uint16)
+    by_symbol = lms[np.argsort(small_s[lms], kind="stable")]
+    seeds = np.searchsorted(s[by_symbol], np.arange(k + 1))
     queue: list[list[np.ndarray]] = [[] for _ in range(k)]
 
     def deal(j: np.ndarray, c: int) -> np.ndarray:
         """Send suffixes to their buckets' queues; returns those of bucket c."""
-        ch = s[j]
-        order = np.argsort(ch, kind="stable")
+        ch = small_s[j]
+        order = np.argsort(ch, kind="stable")  # of 16-bit symbols: a radix sort
         j, ch = j[order], ch[order]
         cuts = np.flatnonzero(np.r_[True, ch[1:] != ch[:-1], True]) if len(j) else []
         own = j[:0]
@@ -72,28 +73,39 @@ def _induce_by_bucket(s: np.ndarray, small: np.ndarray, lms: np.ndarray, k: int)
 
 def _induce_in_order(s: np.ndarray, small: np.ndarray, lms: np.ndarray, k: int) -> np.ndarray:
     """The same by the usual scan, for alphabets about as large as the text."""
+    n = len(s)
     counts = np.bincount(s, minlength=k)
     tails = np.cumsum(counts)
     heads = (tails - counts).tolist()
-    text, is_small, n = s.tolist(), small.tolist(), len(s)
-    sa = [-1] * n
-    ends = tails.tolist()
-    for j in reversed(lms.tolist()):
-        ends[text[j]] -= 1
-        sa[ends[text[j]]] = j
-    for i in range(n):
-        j = sa[i] - 1
-        if j >= 0 and not is_small[j]:
-            c = text[j]
-            sa[heads[c]] = j
-            heads[c] += 1
+    # the symbol before a suffix if that suffix is induced in this direction, else -1; n stands for an empty place
+    before = np.r_[-1, s[:-1], -1]
+    rising = np.r_[False, small[:-1], False]
+    large_before, small_before = np.where(rising, -1, before).tolist(), np.where(rising, before, -1).tolist()
+    sa = [n] * n
+    ends = tails.copy()
+    # seeds fill their buckets from the back, in the order given
+    symbol = s[lms]
+    by = np.argsort(symbol, kind="stable")
+    sorted_symbols = symbol[by]
+    after = np.searchsorted(sorted_symbols, sorted_symbols, side="right") - np.arange(len(by))
+    for at, j in zip((ends[sorted_symbols] - after).tolist(), lms[by].tolist(), strict=True):
+        sa[at] = j
+    for j in sa:  # places ahead are filled while the scan goes on
+        c = large_before[j]
+        if c >= 0:
+            at = heads[c]
+            sa[at] = j - 1
+            heads[c] = at + 1
     ends = tails.tolist()
-    for i in range(n - 1, -1, -1):
-        j = sa[i] - 1
-        if j >= 0 and is_small[j]:
-            c = text[j]
-            ends[c] -= 1
-            sa[ends[c]] = j
+    sa.reverse()
+    ends = [n - e for e in ends]
+    for j in sa:
+        c = small_before[j]
+        if c >= 0:
+            at = ends[c]
+            sa[at] = j - 1
+            ends[c] = at + 1
+    sa.reverse()
     sa[0] = n - 1
     return np.array(sa, np.int64)
 
