@@ -185,6 +185,30 @@ def test_repeated_substrings_against_brute_force(spark, odd, monkeypatch, block)
         assert Counter(map(tuple, substrings.remove_repeats(df).drop("kept").collect())) == want
 
 
+def test_repeated_substrings_of_long_texts(spark):
+    """Pieces and pages of a text meet: repeats across their edges, inside one text and between texts; a passage in all rows."""
+    rng = np.random.default_rng(3)
+    words = lambda n: " ".join("".join(chr(97 + c) for c in rng.integers(0, 26, rng.integers(2, 9))) for _ in range(n))
+    passage, text = words(40), words(70_000)
+    assert len(text) > 3 * substrings.PIECE > 5 * substrings.PAGE
+    rows = [(1, text), (2, text[substrings.PIECE - 300 : substrings.PIECE + 300]), (3, "x" + text[3 * substrings.PAGE - 150 : 3 * substrings.PAGE + 90] + "y")]
+    rows += [(4, text[:200_000] + words(5) + text[100_000:]), (5, None), (6, text[:99])] + [(7 + i, words(i % 7) + passage + words(i % 5)) for i in range(200)]
+    got = substrings.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).drop("kept")
+    assert Counter(map(tuple, got.collect())) == brute_removal([(d, t or "") for d, t in rows])
+
+
+def test_many_equal_rows(spark):
+    """All but one row of equal rows are removed, wherever they stand."""
+    text = "".join(chr(97 + i * i % 26) for i in range(500))
+    df = spark.createDataFrame([(1, text)] * 300 + [(2, text)] * 5 + [(3, "short")] * 40, "doc_id long, text string").repartition(7)
+    got = Counter((r.doc_id, r.n_removed) for r in substrings.remove_repeats(df).collect())
+    assert got == brute_by_rows([(1, text)] * 300 + [(2, text)] * 5 + [(3, "short")] * 40)
+
+
+def brute_by_rows(rows):
+    return Counter((d, removed) for (d, _, removed, _, _), n in brute_removal(rows).items() for _ in range(n))
+
+
 def test_repeated_substrings_of_nothing(empty):
     assert substrings.remove_repeats(empty).count() == 0
 
