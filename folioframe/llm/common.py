@@ -45,12 +45,14 @@ def lower_ascii(text: Column) -> Column:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's shared spark.checkpoint.dir; only where none is set make one (tests, laptops)."""
+    """Use the cluster's shared spark.checkpoint.dir; only a local session without one gets a folder of its own."""
     sc = spark.sparkContext
     if sc.getCheckpointDir():
         return
     own = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not own:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         own = tempfile.mkdtemp(prefix="folioframe-checkpoint-")
         atexit.register(shutil.rmtree, own, ignore_errors=True)
     sc.setCheckpointDir(own)

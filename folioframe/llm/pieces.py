@@ -260,7 +260,15 @@ def encode_decode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     path = path or tokenizer_path("piece_bpe_32k.model")
 
     def run(it):
+        collecting = gc.isenabled()
         gc.disable()  # the caches hold millions of tuples and no cycles; walking them costs a third of the time
+        try:
+            yield from encoded(it)
+        finally:
+            if collecting:  # the worker serves other operators later
+                gc.enable()
+
+    def encoded(it):
         m = model(path)
         for b in batches_by_bytes(it, "text", 2 << 20):
             got = m.encode_texts(b.column("text").to_pylist())

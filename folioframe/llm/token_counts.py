@@ -4,8 +4,8 @@ Every text is encoded whole; documents are aggregated by their length in tokens,
 answers come from a table with one row per distinct length. Sums over the lengths at or above one
 (and below it) give totals, quantiles and truncated totals for every context limit.
 
-Defined results: a null text has no tokens, as the empty text; the id is not needed; an empty table
-gives an empty histogram; other columns are never read.
+Defined results: a null text has no tokens, as the empty text; the id is not needed; a long run
+without blanks is encoded whole; an empty table gives an empty histogram; other columns are never read.
 """
 
 from __future__ import annotations
@@ -19,10 +19,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .common import tokenizer_path
+from .common import batches_by_bytes, stored, tokenizer_path
 
-#: Lengths in a block of the two-level running sums.
-BLOCK = 1024
+#: Lengths in a block of the two-level running sums; bytes encoded at a time (one text at least).
+BLOCK, PIECE = 1024, 4 << 20
 
 
 @cache
@@ -41,7 +41,7 @@ def token_lengths(docs: DataFrame, text_col: str = "text", path: str | None = No
 
     def run(it):
         encode = _encoding(path).encode_ordinary
-        for b in it:
+        for b in batches_by_bytes(it, 0, PIECE):
             yield pa.record_batch([pa.array([len(encode(t)) for t in b.column(0).to_pylist()], pa.int64())], ["length"])
 
     return docs.select(F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("t")).mapInArrow(run, "length long")
@@ -53,7 +53,7 @@ def histogram(docs: DataFrame, text_col: str = "text", path: str | None = None)
 
     def run(it):
         encode = _encoding(path).encode_ordinary
-        for b in it:
+        for b in batches_by_bytes(it, 0, PIECE):
             lengths, counts = np.unique(np.array([len(encode(t)) for t in b.column(0).to_pylist()], np.int64), return_counts=True)
             yield pa.record_batch([pa.array(lengths), pa.array(counts.astype(np.int64))], ["length", "n"])
 
@@ -66,9 +66,10 @@ def suffix_sums(hist: DataFrame) -> DataFrame:
 
     n_docs of that length; docs_ge, tokens_ge at or above it; docs_le, fraction_le at or below it
     (the quantile); truncated_tokens, the sum of min(length, limit); total_docs, total_tokens.
-    Sums run inside blocks of lengths and over the few blocks' totals.
+    Sums run inside blocks of lengths and over the few blocks' totals. The histogram is read twice, so
+    it is stored first and every text is encoded once.
     """
-    h = hist.withColumn("blk", F.expr(f"length div {BLOCK}")).withColumn("tok", F.col("length") * F.col("n_docs"))
+    h = stored(hist).withColumn("blk", F.expr(f"length div {BLOCK}")).withColumn("tok", F.col("length") * F.col("n_docs"))
     blocks = h.groupBy("blk").agg(F.sum("n_docs").alias("bd"), F.sum("tok").alias("bt"))
     after = W.orderBy(F.col("blk").desc()).rowsBetween(W.unboundedPreceding, -1)
     whole = W.orderBy(F.lit(1)).rowsBetween(W.unboundedPreceding, W.unboundedFollowing)

@@ -34,6 +34,15 @@ def test_token_histogram_against_a_plain_count(spark, odd):
     assert sorted(r.length for r in token_counts.token_lengths(odd).collect()) == sorted(len(encode(t)) for _, t in texts_of(odd))
 
 
+def test_long_runs_are_counted_whole(spark):
+    """No blank in 300,000 characters, and nothing but blanks."""
+    encode = token_counts._encoding(token_counts.tokenizer_path("byte_bpe_50k.tiktoken")).encode_ordinary
+    texts = ["x" * 300_000, " " * 300_000, "ab1é" * 50_000, None, ""]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    assert sorted(r.length for r in token_counts.token_lengths(df).collect()) == sorted(len(encode(t or "")) for t in texts)
+    assert sum(r.n_docs for r in token_counts.histogram(df).collect()) == len(texts)
+
+
 def test_token_histogram_of_nothing(empty):
     sums = token_counts.suffix_sums(token_counts.histogram(empty))
     assert sums.count() == 0
