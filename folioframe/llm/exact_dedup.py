@@ -1,9 +1,11 @@
 """Exact duplicates: counting quotient filters, then byte verification.
 
 A 64-bit fingerprint of every text goes into counting quotient filters, one per input chunk and
-fingerprint range. Filters of a range merge losslessly, as their remainders are sorted. Only
-fingerprints that the merged filter counts more than once are verified byte by byte; a text whose
-fingerprint is counted once has no equal.
+fingerprint range. Filters of a range merge losslessly, as their remainders are sorted. Fingerprints
+that the merged filters count more than once go to all tasks as a bitmap of bounded size. A text that
+the bitmap does not hold has no equal and goes out from the scan; the others are verified byte by
+byte, grouped by their whole text with partial results before the shuffle. A full bitmap lets more
+texts through to the verification, and loses none.
 
 Defined results: a null text equals the empty text; of equal texts the largest id stays (a null id
 is below all others); rows equal in id and text are told apart by nothing, so exactly one of them
@@ -15,16 +17,19 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, keyed
+from .common import join_hot, keyed, stored
 
 #: Fingerprints held by a worker before it emits its filters.
 CHUNK = 1 << 18
 #: Expected fingerprints of one range, so of one merge task.
 PER_RANGE = 1 << 16
+#: Bits of the bitmap that goes to all tasks, at most (16 MB), and of a part of it; equal rows written by one task.
+FILTER_BITS, PART_BITS, SAME_ROWS = 1 << 27, 1 << 16, 1 << 18
 
 
 class CountingQuotientFilter:
@@ -150,32 +155,89 @@ def repeated_fingerprints(fingerprints: DataFrame, n_rows: int) -> DataFrame:
     return built.groupBy("bin").applyInArrow(_merge(range_bits), "fp long, n long")
 
 
+def _positions(fingerprints: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    a = (fingerprints * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(20)
+    b = (fingerprints * np.uint64(0xC2B2AE3D27D4EB4F)) >> np.uint64(20)
+    return (a % np.uint64(bits)).astype(np.int64), (b % np.uint64(bits)).astype(np.int64)
+
+
+def repeated_bitmap(repeated: DataFrame, n: int) -> np.ndarray:
+    """A bitmap of bounded size that holds all of the n fingerprints (column fp), and by chance a few others."""
+    bits = min(FILTER_BITS, max(PART_BITS, 1 << (12 * max(1, n)).bit_length()))
+
+    def set_bits(it):
+        held = np.zeros(bits, bool)
+        for b in it:
+            for at in _positions(b.column(0).to_numpy().view(np.uint64), bits):
+                held[at] = True
+        blobs = [(i // PART_BITS, np.packbits(held[i : i + PART_BITS]).tobytes()) for i in range(0, bits, PART_BITS) if held[i : i + PART_BITS].any()]
+        if blobs:
+            yield pa.record_batch([pa.array([i for i, _ in blobs], pa.int64()), pa.array([x for _, x in blobs], pa.binary())], ["part", "blob"])
+
+    def merge(t: pa.Table) -> pa.Table:
+        total = np.zeros(PART_BITS // 8, np.uint8)
+        for blob in t.column("blob"):
+            total |= np.frombuffer(blob.as_py(), np.uint8)
+        return pa.table({"part": pa.array([t.column("part")[0].as_py()], pa.int64()), "blob": pa.array([total.tobytes()], pa.binary())})
+
+    out = np.zeros(bits // 8, np.uint8)
+    rows = repeated.select("fp").coalesce(32).mapInArrow(set_bits, "part long, blob binary").groupBy("part").applyInArrow(merge, "part long, blob binary")
+    for row in rows.toLocalIterator():
+        out[row.part * PART_BITS // 8 : (row.part + 1) * PART_BITS // 8] = np.frombuffer(row.blob, np.uint8)
+    return out
+
+
+def holds(bitmap: np.ndarray, fingerprints: np.ndarray) -> np.ndarray:
+    """Whether the bitmap holds each fingerprint (uint64)."""
+    out = np.ones(len(fingerprints), np.uint8)
+    for at in _positions(fingerprints, 8 * len(bitmap)):
+        out &= bitmap[at >> 3] >> (7 - (at & 7)).astype(np.uint8)
+    return (out & 1).astype(bool)
+
+
 def fingerprint(text) -> F.Column:
     return F.xxhash64(text)
 
 
+def _perhaps_repeated(fingerprints: DataFrame, n_rows: int):
+    """A function of a fingerprint column (one long column, as in `fingerprints`): false only if it is met once."""
+    repeated = stored(repeated_fingerprints(fingerprints, n_rows))
+    shared = fingerprints.sparkSession.sparkContext.broadcast(repeated_bitmap(repeated, repeated.count()))
+
+    @F.pandas_udf("boolean")
+    def perhaps(fp: pd.Series) -> pd.Series:  # only the fingerprints go to Python
+        return pd.Series(holds(shared.value, fp.to_numpy(np.int64).view(np.uint64)))
+
+    return perhaps
+
+
 def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256.
 
-    Singles go out straight from the scan. Rows with a repeated fingerprint are grouped by their
-    whole text (partial sums before the shuffle, so a group may hold any share of the rows).
+    Whole texts are shuffled only if their fingerprint may be repeated, and then once for each task
+    and text. Rows find their group by fingerprint and digest; groups of any size stay spread.
     """
     rows = keyed(docs, id_col, text_col).withColumn("fp", fingerprint(F.col("text")))
     n_rows = docs.count()
-    repeated = durable(repeated_fingerprints(rows.select("fp"), n_rows)).select("fp", F.lit(True).alias("rep"))
-    flagged = rows.join(repeated, "fp", "left")
-    singles = flagged.filter(F.col("rep").isNull()).select(
-        "doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), F.sha2(F.encode("text", "UTF-8"), 256).alias("text_sha256")
-    )
-    # rows equal in id and text become one row with a multiplicity
-    same = flagged.filter(F.col("rep")).groupBy("fp", "text", "doc_id").agg(F.count(F.lit(1)).alias("m"))
-    same = durable(same)
-    groups = same.groupBy(F.col("fp").alias("gfp"), F.col("text").alias("gtext")).agg(F.sum("m").alias("group_size"), F.max("doc_id").alias("keep_id"))
-    verified = same.join(groups, (F.col("fp") == F.col("gfp")) & (F.col("text") == F.col("gtext")))
-    copies = verified.select(
-        "doc_id", "keep_id", "group_size", F.sha2(F.encode("text", "UTF-8"), 256).alias("text_sha256"), F.explode(F.sequence(F.lit(1).cast("long"), F.col("m"))).alias("i")
-    ).select("doc_id", "keep_id", "group_size", (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("i") == 1)).alias("kept"), "text_sha256")
-    return singles.unionByName(copies)
+    perhaps = _perhaps_repeated(rows.select("fp"), n_rows)
+    digest = F.sha2(F.encode("text", "UTF-8"), 256).alias("text_sha256")
+    marked = rows.withColumn("rep", perhaps("fp"))
+    singles = marked.filter(~F.col("rep")).select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), digest)
+    again = marked.filter(F.col("rep"))
+    # the text, not its digest, makes a group
+    groups = again.groupBy("fp", "text").agg(F.count(F.lit(1)).alias("group_size"), F.max("doc_id").alias("keep_id"))
+    groups = stored(groups.select("fp", digest, "group_size", "keep_id"))
+    copies = join_hot(again.select("doc_id", "fp", digest), groups, ["fp", "text_sha256"], F.col("group_size"), n_rows)
+    is_last = F.col("doc_id").eqNullSafe(F.col("keep_id"))
+    out = ["doc_id", "keep_id", "group_size"]
+    dropped = copies.filter(~is_last).select(*out, F.lit(False).alias("kept"), "text_sha256")
+    # rows equal in id and text: one of them stays, the others are written again by their number
+    last = copies.filter(is_last).groupBy("fp", "text_sha256", *out).agg(F.count(F.lit(1)).alias("m"))
+    last = last.select(*out, "text_sha256", "m", F.explode(F.sequence(F.lit(0).cast("long"), F.col("m") - 1, F.lit(SAME_ROWS).cast("long"))).alias("i0"))
+    many = last.filter(f"m > {SAME_ROWS}").repartition("text_sha256", "i0")
+    spread = last.filter(f"m <= {SAME_ROWS}").unionByName(many)
+    kept = spread.select(*out, "text_sha256", F.explode(F.sequence("i0", F.least(F.col("m"), F.col("i0") + SAME_ROWS) - 1)).alias("i"))
+    return singles.unionByName(dropped).unionByName(kept.select(*out, (F.col("i") == 0).alias("kept"), "text_sha256"))
 
 
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -187,8 +249,8 @@ def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
     packed = docs.select(F.struct(docs[id_col].alias("k"), F.struct(*[docs[c] for c in names]).alias("row")).alias("cand"), text.alias("__text"))
     packed = packed.withColumn("__fp", fingerprint(F.col("__text")))
-    repeated = durable(repeated_fingerprints(packed.select("__fp"), docs.count())).select(F.col("fp").alias("__fp"), F.lit(True).alias("__rep"))
-    flagged = packed.join(repeated, "__fp", "left")
-    singles = flagged.filter(F.col("__rep").isNull()).select("cand")
-    kept = flagged.filter(F.col("__rep")).groupBy("__fp", "__text").agg(F.max("cand").alias("cand")).select("cand")
+    perhaps = _perhaps_repeated(packed.select("__fp"), docs.count())
+    marked = packed.withColumn("__rep", perhaps("__fp"))
+    singles = marked.filter(~F.col("__rep")).select("cand")
+    kept = marked.filter(F.col("__rep")).groupBy("__fp", "__text").agg(F.max("cand").alias("cand")).select("cand")
     return singles.unionByName(kept).select("cand.row.*")

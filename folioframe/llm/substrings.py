@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from .common import batches_by_bytes, bytes_of, join_hot, keyed, stored
-from .exact_dedup import repeated_fingerprints
+from .exact_dedup import holds, repeated_bitmap, repeated_fingerprints
 from .suffixes import permuted_common_prefixes, suffix_array
 
 #: Bytes of a window and of a gram; grams in a window; most bytes of a segment.
@@ -39,8 +39,8 @@ GRAMS = WINDOW - GRAM + 1
 REACH = WINDOW + GRAMS - 1
 #: Distinct segments of a hash in one block; bytes of a shard, about; text hashed at a time; bytes of a page.
 BLOCK, SHARD_BYTES, PIECE, PAGE = 1 << 13, 1 << 20, 1 << 17, 1 << 16
-#: Bits of the filter that goes to all tasks, at most (16 MB); texts that a task remembers to spot repeats.
-FILTER_BITS, SEEN = 1 << 27, 1 << 18
+#: Texts that a task remembers to spot repeats.
+SEEN = 1 << 18
 #: A window with its anchor at a place from the first to the last of a pair shares the bytes common to all such windows.
 PLACES = ((0, 16), (17, 33), (34, 50), (51, GRAMS - 1))
 
@@ -110,39 +110,6 @@ def _digest(content: bytes) -> bytes:
     return hashlib.blake2b(content, digest_size=16).digest()
 
 
-def _filter_positions(m: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    a = (m * _U(0x9E3779B97F4A7C15)) >> _U(20)
-    b = (m * _U(0xC2B2AE3D27D4EB4F)) >> _U(20)
-    return (a % _U(bits)).astype(np.int64), (b % _U(bits)).astype(np.int64)
-
-
-def _shared_filter(repeated: DataFrame, n: int) -> np.ndarray:
-    """A bitmap of fixed most size that holds all repeated hashes, and by chance a few others."""
-    bits = min(FILTER_BITS, max(1 << 16, 1 << (12 * max(1, n)).bit_length()))
-    part = 1 << 16
-
-    def set_bits(it):
-        held = np.zeros(bits, bool)
-        for b in it:
-            for at in _filter_positions(b.column(0).to_numpy().view(np.uint64), bits):
-                held[at] = True
-        blobs = [(i // part, np.packbits(held[i : i + part]).tobytes()) for i in range(0, bits, part) if held[i : i + part].any()]
-        if blobs:
-            yield pa.record_batch([pa.array([i for i, _ in blobs], pa.int64()), pa.array([x for _, x in blobs], pa.binary())], ["part", "blob"])
-
-    def merge(t: pa.Table) -> pa.Table:
-        total = np.zeros(part // 8, np.uint8)
-        for blob in t.column("blob"):
-            total |= np.frombuffer(blob.as_py(), np.uint8)
-        return pa.table({"part": pa.array([t.column("part")[0].as_py()], pa.int64()), "blob": pa.array([total.tobytes()], pa.binary())})
-
-    out = np.zeros(bits // 8, np.uint8)
-    rows = repeated.select("fp").coalesce(32).mapInArrow(set_bits, "part long, blob binary").groupBy("part").applyInArrow(merge, "part long, blob binary")
-    for row in rows.toLocalIterator():
-        out[row.part * part // 8 : (row.part + 1) * part // 8] = np.frombuffer(row.blob, np.uint8)
-    return out
-
-
 def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     own = keyed(docs, id_col, text_col)
     return own.select("doc_id", F.coalesce("doc_id", F.lit(-(1 << 63))).alias("did"), F.xxhash64("text").alias("th"), "text")
@@ -160,13 +127,9 @@ def _repeated_segments(rows: DataFrame, shared) -> DataFrame:
     """m, h1, h2 (digest of the bytes), did, th, start, windows of the segments whose hash the filter holds."""
 
     def run(it):
-        bitmap = shared.value
-        bits = 8 * len(bitmap)
-        has = lambda at: (bitmap[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1
         for b, data, offsets, row, base in _pieces(it):
             m, text, start, windows = segments(data, offsets)
-            x, y = _filter_positions(m, bits)
-            keep = (has(x) & has(y)).astype(bool)
+            keep = holds(shared.value, m)
             m, text, start, windows = m[keep], text[keep], start[keep], windows[keep]
             at, raw = start + offsets[text], data.tobytes()
             digests = b"".join([_digest(raw[i:j]) for i, j in zip(at.tolist(), (at + windows + WINDOW - 1).tolist(), strict=True)])
@@ -295,7 +258,7 @@ def removed_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     rows = _rows(docs, id_col, text_col)
     bytes_total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     repeated = stored(repeated_fingerprints(_segment_hashes(rows), int(bytes_total // 35) + 1))
-    shared = docs.sparkSession.sparkContext.broadcast(_shared_filter(repeated, repeated.count()))
+    shared = docs.sparkSession.sparkContext.broadcast(repeated_bitmap(repeated, repeated.count()))
     found = stored(_repeated_segments(rows, shared))
     n_found = found.count()
     same = ["m", "h1", "h2"]
