@@ -17,19 +17,20 @@ are read.
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .common import batches_by_bytes, durable, hex64, keyed
+from .common import batches_by_bytes, durable, hex64, join_hot, keyed
 from .components import components
+from .exact_dedup import holds, repeated_bitmap
 
 #: Words of a shingle, seed of its hash, bits that linked fingerprints may differ in.
 WORDS, SEED, DISTANCE = 3, 42, 3
-#: Fingerprints the tree is fitted on, shard size aimed at, points that are compared without a tree.
-SAMPLE, SHARD, LEAF = 1 << 15, 1 << 16, 1 << 10
+#: Fingerprints the tree is fitted on: one in SHARE, within these bounds; shard size aimed at, points that are compared without a tree.
+SAMPLE, SAMPLE_MOST, SHARE, SHARD, LEAF = 1 << 15, 1 << 20, 1 << 10, 1 << 16, 1 << 10
 
 
 def fingerprint(text: str, words: int = WORDS, seed: int = SEED) -> int:
@@ -155,14 +156,24 @@ def spanning_links(points: np.ndarray, distance: int = DISTANCE, leaf: int = LEA
     forest = _Forest(len(points))
 
     def compare(idx: np.ndarray) -> None:
-        # blocks of rows against the rest, so that memory stays bounded in a dense ball
-        p = points[idx]
+        p, rest = points[idx], np.arange(len(idx))
+        if len(idx) > leaf:
+            # a dense ball: neighbours at one bit join first; what is not in the largest part then meets all points
+            for bit in range(64):
+                other = p ^ np.uint64(1 << bit)
+                at = np.minimum(np.searchsorted(p, other), len(p) - 1)
+                hit = np.flatnonzero(p[at] == other)
+                forest.link(idx[hit], idx[at[hit]])
+            roots = forest.up[idx]
+            values, counts = np.unique(roots, return_counts=True)
+            rest = np.flatnonzero(roots != values[counts.argmax()])
+        # blocks of rows against the others, so that memory stays bounded
         step = max(1, (1 << 22) // max(1, len(p)))
-        for i in range(0, len(p), step):
-            a, b = np.nonzero(np.bitwise_count(p[i : i + step, None] ^ p[None, i:]) <= distance)
-            far = b > a
-            if far.any():
-                forest.link(idx[a[far] + i], idx[b[far] + i])
+        for i in range(0, len(rest), step):
+            mine = rest[i : i + step]
+            first = 0 if len(idx) > leaf else i  # without a largest part, later points only
+            a, b = np.nonzero(np.bitwise_count(p[mine, None] ^ p[None, first:]) <= distance)
+            forest.link(idx[mine[a]], idx[b + first])
 
     def walk(idx: np.ndarray) -> None:
         got = _cut(points[idx], distance, 6) if len(idx) > leaf else None
@@ -181,7 +192,8 @@ def spanning_links(points: np.ndarray, distance: int = DISTANCE, leaf: int = LEA
 
 def linked_fingerprints(distinct: DataFrame, n: int, distance: int = DISTANCE) -> DataFrame:
     """fp (distinct) -> (u, v): links that join the same fingerprints as all pairs within the distance do."""
-    sample = distinct.select("fp").orderBy(F.xxhash64("fp")).limit(SAMPLE).toPandas()["fp"].to_numpy(np.int64).view(np.uint64)
+    size = min(SAMPLE_MOST, max(SAMPLE, n // SHARE))
+    sample = distinct.select("fp").orderBy(F.xxhash64("fp")).limit(size).toPandas()["fp"].to_numpy(np.int64).view(np.uint64)
     nodes = build_tree(sample, max(16, int(SHARD * len(sample) / max(1, n))), distance)
 
     def route(it):
@@ -201,43 +213,67 @@ def linked_fingerprints(distinct: DataFrame, n: int, distance: int = DISTANCE) -
 
 
 def _classes(prints: DataFrame, distance: int) -> DataFrame:
-    """fp, component_id, n_rows (of the component) for every fingerprint of `prints` (doc_id, fp)."""
+    """fp, root, component_id, n (rows of the fingerprint), n_rows (of the component) for every fingerprint of `prints` (doc_id, fp)."""
     distinct = durable(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")))
-    roots = components(linked_fingerprints(distinct, distinct.count(), distance))
-    rooted = distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", "n", F.coalesce("root", "fp").alias("root"))
-    ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.sum("n").alias("n_rows"))
-    return rooted.select("fp", "root").join(ids, "root").select(F.col("fp").alias("c_fp"), "root", "component_id", "n_rows")
+    n_distinct = distinct.count()
+    roots = components(linked_fingerprints(distinct, n_distinct, distance))
+    rooted = durable(distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", "n", F.coalesce("root", "fp").alias("root")))
+    ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.sum("n").alias("n_rows"), F.count(F.lit(1)).alias("n_fps"))
+    joined = join_hot(rooted.select("fp", "root", "n"), ids, ["root"], F.col("n_fps"), n_distinct)
+    return joined.select("fp", "root", "component_id", "n", "n_rows")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, distance: int = DISTANCE) -> DataFrame:
     """doc_id, fp, component_id: the least id that is reachable over links, for every row."""
     prints = durable(fingerprints(docs, id_col, text_col, words))
-    classes = _classes(prints, distance)
-    return prints.join(classes, F.col("fp") == F.col("c_fp")).select("doc_id", "fp", "component_id")
+    classes = _classes(prints, distance).select("fp", "component_id", "n")
+    return join_hot(prints, classes, ["fp"], F.col("n"), prints.count()).select("doc_id", "fp", "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, distance: int = DISTANCE) -> DataFrame:
     """The rows of `docs`, all columns, with one row of each component: that of the least id.
 
-    Among rows with that id the least row, compared column by column, stays. Rows alone in their
-    component pass straight through; the others meet in partial minima.
+    Among rows with that id the least row, compared column by column, stays. What is dropped is
+    decided on ids, text hashes and fingerprints alone. Rows that a bitmap of the keys in question
+    does not hold pass straight through; the others meet these keys, and rows that share the least
+    id of a component meet in partial minima.
     """
-    schema = T.StructType([T.StructField("row", docs.schema), T.StructField("fp", T.LongType())])
-    packed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text"))
+    names = docs.columns
+    text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
+    # a null id is above the others here: a row with an id stays if there is one
+    rank = F.coalesce(docs[id_col].cast("long"), F.lit((1 << 63) - 1))
+    packed = docs.select(F.struct(*[docs[c] for c in names]).alias("row"), rank.alias("k"), F.xxhash64(text).alias("th"))
 
     def run(it):
         for b in batches_by_bytes(it, "text", 4 << 20):
             fps = np.array([fingerprint(t, words) for t in b.column("text").to_pylist()], np.uint64)
-            yield pa.record_batch([b.column("row"), pa.array(fps.view(np.int64))], ["row", "fp"])
-
-    prints = durable(fingerprints(docs, id_col, text_col, words))
-    classes = _classes(prints, distance).filter("n_rows > 1").select("c_fp", "root")
-    marked = packed.mapInArrow(run, schema).join(classes, F.col("fp") == F.col("c_fp"), "left")
-    alone = marked.filter(F.col("root").isNull()).select("row")
-    # a null id is above the others here: a row with an id stays if there is one
-    first = F.struct(F.col(f"row.{id_col}").isNull().alias("n"), F.col(f"row.{id_col}").alias("i"), F.col("row").alias("row"))
-    kept = marked.filter(F.col("root").isNotNull()).groupBy("root").agg(F.min(first).alias("f")).select(F.col("f.row").alias("row"))
-    return alone.unionByName(kept).select("row.*")
+            yield pa.record_batch([b.column("doc_id"), b.column("th"), pa.array(fps.view(np.int64))], ["doc_id", "th", "fp"])
+
+    prints = durable(docs.select(rank.alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("text")).mapInArrow(run, "doc_id long, th long, fp long"))
+    n_rows = prints.count()
+    classes = _classes(prints.select("doc_id", "fp"), distance).filter("n_rows > 1")
+    members = join_hot(prints, classes, ["fp"], F.col("n"), n_rows).select(F.col("doc_id").alias("k"), "th", "root", "component_id")
+    # rows of the least id stay, and the least of them if there are several
+    keys = members.groupBy("k", "th").agg(F.min("root").alias("root"), F.min("component_id").alias("component_id"), F.count(F.lit(1)).alias("n"))
+    keys = durable(keys.withColumn("stays", F.col("k") == F.col("component_id")))
+    several = keys.filter("stays").groupBy("root").agg(F.sum("n").alias("s")).filter("s > 1").select("root", F.lit(True).alias("several"))
+    asked = durable(keys.join(several, "root", "left").filter("NOT stays OR several").select("k", "th", "root", "stays", "n"))
+    shared = docs.sparkSession.sparkContext.broadcast(repeated_bitmap(asked.select(F.xxhash64("k", "th").alias("fp")), asked.count()))
+
+    @F.pandas_udf("boolean")
+    def perhaps(key: pd.Series) -> pd.Series:
+        return pd.Series(holds(shared.value, key.to_numpy(np.int64).view(np.uint64)))
+
+    marked = packed.withColumn("ask", perhaps(F.xxhash64("k", "th")))
+    clear = marked.filter(~F.col("ask")).select("row")
+    # a row may ask by chance, so the keys in question are joined to all that ask
+    hot = F.col("n") * 4096 > n_rows  # fewer than 4096 keys
+    near = marked.filter("ask").join(F.broadcast(asked.filter(hot).select("k", "th", F.col("root").alias("r1"), F.col("stays").alias("s1"))), ["k", "th"], "left")
+    far = near.filter("r1 IS NULL").drop("r1", "s1").join(asked.filter(~hot).select("k", "th", F.col("root").alias("r1"), F.col("stays").alias("s1")), ["k", "th"], "left")
+    met = near.filter("r1 IS NOT NULL").unionByName(far)
+    by_chance = met.filter("r1 IS NULL").select("row")
+    kept = met.filter("s1").groupBy("r1").agg(F.min("row").alias("row")).select("row")
+    return clear.unionByName(by_chance).unionByName(kept).select("row.*")
 
 
 def near_duplicate_report(docs: DataFrame) -> DataFrame:
