@@ -1,12 +1,12 @@
 """Mixing sources to target weights, with DataFrame functions only.
 
-Words of a source form one stream (documents in pseudorandom order of chunks); the stream is packed
-into blocks of BLOCK words. Every output slot takes one block. Slots are dealt to sources by a
-pseudorandom permutation of all slots, so the counts of sources in an output shard are multinomial
-draws conditional on the source totals, which are exact. A source's k-th slot takes block
-pi(k mod n) of its n blocks, pi being a permutation of the source and epoch; slots and blocks join
-on (source, block). The permutations are swap-or-not shuffles (Hoang, Morris, Rogaway 2012): any
-domain size, a few hashes a slot, no sort and no state.
+Words of a source form one stream (documents in pseudorandom order); the stream is packed into blocks
+of BLOCK words. Every output slot takes one block. Each slot of an output shard draws a source by the
+targets, so the counts of sources in a shard are multinomial; the totals are then corrected to the
+targets by handing evenly spaced slots of the sources drawn too often to those drawn too seldom. A
+source's k-th slot takes block pi(k mod n) of its n blocks, pi being a permutation of the source and
+epoch; slots and blocks join on (source, block). The permutations are swap-or-not shuffles (Hoang,
+Morris, Rogaway 2012): any domain size, a few hashes a slot, no sort and no state.
 
 Defined results: a null text has size 0; a document without words takes nothing; a null source is
 a source of its own, after all others; rows equal in all columns are interchangeable; an empty
@@ -31,8 +31,8 @@ WEIGHTS = (5, 2, 1)
 MAX_EPOCHS = 3
 #: Rounds of the permutations.
 ROUNDS = 12
-#: Documents of a chunk, about; slots of a chunk.
-CHUNK_DOCS, CHUNK_SLOTS = 4096, 1 << 16
+#: Documents of a chunk, about; slots of a chunk; steps of a running sum that one task takes; sources that may be broadcast.
+CHUNK_DOCS, CHUNK_SLOTS, RUN, FEW_SOURCES = 512, 1 << 16, 4096, 100_000
 
 
 def _permuted(df: DataFrame, out: str, x: Column, n: Column, key: Column, seed: int, inverse: bool = False) -> DataFrame:
@@ -79,6 +79,18 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: in
     return s.select("source", "source_size", "pos", target.alias("target"))
 
 
+def _before(df: DataFrame, key: str, step: str, value: str, out: str) -> DataFrame:
+    """Add `out`: the sum of `value` over the earlier steps (0, 1, ...) of the key; in runs of steps, so no task holds all of a key."""
+    runs = df.withColumn("__run", F.expr(f"{step} div {RUN}"))
+    totals = runs.groupBy(F.col(key).alias("__k"), F.col("__run").alias("__r")).agg(F.sum(value).alias("__t"))
+    over_runs = W.partitionBy("__k").orderBy("__r").rowsBetween(W.unboundedPreceding, -1)
+    totals = totals.select("__k", "__r", F.coalesce(F.sum("__t").over(over_runs), F.lit(0)).alias("__b"))
+    inside = W.partitionBy(key, "__run").orderBy(step).rowsBetween(W.unboundedPreceding, -1)
+    runs = runs.withColumn("__i", F.coalesce(F.sum(value).over(inside), F.lit(0)))
+    joined = runs.join(totals, F.col(key).eqNullSafe(F.col("__k")) & (F.col("__run") == F.col("__r")))
+    return joined.withColumn(out, (F.col("__b") + F.col("__i")).cast("long")).drop("__run", "__k", "__r", "__b", "__i")
+
+
 def _documents_in_streams(docs: DataFrame, id_col: str, text_col: str, source_col: str, block: int) -> tuple[DataFrame, DataFrame]:
     """(documents with their place in the source's stream, sources with quota and block counts)."""
     text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
@@ -107,10 +119,9 @@ def _documents_in_streams(docs: DataFrame, id_col: str, text_col: str, source_co
     sources = sources.withColumn("first_slot", F.coalesce(F.sum("slots").over(before), F.lit(0)).cast("long"))
     sources = sources.withColumn("all_slots", F.sum("slots").over(W.partitionBy(F.lit(1))))
     sources = durable(sources.select("source", "source_size", "pos", "target", "quota", "n", "missing", "slots", "surplus", "first_slot", "all_slots"))
-    by_chunk = W.partitionBy("source").orderBy("chunk").rowsBetween(W.unboundedPreceding, -1)
-    offsets = d.groupBy("source", "chunk").agg(F.sum("size").alias("t")).withColumn("offset", F.coalesce(F.sum("t").over(by_chunk), F.lit(0)))
+    offsets = _before(d.groupBy("source", "chunk").agg(F.sum("size").alias("t")), "source", "chunk", "t", "offset")
     offsets = offsets.select(F.col("source").alias("o_source"), F.col("chunk").alias("o_chunk"), "offset")
-    inside = W.partitionBy("source", "chunk").orderBy("doc_id", "th", "size").rowsBetween(W.unboundedPreceding, -1)
+    inside = W.partitionBy("source", "chunk").orderBy(F.xxhash64("th", "doc_id"), "doc_id", "th", "size").rowsBetween(W.unboundedPreceding, -1)
     d = d.withColumn("inside", F.coalesce(F.sum("size").over(inside), F.lit(0)))
     d = d.join(offsets, F.col("source").eqNullSafe(F.col("o_source")) & (F.col("chunk") == F.col("o_chunk")))
     d = d.withColumn("start", F.col("offset") + F.col("inside")).drop("chunk", "o_chunk", "o_source", "offset", "inside")
@@ -126,18 +137,61 @@ def _partitions(sources: DataFrame, count: str, per_task: int) -> int:
     return max(int(sources.sparkSession.conf.get("spark.sql.shuffle.partitions")), total // per_task + 1)
 
 
+def _owner(df: DataFrame, at: str, ranges: DataFrame, total: int, n_ranges: int) -> DataFrame:
+    """Add pos and start of the range (pos, start, length; side by side from 0 to total) that the long `at` falls into.
+
+    Ranges are dealt to as many buckets as there are ranges, so a row meets few of them.
+    """
+    width = max(1, total // max(1, n_ranges))
+    r = ranges.filter("length > 0").select(F.col("pos"), F.col("start"), F.col("length"))
+    r = r.withColumn("__bucket", F.explode(F.sequence(F.expr(f"start div {width}"), F.expr(f"(start + length - 1) div {width}"))))
+    r = F.broadcast(r) if n_ranges <= FEW_SOURCES else r
+    met = df.withColumn("__b", F.expr(f"{at} div {width}")).join(r, F.col("__b") == F.col("__bucket"))
+    return met.filter((F.col(at) >= F.col("start")) & (F.col(at) < F.col("start") + F.col("length"))).drop("__b", "__bucket", "length")
+
+
+def shard_counts(sources: DataFrame, shard: int = SHARD) -> DataFrame:
+    """The draw: out_shard, pos (of the source), drawn (its slots in the shard)."""
+    total, n = sources.agg(F.coalesce(F.sum("slots"), F.lit(0)), F.count(F.lit(1))).first()
+    every = sources.sparkSession.range(0, total, 1, _partitions(sources, "slots", 4 * CHUNK_SLOTS))
+    drawn = every.select(F.expr(f"id div {shard}").alias("out_shard"), F.pmod(F.xxhash64(F.lit(2), "id"), F.lit(total)).alias("u"))
+    drawn = _owner(drawn, "u", sources.select("pos", F.col("first_slot").alias("start"), F.col("slots").alias("length")), total, n)
+    return drawn.groupBy("out_shard", "pos").agg(F.count(F.lit(1)).alias("drawn"))
+
+
 def slots(sources: DataFrame, block: int = BLOCK, shard: int = SHARD) -> DataFrame:
-    """The mixture's plan: out_shard, slot, pos (of the source), epoch, block, take (its first words)."""
-    last = (F.col("slots") - 1).cast("long")
-    chunks = sources.filter("slots > 0").withColumn("c", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(last / CHUNK_SLOTS))))
-    chunks = chunks.repartition(_partitions(sources, "slots", 4 * CHUNK_SLOTS), "pos", "c")
-    k = chunks.withColumn("k", F.explode(F.sequence(F.col("c") * CHUNK_SLOTS, F.least(last, (F.col("c") + 1) * CHUNK_SLOTS - 1))))
+    """The mixture's plan: out_shard, slot, pos (of the source), epoch, block, take (its first words), is_last."""
+    counts = durable(shard_counts(sources, shard))
+    n_sources = sources.count()
+    # of the slots drawn too often for a source, evenly spaced ones go to the sources that lack some
+    totals = sources.join(counts.groupBy(F.col("pos").alias("t_pos")).agg(F.sum("drawn").alias("d")), F.col("pos") == F.col("t_pos"), "left").drop("t_pos").withColumn("d", F.coalesce("d", F.lit(0)))
+    totals = totals.withColumns({"extra": F.greatest(F.col("d") - F.col("slots"), F.lit(0)), "lack": F.greatest(F.col("slots") - F.col("d"), F.lit(0))})
+    before = W.orderBy("pos").rowsBetween(W.unboundedPreceding, -1)
+    totals = totals.withColumns({c: F.coalesce(F.sum(v).over(before), F.lit(0)) for c, v in (("extra_before", "extra"), ("lack_before", "lack"))})
+    totals = durable(totals.select("pos", "d", "extra", "lack", "extra_before", "lack_before", "n", "missing", "slots", "surplus", "all_slots"))
+    few = (lambda df: F.broadcast(df)) if n_sources <= FEW_SOURCES else (lambda df: df)
+    c = _before(counts, "pos", "out_shard", "drawn", "offset")
+    in_shard = W.partitionBy("out_shard").orderBy("pos").rowsBetween(W.unboundedPreceding, -1)
+    c = c.withColumn("place", F.coalesce(F.sum("drawn").over(in_shard), F.lit(0)))
+    c = c.repartition(_partitions(sources, "slots", 4 * CHUNK_SLOTS), "out_shard")
+    c = c.join(few(totals.select(F.col("pos").alias("c_pos"), "d", "extra", "extra_before", "all_slots")), F.col("pos") == F.col("c_pos")).drop("c_pos")
+    k = c.withColumn("r", F.explode(F.sequence(F.lit(0).cast("long"), F.col("drawn") - 1)))
+    k = k.withColumn("i", F.col("offset") + F.col("r")).withColumn("gone", F.expr("i * extra div d")).withColumn("goes", F.expr("(i + 1) * extra div d > gone"))
+    shard_size = F.least(F.lit(shard), F.col("all_slots") - F.col("out_shard") * shard)
+    k = k.withColumn("slot", F.pmod((F.col("place") + F.col("r")) * 1000003 + F.pmod(F.xxhash64("out_shard"), F.lit(1 << 20)), shard_size))
+    stays = k.filter(~F.col("goes")).select("out_shard", "slot", "pos", (F.col("i") - F.col("gone")).alias("k"))
+    moved = k.filter("goes").select("out_shard", "slot", (F.col("extra_before") + F.col("gone")).alias("u"))
+    n_moved = totals.agg(F.coalesce(F.sum("lack"), F.lit(0))).first()[0]
+    moved = _owner(moved, "u", totals.select("pos", F.col("lack_before").alias("start"), F.col("lack").alias("length")), n_moved, n_sources)
+    moved = moved.join(few(totals.select(F.col("pos").alias("m_pos"), "d")), F.col("pos") == F.col("m_pos"))
+    moved = moved.select("out_shard", "slot", "pos", (F.col("d") + F.col("u") - F.col("start")).alias("k"))
+    k = stays.unionByName(moved).join(few(totals.select(F.col("pos").alias("s_pos"), "n", "missing", "slots", "surplus")), F.col("pos") == F.col("s_pos")).drop("s_pos")
     k = k.withColumn("epoch", F.expr("k div n"))
     k = _permuted(k, "block", F.col("k") % F.col("n"), F.col("n"), F.struct("pos", F.col("epoch").cast("int")), 1)
-    k = _permuted(k, "t", F.col("first_slot") + F.col("k"), F.col("all_slots"), F.lit("slots"), 2, inverse=True)
+    last = F.col("k") == F.col("slots") - 1
     length = F.lit(block) - F.when(F.col("block") == F.col("n") - 1, F.col("missing")).otherwise(0)
-    take = length - F.when(F.col("k") == last, F.col("surplus")).otherwise(0)
-    return k.select(F.expr(f"t div {shard}").alias("out_shard"), (F.col("t") % shard).alias("slot"), "pos", "epoch", "block", take.cast("long").alias("take"), (F.col("k") == last).alias("is_last"))
+    take = length - F.when(last, F.col("surplus")).otherwise(0)
+    return k.select("out_shard", "slot", "pos", "epoch", "block", take.cast("long").alias("take"), last.alias("is_last"))
 
 
 def _uses(sources: DataFrame, block: int, shard: int) -> DataFrame:
@@ -174,16 +228,15 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 def mix_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", block: int = BLOCK) -> DataFrame:
     """The rows of `docs`, all columns, as often as the mix takes them: 0 to MAX_EPOCHS times.
 
-    A document follows the block that holds its first word, so a source's share of documents meets
-    its target as its share of blocks does. Rows without words are not taken.
+    Whole documents are taken: each as often as its source's target holds the source, and once more
+    while the source's stream has not reached the rest of the target. A source misses its target
+    by half of one document at most. Rows without words are not taken.
     """
-    d, sources = _documents_in_streams(docs, id_col, text_col, source_col, block)
-    uses = _uses(sources, block, SHARD)
-    lo = F.col("start") % block
-    first = d.filter("size > 0").join(uses, (F.col("pos") == F.col("u_pos")) & (F.expr(f"start div {block}") == F.col("u_block")))
-    copies = first.select(
-        F.xxhash64("doc_id", "th", "source").alias("__key"), (F.col("whole") + F.when(F.col("cut") > lo, 1).otherwise(0)).cast("int").alias("__n")
-    ).filter("__n > 0")
+    d, _ = _documents_in_streams(docs, id_col, text_col, source_col, block)
+    whole = F.floor(F.col("target") / F.col("source_size"))
+    rest = F.col("target") - whole * F.col("source_size")
+    n = (whole + F.when(F.col("start") + F.col("size") / 2 <= rest, 1).otherwise(0)).cast("int")
+    copies = d.filter("size > 0").select(F.xxhash64("doc_id", "th", "source").alias("__key"), n.alias("__n")).filter("__n > 0")
     # rows equal in id, text and source take these counts in turn
     copies = copies.groupBy("__key").agg(F.sort_array(F.collect_list("__n"), asc=False).alias("__ns"))
     names = docs.columns

@@ -205,6 +205,41 @@ def test_block_plan(spark):
         assert all({b for e, b in mine if e == k} == set(range(blocks)) for k in range(slots // blocks))
 
 
+def test_words_taken_by_document(spark, odd):
+    """The plan carried out word by word takes from every document what mix says."""
+    for df in (odd, documents(spark, DATA)):
+        d, sources = mixing._documents_in_streams(df, "doc_id", "text", "source", 8)
+        streams, rows = {}, d.collect()
+        for i, r in enumerate(rows):
+            stream = streams.setdefault(r.pos, [None] * r.source_size)
+            stream[r.start : r.start + r["size"]] = [i] * r["size"]
+        assert all(None not in s for s in streams.values())
+        taken = Counter()
+        for r in mixing.slots(sources, 8, 16).collect():
+            words = streams[r.pos][8 * r.block : 8 * r.block + 8][: r["take"]]
+            assert len(words) == r["take"]
+            taken.update(words)
+        want = Counter((r.doc_id, r["size"], r.source_size, taken[i]) for i, r in enumerate(rows))
+        assert Counter((r.doc_id, r["size"], r.source_size, r.taken) for r in mixing.mix(df, block=8, shard=16).collect()) == want
+
+
+def test_counts_of_a_shard_are_drawn(spark):
+    """Counts of each shard add up to it and scatter as multinomial draws do; the plan's totals are exact all the same."""
+    docs = spark.createDataFrame([(i, "w " * 400, "abc"[i % 3]) for i in range(600)], "doc_id long, text string, source string")
+    _, sources = mixing._documents_in_streams(docs, "doc_id", "text", "source", 8)
+    want = {r.pos: (r.slots, r.all_slots) for r in sources.collect()}
+    total = next(iter(want.values()))[1]
+    drawn = {(r.out_shard, r.pos): r.drawn for r in mixing.shard_counts(sources, 100).collect()}
+    shards = total // 100
+    for j in range(shards):
+        assert sum(drawn.get((j, p), 0) for p in want) == 100
+    for p, (n, _) in want.items():
+        x = np.array([drawn.get((j, p), 0) for j in range(shards)])
+        share = n / total
+        assert abs(x.mean() - 100 * share) < 5 * (100 * share * (1 - share) / shards) ** 0.5 and 0.6 < x.var() / (100 * share * (1 - share)) < 1.5
+    assert Counter(r.pos for r in mixing.slots(sources, 8, 100).collect()) == {p: n for p, (n, _) in want.items()}
+
+
 @pytest.mark.parametrize("n", [1, 2, 7, 100])
 def test_permutations(spark, n):
     df = spark.range(n)
@@ -219,3 +254,16 @@ def test_mixed_documents_keep_their_rows(odd, empty):
     have = Counter(map(tuple, odd.collect()))
     assert all(have[k] * 3 >= v for k, v in Counter(map(tuple, got.collect())).items())
     assert mixing.mix(empty).count() == 0 and mixing.mix_documents(empty).count() == 0
+
+
+def test_mixed_documents_meet_their_targets(spark):
+    """Whole documents miss a source's target by half of its longest document at most, be it as long as the rest together."""
+    rows = [(i, "w " * (1 + i * 7 % 90), "abcd"[i % 4]) for i in range(400)] + [(1000, "w " * 4000, "d"), (1001, "w " * 3000, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    sizes, longest, got = Counter(), Counter(), Counter()
+    for _, t, s in rows:
+        sizes[s] += len(t.split())
+        longest[s] = max(longest[s], len(t.split()))
+    for r in mixing.mix_documents(docs).collect():
+        got[r.source] += len(r.text.split())
+    assert all(abs(got[s] - t) <= longest[s] / 2 + 1 for s, t in water_fill(sizes).items())
