@@ -22,7 +22,7 @@ from pyspark.sql.window import Window as W
 from .common import batches_by_bytes, stored, tokenizer_path
 
 #: Lengths in a block of the two-level running sums; bytes encoded at a time (one text at least).
-BLOCK, PIECE = 1024, 4 << 20
+BLOCK, PIECE = 128, 4 << 20
 
 
 @cache
