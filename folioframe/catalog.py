@@ -16,7 +16,7 @@ from pyspark.sql.window import Window as W
 from . import model
 from .functions import exprs as X
 from .operators import cells as C
-from .operators import diff, graph, integrity, layout, search
+from .operators import diff, graph, integrity, layout, objects, search, worksheets
 from .operators import sequences as S
 from .plans import plans
 
@@ -120,10 +120,7 @@ def _(t):
 @_query("doc_text_export", f"WITH {_PAGES} SELECT doc_id, string_agg(trim(regexp_replace(text, '\\n{{3,}}', chr(10) || chr(10), 'g'), ' ' || chr(10)), chr(10) || chr(12) || chr(10) ORDER BY page) AS text FROM pages_ GROUP BY doc_id")
 def _(t):
     """office_export_docx / office_read_pdf (text): pages trimmed and joined by form feeds."""
-    parts, n = F.split("text", "\n", -1), model.PAGE_LINES
-    d = t.documents.select("doc_id", parts.alias("p"))
-    page = lambda i: F.trim(F.regexp_replace(F.array_join(F.slice("p", i * n + 1, F.lit(n)), "\n"), "\n{3,}", "\n\n"), F.lit(" \n"))
-    return d.select("doc_id", F.array_join(F.transform(F.sequence(F.lit(0), F.floor((F.size("p") - 1) / n).cast("int")), page), "\n\f\n").alias("text"))
+    return objects.export_text(t.documents, model.PAGE_LINES)
 
 
 @_query("docx_replace_runs", f"""WITH {_PARA}, runs AS (SELECT doc_id, idx, i - 1 AS run, w[i] AS text FROM (SELECT doc_id, idx, regexp_extract_all(text, '.{{1,40}}') AS w FROM para) t, LATERAL unnest(range(1, len(w) + 1)) u(i)),
@@ -298,11 +295,11 @@ def _(t):
     return C.shift(_customers(t), "col", 2, 2, delete=True)
 
 
-@_query("csv_lines", f"""WITH v AS (SELECT row_number() OVER (ORDER BY doc_id) + 1 AS row, source, n_chars, text[1:60] AS t FROM documents)
+@_query("csv_lines", f"""WITH v AS (SELECT row_number() OVER (ORDER BY doc_id) + 1 AS row, source, n_chars, text AS t FROM documents)
  SELECT row, source || ',' || n_chars || ',' || CASE WHEN regexp_matches(t, '[",\\r\\n]') THEN '"' || replace(t, '"', '""') || '"' ELSE t END AS line FROM v""")
 def _(t):
     """office_export_workbook (csv): quoting only where needed."""
-    return C.csv_lines(model.sheet(t.documents.select("doc_id", "source", "n_chars", F.left("text", F.lit(60)).alias("head")), "doc_id", ["source", "n_chars", "head"]))
+    return C.csv_lines(model.sheet(t.documents.select("doc_id", "source", "n_chars", "text"), "doc_id", ["source", "n_chars", "text"]))
 
 
 @_query("number_text", f"SELECT p_partkey, {_NUMBER.format(x='p_retailprice')} AS price, {_NUMBER.format(x='CAST(p_size AS DOUBLE)')} AS size FROM part")
@@ -311,11 +308,15 @@ def _(t):
     return t.part.select("p_partkey", X.number_text(F.col("p_retailprice")).alias("price"), X.number_text(F.col("p_size")).alias("size"))
 
 
-@_query("text_number", """SELECT i AS id, x AS value FROM (VALUES (1, 0.0::DOUBLE), (2, 12.5), (3, 'nan'::DOUBLE), (4, 255.0), (5, 1000.0), (6, 'nan'::DOUBLE), (7, 'infinity'::DOUBLE), (8, 0.5)) v(i, x)""")
+@_query("text_number", """SELECT p_partkey, CAST(p_size AS DOUBLE) AS plain, p_size / 4.0::DOUBLE AS decimal, 'nan'::DOUBLE AS junk, CASE WHEN p_size % 2 = 0 THEN 0.0::DOUBLE ELSE -p_size::DOUBLE END AS blank, p_size * 10000.0::DOUBLE AS scientific, p_partkey::DOUBLE AS hexed FROM part""")
 def _(t):
     """Texts as numbers: blank is 0, junk is NaN, hexadecimal counts."""
-    rows = [(1, "  "), (2, " 12.5 "), (3, "1d"), (4, "0xFF"), (5, "1e3"), (6, "not-a-number"), (7, "Infinity"), (8, ".5")]
-    return t.spark.createDataFrame(rows, "id int, s string").select("id", X.text_number(F.col("s")).alias("value"))
+    size = F.col("p_size").cast("string")
+    texts = {
+        "plain": F.concat(F.lit(" "), size, F.lit("  ")), "decimal": (F.col("p_size") / 4).cast("string"), "junk": F.col("p_name"),
+        "blank": F.when(F.col("p_size") % 2 == 0, F.lit("   ")).otherwise(F.concat(F.lit("-"), size)), "scientific": F.concat(size, F.lit("e4")), "hexed": F.concat(F.lit("0x"), F.hex("p_partkey")),
+    }
+    return t.part.select("p_partkey", *[X.text_number(c).alias(k) for k, c in texts.items()])
 
 
 @_query("intern_strings", "SELECT p_type, CAST(row_number() OVER (ORDER BY min(p_partkey), p_type) - 1 AS BIGINT) AS id FROM part GROUP BY p_type")
@@ -332,11 +333,11 @@ def _(t):
     return p.join(C.intern(p, "style", "p_partkey", 164).withColumnRenamed("id", "style_id"), "style").select("p_partkey", "style_id")
 
 
-@_query("header_dedupe", """WITH n AS (SELECT p_partkey AS pos, CASE WHEN p_size % 10 = 0 THEN 'Column' || p_partkey ELSE p_brand END AS base FROM part WHERE p_partkey <= 100)
+@_query("header_dedupe", """WITH n AS (SELECT p_partkey AS pos, CASE WHEN p_size % 10 = 0 THEN 'Column' || p_partkey ELSE p_brand END AS base FROM part)
  SELECT pos, base || CASE WHEN row_number() OVER (PARTITION BY lower(base) ORDER BY pos) > 1 THEN CAST(row_number() OVER (PARTITION BY lower(base) ORDER BY pos) AS VARCHAR) ELSE '' END AS header FROM n""")
 def _(t):
     """office_create_table: unique headers."""
-    names = t.part.filter("p_partkey <= 100").select(F.col("p_partkey").alias("pos"), F.when(F.col("p_size") % 10 == 0, F.lit(" ")).otherwise(F.col("p_brand")).alias("name"))
+    names = t.part.select(F.col("p_partkey").alias("pos"), F.when(F.col("p_size") % 10 == 0, F.lit(" ")).otherwise(F.col("p_brand")).alias("name"))
     return C.dedupe_headers(names)
 
 
@@ -415,10 +416,14 @@ def _(t):
     return diff.keyed_diff(a, b, ["r"], "t")
 
 
-@_query("style_set_diff", "SELECT p_type, 'only_a' AS side FROM part WHERE p_partkey % 2 = 0 AND p_type NOT IN (SELECT p_type FROM part WHERE p_partkey % 2 = 1) GROUP BY 1 UNION ALL SELECT p_type, 'only_b' FROM part WHERE p_partkey % 2 = 1 AND p_type NOT IN (SELECT p_type FROM part WHERE p_partkey % 2 = 0) GROUP BY 1")
+_STYLE = "p_brand || '/' || p_size"
+
+
+@_query("style_set_diff", f"SELECT {_STYLE} AS style, 'only_a' AS side FROM part WHERE p_partkey % 2 = 0 AND {_STYLE} NOT IN (SELECT {_STYLE} FROM part WHERE p_partkey % 2 = 1) GROUP BY 1 UNION ALL SELECT {_STYLE}, 'only_b' FROM part WHERE p_partkey % 2 = 1 AND {_STYLE} NOT IN (SELECT {_STYLE} FROM part WHERE p_partkey % 2 = 0) GROUP BY 1")
 def _(t):
     """office_compare_docx (styles)."""
-    return diff.set_diff(t.part.filter("p_partkey % 2 = 0"), t.part.filter("p_partkey % 2 = 1"), "p_type")
+    styles = t.part.select("p_partkey", F.concat_ws("/", "p_brand", F.col("p_size").cast("string")).alias("style"))
+    return diff.set_diff(styles.filter("p_partkey % 2 = 0"), styles.filter("p_partkey % 2 = 1"), "style")
 
 
 @_query("metadata_diff", "SELECT c_mktsegment AS key, CASE WHEN max(c_acctbal) FILTER (c_nationkey < 12) IS NULL THEN 'added' WHEN max(c_acctbal) FILTER (c_nationkey >= 12) IS NULL THEN 'removed' ELSE 'changed' END AS status, max(c_acctbal) FILTER (c_nationkey < 12) AS before, max(c_acctbal) FILTER (c_nationkey >= 12) AS after FROM customer GROUP BY 1 HAVING max(c_acctbal) FILTER (c_nationkey < 12) IS DISTINCT FROM max(c_acctbal) FILTER (c_nationkey >= 12)")
@@ -468,11 +473,10 @@ def _(t):
     return S.rotate(_pages(t), F.col("chars") - 300)
 
 
-@_query("reorder_pages", f"{_P0}, n AS (SELECT * FROM p WHERE page < 3 QUALIFY count(*) OVER (PARTITION BY doc_id) = 3) SELECT doc_id, CAST(CASE page WHEN 2 THEN 0 WHEN 0 THEN 1 ELSE 2 END AS BIGINT) AS page, chars FROM n")
+@_query("reorder_pages", f"{_P0} SELECT doc_id, max(page) OVER (PARTITION BY doc_id) - page AS page, chars FROM p")
 def _(t):
-    """office_reorder_pdf_pages: the permutation 2, 0, 1 of three pages."""
-    n = F.count(F.lit(1)).over(W.partitionBy("doc_id"))
-    return S.reorder(_pages(t).filter("page < 3").withColumn("n", n).filter("n = 3").drop("n"), "page", [2, 0, 1])
+    """office_reorder_pdf_pages: all pages of every document in the opposite order."""
+    return S.reverse(_pages(t), ["doc_id"], "page")
 
 
 @_query("move_slide", f"{_P0} SELECT doc_id, CAST(CASE WHEN page = 0 THEN 2 WHEN page <= 2 THEN page - 1 ELSE page END AS BIGINT) AS page, chars FROM p")
@@ -515,22 +519,29 @@ def _(t):
 @_query("watermark_pages", f"{_P0} SELECT doc_id, page, 'DRAFT' AS overlay FROM p WHERE page <= 1")
 def _(t):
     """office_add_pdf_watermark: a text on chosen pages."""
-    return _pages(t).filter("page <= 1").select("doc_id", "page", F.lit("DRAFT").alias("overlay"))
+    return objects.overlay(_pages(t), "DRAFT", F.col("page") <= 1)
 
 
-@_query("pad_table", f"WITH {_PARA}, r AS (SELECT doc_id * 1000 + idx AS r, string_split(text, ' ')[1:4] AS cells FROM para WHERE idx < 3), w AS (SELECT max(len(cells)) AS w FROM r) SELECT r, list_aggregate(list_transform(range(1, w + 1), lambda i: coalesce(cells[i], '')), 'string_agg', '|') AS line FROM r, w")
+@_query("pad_table", f"WITH {_PARA}, r AS (SELECT doc_id, idx, string_split(text, ' ') AS cells FROM para), w AS (SELECT max(len(cells)) AS w FROM r) SELECT doc_id, idx, array_to_string(cells, '|') || repeat('|', w - len(cells)) AS line FROM r, w")
 def _(t):
-    """office_create_docx_table / office_add_slide_table: ragged rows padded."""
-    rows = model.paragraphs(t.documents).filter("idx < 3").select((F.col("doc_id") * 1000 + F.col("idx")).alias("r"), F.slice(F.split("text", " ", -1), 1, 4).alias("cells"))
-    return S.pad_table(rows).select("r", F.array_join("cells", "|").alias("line"))
+    """office_create_docx_table / office_add_slide_table: the words of all lines as ragged rows, padded."""
+    rows = model.paragraphs(t.documents).select(F.struct("doc_id", "idx").alias("r"), F.split("text", " ", -1).alias("cells"))
+    return S.pad_table(rows).select("r.doc_id", "r.idx", F.array_join("cells", "|").alias("line"))
+
+
+_T0 = f"""WITH {_PARA}, c AS (SELECT doc_id, idx AS r, i - 1 AS c, w[i] AS text FROM (SELECT doc_id, idx, string_split(text, ' ') AS w FROM para) x, LATERAL unnest(range(1, len(w) + 1)) u(i))"""
+
+
+def _table(t):
+    """The words of a document's lines as a table: doc_id, r, c, text."""
+    return model.paragraphs(t.documents).select("doc_id", F.col("idx").alias("r"), F.posexplode(F.split("text", " ", -1)).alias("c", "text"))
 
 
-@_query("merge_table_cells", f"""WITH {_PARA}, c AS (SELECT doc_id, idx AS r, i - 1 AS c, w[i] AS text FROM (SELECT doc_id, idx, string_split(text, ' ') AS w FROM para WHERE idx < 4) x, LATERAL unnest(range(1, len(w) + 1)) u(i) WHERE i <= 4)
- SELECT doc_id, r, c, text FROM c WHERE NOT (r BETWEEN 0 AND 1 AND c BETWEEN 0 AND 1) UNION ALL SELECT doc_id, 0, 0, coalesce(string_agg(text, chr(10) ORDER BY r, c) FILTER (text <> ''), '') FROM c WHERE r BETWEEN 0 AND 1 AND c BETWEEN 0 AND 1 GROUP BY doc_id""")
+@_query("merge_table_cells", f"""{_T0} SELECT doc_id, r, c, text FROM c WHERE NOT (r BETWEEN 0 AND 1 AND c BETWEEN 0 AND 1)
+ UNION ALL SELECT doc_id, 0, 0, coalesce(string_agg(text, chr(10) ORDER BY r, c) FILTER (text <> ''), '') FROM c WHERE r BETWEEN 0 AND 1 AND c BETWEEN 0 AND 1 GROUP BY doc_id""")
 def _(t):
     """office_merge_docx_table_cells: a 2 by 2 rectangle, texts in reading order."""
-    cells = model.paragraphs(t.documents).filter("idx < 4").select("doc_id", F.col("idx").alias("r"), F.posexplode(F.slice(F.split("text", " ", -1), 1, 4)).alias("c", "text"))
-    return S.merge_cells(cells, ["doc_id"], 0, 0, 2, 2)
+    return S.merge_cells(_table(t), ["doc_id"], 0, 0, 2, 2)
 
 
 @_query("aspect_names", """SELECT p_partkey, CASE WHEN abs(r - 16.0/9) < 0.02 THEN '16:9' WHEN abs(r - 4.0/3) < 0.02 THEN '4:3' WHEN abs(r - 1.6) < 0.02 THEN '16:10' ELSE CASE WHEN floor(r * 100 + 0.5) / 100 = floor(floor(r * 100 + 0.5) / 100) THEN CAST(CAST(floor(r * 100 + 0.5) / 100 AS BIGINT) AS VARCHAR) ELSE CAST(floor(r * 100 + 0.5) / 100 AS VARCHAR) END || ':1' END AS aspect FROM (SELECT p_partkey, (p_size + 4) / 9.0::DOUBLE AS r FROM part)""")
@@ -542,15 +553,13 @@ def _(t):
 @_query("set_slide_layout", "WITH l AS (SELECT lower(p_brand) AS k, min(p_partkey) AS layout FROM part GROUP BY 1) SELECT p_partkey, layout FROM part JOIN l ON lower(p_brand) = k")
 def _(t):
     """office_set_slide_layout / office_set_theme: by name, the first of equal names."""
-    layouts = t.part.groupBy(F.lower("p_brand").alias("k")).agg(F.min("p_partkey").alias("layout"))
-    return t.part.join(layouts, F.lower("p_brand") == F.col("k")).select("p_partkey", "layout")
+    return objects.assign_by_name(t.part.select("p_partkey", "p_brand"), F.col("p_brand"), t.part, "p_brand", "p_partkey", "layout").select("p_partkey", "layout")
 
 
 @_query("image_pages", "SELECT l_partkey AS object_key, list_aggregate(list_sort(list(DISTINCT l_orderkey)), 'string_agg', ',') AS pages, count(DISTINCT l_orderkey) AS n_pages FROM lineitem GROUP BY 1")
 def _(t):
     """office_extract_pdf_images: each object once with the pages that use it."""
-    g = t.lineitem.groupBy(F.col("l_partkey").alias("object_key")).agg(F.sort_array(F.collect_set("l_orderkey")).alias("p"))
-    return g.select("object_key", F.array_join(F.transform("p", lambda x: x.cast("string")), ",").alias("pages"), F.size("p").cast("long").alias("n_pages"))
+    return objects.image_uses(t.lineitem, "l_partkey", "l_orderkey")
 
 
 @_query("line_gaps", """WITH y AS (SELECT DISTINCT o_custkey AS doc_id, 0 AS page, round(o_totalprice, 2) AS y FROM orders), g AS (SELECT doc_id, page, lag(y) OVER (PARTITION BY doc_id ORDER BY y DESC) - y AS gap FROM y),
@@ -589,14 +598,6 @@ def _(t):
     return graph.renumber(graph.reachable(edges, root).select("node"))
 
 
-_T0 = f"""WITH {_PARA}, c AS (SELECT doc_id, idx AS r, i - 1 AS c, w[i] AS text FROM (SELECT doc_id, idx, string_split(text, ' ') AS w FROM para WHERE idx < 4) x, LATERAL unnest(range(1, len(w) + 1)) u(i) WHERE i <= 4)"""
-
-
-def _table(t):
-    """The first words of a document's first lines as a table: doc_id, r, c, text."""
-    return model.paragraphs(t.documents).filter("idx < 4").select("doc_id", F.col("idx").alias("r"), F.posexplode(F.slice(F.split("text", " ", -1), 1, 4)).alias("c", "text"))
-
-
 @_query("update_table_cell", f"{_T0} SELECT doc_id, r, c, CASE WHEN r = 1 AND c = 2 THEN 'New' ELSE text END AS text FROM c")
 def _(t):
     """office_update_docx_table_cell: row 1, column 2, both from 0."""
@@ -606,17 +607,13 @@ def _(t):
 @_query("insert_table_row", f"{_T0}, w AS (SELECT doc_id, max(r) AS last, max(c) AS w FROM c GROUP BY 1) SELECT doc_id, CAST(CASE WHEN r > 0 THEN r + 1 ELSE r END AS BIGINT) AS r, c, text FROM c UNION ALL SELECT doc_id, 1, unnest(range(0, w + 1)), '' FROM w")
 def _(t):
     """office_insert_docx_table_row: an empty row as wide as the table behind the first."""
-    table = _table(t)
-    blank = table.groupBy("doc_id").agg(F.max("c").alias("w")).select("doc_id", F.lit(1).cast("long").alias("r"), F.explode(F.sequence(F.lit(0), F.col("w"))).alias("c"), F.lit("").alias("text"))
-    return table.withColumn("r", F.when(F.col("r") > 0, F.col("r") + 1).otherwise(F.col("r")).cast("long")).unionByName(blank)
+    return S.insert_row(_table(t), ["doc_id"], 0)
 
 
 @_query("delete_table_row", f"{_T0}, n AS (SELECT *, max(r) OVER (PARTITION BY doc_id) AS last FROM c) SELECT doc_id, CAST(CASE WHEN r > 0 AND last > 0 THEN r - 1 ELSE r END AS BIGINT) AS r, c, text FROM n WHERE r <> 0 OR last = 0")
 def _(t):
     """office_delete_docx_table_row: the first, unless it is the only one."""
-    last = F.max("r").over(W.partitionBy("doc_id"))
-    kept = _table(t).withColumn("last", last).filter("r <> 0 OR last = 0")
-    return kept.withColumn("r", F.when((F.col("r") > 0) & (F.col("last") > 0), F.col("r") - 1).otherwise(F.col("r")).cast("long")).drop("last")
+    return S.delete_row(_table(t), ["doc_id"], 0)
 
 
 @_query("paragraph_styles", f"WITH {_PARA} SELECT doc_id, idx, CASE WHEN idx = 0 THEN 'Heading1' END AS style, CASE WHEN idx = 1 THEN 'Strong' END AS run_style FROM para")
@@ -627,11 +624,11 @@ def _(t):
     return S.update_at(S.update_at(p, "idx", 0, "style", F.lit("Heading1")), "idx", 1, "run_style", F.lit("Strong"))
 
 
-@_query("missing_styles", "SELECT p_type AS style FROM part WHERE p_partkey % 2 = 0 EXCEPT SELECT p_type FROM part WHERE p_size > 48")
+@_query("missing_styles", f"SELECT {_STYLE} AS style FROM part WHERE p_partkey % 2 = 0 EXCEPT SELECT {_STYLE} FROM part WHERE p_partkey % 2 = 1")
 def _(t):
     """Styles that are set but not defined, to be created: an anti join."""
-    used = t.part.filter("p_partkey % 2 = 0").select(F.col("p_type").alias("style")).distinct()
-    return integrity.dangling(used, "style", t.part.filter("p_size > 48"), "p_type")
+    styles = t.part.select("p_partkey", F.concat_ws("/", "p_brand", F.col("p_size").cast("string")).alias("style"))
+    return integrity.dangling(styles.filter("p_partkey % 2 = 0").select("style").distinct(), "style", styles.filter("p_partkey % 2 = 1"), "style")
 
 
 @_query("add_slide", f"{_P0} SELECT doc_id, CAST(CASE WHEN page > 0 THEN page + 1 ELSE page END AS BIGINT) AS page, CAST(chars AS BIGINT) AS chars FROM p UNION ALL SELECT doc_id, 1, 0 FROM p GROUP BY doc_id")
@@ -643,22 +640,20 @@ def _(t):
 @_query("slide_text", f"WITH {_PAGES} SELECT doc_id, string_agg(text, chr(10) || chr(10) ORDER BY page) AS text, count(*) AS slides FROM pages_ GROUP BY doc_id")
 def _(t):
     """office_read_pptx (text): slides in order."""
-    g = model.text_pages(t.documents).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("page", "text"))).alias("s"))
-    return g.select("doc_id", F.array_join(F.transform("s", lambda x: x["text"]), "\n\n").alias("text"), F.size("s").cast("long").alias("slides"))
+    return objects.slides_text(model.text_pages(t.documents))
 
 
 @_query("update_slide_text", "SELECT conv_id AS slide, turn AS shape, i - 1 AS paragraph, p[i] AS text FROM (SELECT conv_id, turn, string_split(CASE WHEN turn = 0 THEN 'First' || chr(10) || 'Second' ELSE text END, chr(10)) AS p FROM conversations) c, LATERAL unnest(range(1, len(p) + 1)) u(i)")
 def _(t):
     """office_update_slide_text: a shape's text, line breaks as paragraphs."""
-    text = F.when(F.col("turn") == 0, F.lit("First\nSecond")).otherwise(F.col("text"))
-    return t.conversations.select(F.col("conv_id").alias("slide"), F.col("turn").alias("shape"), F.posexplode(F.split(text, "\n", -1)).alias("paragraph", "text"))
+    shapes = t.conversations.select(F.col("conv_id").alias("slide"), F.col("turn").alias("shape"), "text")
+    return objects.set_shape_text(shapes, ["slide", "shape"], F.col("shape") == 0, "First\nSecond")
 
 
 @_query("chart_matrix", "SELECT o_orderpriority AS label, o_orderstatus AS series, round(sum(o_totalprice), 2) AS value FROM orders GROUP BY 1, 2")
 def _(t):
     """office_add_slide_chart: labels by series as long rows."""
-    wide = t.orders.groupBy(F.col("o_orderpriority").alias("label")).pivot("o_orderstatus", ["F", "O", "P"]).agg(F.sum("o_totalprice"))
-    return wide.select("label", F.explode(F.map_from_arrays(F.array(*map(F.lit, "FOP")), F.array("F", "O", "P"))).alias("series", "value")).filter(F.col("value").isNotNull()).withColumn("value", F.round("value", 2))
+    return objects.chart_points(t.orders, "o_orderpriority", "o_orderstatus", "o_totalprice").withColumn("value", F.round("value", 2))
 
 
 @_query("page_text_search_page", f"{_P0.replace('length(text) AS chars', 'text')} SELECT doc_id, page, len(regexp_extract_all(text, 'est')) AS n FROM p WHERE page = 1 AND contains(text, 'est')")
@@ -686,12 +681,13 @@ def _(t):
     return t.pages.filter(~F.col("url").rlike(r"/\.[^/]*$")).select("page_id", "url", F.regexp_extract(F.lower("url"), r"\.([a-z0-9]+)$", 1).alias("ext"))
 
 
-@_query("sheet_catalog", "SELECT n_nationkey AS pos, CASE WHEN n_name = 'FRANCE' THEN 'Gaul' ELSE n_name END AS name FROM nation WHERE n_nationkey <> 3 UNION ALL SELECT max(n_nationkey) + 1, 'Totals' FROM nation")
+@_query("sheet_catalog", "SELECT n_nationkey AS pos, CASE WHEN n_nationkey = 6 THEN 'Gaul' ELSE n_name END AS name FROM nation WHERE n_nationkey <> 3 UNION ALL SELECT max(n_nationkey) + 1, 'Totals' FROM nation")
 def _(t):
     """office_add_worksheet, office_rename_worksheet and office_delete_worksheet on a list of sheets."""
-    s = t.nation.select(F.col("n_nationkey").alias("pos"), F.col("n_name").alias("name"))
-    kept = s.filter("pos <> 3").withColumn("name", F.when(F.col("name") == "FRANCE", "Gaul").otherwise(F.col("name")))
-    return kept.unionByName(s.agg((F.max("pos") + 1).alias("pos")).select("pos", F.lit("Totals").alias("name")))
+    s = t.nation.select(F.col("n_nationkey").alias("pos"), F.col("n_name").alias("name"), F.lit("visible").alias("state"))
+    names = {r.pos: r["name"] for r in s.filter("pos IN (3, 6)").collect()}
+    s = worksheets.rename_sheet(worksheets.add_sheet(s, "Totals"), names[6], "Gaul")
+    return worksheets.delete_sheet(s, names[3], close_up=False).select("pos", "name")
 
 
 @_query("revisions_by_type", "SELECT event_type AS type, count(*) AS n, count(DISTINCT user_id) AS authors, min(ts) AS first, max(ts) AS last FROM events GROUP BY 1")
@@ -716,26 +712,24 @@ def _(t):
 @_query("loss_report", "SELECT count(*) FILTER (p_size > 40) AS animations, count(*) FILTER (p_type LIKE '%STEEL%') AS media, count(*) FILTER (p_retailprice > 1500) AS hidden, count(*) AS slides FROM part")
 def _(t):
     """office_export_presentation: what an export would lose."""
-    return t.part.agg(F.count_if(F.col("p_size") > 40).alias("animations"), F.count_if(F.col("p_type").contains("STEEL")).alias("media"), F.count_if(F.col("p_retailprice") > 1500).alias("hidden"), F.count(F.lit(1)).alias("slides"))
+    return objects.losses(t.part, {"animations": F.col("p_size") > 40, "media": F.col("p_type").contains("STEEL"), "hidden": F.col("p_retailprice") > 1500})
 
 
 @_query("form_fill", """SELECT doc_id, source AS field, CASE WHEN l.quality IS NULL THEN NULL WHEN l.quality IN (0, 1) AND lang <> 'de' THEN CAST(l.quality AS VARCHAR) END AS value,
  CASE WHEN l.quality IS NULL THEN 'unchanged' WHEN lang = 'de' THEN 'read_only' ELSE 'filled' END AS outcome FROM documents d LEFT JOIN labels l USING (doc_id)""")
 def _(t):
     """office_fill_pdf_form: typed values by name, options checked, read-only fields refused."""
-    q = F.col("quality")
-    j = t.documents.select("doc_id", "source", "lang").join(t.labels.select("doc_id", "quality"), "doc_id", "left")
-    ok = F.array_contains(F.array(F.lit(0), F.lit(1)), q)
-    outcome = F.when(q.isNull(), "unchanged").when(F.col("lang") == "de", "read_only").when(ok, "filled").otherwise("invalid")
-    return j.select("doc_id", F.col("source").alias("field"), F.when(ok & (F.col("lang") != "de"), q.cast("string")).alias("value"), outcome.alias("outcome"))
+    two = F.array(F.lit("0"), F.lit("1"))
+    fields = t.documents.select("doc_id", F.col("source").alias("field"), F.lit("choice").alias("type"), two.alias("options"), (F.col("lang") == "de").alias("read_only"))
+    return objects.fill_form(fields, t.labels.select("doc_id", F.col("quality").cast("string").alias("new")), ["doc_id"])
 
 
 @_query("metadata_upsert", "SELECT n_name AS key, n_regionkey::VARCHAR AS \"from\", CASE WHEN n_nationkey % 4 = 0 THEN 'set' ELSE n_regionkey::VARCHAR END AS \"to\" FROM nation UNION ALL SELECT 'Keywords', NULL, 'set'")
 def _(t):
     """office_set_pdf_metadata: values by key, before and after."""
-    have = t.nation.select(F.col("n_name").alias("key"), F.col("n_regionkey").cast("string").alias("from"))
+    have = t.nation.select(F.col("n_name").alias("key"), F.col("n_regionkey").cast("string").alias("value"))
     put = t.nation.filter("n_nationkey % 4 = 0").select(F.col("n_name").alias("key")).unionByName(t.spark.createDataFrame([("Keywords",)], "key string")).withColumn("new", F.lit("set"))
-    return have.join(put, "key", "full_outer").select("key", "from", F.coalesce("new", "from").alias("to"))
+    return objects.set_properties(have, put)
 
 
 @_query("plan_transition", """SELECT o_orderkey AS plan_id, CASE WHEN NOT (o_orderstatus = 'F' OR o_totalprice > 300000) THEN 'executed' ELSE 'previewed' END AS status FROM orders""")
@@ -757,3 +751,6 @@ def _(t):
     """The audit log by tool."""
     s = plans.audit_summary(t.events, F.col("event_type"), F.col("value") >= 10, F.col("value"))
     return s.withColumn("total_ms", F.round("total_ms", 4))
+
+
+from . import file_queries  # noqa: E402, F401  (registers its queries with this module)

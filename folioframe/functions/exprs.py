@@ -13,6 +13,8 @@ REF = r"^\$?([A-Za-z]{1,3})\$?([0-9]{1,7})$"
 DATE_FORMAT_IDS = (14, 15, 16, 17, 18, 19, 20, 21, 22, 27, 30, 36, 45, 46, 47, 50, 57)
 EPOCH_1900_MS, EPOCH_1904_MS, DAY_MS = -2209161600000, -2082844800000, 86400000
 MAX_COLUMN, MAX_ROW = 16384, 1048576
+#: Fixed value: the characters of the Windows code page 1252, and line breaks and tabs.
+WIN_ANSI = r"\t\n\r\x20-\x7E\xA0-\xFF€‚ƒ„…†‡ˆ‰Š‹ŒŽ‘’“”•–—˜™š›œžŸ"
 
 
 def col_letters(n: Column) -> Column:
@@ -83,7 +85,8 @@ def literal_replace(text: Column, find: str, replace: str, match_case: bool = Fa
 
 
 def literal_contains(text: Column, find: str, match_case: bool = False) -> Column:
-    return F.contains(text, F.lit(find)) if match_case else F.contains(F.lower(text), F.lit(find.lower()))
+    """By the pattern that counts and replaces, so the three agree on letters that fold oddly."""
+    return F.contains(text, F.lit(find)) if match_case else text.rlike(literal_pattern(find))
 
 
 def literal_count(text: Column, find: str, match_case: bool = False) -> Column:
@@ -133,6 +136,11 @@ def aspect_name(width: Column, height: Column) -> Column:
     return F.when(near(16 / 9), "16:9").when(near(4 / 3), "4:3").when(near(16 / 10), "16:10").otherwise(F.concat(number_text(F.floor(r * 100 + 0.5) / 100), F.lit(":1")))
 
 
+def unencodable(text: Column) -> Column:
+    """The distinct characters that a standard PDF font cannot show, in order of appearance."""
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(f"([^{WIN_ANSI}])"), F.lit(1)))
+
+
 def bigrams(text: Column) -> Column:
     """All two-character strings of a text, repeats kept."""
     n = F.length(text)

@@ -23,17 +23,23 @@ PAGE_LINES, KEY_BUCKET = 40, 1 << 16
 
 
 def numbered(df: DataFrame, key: str, out: str = "row", first: int = 1) -> DataFrame:
-    """Consecutive numbers in the order of a unique integer key.
+    """Consecutive numbers in the order of an integer key, null keys first; rows of equal keys by their other columns.
 
-    Buckets of keys are counted, the few counts get running offsets, and rows are numbered inside
-    their bucket, so no task sees more than a bucket.
+    Buckets, of a width that suits the span of the keys, are counted; their running offsets are added
+    to the numbers inside a bucket, so no task sees much more than a bucket, however sparse the keys.
+    Rows equal in all columns may take each other's numbers.
     """
-    d = df.withColumn("__b", F.floor(F.col(key) / KEY_BUCKET))
+    low, high, n = df.agg(F.min(key).cast("long"), F.max(key).cast("long"), F.count(F.lit(1))).first()
+    width = max(1, (high - low + 1) * KEY_BUCKET // max(n, KEY_BUCKET)) if low is not None else 1
+    d = df.withColumn("__b", F.expr(f"(cast(`{key}` as decimal(20,0)) - {low or 0}) div {width}"))
     counts = d.groupBy(F.col("__b").alias("__cb")).agg(F.count(F.lit(1)).alias("__n"))
-    before = W.orderBy("__cb").rowsBetween(W.unboundedPreceding, -1)
+    before = W.orderBy(F.col("__cb").asc_nulls_first()).rowsBetween(W.unboundedPreceding, -1)
     counts = counts.select("__cb", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__o"))
-    inside = F.row_number().over(W.partitionBy("__b").orderBy(key))
-    return d.withColumn("__i", inside).join(counts, F.col("__b") == F.col("__cb")).withColumn(out, (F.col("__o") + F.col("__i") - 1 + first).cast("long")).drop("__b", "__cb", "__o", "__i")
+    kinds = dict(df.dtypes)
+    ties = [c for c in df.columns if c != key and not kinds[c].startswith("map")]
+    inside = F.row_number().over(W.partitionBy("__b").orderBy(key, *ties))
+    joined = d.withColumn("__i", inside).join(counts, F.col("__b").eqNullSafe(F.col("__cb")))
+    return joined.withColumn(out, (F.col("__o") + F.col("__i") - 1 + first).cast("long")).drop("__b", "__cb", "__o", "__i")
 
 
 def sheet(df: DataFrame, key: str, columns: list[str], first_row: int = 2) -> DataFrame:

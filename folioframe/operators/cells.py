@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..functions.exprs import a1, csv_field, parse_range
-from ..model import value_text
+from ..model import numbered, value_text
 
 #: Cells of a range that may be read densely.
 MAX_RANGE = 200_000
@@ -18,6 +18,26 @@ def page(cells: DataFrame, offset: int, limit: int) -> DataFrame:
     return cells.orderBy("ord").offset(offset).limit(limit)
 
 
+def more_than(cells: DataFrame, n: int) -> bool:
+    """Whether there are more than n cells; counts no further than that."""
+    return cells.limit(n + 1).count() > n
+
+
+def read_sheet(cells: DataFrame, offset: int = 0, limit: int | None = None, max_cells: int | None = None) -> DataFrame:
+    """A page of cells with `total` and `truncated` (more cells follow); over max_cells cells are refused before any is read."""
+    if max_cells is not None and more_than(cells, max_cells):
+        raise ValueError(f"the sheet has over {max_cells} cells")
+    shown = cells.orderBy("ord").offset(offset)
+    shown = shown if limit is None else shown.limit(limit)
+    total = cells.agg(F.count(F.lit(1)).alias("total"))  # one row
+    return shown.join(F.broadcast(total)).withColumn("truncated", F.lit(False) if limit is None else F.col("total") > offset + limit)
+
+
+def count_formulas(cells: DataFrame) -> DataFrame:
+    """sheet, n_formulas."""
+    return cells.groupBy("sheet").agg(F.count("formula").alias("n_formulas"))
+
+
 def dimensions(cells: DataFrame) -> DataFrame:
     """max_row, max_col, n_cells and cells of each value type."""
     is_ = lambda k: F.count_if(F.col("value_type") == k)
@@ -46,11 +66,19 @@ def grid(cells: DataFrame, rng: str) -> DataFrame:
 
 
 def upsert(cells: DataFrame, edits: DataFrame) -> DataFrame:
-    """Edits (row, col, value_type, num, str) replace or add cells; value_type null clears one."""
+    """Edits (row, col, value_type, num, str) replace or add cells; value_type null clears one.
+
+    A replaced cell keeps its style unless the edit names one; of other columns the edit says what
+    they become, else they are null (a formula's cached value goes with the formula).
+    """
     keys = ["row", "col"]
     kept = cells.join(edits.select(*keys), keys, "left_anti")
-    new = edits.filter(F.col("value_type").isNotNull()).select("row", "col", a1(F.col("col"), F.col("row")).alias("ref"), (F.col("row") * 16384 + F.col("col")).cast("long").alias("ord"), "value_type", "num", "str")
-    return kept.unionByName(new.select(*kept.columns))
+    new = edits.filter(F.col("value_type").isNotNull())
+    if "style" in cells.columns and "style" not in edits.columns:
+        new = new.join(cells.select(*keys, "style"), keys, "left")
+    new = new.withColumns({"ref": a1(F.col("col"), F.col("row")), "ord": (F.col("row") * 16384 + F.col("col")).cast("long")})
+    kinds = dict(cells.dtypes)
+    return kept.unionByName(new.select(*[F.col(c) if c in new.columns else F.lit(None).cast(kinds[c]).alias(c) for c in kept.columns]))
 
 
 def shift(cells: DataFrame, axis: str, start: int, count: int, delete: bool = False) -> DataFrame:
@@ -73,19 +101,26 @@ def csv_lines(cells: DataFrame) -> DataFrame:
     return rows.select("row", F.regexp_replace(line, ",+$", "").alias("line"))
 
 
-def write_csv(cells: DataFrame, path: str) -> None:
-    """Lines in row order with CR LF, blank lines for rows without cells, and a byte-order mark in the first part."""
-    lines = csv_lines(cells).orderBy("row")
-    before = F.lag("row", 1, 0).over(W.orderBy("row"))
-    gap = F.repeat(F.lit("\r\n"), (F.col("row") - before - 1).cast("int"))
-    body = lines.select(F.concat(F.when(F.col("row") == F.min("row").over(W.orderBy("row")), F.lit("﻿")).otherwise(""), gap, F.col("line")).alias("value"))
-    body.write.option("lineSep", "\r\n").text(path)
+def write_csv(cells: DataFrame, path: str, run: int = 1 << 16) -> None:
+    """Lines in row order with CR LF, blank lines for rows without cells, and a byte-order mark in the first part.
+
+    The row before a line is found inside its run of rows, or as the last of the runs before, so no
+    task sees all lines.
+    """
+    lines = csv_lines(cells).withColumn("run", F.expr(f"row div {run}"))
+    runs = lines.groupBy(F.col("run").alias("r")).agg(F.max("row").alias("m"))
+    runs = runs.select("r", F.max("m").over(W.orderBy("r").rowsBetween(W.unboundedPreceding, -1)).alias("earlier"))
+    lines = lines.withColumn("before", F.lag("row").over(W.partitionBy("run").orderBy("row"))).join(runs, F.col("run") == F.col("r"))
+    before = F.coalesce("before", "earlier")
+    gap = F.repeat(F.lit("\r\n"), (F.col("row") - F.coalesce(before, F.lit(0)) - 1).cast("int"))
+    body = lines.withColumn("value", F.concat(F.when(before.isNull(), F.lit("\ufeff")).otherwise(""), gap, F.col("line")))
+    body.orderBy("row").select("value").write.option("lineSep", "\r\n").text(path)
 
 
 def intern(values: DataFrame, value: str, order: str, first_id: int = 0) -> DataFrame:
-    """value, id: distinct values numbered by first occurrence."""
+    """value, id: distinct values numbered by first occurrence (the least of an integer `order`)."""
     firsts = values.groupBy(value).agg(F.min(order).alias("first"))
-    return firsts.select(value, (F.row_number().over(W.orderBy("first", value)) - 1 + first_id).cast("long").alias("id"))
+    return numbered(firsts, "first", "id", first_id).select(value, "id")
 
 
 def dedupe_headers(names: DataFrame) -> DataFrame:
@@ -114,3 +149,10 @@ def chart_cache(cells: DataFrame, rng: str) -> DataFrame:
     v = F.coalesce(F.when(F.col("num").isNull() | F.isnan("num") | (F.abs("num") == float("inf")), F.lit(0.0)).otherwise(F.col("num")), F.lit(0.0))
     got = in_range(cells, rng).groupBy("col").agg(F.transform(F.array_sort(F.collect_list(F.struct("row", v.alias("v")))), lambda x: x["v"]).alias("points"))
     return got.select(F.col("col").alias("series"), "points")
+
+
+def chart_categories(cells: DataFrame, rng: str) -> DataFrame:
+    """categories: the labels of a chart, the range's values as texts in reading order, one row."""
+    text = value_text(F.col("num"), F.col("str"))
+    each = F.array_sort(F.collect_list(F.struct("row", "col", F.coalesce(text, F.lit("")).alias("t"))))
+    return in_range(cells, rng).agg(F.transform(each, lambda x: x["t"]).alias("categories"))

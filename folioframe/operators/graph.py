@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
+
+from ..model import numbered
 
 
 def _checkpointed(df: DataFrame) -> DataFrame:
@@ -42,10 +43,26 @@ def reachable(edges: DataFrame, roots: DataFrame, max_rounds: int = 1000) -> Dat
     raise RuntimeError("the graph is deeper than max_rounds")
 
 
-def renumber(nodes: DataFrame, bucket: int = 1 << 16) -> DataFrame:
-    """node, new_id: dense numbers from 1 in node order, counted by buckets."""
-    b = nodes.withColumn("b", F.floor(F.col("node") / bucket))
-    counts = b.groupBy(F.col("b").alias("cb")).agg(F.count(F.lit(1)).alias("n"))
-    counts = counts.select("cb", F.coalesce(F.sum("n").over(W.orderBy("cb").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("o"))
-    inside = F.row_number().over(W.partitionBy("b").orderBy("node"))
-    return b.withColumn("i", inside).join(counts, F.col("b") == F.col("cb")).select("node", (F.col("o") + F.col("i")).cast("long").alias("new_id"))
+def renumber(nodes: DataFrame) -> DataFrame:
+    """node, new_id: dense numbers from 1 in node order."""
+    return numbered(nodes, "node", "new_id").select("node", "new_id")
+
+
+def relabel(edges: DataFrame, ids: DataFrame) -> DataFrame:
+    """References (src, dst) under the new ids (node, new_id): src, dst; a reference to what is not kept becomes null."""
+    src = ids.select(F.col("node").alias("src"), F.col("new_id").alias("new_src"))
+    dst = ids.select(F.col("node").alias("dst"), F.col("new_id").alias("new_dst"))
+    return edges.join(src, "src").join(dst, "dst", "left").select(F.col("new_src").alias("src"), F.col("new_dst").alias("dst"))
+
+
+def referrers(edges: DataFrame, targets: DataFrame) -> DataFrame:
+    """node (of `targets`), n, from: how many and which objects refer to it, in order; 0 and an empty list for none."""
+    hits = edges.groupBy("dst").agg(F.array_sort(F.collect_set("src")).alias("from"))
+    joined = targets.select("node").distinct().join(hits, F.col("node") == F.col("dst"), "left")
+    got = F.coalesce("from", F.array().cast(hits.schema["from"].dataType))
+    return joined.select("node", F.size(got).cast("long").alias("n"), got.alias("from"))
+
+
+def clean_page_refs(refs: DataFrame, pages: DataFrame) -> DataFrame:
+    """References (holder, page) without those to pages that are gone; a holder left without any is absent."""
+    return refs.join(pages.select("page").distinct(), "page", "left_semi").select("holder", "page")

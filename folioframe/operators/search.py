@@ -57,17 +57,33 @@ def search_by_page(pages: DataFrame, needle: str, match_case: bool = False, max_
     return c.select("doc_id", "page", "matches", F.greatest(F.lit(0), F.least("matches", F.lit(max_results) - before)).cast("long").alias("returned_by_page"))
 
 
-def replace_cells(cells: DataFrame, find: str, replace: str, match_case: bool = False, whole_cell: bool = False) -> DataFrame:
-    """Cells with `new`, the text after replacing in string cells; numbers and formulas stay."""
+def replace_cells(cells: DataFrame, find: str, replace: str, match_case: bool = False, whole_cell: bool = False, include_formulas: bool = False, max_cells: int | None = None) -> DataFrame:
+    """Cells with `new`, the text after replacing in string cells; numbers stay.
+
+    With include_formulas formulas are replaced too, as `new_formula`; cells with a formula are left
+    alone without. Over max_cells cells are refused.
+    """
     _check(find)
-    s = F.col("str")
-    if whole_cell:
-        hit = s == find if match_case else F.lower(s) == find.lower()
-        new = F.when(hit, F.lit(replace)).otherwise(s)
-    else:
+    if max_cells is not None and cells.limit(max_cells + 1).count() > max_cells:
+        raise ValueError(f"there are over {max_cells} cells")
+
+    def replaced(s):
+        if whole_cell:
+            hit = s == find if match_case else s.rlike(rf"\A(?:{literal_pattern(find)})\z")
+            return hit, F.when(hit, F.lit(replace)).otherwise(s)
         hit = literal_contains(s, find, match_case)
-        new = F.when(hit, literal_replace(s, find, replace, match_case)).otherwise(s)
-    return cells.withColumn("new", F.when(F.col("value_type") == "string", new).otherwise(s)).withColumn("hit", F.coalesce((F.col("value_type") == "string") & hit, F.lit(False)))
+        return hit, F.when(hit, literal_replace(s, find, replace, match_case)).otherwise(s)
+
+    s = F.col("str")
+    plain = F.col("value_type") == "string"
+    if "formula" in cells.columns:
+        plain = plain & F.col("formula").isNull()
+    hit, new = replaced(s)
+    out = cells.withColumn("new", F.when(plain, new).otherwise(s)).withColumn("hit", F.coalesce(plain & hit, F.lit(False)))
+    if include_formulas:
+        formula_hit, formula = replaced(F.col("formula"))
+        out = out.withColumn("new_formula", formula).withColumn("hit", F.col("hit") | F.coalesce(formula_hit, F.lit(False)))
+    return out
 
 
 def change_log(replaced: DataFrame, replacement: str) -> DataFrame:

@@ -104,6 +104,29 @@ def merge_cells(cells: DataFrame, keys: list[str], r0: int, c0: int, rows: int,
     return cells.filter(~inside).select(*keys, F.col("r").cast("long"), F.col("c").cast("long"), "text").unionByName(merged)
 
 
+def insert_row(cells: DataFrame, keys: list[str], after: int) -> DataFrame:
+    """An empty row as wide as its table behind row `after` (-1: in front) of every table cell list (keys, r, c, text) that has it."""
+    kinds = dict(cells.dtypes)
+    shape = cells.groupBy(*keys).agg(F.max("c").alias("__w"), F.max("r").alias("__last")).filter(F.col("__last") >= after)
+    blank = shape.select(*keys, F.lit(after + 1).cast("long").alias("r"), F.explode(F.sequence(F.lit(0).cast(kinds["c"]), F.col("__w"))).alias("c"), F.lit("").alias("text"))
+    moved = cells.join(shape.select(*keys, F.lit(1).alias("__has")), keys, "left")
+    moved = moved.withColumn("r", F.when(F.col("__has").isNotNull() & (F.col("r") > after), F.col("r") + 1).otherwise(F.col("r")).cast("long"))
+    return moved.select(*keys, "r", "c", "text").unionByName(blank)
+
+
+def delete_row(cells: DataFrame, keys: list[str], at: int) -> DataFrame:
+    """Without row `at` of every table; a table's only row stays."""
+    only = F.max("r").over(W.partitionBy(*keys)) == 0
+    kept = cells.withColumn("__only", only).filter((F.col("r") != at) | F.col("__only"))
+    return kept.withColumn("r", F.when((F.col("r") > at) & ~F.col("__only"), F.col("r") - 1).otherwise(F.col("r")).cast("long")).drop("__only")
+
+
+def reverse(items: DataFrame, keys: list[str], index: str) -> DataFrame:
+    """All items of every group in the opposite order."""
+    n = F.count(F.lit(1)).over(W.partitionBy(*keys))
+    return items.withColumn(index, (n - 1 - F.col(index)).cast("long"))
+
+
 def slide_sizes(sizes: DataFrame) -> DataFrame:
     """EMU sizes to inches and pixels (914400 and 9525 a unit)."""
     return sizes.withColumns({"width_in": F.col("cx") / 914400, "height_px": F.col("cy") / 9525, "text": number_text(F.col("cx") / 914400)})

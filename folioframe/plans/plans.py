@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import time
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -98,12 +99,79 @@ def audit_summary(events: DataFrame, tool: Column, ok: Column, duration: Column)
     return e.groupBy("tool").agg(F.count(F.lit(1)).alias("calls"), F.count_if(~F.col("ok")).alias("failures"), F.sum("d").alias("total_ms"), F.max("d").alias("longest_ms"))
 
 
-def timed(spark: SparkSession, tool: str, target: str, run) -> tuple[object, DataFrame]:
-    """Run a callable and return its result with one audit row."""
-    began, code, out = time.time(), None, None
+def timed(spark: SparkSession, tool: str, target: str, run, log: Callable[[DataFrame], None] | None = None) -> tuple[object, DataFrame]:
+    """Run a callable; its result and one audit row. The row goes to `log` too, also if the call fails; its error is raised again."""
+    began, code = time.time(), None
     try:
         out = run()
     except Exception as e:
         code = type(e).__name__
-    row = [(began, "folioframe", tool, (time.time() - began) * 1000, target, code is None, code, uuid.uuid4().hex, None, None)]
-    return out, spark.createDataFrame(row, AUDIT)
+        raise
+    finally:
+        row = [(began, "folioframe", tool, (time.time() - began) * 1000, target, code is None, code, uuid.uuid4().hex, None, None)]
+        audit = spark.createDataFrame(row, AUDIT)
+        if log is not None:
+            log(audit)
+    return out, audit
+
+
+class PlanBook:
+    """Plans over a TableStore: previewed, looked up, executed once, rolled back or cancelled.
+
+    A plan is an operation (a function of the current table) with the count of rows it would change.
+    Execution keeps the version it started from and a hash of it; a rollback goes ahead only if the
+    kept version still has that hash.
+    """
+
+    def __init__(self, store: TableStore):
+        self.store, self.plans = store, {}
+
+    def preview(self, operation: str, target: str, hits: Callable[[DataFrame], DataFrame], run: Callable[[DataFrame], DataFrame]) -> dict:
+        impact = hits(self.store.read()).count()
+        asks = operation in DESTRUCTIVE or impact > (RISKY_REPLACEMENTS if operation == "find_and_replace" else RISKY_CELLS)
+        plan = {"plan_id": uuid.uuid4().hex[:12], "operation": operation, "target": target, "impact": impact, "destructive": operation in DESTRUCTIVE, "needs_confirm": asks, "status": "previewed", "backup": None, "hash": None, "run": run}
+        self.plans[plan["plan_id"]] = plan
+        return self.status(plan["plan_id"])
+
+    def status(self, plan_id: str) -> dict:
+        """What is known of a plan; an unknown id raises."""
+        if plan_id not in self.plans:
+            raise KeyError(f"no such plan: {plan_id}")
+        return {k: v for k, v in self.plans[plan_id].items() if k not in ("run", "hash")}
+
+    def _hash(self, version: int) -> str:
+        df = self.store.read(version)
+        row = df.agg(F.count(F.lit(1)), F.sum(F.xxhash64(*df.columns).cast("decimal(38,0)"))).first()
+        return f"{row[0]}:{row[1]}"
+
+    def execute(self, plan_id: str, confirm: bool = False) -> dict:
+        plan = self.plans[self.status(plan_id)["plan_id"]]
+        if plan["status"] != "previewed":
+            raise ValueError(f"the plan is {plan['status']}")
+        if plan["needs_confirm"] and not confirm:
+            raise PermissionError("the plan needs confirmation")
+        version = self.store.versions()[-1]
+        plan["hash"] = self._hash(version)
+        self.store.commit(plan["run"](self.store.read(version)))
+        plan |= {"status": "executed", "backup": f"v{version}"}
+        return self.status(plan_id)
+
+    def rollback(self, plan_id: str) -> dict:
+        plan = self.plans[self.status(plan_id)["plan_id"]]
+        if plan["status"] != "executed":
+            raise ValueError(f"the plan is {plan['status']}")
+        version = int(plan["backup"][1:])
+        if self.store.versions()[-1] != version + 1:
+            raise ValueError("the table has changed since")
+        if self._hash(version) != plan["hash"]:
+            raise ValueError("the kept version is not what it was")
+        self.store.rollback()
+        plan["status"] = "rolled_back"
+        return self.status(plan_id)
+
+    def cancel(self, plan_id: str) -> dict:
+        plan = self.plans[self.status(plan_id)["plan_id"]]
+        if plan["status"] != "previewed":
+            raise ValueError(f"the plan is {plan['status']}")
+        plan["status"] = "cancelled"
+        return self.status(plan_id)

@@ -91,35 +91,81 @@ def descendants(e: ET.Element, *names: str) -> Iterator[ET.Element]:
     return (c for c in e.iter() if local(c.tag) in names)
 
 
+#: Bytes of a file's rows that are held until its end is known to be sound.
+HELD = 64 << 20
+
+
+def _sound_batches(parse: Callable[[], Iterator[tuple]], names: list[str], arrow: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """Batches of a parse that reaches its end; none of one that fails.
+
+    Rows are held until the end; of a file with more than HELD bytes of rows the parse only checks
+    the rest, and a second one gives the rows, so memory stays bounded.
+    """
+
+    def batches() -> Iterator[pa.RecordBatch]:
+        rows: list = []
+        for row in parse():
+            rows.append(dict(zip(names, row, strict=True)))
+            if len(rows) >= 8192:
+                yield pa.RecordBatch.from_pylist(rows, arrow)
+                rows = []
+        if rows:
+            yield pa.RecordBatch.from_pylist(rows, arrow)
+
+    held, size, all_held = [], 0, True
+    try:
+        for b in batches():
+            size += b.nbytes
+            if size > HELD:
+                held, all_held = [], False
+            elif all_held:
+                held.append(b)
+    except Exception:  # whatever a broken or hostile file makes the parser do; unreadable() tells the reason
+        return
+    yield from held if all_held else batches()
+
+
+def _load(spark: SparkSession, path: str, pattern: str | None) -> DataFrame:
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+    return (reader.option("pathGlobFilter", pattern) if pattern else reader).load(path).select("path", "content")
+
+
+def _one_by_one(it: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, bytes]]:
+    for batch in it:
+        for i in range(batch.num_rows):  # one file at a time becomes a Python object
+            yield batch.column(0)[i].as_py(), batch.column(1)[i].as_py()
+
+
 def read_files(spark: SparkSession, path: str, schema: str, parse: Callable[[str, bytes], Iterator[tuple]], pattern: str | None = None) -> DataFrame:
     """Rows of `parse(file_id, content)` for every file; a file is read by Spark, so any file system will do.
 
-    A file that cannot be read gives no rows; use bad_files() for the reasons.
+    A file that cannot be read to its end gives no rows at all, and does not end the query;
+    unreadable() lists such files with the reasons.
     """
-    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-    files = (reader.option("pathGlobFilter", pattern) if pattern else reader).load(path).select("path", "content")
     kinds = StructType.fromDDL(schema)
-    names = kinds.fieldNames()
 
     def run(it):
         from pyspark.sql.pandas.types import to_arrow_schema
 
         arrow = to_arrow_schema(kinds)
-        for batch in it:
-            for file_id, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                rows: list = []
-                try:
-                    for row in parse(file_id, content):
-                        rows.append(row)
-                        if len(rows) >= 8192:
-                            yield pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in rows], arrow)
-                            rows = []
-                except (ValueError, KeyError, zipfile.BadZipFile, ET.ParseError):
-                    rows = []
-                if rows:
-                    yield pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in rows], arrow)
-
-    return files.mapInArrow(run, schema)
+        for file_id, content in _one_by_one(it):
+            yield from _sound_batches(lambda: parse(file_id, content), kinds.fieldNames(), arrow)  # noqa: B023
+
+    return _load(spark, path, pattern).mapInArrow(run, schema)
+
+
+def unreadable(spark: SparkSession, path: str, parse: Callable[[str, bytes], Iterator[tuple]], pattern: str | None = None) -> DataFrame:
+    """file_id, error, reason of the files that `parse` cannot read to their end."""
+
+    def run(it):
+        for file_id, content in _one_by_one(it):
+            try:
+                for _ in parse(file_id, content):
+                    pass
+            except Exception as e:
+                yield pa.RecordBatch.from_pylist([{"file_id": file_id, "error": type(e).__name__, "reason": str(e)}])
+
+    return _load(spark, path, pattern).mapInArrow(run, "file_id string, error string, reason string")
 
 
 def _parts(file_id: str, content: bytes) -> Iterator[tuple]:
@@ -133,13 +179,11 @@ def read_parts(spark: SparkSession, path: str) -> DataFrame:
     return read_files(spark, path, model.PARTS, _parts)
 
 
-def bad_files(spark: SparkSession, path: str) -> DataFrame:
-    """file_id, reason of files that are no readable package."""
+def _opened(file_id: str, content: bytes) -> Iterator[tuple]:
+    Package(content)
+    yield (file_id,)
 
-    def check(file_id: str, content: bytes) -> Iterator[tuple]:
-        try:
-            Package(content)
-        except (ValueError, zipfile.BadZipFile) as e:
-            yield file_id, str(e)
 
-    return read_files(spark, path, "file_id string, reason string", check)
+def bad_files(spark: SparkSession, path: str) -> DataFrame:
+    """file_id, error, reason of files that are no readable package; unreadable() checks a whole parse."""
+    return unreadable(spark, path, _opened)

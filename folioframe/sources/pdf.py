@@ -6,6 +6,7 @@ import re
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
 from .. import model
@@ -166,13 +167,21 @@ class Document:
         raw, head = self.streams.get(tuple(key)), self.objects.get(tuple(key))
         if raw is None:
             return None
-        filters = self.get(head.get("Filter"))
-        for f in filters if isinstance(filters, list) else [filters] if filters else []:
+        filters, parms = self.get(head.get("Filter")), self.get(head.get("DecodeParms"))
+        filters = filters if isinstance(filters, list) else [filters] if filters else []
+        parms = parms if isinstance(parms, list) else [parms]
+        for f, parm in zip(filters, [*parms, *[None] * len(filters)], strict=False):
             if f in ("FlateDecode", "Fl"):
                 try:
-                    raw = zlib.decompressobj().decompress(raw, MAX_STREAM)
+                    inflate = zlib.decompressobj()
+                    raw = inflate.decompress(raw, MAX_STREAM)
                 except zlib.error:
                     return None
+                if inflate.unconsumed_tail:
+                    raise ValueError(f"a stream has over {MAX_STREAM} bytes")
+                parm = self.get(parm)
+                if isinstance(parm, dict) and (raw := unpredicted(raw, *(self.get(parm.get(k, d)) for k, d in (("Predictor", 1), ("Columns", 1), ("Colors", 1), ("BitsPerComponent", 8))))) is None:
+                    return None
             elif f == "ASCIIHexDecode":
                 raw = Lexer(b"<" + raw).next()
             elif f == "ASCII85Decode":
@@ -192,8 +201,10 @@ class Document:
 
         def walk(node, inherited: dict, depth: int) -> None:
             node = self.get(node)
-            if not isinstance(node, dict) or depth > MAX_DEPTH or len(out) >= MAX_PAGES:
+            if not isinstance(node, dict):
                 return
+            if depth > MAX_DEPTH or len(out) >= MAX_PAGES:
+                raise ValueError(f"the page tree is deeper than {MAX_DEPTH} or has over {MAX_PAGES} pages")
             own = inherited | {k: node[k] for k in ("MediaBox", "Rotate", "Resources") if k in node}
             if "Kids" in node:
                 for kid in self.get(node["Kids"]) or []:
@@ -220,6 +231,46 @@ class Document:
         return out
 
 
+def unpredicted(data: bytes, predictor: int, columns: int, colors: int, bits: int) -> bytes | None:
+    """Undo the difference coding of rows (2: of samples; 10 and up: a filter byte before each row); None if unknown."""
+    if predictor == 1:
+        return data
+    pixel, width = max(1, colors * bits // 8), -(-columns * colors * bits // 8)
+    if predictor == 2:
+        if bits != 8:
+            return None
+        rows = np.frombuffer(data[: len(data) // width * width], np.uint8).reshape(-1, columns, colors)
+        return np.cumsum(rows, axis=1, dtype=np.uint8).tobytes()
+    if predictor < 10:
+        return None
+    out, above = [], np.zeros(width, np.uint8)
+    for at in range(0, len(data), width + 1):
+        kind, row = data[at], np.zeros(width, np.uint8)
+        got = np.frombuffer(data[at + 1 : at + 1 + width], np.uint8)
+        row[: len(got)] = got
+        if kind == 1:
+            lanes = np.zeros(-(-width // pixel) * pixel, np.uint8)
+            lanes[:width] = row
+            row = np.cumsum(lanes.reshape(-1, pixel), axis=0, dtype=np.uint8).ravel()[:width]
+        elif kind == 2:
+            row = row + above
+        elif kind in (3, 4):  # each byte needs the one before it
+            done, up = [0] * pixel + [0] * width, [0] * pixel + above.tolist()
+            for i, x in enumerate(row.tolist(), pixel):
+                left, top, corner = done[i - pixel], up[i], up[i - pixel]
+                if kind == 3:
+                    guess = (left + top) // 2
+                else:
+                    guess = min((left, top, corner), key=lambda v: abs(left + top - corner - v))  # noqa: B023
+                done[i] = (x + guess) & 255
+            row = np.array(done[pixel:], np.uint8)
+        elif kind:
+            return None
+        out.append(row[: len(got)].tobytes())
+        above = row
+    return b"".join(out)
+
+
 def unicode_map(body: bytes) -> dict[int, str]:
     """Codes to text from bfchar and bfrange sections."""
     out: dict[int, str] = {}
@@ -332,6 +383,88 @@ def _objects(file_id: str, content: bytes) -> Iterator[tuple]:
         yield file_id, f"{key[0]} {key[1]}", kind, list(dict.fromkeys(refs(v))), len(doc.streams[key]) if key in doc.streams else None
 
 
+def _text(value) -> str | None:
+    """A string object as text: UTF-16 behind its mark, else Latin-1; a name as it is."""
+    if isinstance(value, bytes):
+        return value[2:].decode("utf-16-be", "replace") if value[:2] == b"\xfe\xff" else value.decode("latin-1")
+    return str(value) if isinstance(value, Name) else None
+
+
+def _annotations(file_id: str, content: bytes) -> Iterator[tuple]:
+    doc = Document(content)
+    for i, p in enumerate(doc.pages()):
+        for n, ref in enumerate(doc.get(p.get("Annots")) or []):
+            a = doc.get(ref)
+            if isinstance(a, dict):
+                box = [float(x) if isinstance(x := doc.get(v), (int, float)) else 0.0 for v in doc.get(a.get("Rect")) or []]
+                yield file_id, i, n, _text(a.get("Subtype")), _text(doc.get(a.get("Contents"))), _text(doc.get(a.get("T"))), box
+
+
+def _fields(file_id: str, content: bytes) -> Iterator[tuple]:
+    doc = Document(content)
+    root = doc.get(doc.trailer.get("Root"))
+    form = doc.get(root.get("AcroForm")) if isinstance(root, dict) else None
+
+    def states(widget: dict) -> list[str]:
+        shown = doc.get((doc.get(widget.get("AP")) or {}).get("N"))
+        return [str(k) for k in shown if k != "Off"] if isinstance(shown, dict) else []
+
+    def walk(ref, path: list[str], inherited: dict, depth: int) -> Iterator[tuple]:
+        f = doc.get(ref)
+        if not isinstance(f, dict):
+            return
+        if depth > MAX_DEPTH:
+            raise ValueError(f"the form is deeper than {MAX_DEPTH}")
+        own = inherited | {k: f[k] for k in ("FT", "V", "Ff", "Opt") if k in f}
+        name = [*path, _text(doc.get(f["T"]))] if "T" in f else path
+        kids = [k for k in doc.get(f.get("Kids")) or []]
+        named = [k for k in kids if isinstance(doc.get(k), dict) and "T" in doc.get(k)]
+        if named:
+            for k in named:
+                yield from walk(k, name, own, depth + 1)
+            return
+        flags = doc.get(own.get("Ff")) or 0
+        options = [_text(doc.get(v[0] if isinstance(v := doc.get(o), list) and v else o)) for o in doc.get(own.get("Opt")) or []]
+        for widget in [f, *filter(lambda w: isinstance(w, dict), map(doc.get, kids))]:
+            options += [x for x in states(widget) if x not in options]
+        kind = {"Tx": "text", "Ch": "choice", "Btn": "button", "Sig": "signature"}.get(str(own.get("FT")))
+        yield file_id, ".".join(x or "" for x in name), kind, _text(doc.get(own.get("V"))), options, bool(flags & 1)
+
+    for ref in doc.get((form or {}).get("Fields")) or []:
+        yield from walk(ref, [], {}, 0)
+
+
+def _images(file_id: str, content: bytes) -> Iterator[tuple]:
+    """Images that pages name in their resources, each with the reason why it cannot be given out as it is."""
+    doc = Document(content)
+    for i, p in enumerate(doc.pages()):
+        for name, ref in (doc.get((doc.get(p.get("Resources")) or {}).get("XObject")) or {}).items():
+            x = doc.get(ref)
+            if not isinstance(x, dict) or x.get("Subtype") != "Image" or not isinstance(ref, Ref):
+                continue
+            f = doc.get(x.get("Filter"))
+            last = (f[-1] if f else None) if isinstance(f, list) else f
+            direct = {"DCTDecode": "jpg", "JPXDecode": "jp2"}.get(str(last))
+            skipped = None if direct else "no data" if tuple(ref) not in doc.streams else "samples" if doc.stream(ref) is not None else f"filter {last}"
+            size = len(doc.streams.get(tuple(ref), b""))
+            yield file_id, f"{ref[0]} {ref[1]}", i, str(name), doc.get(x.get("Width")), doc.get(x.get("Height")), direct, skipped, size
+
+
+def read_annotations(spark: SparkSession, path: str) -> DataFrame:
+    """Annotations of pages: kind, contents, author and rectangle."""
+    return read_files(spark, path, "file_id string, page int, pos int, kind string, contents string, author string, rect array<double>", _annotations)
+
+
+def read_fields(spark: SparkSession, path: str) -> DataFrame:
+    """Form fields by full name: type, value, options (of a button: the states it can show), read_only."""
+    return read_files(spark, path, "file_id string, field string, type string, value string, options array<string>, read_only boolean", _fields)
+
+
+def read_images(spark: SparkSession, path: str) -> DataFrame:
+    """Uses of images by pages: object_key, page, name, width, height, format of the data as it stands, or why it is skipped."""
+    return read_files(spark, path, "file_id string, object_key string, page int, name string, width int, height int, format string, skipped string, stream_bytes long", _images)
+
+
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
     """Pages with size in points, rotation and text."""
     return read_files(spark, path, model.PAGES, _pages)

@@ -60,7 +60,8 @@ def _texts(e) -> str:
     return "".join(t.text or "" for t in descendants(e, "t"))
 
 
-def _cells(sheet: str | None, rng: str | None):
+def parse_cells(sheet: str | None = None, rng: str | None = None):
+    """A parser of workbooks for read_files and unreadable."""
     bounds = parse_range(rng) if rng else None
 
     def parse(file_id: str, content: bytes) -> Iterator[tuple]:
@@ -127,13 +128,21 @@ def _value(e, strings, dates, epoch: int) -> tuple:
         return None, None, None, None, None, formula, style, raw
     x = _number(raw)
     if style is not None and math.isfinite(x) and style in dates():
-        return "date", x, None, None, _EPOCH + dt.timedelta(milliseconds=epoch + math.floor(x * DAY_MS + 0.5)), formula, style, raw
+        return "date", x, None, None, _instant(x, epoch), formula, style, raw
     return "number", x, None, None, None, formula, style, raw
 
 
+def _instant(serial: float, epoch: int) -> dt.datetime | None:
+    """Null beyond the years that a timestamp can hold; the number stays."""
+    try:
+        return _EPOCH + dt.timedelta(milliseconds=epoch + math.floor(serial * DAY_MS + 0.5))
+    except OverflowError:
+        return None
+
+
 def read_cells(spark: SparkSession, path: str, sheet: str | None = None, rng: str | None = None) -> DataFrame:
     """Cells of workbooks in document order, of one sheet and range if named; rows past it are not read."""
-    return read_files(spark, path, model.CELLS.replace("ts timestamp", "ts timestamp_ntz"), _cells(sheet, rng))
+    return read_files(spark, path, model.CELLS.replace("ts timestamp", "ts timestamp_ntz"), parse_cells(sheet, rng))
 
 
 def read_sheets(spark: SparkSession, path: str) -> DataFrame:

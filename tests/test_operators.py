@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from folioframe import model
 from folioframe.functions import exprs as X
 from folioframe.operators import cells as C
-from folioframe.operators import diff, graph, integrity, layout, search
+from folioframe.operators import diff, graph, integrity, layout, objects, search, worksheets
 from folioframe.operators import sequences as S
 from folioframe.plans import plans
 from folioframe.streaming import ingest
@@ -135,6 +135,114 @@ def test_numbering_over_buckets(spark):
     assert rows(model.numbered(spark.createDataFrame([(k,) for k in keys], "k long"), "k", "n")) == sorted([(k, i) for i, k in enumerate(keys, 1)], key=str)
 
 
+def test_numbering_of_nulls_repeats_and_sparse_keys(spark):
+    got = rows(model.numbered(spark.createDataFrame([(None, "x"), (7, "b"), (7, "a"), (-(10**15), "y"), (10**15, "z"), (None, "w")], "k long, v string"), "k", "n"))
+    assert sorted((n, k, v) for k, v, n in got) == [(1, None, "w"), (2, None, "x"), (3, -(10**15), "y"), (4, 7, "a"), (5, 7, "b"), (6, 10**15, "z")]
+    assert model.numbered(spark.createDataFrame([], "k long"), "k", "n").count() == 0
+
+
+def test_one_folding_rule(spark):
+    df = spark.createDataFrame([("ma\u017f\u212a",), ("MASK",), ("nix",), (None,)], "s string")
+    got = df.select(X.literal_contains(F.col("s"), "mask"), X.literal_count(F.col("s"), "mask"), X.literal_replace(F.col("s"), "mask", "x")).collect()
+    assert [tuple(r) for r in got] == [(True, 1, "x"), (True, 1, "x"), (False, 0, "nix"), (None, None, None)]
+
+
+def test_lines_around_empty_runs(spark, tmp_path):
+    cells = spark.createDataFrame([(2, 1, 1, None, "a"), (3, 1, 2, None, "b"), (9, 1, 3, None, "c")], "row long, col int, ord long, num double, str string")
+    C.write_csv(cells, str(tmp_path / "out"), run=2)
+    text = "".join(p.read_bytes().decode("utf-8") for p in sorted((tmp_path / "out").glob("part-*")))
+    assert text == "\ufeff\r\na\r\nb" + "\r\n" * 6 + "c\r\n"
+
+
+def test_sheet_pages_formulas_and_styles(spark):
+    kinds = "row int, col int, ref string, ord long, value_type string, num double, str string, formula string, style int, sheet string"
+    cells = spark.createDataFrame([(1, 1, "A1", 1, "number", 1.0, None, "B1+1", 3, "s"), (1, 2, "B1", 2, "string", None, "Total", None, 4, "s"), (2, 1, "A2", 3, "string", None, "total", "T(total)", None, "s")], kinds)
+    page = C.read_sheet(cells, 0, 2, 5).orderBy("ord").collect()
+    assert [(r.ref, r.total, r.truncated) for r in page] == [("A1", 3, True), ("B1", 3, True)]
+    with pytest.raises(ValueError):
+        C.read_sheet(cells, max_cells=2)
+    assert rows(C.count_formulas(cells)) == [("s", 2)] and C.more_than(cells, 2) and not C.more_than(cells, 3)
+    edits = spark.createDataFrame([(1, 2, "number", 5.0, None), (3, 1, "number", 6.0, None)], "row int, col int, value_type string, num double, str string")
+    assert sorted((r.ref, r.num, r.style, r.formula) for r in C.upsert(cells, edits).filter("num > 1").collect()) == [("A3", 6.0, None, None), ("B1", 5.0, 4, None)]
+    plain = search.replace_cells(cells, "total", "SUM").filter("hit").collect()
+    assert [(r.ref, r.new) for r in plain] == [("B1", "SUM")]
+    with_formulas = search.replace_cells(cells, "total", "SUM", include_formulas=True).filter("hit").orderBy("ord").collect()
+    assert [(r.ref, r.new, r.new_formula) for r in with_formulas] == [("B1", "SUM", None), ("A2", "total", "T(SUM)")]
+    assert C.chart_categories(cells, "A1:B1").first().categories == ["1", "Total"]
+
+
+def test_worksheet_rules(spark):
+    s = spark.createDataFrame([(0, "One", "visible"), (1, "Two", "hidden")], "pos int, name string, state string")
+    assert rows(worksheets.add_sheet(s, "New", 1)) == [(0, "One", "visible"), (1, "New", "visible"), (2, "Two", "hidden")]
+    for bad in (lambda: worksheets.add_sheet(s, "ONE"), lambda: worksheets.add_sheet(s, "a/b"), lambda: worksheets.add_sheet(s, "x" * 32), lambda: worksheets.rename_sheet(s, "One", "two"), lambda: worksheets.rename_sheet(s, "Three", "x"), lambda: worksheets.delete_sheet(s, "One")):
+        with pytest.raises(ValueError):
+            bad()
+    assert rows(worksheets.rename_sheet(s, "One", "ONE")) == [(0, "ONE", "visible"), (1, "Two", "hidden")]
+    assert rows(worksheets.delete_sheet(worksheets.add_sheet(s, "New"), "One")) == [(0, "Two", "hidden"), (1, "New", "visible")]
+    merges = spark.createDataFrame([(1, 1, 2, 2)], "r0 int, c0 int, r1 int, c1 int")
+    assert worksheets.merge_range(merges, "C1:D4").count() == 2
+    for bad in ("A1:B2", "B2:C3", "F9"):
+        with pytest.raises(ValueError):
+            worksheets.merge_range(merges, bad)
+    assert worksheets.parse_sheet_range("'It''s! 2'!$B$2:A1") == ("It's! 2", (1, 1, 2, 2)) and worksheets.parse_sheet_range("S!C3") == ("S", (3, 3, 3, 3)) and worksheets.parse_sheet_range("A1", "d")[0] == "d"
+    codes = spark.createDataFrame([("0.00",), ("x",), ("y",), ("mine",)], "code string")
+    assert rows(worksheets.format_ids(codes, spark.createDataFrame([(170, "mine")], "id int, code string"))) == [("0.00", 2), ("mine", 170), ("x", 171), ("y", 172)]
+
+
+def test_forms_bookmarks_and_rows(spark):
+    fields = spark.createDataFrame([("a", "a", "text", None, False), ("b", "b", "choice", ["x"], False), ("c", "c", "button", ["On"], False), ("d", "d", "text", [], True), ("e", "e", "text", [], False)], "name string, field string, type string, options array<string>, read_only boolean")
+    values = spark.createDataFrame([("a", "q"), ("b", "y"), ("c", "Off"), ("d", "z")], "name string, new string")
+    want = [("a", "q", "filled"), ("b", None, "invalid"), ("c", "Off", "filled"), ("d", None, "read_only"), ("e", None, "unchanged")]
+    assert rows(objects.fill_form(fields, values, ["name"]).select("field", "value", "outcome")) == sorted(want, key=str)
+    assert objects.fill_form(fields, values, ["name"], force=True).filter("field = 'd'").first().value == "z"
+    assert rows(objects.on_states(spark.createDataFrame([("c", ["On", "Off"]), ("c", ["Yes", "On"]), ("n", None)], "field string, states array<string>"))) == [("c", ["On", "Yes"]), ("n", [])]
+    marks = spark.createDataFrame([(4, "Here", 0)], "id int, name string, paragraph int")
+    assert rows(objects.add_bookmark(marks, 2, "There_1")) == [(4, "Here", 0), (5, "There_1", 2)]
+    for bad in ("here", "1st", "a b"):
+        with pytest.raises(ValueError):
+            objects.add_bookmark(marks, 2, bad)
+    t = spark.createDataFrame([(1, 0, 0, "a"), (1, 0, 1, "b"), (1, 1, 0, "c"), (2, 0, 0, "z")], "d long, r int, c int, text string")
+    assert rows(S.insert_row(t, ["d"], 0)) == sorted([(1, 0, 0, "a"), (1, 0, 1, "b"), (1, 1, 0, ""), (1, 1, 1, ""), (1, 2, 0, "c"), (2, 0, 0, "z"), (2, 1, 0, "")], key=str)
+    assert rows(S.insert_row(t, ["d"], 1).filter("d = 2")) == [(2, 0, 0, "z")]
+    assert rows(S.delete_row(t, ["d"], 0)) == [(1, 0, 0, "c"), (2, 0, 0, "z")]
+    chars = spark.createDataFrame([("a漢b漢é€",), ("plain",)], "s string").select(X.unencodable(F.col("s")).alias("u")).collect()
+    assert [r.u for r in chars] == [["漢"], []]
+    tags = spark.createDataFrame([(["r", "hyperlink", "r", "fldChar"],)], "t array<string>")
+    assert tags.select(objects.protected_markup(F.col("t"), ["hyperlink", "fldChar", "drawing"])).first()[0] == ["fldChar", "hyperlink"]
+
+
+def test_references_after_renumbering(spark):
+    edges = spark.createDataFrame([(10, 30), (30, 10), (30, 99), (99, 10)], "src long, dst long")
+    ids = graph.renumber(spark.createDataFrame([(30,), (10,)], "node long"))
+    assert rows(graph.relabel(edges, ids)) == [(1, 2), (2, 1), (2, None)]
+    assert rows(graph.referrers(edges, spark.createDataFrame([(10,), (5,)], "node long"))) == [(10, 2, [30, 99]), (5, 0, [])]
+    refs = spark.createDataFrame([("dest", 1), ("dest", 2), ("gone", 9)], "holder string, page int")
+    assert rows(graph.clean_page_refs(refs, spark.createDataFrame([(1,), (2,)], "page int"))) == [("dest", 1), ("dest", 2)]
+
+
+def test_plans_that_run_on_tables(spark, tmp_path):
+    store = plans.TableStore(spark, str(tmp_path / "t"))
+    store.commit(spark.range(10).selectExpr("id", "'v' AS v"))
+    book = plans.PlanBook(store)
+    p = book.preview("delete_rows", "t", lambda df: df.filter("id < 4"), lambda df: df.filter("id >= 4"))
+    assert (p["impact"], p["needs_confirm"], p["status"]) == (4, True, "previewed")
+    with pytest.raises(PermissionError):
+        book.execute(p["plan_id"])
+    assert store.read().count() == 10 and book.execute(p["plan_id"], confirm=True)["status"] == "executed" and store.read().count() == 6
+    with pytest.raises(ValueError):
+        book.execute(p["plan_id"], confirm=True)
+    assert book.rollback(p["plan_id"])["status"] == "rolled_back" and store.read().count() == 10
+    q = book.preview("write_cells", "t", lambda df: df.filter("id = 1"), lambda df: df.withColumn("v", F.lit("w")))
+    book.execute(q["plan_id"])
+    spark.range(3).selectExpr("id", "'x' AS v").write.mode("overwrite").parquet(str(tmp_path / "t" / "v1"))
+    with pytest.raises(ValueError):
+        book.rollback(q["plan_id"])
+    r = book.preview("write_cells", "t", lambda df: df.limit(0), lambda df: df)
+    assert book.cancel(r["plan_id"])["status"] == "cancelled" and book.status(r["plan_id"])["impact"] == 0
+    with pytest.raises(KeyError):
+        book.status("none")
+
+
 def test_sequence_edits(spark):
     p = spark.createDataFrame([(1, 0, "a"), (1, 1, "b"), (2, 0, "c")], "d long, i int, t string")
     assert rows(S.delete_at(p, ["d"], "i", 0)) == [(1, 0, "b"), (2, 0, "c")]
@@ -171,10 +279,10 @@ def test_table_versions(spark, tmp_path):
 
 
 def test_audit_log(spark, tmp_path):
-    _, good = plans.timed(spark, "read", "a", lambda: 1)
-    _, bad = plans.timed(spark, "read", "b", lambda: 1 // 0)
-    for e in (good, bad):
-        plans.write_audit(e, str(tmp_path / "log"))
+    log = lambda e: plans.write_audit(e, str(tmp_path / "log"))
+    assert plans.timed(spark, "read", "a", lambda: 1, log)[0] == 1
+    with pytest.raises(ZeroDivisionError):
+        plans.timed(spark, "read", "b", lambda: 1 // 0, log)
     s = plans.audit_summary(plans.read_audit(spark, str(tmp_path / "log")), F.col("tool"), F.col("ok"), F.col("duration_ms")).first()
     assert (s.tool, s.calls, s.failures) == ("read", 2, 1)
 

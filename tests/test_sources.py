@@ -1,14 +1,16 @@
 import datetime as dt
 import io
 import math
+import random
 import zipfile
 import zlib
 
+import pyarrow as pa
 import pytest
 
 from folioframe.operators import cells as C
 from folioframe.operators import layout
-from folioframe.sources import files, package, pdf, sheets, texts
+from folioframe.sources import files, package, pdf, sheets, texts, writers
 
 REL = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
 
@@ -136,3 +138,88 @@ def test_character_maps():
     cmap = pdf.unicode_map(b"1 beginbfchar <01> <0041> endbfchar 1 beginbfrange <0002> <0003> <4E00> endbfrange")
     assert cmap == {1: "A", 2: "一", 3: "丁"}
     assert pdf._decode(b"\x00\x02\x01", cmap) == "一A"
+
+
+def sheet_of(rows):
+    return "<worksheet><sheetData>" + rows + "</sheetData></worksheet>"
+
+
+def one_sheet(body):
+    return writers.package({"xl/workbook.xml": f'<workbook xmlns:r="{REL}"><sheets><sheet name="S" sheetId="1" r:id="r1"/></sheets></workbook>', "xl/_rels/workbook.xml.rels": rels(r1=("worksheet", "worksheets/s1.xml"), r4=("styles", "styles.xml")), "xl/worksheets/s1.xml": body, "xl/styles.xml": '<styleSheet><cellXfs><xf numFmtId="14"/></cellXfs></styleSheet>'})
+
+
+def test_a_file_is_read_whole_or_not_at_all(spark, tmp_path, monkeypatch):
+    """Also if it breaks behind many rows, and if its rows are too many to hold."""
+    many = "".join(f'<row r="{i}"><c r="A{i}"><v>{i}</v></c></row>' for i in range(1, 20_001))
+    (tmp_path / "broken.xlsx").write_bytes(one_sheet(sheet_of(many)[:-40]))
+    (tmp_path / "sound.xlsx").write_bytes(one_sheet(sheet_of(many)))
+    got = sheets.read_cells(spark, str(tmp_path))
+    assert {r.file_id.rsplit("/", 1)[-1]: r["count"] for r in got.groupBy("file_id").count().collect()} == {"sound.xlsx": 20_000}
+    assert [(r.file_id.rsplit("/", 1)[-1], r.error) for r in package.unreadable(spark, str(tmp_path), sheets.parse_cells()).collect()] == [("broken.xlsx", "ParseError")]
+    monkeypatch.setattr(package, "HELD", 10_000)
+    arrow = pa.schema([("n", pa.int64())])
+    assert sum(b.num_rows for b in package._sound_batches(lambda: ((i,) for i in range(30_000)), ["n"], arrow)) == 30_000
+    assert list(package._sound_batches(lambda: ((1 // (29_999 - i),) for i in range(30_000)), ["n"], arrow)) == []
+
+
+def test_odd_cells_and_locked_parts_do_not_end_the_query(spark, tmp_path):
+    (tmp_path / "far.xlsx").write_bytes(one_sheet(sheet_of('<row r="1"><c r="A1" s="0"><v>1e12</v></c><c r="B1" s="0"><v>1</v></c></row>')))
+    locked = bytearray(one_sheet(sheet_of("")))
+    for i in range(len(locked) - 4):  # set the encryption bit of all local and central headers
+        if locked[i : i + 4] == b"PK\x03\x04":
+            locked[i + 6] |= 1
+        elif locked[i : i + 4] == b"PK\x01\x02":
+            locked[i + 8] |= 1
+    (tmp_path / "locked.xlsx").write_bytes(bytes(locked))
+    cells = sheets.read_cells(spark, str(tmp_path)).orderBy("col").collect()
+    assert [(r.value_type, r.num, r.ts) for r in cells] == [("date", 1e12, None), ("date", 1.0, dt.datetime(1899, 12, 31))]
+    assert [(r.file_id.rsplit("/", 1)[-1], r.error) for r in package.unreadable(spark, str(tmp_path), sheets.parse_cells()).collect()] == [("locked.xlsx", "RuntimeError")]
+
+
+def test_listing_says_what_it_leaves_out(spark, tmp_path):
+    for name in ("a.txt", "d/b.txt", "d/e/c.txt", "d/.hidden.txt"):
+        path = tmp_path / "root" / name
+        path.parent.mkdir(parents=True, exist_ok=True)
+        path.write_text("x")
+    root = str(tmp_path / "root")
+    assert {(r.path.rsplit("/", 1)[-1], r.depth, r.total, r.truncated) for r in files.list_files(spark, root).collect()} == {("a.txt", 0, 3, False), ("b.txt", 1, 3, False), ("c.txt", 2, 3, False)}
+    assert [(r.path.rsplit("/", 1)[-1], r.total, r.truncated) for r in files.list_files(spark, root, limit=1).collect()] == [("a.txt", 3, True)]
+    assert files.list_files(spark, root, max_depth=1).count() == 2
+    assert files.safe_path("/data", "a/../b.txt") == "/data/b.txt"
+    for bad in ("../x", "/etc/passwd", "a/../../x", "s3://x", "a\0b"):
+        with pytest.raises(ValueError):
+            files.safe_path("/data", bad)
+
+
+def test_row_predictors():
+    rng = random.Random(2)
+    rows = [bytes(rng.randrange(256) for _ in range(12)) for _ in range(9)]
+    for pixel in (1, 3):
+        out, above = b"", bytes(12)
+        for k, row in enumerate(rows):
+            kind, coded = k % 5, bytearray()
+            for i, x in enumerate(row):
+                left, top, corner = row[i - pixel] if i >= pixel else 0, above[i], above[i - pixel] if i >= pixel else 0
+                guess = left + top - corner
+                paeth = min((abs(guess - left), 0, left), (abs(guess - top), 1, top), (abs(guess - corner), 2, corner))[2]
+                coded.append((x - (0, left, top, (left + top) // 2, paeth)[kind]) & 255)
+            out, above = out + bytes([kind]) + bytes(coded), row
+        assert pdf.unpredicted(out, 15, 12 // pixel, pixel, 8) == b"".join(rows)
+    assert pdf.unpredicted(bytes([1, 1, 1, 5, 250, 1]), 2, 3, 1, 8) == bytes([1, 2, 3, 5, 255, 0]) and pdf.unpredicted(b"x", 1, 1, 1, 8) == b"x"
+
+
+def test_limits_of_pdf_files_raise():
+    loop = b"%PDF-1.4\n1 0 obj\n<< /Type /Catalog /Pages 2 0 R >>\nendobj\n2 0 obj\n<< /Type /Pages /Kids [2 0 R] >>\nendobj\n"
+    with pytest.raises(ValueError):
+        pdf.Document(loop).pages()
+
+
+def test_pdf_notes_forms_and_images(spark, tmp_path):
+    made = writers.pdf([{"lines": ["a (b)"], "notes": [("Text", "n1"), ("Highlight", "n2")]}], [{"name": "t", "type": "Tx", "value": "v"}, {"name": "b", "type": "Btn", "options": ["Yes"], "value": "Yes", "read_only": True}])
+    picture = b"<< /Type /XObject /Subtype /Image /Width 2 /Height 1 /Filter /DCTDecode /Length 3 >>\nstream\nabc\nendstream"
+    made = made.replace(b"/Contents 3 0 R", b"/Resources << /XObject << /I 90 0 R /J 91 0 R >> >> /Contents 3 0 R") + b"90 0 obj\n" + picture + b"\nendobj\n91 0 obj\n" + picture.replace(b"DCT", b"CCITTFax") + b"\nendobj\n"
+    (tmp_path / "a.pdf").write_bytes(made)
+    assert [(r.page, r.kind, r.contents, r.rect) for r in pdf.read_annotations(spark, str(tmp_path)).orderBy("pos").collect()] == [(0, "Text", "n1", [10.0, 10.0, 30.0, 30.0]), (0, "Highlight", "n2", [10.0, 10.0, 30.0, 30.0])]
+    assert [(r.field, r.type, r.value, r.options, r.read_only) for r in pdf.read_fields(spark, str(tmp_path)).orderBy("field").collect()] == [("b", "button", "Yes", ["Yes"], True), ("t", "text", "v", [], False)]
+    assert [(r.object_key, r.name, r.width, r.format, r.skipped) for r in pdf.read_images(spark, str(tmp_path)).orderBy("name").collect()] == [("90 0", "I", 2, "jpg", None), ("91 0", "J", 2, None, "filter CCITTFaxDecode")]
+    assert pdf.read_pages(spark, str(tmp_path)).first().text == "a (b)"
