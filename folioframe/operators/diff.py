@@ -5,11 +5,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Cells of the alignment tables over which comparison goes by position.
+#: Cells of the alignment tables (of whole documents, of a changed block) over which comparison goes by position and says so.
 MAX_ALIGN, MAX_PAIR = 4_000_000, 250_000
 CHANGES = "pair_id long, kind string, index_before int, index_after int, style_before string, style_after string, text_before string, text_after string, aligned boolean"
 
@@ -62,6 +62,10 @@ def edit_script(a: list, b: list, limit: int = MAX_ALIGN) -> tuple[list[tuple[st
     if (n + 1) * (m + 1) > limit:
         k = min(n, m)
         return [("equal", i, i) for i in range(k)] + [("remove", i, -1) for i in range(k, n)] + [("add", -1, j) for j in range(k, m)], False
+    front = next((k for k, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(n, m))
+    if front:  # the walk below would match it all the same
+        rest, _ = edit_script(a[front:], b[front:], limit)
+        return [("equal", i, i) for i in range(front)] + [(op, i + front if i >= 0 else i, j + front if j >= 0 else j) for op, i, j in rest], True
     ids = {v: i for i, v in enumerate(dict.fromkeys([*a, *b]))}
     x, y = np.array([ids[v] for v in a], int), np.array([ids[v] for v in b], int)
     same = x[:, None] == y[None, :]
@@ -131,6 +135,7 @@ def compare_sequences(a: list[tuple], b: list[tuple]) -> tuple[list[tuple], bool
 
     for op, i, j in ops:
         if op == "equal":
+            aligned = aligned and len(removed) * len(added) <= MAX_PAIR
             close()
             if not aligned and a[i][1:] != b[j][1:]:
                 removed.append(a[i])
@@ -140,22 +145,38 @@ def compare_sequences(a: list[tuple], b: list[tuple]) -> tuple[list[tuple], bool
             removed.append(a[i])
         else:
             added.append(b[j])
+    aligned = aligned and len(removed) * len(added) <= MAX_PAIR
     close()
     return out, aligned
 
 
 def compare_documents(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Changes of document pairs; a, b: pair_id, idx, style, text. One pair is one task's unit of work."""
-
-    def run(key, x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
-        lists = [[(int(r.idx), r.style, r.text or "") for r in f.sort_values("idx").itertuples()] if len(f) else [] for f in (x, y)]
-        changes, aligned = compare_sequences(*lists)
-        cols = ["kind", "index_before", "index_after", "style_before", "style_after", "text_before", "text_after"]
-        out = pd.DataFrame(changes, columns=cols).astype({"index_before": "Int32", "index_after": "Int32"})
-        out.insert(0, "pair_id", key[0])
-        out["aligned"] = aligned
-        return out
-
-    # columns of their own on both sides, which may come from one table
-    own = lambda d, k: d.select(*[F.expr(c).alias(f"{k}_{c}") for c in ("pair_id", "idx", "style", "text")]).toDF("pair_id", "idx", "style", "text").groupBy("pair_id")
-    return own(a, "a").cogroup(own(b, "b")).applyInPandas(run, CHANGES)
+    """Changes of document pairs; a, b: pair_id, idx, style, text. Equal pairs are dropped before Python; a batch holds many pairs.
+
+    `aligned` is false where the documents or one of their changed blocks were too long to align.
+    """
+    kinds = {"pair_id": pa.int64(), "kind": pa.string(), "index_before": pa.int32(), "index_after": pa.int32(), "style_before": pa.string(), "style_after": pa.string(), "text_before": pa.string(), "text_after": pa.string(), "aligned": pa.bool_()}
+
+    def lists(column: pa.Array) -> Iterator[list[tuple]]:
+        flat = column.flatten()
+        rows = list(zip(*(flat.field(c).to_pylist() for c in ("idx", "style", "text")), strict=True)) if len(flat) else []
+        at = 0
+        for n in column.value_lengths().to_pylist():
+            yield rows[at : at + (n or 0)]
+            at += n or 0
+
+    def run(it):
+        for batch in it:
+            out = []
+            for pair, x, y in zip(batch.column(0).to_pylist(), lists(batch.column(1)), lists(batch.column(2)), strict=True):
+                changes, aligned = compare_sequences(x, y)
+                out += [(pair, *c, aligned) for c in changes]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds.values(), strict=True)], names=list(kinds))
+
+    def side(d: DataFrame, k: str) -> DataFrame:
+        rows = F.struct(F.col("idx").cast("int").alias("idx"), "style", F.coalesce("text", F.lit("")).alias("text"))
+        return d.groupBy(F.col("pair_id").cast("long").alias(f"{k}_id")).agg(F.array_sort(F.collect_list(rows)).alias(k))
+
+    j = side(a, "a").join(side(b, "b"), F.col("a_id").eqNullSafe(F.col("b_id")), "full_outer").filter(~F.col("a").eqNullSafe(F.col("b")))
+    return j.select(F.coalesce("a_id", "b_id").alias("pair_id"), "a", "b").mapInArrow(run, CHANGES)

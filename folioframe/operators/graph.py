@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,20 +27,31 @@ def _checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+#: Levels that one round of a traversal goes down.
+HOPS = 4
+
+
 def reachable(edges: DataFrame, roots: DataFrame, max_rounds: int = 1000) -> DataFrame:
     """node, depth: all nodes that roots (node) lead to over edges (src, dst); cycles are fine.
 
-    Breadth first: each round joins the newest nodes with the edges and keeps those not seen.
+    Breadth first, HOPS levels a round: a round's nodes, at their least depth, are kept if they were
+    not seen. What a round visits again is at most HOPS times the edges of its levels.
     """
     seen = _checkpointed(roots.select("node").distinct().withColumn("depth", F.lit(0)))
-    newest = seen
-    for depth in range(1, max_rounds):
-        step = newest.join(edges, F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct()
-        newest = _checkpointed(step.join(seen.select(F.col("node").alias("s")), F.col("node") == F.col("s"), "left_anti").withColumn("depth", F.lit(depth)))
-        if newest.isEmpty():
+    newest, depth = seen.select("node"), 0
+    for turn in range(1, max_rounds):
+        at, levels = newest, []
+        for hop in range(1, HOPS + 1):
+            at = at.join(edges, F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct()
+            levels.append(at.withColumn("depth", F.lit(depth + hop)))
+        met = reduce(DataFrame.unionByName, levels).groupBy("node").agg(F.min("depth").alias("depth"))
+        found = _checkpointed(met.join(seen.select(F.col("node").alias("s")), F.col("node") == F.col("s"), "left_anti"))
+        depth += HOPS
+        if found.isEmpty():
             return seen
-        seen = seen.unionByName(newest)
-        if depth % 8 == 0:
+        newest = found.filter(F.col("depth") == depth).select("node")  # what lies above it has been followed
+        seen = seen.unionByName(found)
+        if turn % 8 == 0:
             seen = _checkpointed(seen)
     raise RuntimeError("the graph is deeper than max_rounds")
 

@@ -3,20 +3,22 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 #: Characters as wide as they are high.
 WIDE = r"[⺀-鿿豈-﫿＀-￯]"
+_WIDE, _WORDS = re.compile(WIDE), re.compile(r"\s+|\S+")
 TABLES = "doc_id long, page int, tbl int, r int, cells array<string>, y_top double, y_bottom double, row_tolerance double"
 
 
 def text_width(text: str, size: float | None) -> float:
-    wide = len(re.findall(WIDE, text))
+    wide = 0 if text.isascii() else len(_WIDE.findall(text))
     return (0.5 * len(text) + 0.5 * wide) * (size if size and np.isfinite(size) and size > 0 else 10)
 
 
@@ -119,48 +121,91 @@ def page_tables(runs: list[tuple], row_tolerance: float | None = None, column_ga
 
 
 def extract_tables(runs: DataFrame, **options) -> DataFrame:
-    """Tables of pages from positioned runs (doc_id, page, text, x, y, font_size); a page is one unit."""
+    """Tables of pages from positioned runs (doc_id, page, text, x, y, font_size).
 
-    def run(f: pd.DataFrame) -> pd.DataFrame:
-        found, tolerance = page_tables(list(zip(f.x, f.y, f.text, f.font_size, strict=True)), **options)
-        rows = [(f.doc_id.iloc[0], f.page.iloc[0], t, i, r, top, bottom, tolerance) for t, (grid, top, bottom) in enumerate(found) for i, r in enumerate(grid)]
-        return pd.DataFrame(rows, columns=["doc_id", "page", "tbl", "r", "cells", "y_top", "y_bottom", "row_tolerance"])
+    Pages are sorted inside partitions and taken from Arrow batches as they come; a task holds one
+    batch and the page that it ends in.
+    """
+    kinds = pa.schema([("doc_id", pa.int64()), ("page", pa.int32()), ("tbl", pa.int32()), ("r", pa.int32()), ("cells", pa.list_(pa.string())), ("y_top", pa.float64()), ("y_bottom", pa.float64()), ("row_tolerance", pa.float64())])
 
-    return runs.select("doc_id", "page", "text", "x", "y", "font_size").groupBy("doc_id", "page").applyInPandas(run, TABLES)
+    def run(it):
+        key, held, rows = None, [], []
+
+        def close() -> None:
+            if held:
+                found, tolerance = page_tables(held, **options)
+                rows.extend((*key, t, i, r, top, bottom, tolerance) for t, (grid, top, bottom) in enumerate(found) for i, r in enumerate(grid))
+                held.clear()
+
+        def batch() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays([pa.array(c, k.type) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], schema=kinds)
+            rows.clear()
+            return out
+
+        for b in it:
+            for doc, page, *one in zip(*(b.column(c).to_pylist() for c in ("doc_id", "page", "x", "y", "text", "font_size")), strict=True):
+                if (doc, page) != key:
+                    close()
+                    key = doc, page
+                if one[2] is not None:
+                    held.append(one)
+            if rows:
+                yield batch()
+        close()
+        if rows:
+            yield batch()
+
+    own = runs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("page").cast("int").alias("page"), "text", *[F.col(c).cast("double").alias(c) for c in ("x", "y", "font_size")])
+    return own.repartition("doc_id", "page").sortWithinPartitions("doc_id", "page").mapInArrow(run, TABLES)
 
 
 def wrap(line: str, width: float, size: float = 10) -> list[str]:
-    """Greedy wrapping at blanks; a word wider than the line is cut."""
-    if text_width(line, size) <= width:
+    """Greedy wrapping at blanks; a word wider than the line is cut. Widths are prefix sums of half sizes."""
+    if len(line) * size <= width:  # even if all are wide
         return [line]
-    out, current = [], ""
-    for word in re.findall(r"\s+|\S+", line):
-        if current and text_width(current + word, size) > width:
-            out.append(current.rstrip())
-            current = word.lstrip()
-        else:
-            current += word
-        while len(current) > 1 and text_width(current, size) > width:
-            cut = next((k for k in range(len(current) - 1, 1, -1) if text_width(current[:k], size) <= width), 1)
-            out.append(current[:cut])
-            current = current[cut:]
-    if current:
-        out.append(current.rstrip())
+    at = np.zeros(len(line) + 1, np.int64)
+    at[1:] = 1
+    for m in _WIDE.finditer(line):
+        at[m.start() + 1] = 2
+    at = np.cumsum(at).tolist()
+    most = int(width / (0.5 * size)) + 1  # half sizes that fit
+    while most > 0 and 0.5 * most * size > width:
+        most -= 1
+    if at[-1] <= most:
+        return [line]
+    out, start, end = [], 0, 0  # the current line is line[start:end]
+    for word in _WORDS.finditer(line):
+        if end > start and at[word.end()] - at[start] > most:
+            out.append(line[start:end].rstrip())
+            start = word.end() if word[0].isspace() else word.start()
+        end = word.end()
+        while end - start > 1 and at[end] - at[start] > most:
+            cut = min(bisect_right(at, at[start] + most) - 1, end - 1)
+            cut = cut if cut - start > 1 else start + 1
+            out.append(line[start:cut])
+            start = cut
+    if end > start:
+        out.append(line[start:end].rstrip())
     return out or [""]
 
 
 def paginate(documents: DataFrame, width: float, lines_per_page: int, size: float = 10) -> DataFrame:
     """doc_id, page, line, text: wrapped lines on pages; a form feed starts a new page."""
+    kinds = pa.schema([("doc_id", pa.int64()), ("page", pa.int32()), ("line", pa.int32()), ("text", pa.string())])
 
     def run(it):
-        for f in it:
-            rows = []
-            for doc, text in zip(f.doc_id, f.text, strict=True):
-                page = -1
+        for b in it:
+            docs, pages, places, texts = [], [], [], []
+            for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                page = 0
                 for part in (text or "").split("\f"):
                     lines = [w for line in part.split("\n") for w in wrap(line, width, size)]
-                    rows += [(doc, page + 1 + i // lines_per_page, i % lines_per_page, t) for i, t in enumerate(lines)]
-                    page += max(1, -(-len(lines) // lines_per_page))
-            yield pd.DataFrame(rows, columns=["doc_id", "page", "line", "text"])
-
-    return documents.select("doc_id", "text").mapInPandas(run, "doc_id long, page int, line int, text string")
+                    n = len(lines)
+                    docs += [doc] * n
+                    pages += [page + i // lines_per_page for i in range(n)]
+                    places += [i % lines_per_page for i in range(n)]
+                    texts += lines
+                    page += max(1, -(-n // lines_per_page))
+            yield pa.RecordBatch.from_arrays([pa.array(c, k.type) for c, k in zip((docs, pages, places, texts), kinds, strict=True)], schema=kinds)
+
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, page int, line int, text string")

@@ -16,29 +16,59 @@ def _check(needle: str, max_results: int = 1, context: int = 0) -> None:
         raise ValueError("max_results is 1 to 1000, context 0 to 1000")
 
 
+#: Hits whose places are summed up in one array before the arrays are joined.
+RUN = 256
+
+
+def _places(gaps, hits):
+    """Array of (offset, line) of the hits: running sums over the text between them, in runs so that long arrays are not copied for each hit."""
+    line_breaks = lambda t: F.length(t) - F.length(F.replace(t, F.lit("\n"), F.lit("")))
+    sizes = F.zip_with(F.slice(gaps, F.lit(1), F.size(hits)), hits, lambda g, h: F.struct(F.length(g).alias("g"), F.length(h).alias("h"), line_breaks(g).alias("gl"), line_breaks(h).alias("hl")))
+    place = "array<struct<offset: int, line: int>>"
+
+    def in_run(state, run):
+        start = F.struct(state["at"].alias("at"), state["line"].alias("line"), F.array().cast(place).alias("own"))
+
+        def step(a, x):
+            offset, line = a["at"] + x["g"], a["line"] + x["gl"]
+            return F.struct((offset + x["h"]).alias("at"), (line + x["hl"]).alias("line"), F.array_append(a["own"], F.struct(offset.alias("offset"), line.alias("line"))).alias("own"))
+
+        # bound once by transform, as a lambda's result has no name
+        inner = F.array(F.aggregate(F.slice(sizes, run * RUN + 1, F.lit(RUN)), start, step))
+        return F.get(F.transform(inner, lambda i: F.struct(i["at"].alias("at"), i["line"].alias("line"), F.array_append(state["runs"], i["own"]).alias("runs"))), F.lit(0))
+
+    begin = F.struct(F.lit(0).alias("at"), F.lit(1).alias("line"), F.array().cast(f"array<{place}>").alias("runs"))
+    runs = F.sequence(F.lit(0), F.floor((F.size(hits) - 1) / RUN).cast("int"))
+    return F.when(F.size(hits) > 0, F.flatten(F.aggregate(runs, begin, in_run)["runs"])).otherwise(F.array().cast(place))
+
+
 def search(pages: DataFrame, needle: str, match_case: bool = False, max_results: int = 100, context: int = 40) -> DataFrame:
     """Hits of a literal in pages (doc_id, page, text), the first max_results of each document.
 
     doc_id, page, hit (in the page), offset, line, match, context_before, context_after, and
-    total_matches of the document, which the cap does not touch. Offsets come from the lengths of
-    the text between hits, so all of it is built-in expressions. Null or empty pages have no hits.
+    total_matches of the document, which the cap does not touch. Offsets and lines are running sums
+    over the text between hits; contexts come from that text where it is long enough. Null or empty
+    pages have no hits.
     """
     _check(needle, max_results, context)
     pattern = literal_pattern(needle, match_case)
     p = pages.select("doc_id", "page", "text", F.split("text", pattern, -1).alias("gaps"), F.regexp_extract_all("text", F.lit(f"({pattern})"), F.lit(1)).alias("hits"))
-    p = p.filter(F.size("hits") > 0)
-    lengths = lambda arr: F.aggregate(F.transform(arr, F.length), F.lit(0), lambda a, x: a + x)
-    h = p.select("*", F.posexplode("hits").alias("hit", "match"))
-    h = h.withColumn("offset", lengths(F.slice("gaps", F.lit(1), F.col("hit") + 1)) + lengths(F.slice("hits", F.lit(1), F.col("hit"))))
-    before, after = F.left("text", F.col("offset")), F.col("offset") + F.length("match")
-    start = F.greatest(F.col("offset") - context, F.lit(0))
-    per_doc = W.partitionBy("doc_id")
+    p = p.withColumns({"n": F.size("hits"), "hits": F.slice("hits", F.lit(1), F.lit(max_results))})  # later hits of a page cannot be among the first
+    p = p.withColumn("places", F.when(F.col("n") > 0, _places(F.col("gaps"), F.col("hits"))))
+    # outer, so that no filter on the arrays is derived and computed below them
+    h = p.select("doc_id", "page", "text", "gaps", "hits", "n", F.posexplode_outer("places").alias("hit", "place")).filter(F.col("hit").isNotNull())
+    offset, match = F.col("place.offset"), F.get("hits", F.col("hit"))
+    before, after = F.get("gaps", F.col("hit")), F.get("gaps", F.col("hit") + 1)
+    start, end = F.greatest(offset - context, F.lit(0)), offset + F.length(match)
+    enough = lambda gap: F.length(gap) >= context
     h = h.select(
-        "doc_id", "page", "hit", "offset", (F.length(before) - F.length(F.replace(before, F.lit("\n"), F.lit(""))) + 1).alias("line"), "match",
-        F.substring("text", start + 1, F.col("offset") - start).alias("context_before"), F.substring("text", after + 1, F.lit(context)).alias("context_after"),
-        F.count(F.lit(1)).over(per_doc).alias("total_matches"), F.row_number().over(per_doc.orderBy("page", "hit")).alias("rn"),
+        "doc_id", "page", "hit", offset.alias("offset"), F.col("place.line").alias("line"), match.alias("match"),
+        F.when(F.lit(context) == 0, F.lit("")).when(enough(before), F.right(before, F.lit(context))).otherwise(F.substring("text", start + 1, offset - start)).alias("context_before"),
+        F.when(enough(after), F.left(after, F.lit(context))).otherwise(F.substring("text", end + 1, F.lit(context))).alias("context_after"), "n",
     )
-    return h.filter(F.col("rn") <= max_results).drop("rn")
+    per_doc = W.partitionBy("doc_id")
+    h = h.withColumns({"total_matches": F.sum(F.when(F.col("hit") == 0, F.col("n"))).over(per_doc).cast("long"), "rn": F.row_number().over(per_doc.orderBy("page", "hit"))})
+    return h.filter(F.col("rn") <= max_results).drop("rn", "n")
 
 
 def search_totals(pages: DataFrame, needle: str, match_case: bool = False, max_results: int = 100) -> DataFrame:
