@@ -1,27 +1,36 @@
 """Language-model scoring by logistic mixing of hashed-context bit predictors.
 
-A text is the sequence of its words (A-Z lower-cased), a blank after each but the last, and an end.
-Each byte is coded as binary decisions on the path of a Huffman tree chosen by the byte before it.
-A decision has one predictor per context (three, four and six bytes before, and the word so far):
-counts of both outcomes in a hashed slot. Counts are keyed by 31 bits and only seen keys are kept, so
-they grow with the corpus; a predictor's table then gets two slots or more for each of its keys.
-The predictors' logits are mixed by weights that a gate selects, learnt online on a held-back share
-of the training rows against the merged counts of the others; an adaptive map refines the mixture by
-what came true at that estimate behind the byte before. Weights are averaged by decisions. Scoring
-uses the counts of all training rows. Total bits give the log probability.
-
-Beside the mixture each text gets its unigram base score; words above 2**-20 of all tokens (at most
-2**20 words) go to the tasks, the others are joined.
+A text is the sequence of its words (A-Z lower-cased), each with a blank behind it, and an end. Each
+byte is coded as binary decisions on the path of a Huffman tree chosen by the byte before it. A
+decision has one predictor per context: the last three and the last five bytes of the word, all of
+the word so far, and the last three bytes with the class of the text, which is a hash of its last
+short word (these tell languages apart). A predictor holds the counts of both outcomes in a hashed
+slot; what is seen is kept whole, so counts grow with the corpus, and a predictor's table has two
+slots or more for each context and node of a tree that was met. The predictors' logits are mixed by
+weights that a gate selects, learnt online on a held-back share of the training rows against the
+merged counts of the others; an adaptive map refines the mixture by what came true at that estimate
+behind the byte before. Weights are averaged by decisions. Scoring uses the counts of all training
+rows. Total bits give the log probability; bits per byte are those of the words, blanks and ends.
+
+A word's probability depends on the word and the class only, so every batch codes each of its
+distinct pairs of class and word once, and counts are gathered from merged counts of such pairs.
+
+Beside the mixture each text gets its unigram base score; the FREQUENT most frequent words go to the
+tasks, the others are joined.
 
 Defined results: a null text is the empty text, one end token; a null id has the fold of the empty
-string; repeated rows are scored alike; without training rows N and V are 0 and the mixture knows
-nothing (each decision a half); an empty table gives an empty table; only id and text are read.
+string; repeated rows are scored alike; a text of any length is read in pieces of PIECE bytes that
+end at a blank, the class carried on, and a word over LONGEST bytes is coded in parts; without
+training rows N and V are 0 and the mixture knows nothing (each decision a half); an empty table
+gives an empty table; only id and text are read.
 """
 
 from __future__ import annotations
 
 import math
-from collections import Counter
+import re
+import zlib
+from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
 
 import numpy as np
@@ -30,23 +39,25 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches_by_bytes, durable, fold, keyed, stored
+from .common import batches_by_bytes, durable, fold, keyed, offsets_of, stored
 
 #: Slots per predictor (bits, at least), predictors, gates, buckets of the adaptive map, logits' scale.
 SLOT_BITS, CONTEXTS, GATES, BUCKETS, SCALE = 21, 4, 16, 33, 16
-#: Bytes coded at a time, decisions of a learning step, its rate, share of tokens that makes a word frequent.
-PIECE, STEP, RATE, FREQUENT = 1 << 16, 1 << 14, 1.5, 1 << 20
-#: Bits of a key, training bytes of a range when counts are merged, ranges (bits, at least); keys sorted at a time, keys and words held by a counter.
-KEY_BITS, RANGE, RANGE_BITS, SORTED, KEYS_HELD, HELD = 31, 1 << 25, 4, 1 << 21, 6 << 20, 200_000
+#: Bytes read at a time, bytes of words coded at a time, decisions of a learning step, its rate, words that go to the tasks.
+PIECE, CODED, STEP, RATE, FREQUENT = 4 << 20, 1 << 16, 1 << 14, 1.5, 1 << 19
+#: Classes, bytes of a short word at most, bytes of a word coded in one part.
+CLASSES, SHORT, LONGEST = 64, 3, 1 << 12
+#: Training bytes of a range when counts are merged, ranges (bits, at least); symbols sorted at a time, symbols held by a counter.
+RANGE, RANGE_BITS, SORTED, HELD = 1 << 25, 4, 1 << 20, 1 << 20
 #: One training row in so many is held back to learn weights; its bytes for a task that learns.
 SHARE, LEARN = 8, 1 << 22
-END, PAD = 10, 6
+END, PAD = 10, 5
 
 _U = np.uint64
 _WORD = 0x9E3779B97F4A7C15
 _PADDING = bytes([END] * PAD)
 _MIXED = np.arange(256, dtype=np.uint64) * _U(0xC2B2AE3D27D4EB4F) + _U(0x165667B19E3779F9)
-_LOGIT = (np.arange(256).astype(np.uint8).view(np.int8) / SCALE).astype(np.float32)
+_BLANK = re.compile(rb"[\x20\x09-\x0D]")
 _known_powers: list[np.ndarray] = [np.zeros(0, np.uint64), np.zeros(0, np.uint64)]
 
 
@@ -57,9 +68,9 @@ def _powers(n: int) -> list[np.ndarray]:
     return _known_powers
 
 
-def words_of(text: str) -> list[bytes]:
+def words_of(text: str | bytes) -> list[bytes]:
     """bytes.lower touches A-Z only, bytes.split cuts at 0x20 and 0x09-0x0D."""
-    return text.encode().lower().split()
+    return (text.encode() if isinstance(text, str) else text).lower().split()
 
 
 def code_trees(pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -85,63 +96,68 @@ def code_trees(pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Coder:
-    """The decisions of joined texts with their slots and gates."""
+    """The decisions of words with their slots."""
 
-    def __init__(self, codes: np.ndarray, lengths: np.ndarray, slot_bits: tuple[int, ...] = (SLOT_BITS,) * CONTEXTS):
-        self.codes, self.lengths, self.slot_bits = codes, lengths, slot_bits
+    def __init__(self, codes: np.ndarray, lengths: np.ndarray, slot_bits: tuple[int, ...] = (SLOT_BITS,) * CONTEXTS, range_bits: int = RANGE_BITS):
+        self.codes, self.lengths, self.slot_bits, self.range_bits = codes, lengths, slot_bits, range_bits
 
-    def decisions(self, texts: list[bytes]) -> tuple[np.ndarray, list[np.ndarray], np.ndarray, np.ndarray]:
-        """(bits, slots by context, byte before, decisions of each text); texts end with END.
-
-        Every text is coded behind PAD ends, so no context reaches into the text before it.
-        """
-        data = np.frombuffer(_PADDING + _PADDING.join(texts), np.uint8)
-        sizes = np.array([len(t) for t in texts]) + PAD
+    def symbols(self, units: list[bytes], classes: np.ndarray | None = None) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
+        """(byte before and byte, hashes by context, unit) of every byte of the units; contexts end at a unit's start."""
+        data = np.frombuffer(_PADDING + _PADDING.join(units), np.uint8)
+        sizes = np.array([len(t) for t in units]) + PAD
         n = len(data)
+        begins = np.cumsum(sizes) - sizes
         q1 = data.astype(np.uint64)
         q2 = q1.copy()
         q2[1:] |= q1[:-1] << _U(8)
-        q4 = q2.copy()
-        q4[2:] |= q2[:-2] << _U(16)
-        four = np.zeros(n, np.uint64)
-        four[1:] = q4[:-1]
-        six = four.copy()
-        six[5:] |= q2[:-5] << _U(32)
-        # hash of the word so far: a difference of prefix sums, freed of its place
+        three, five = np.zeros(n, np.uint64), np.zeros(n, np.uint64)
+        three[3:] = q2[2:-1] | q1[:-3] << _U(16)
+        five[5:] = three[5:] | q2[1:-4] << _U(24)
+        # hash of the unit so far: a difference of prefix sums, freed of its place
         powers, inverse = _powers(n)
         sums = np.zeros(n + 1, np.uint64)
         np.cumsum(_MIXED[data] * powers[:n], out=sums[1:])
-        gap = np.flatnonzero((data == 32) | (data == END)) + 1
-        start = np.zeros(n + 1, np.int64)
-        start[gap] = gap
-        start = np.maximum.accumulate(start[:-1])
-        word = (sums[:-1] - sums[start]) * inverse[start]
-        prev = np.empty(n, np.uint8)
-        prev[0], prev[1:] = END, data[:-1]
-        pair = prev.astype(np.int32) << 8 | data
-        length = self.lengths.ravel()[pair]
-        begins = np.cumsum(sizes) - sizes
-        for j in range(PAD):
-            length[begins + j] = 0  # the padding is not coded
-        wide = length.astype(np.int32)
-        ends = np.cumsum(wide, dtype=np.int32)
-        pos = np.repeat(np.arange(n, dtype=np.int32), wide)
-        depth = (np.arange(len(pos), dtype=np.int32) - (ends - wide)[pos]).view(np.uint32)
-        path = self.codes.ravel()[pair][pos]
-        path >>= (wide - 1)[pos].view(np.uint32) - depth
-        bits = (path & np.uint32(1)).astype(np.uint8)
-        node = (path >> np.uint32(1) | np.uint32(1) << depth) * np.uint32(0x9E3779B1)
-        slots = []
-        for k, c in enumerate((four & _U(0xFFFFFF), four, six, word)):
+        unit = np.repeat(np.arange(len(units)), sizes)
+        start = (begins + PAD)[unit]
+        coded = np.flatnonzero(np.arange(n) >= start)
+        start, unit, three = start[coded], unit[coded], three[coded]
+        word = (sums[coded] - sums[start]) * inverse[start]
+        kind = np.zeros(len(units), np.uint64) if classes is None else classes.astype(np.uint64)
+        pair = data[coded - 1].astype(np.int32) << 8 | data[coded]
+        hashes = []
+        for k, c in enumerate((three, five[coded], word, three | (kind + _U(1))[unit] << _U(24))):
             h = (c + _U(k + 1)) * _U(0xBF58476D1CE4E5B9)
             h ^= h >> _U(29)
             h *= _U(0x94D049BB133111EB)
-            at = (h >> _U(32)).astype(np.uint32)[pos]
-            at ^= node
-            at *= np.uint32(0x85EBCA6B)
-            at >>= np.uint32(32 - self.slot_bits[k])
-            slots.append(at.view(np.int32))
-        return bits, slots, prev[pos], np.add.reduceat(wide, begins)
+            hashes.append((h >> _U(32)).astype(np.uint32))
+        return pair, hashes, unit
+
+    def paths(self, pair: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(symbol, bit, node's hash) of every decision on the paths of symbols."""
+        wide = self.lengths.ravel()[pair].astype(np.int32)
+        ends = np.cumsum(wide, dtype=np.int64)
+        pos = np.repeat(np.arange(len(pair)), wide)
+        depth = (np.arange(len(pos)) - (ends - wide)[pos]).astype(np.uint32)
+        path = self.codes.ravel()[pair][pos]
+        path >>= (wide - 1)[pos].astype(np.uint32) - depth
+        bits = (path & np.uint32(1)).astype(np.uint8)
+        return pos, bits, (path >> np.uint32(1) | np.uint32(1) << depth) * np.uint32(0x9E3779B1)
+
+    def slots(self, k: int, hashes: np.ndarray, node: np.ndarray) -> np.ndarray:
+        """Slots of context k: a context's hash names a range of slots, the node a place in it."""
+        inside = self.slot_bits[k] - self.range_bits
+        at = hashes ^ node
+        at *= np.uint32(0x85EBCA6B)
+        at >>= np.uint32(32 - inside)
+        at |= hashes >> np.uint32(32 - self.range_bits) << np.uint32(inside)
+        return at.view(np.int32)
+
+    def decisions(self, units: list[bytes], classes: np.ndarray | None = None) -> tuple[np.ndarray, list[np.ndarray], np.ndarray, np.ndarray]:
+        """(bits, slots by context, byte before, decisions of each unit)."""
+        pair, hashes, unit = self.symbols(units, classes)
+        pos, bits, node = self.paths(pair)
+        per_unit = np.bincount(unit[pos], minlength=len(units))
+        return bits, [self.slots(k, h[pos], node) for k, h in enumerate(hashes)], (pair >> 8).astype(np.uint8)[pos], per_unit
 
 
 def squash(x: np.ndarray) -> np.ndarray:
@@ -154,7 +170,7 @@ def logits_of(counts: np.ndarray) -> np.ndarray:
     return np.clip(np.rint(x * SCALE), -127, 127).astype(np.int8)
 
 
-_SURE = np.searchsorted([1, 16, 44], np.abs(np.arange(256).astype(np.uint8).view(np.int8).astype(int)), side="right")
+_SURE = np.searchsorted([1, 16, 44], np.abs(np.arange(256).astype(np.uint8).view(np.int8).astype(int)), side="right").astype(np.uint8)
 
 
 class Mixer:
@@ -166,8 +182,8 @@ class Mixer:
     def inputs(self, slots: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
         raw = [t[s] for t, s in zip(self.logits, slots, strict=True)]
         # how sure the long context and the word are: unseen, unsure, likely, nearly certain
-        gate = _SURE[raw[2].view(np.uint8)] * 4 + _SURE[raw[3].view(np.uint8)]
-        return [_LOGIT[r.view(np.uint8)] for r in raw], gate
+        gate = (_SURE[raw[1].view(np.uint8)] * np.uint8(4) + _SURE[raw[2].view(np.uint8)]).astype(np.intp)
+        return [r.astype(np.float32) * np.float32(1 / SCALE) for r in raw], gate
 
     def mix(self, x: list[np.ndarray], gate: np.ndarray) -> np.ndarray:
         w = self.weights.astype(np.float32)
@@ -190,70 +206,126 @@ class Mixer:
         return np.clip(p + trust[at] * (rates.astype(np.float32)[at] - p), 1e-6, 1 - 1e-6)
 
 
-def _normal(text: str) -> bytes:
-    return b" ".join(words_of(text)) + b"\n"
+def _texts(it: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, int, list[list[bytes]], bool]]:
+    """(batch, first row, words of that and the following rows, whether the last row ends here).
+
+    A row of more than PIECE bytes is alone, its words in pieces that end at a blank.
+    """
+    for b in batches_by_bytes(it, "text", PIECE):
+        texts = b.column("text").to_pylist()
+        if np.diff(offsets_of(b.column("text"))).max() <= PIECE:
+            yield b, 0, [words_of(t) for t in texts], True
+            continue
+        short: list[list[bytes]] = []
+        for i, t in enumerate(texts):
+            raw = t.encode()
+            if len(raw) <= PIECE:
+                short.append(words_of(raw))
+                continue
+            if short:
+                yield b, i - len(short), short, True
+                short = []
+            at = 0
+            while at < len(raw):
+                cut = _BLANK.search(raw, min(at + PIECE, len(raw)))
+                end = cut.end() if cut else len(raw)
+                words = words_of(raw[at:end])
+                if words or end == len(raw):
+                    yield b, i, [words], end == len(raw)
+                at = end
+        if short:
+            yield b, len(texts) - len(short), short, True
+
+
+class Pairs:
+    """The distinct pairs of class and word in some texts; an end is the empty word."""
+
+    def __init__(self, texts: list[list[bytes]], ended: bool, first_class: int = 0):
+        known: dict[bytes, int] = {b"": 0}
+        ids = np.fromiter((known.setdefault(w, len(known)) for t in texts for w in (*t, b"")), np.int64, sum(map(len, texts)) + len(texts))
+        self.sizes = np.array([len(t) + 1 for t in texts])
+        if not ended:
+            ids, self.sizes[-1] = ids[:-1], self.sizes[-1] - 1
+        self.words, self.ids = list(known), ids
+        kind = np.array([1 + zlib.crc32(w) % (CLASSES - 1) if 0 < len(w) <= SHORT else 0 for w in self.words])
+        # the class of a token: that of the last short word before it in its text
+        start = np.repeat(np.cumsum(self.sizes) - self.sizes, self.sizes)
+        last = np.maximum.accumulate(np.where(kind[ids] > 0, np.arange(1, len(ids) + 1), 0))
+        before = np.r_[0, last[:-1]][: len(ids)]
+        classes = np.where(before > start, kind[ids[before - 1]], 0)
+        if first_class:
+            classes = np.where((before <= start) & (start == 0), first_class, classes)
+        self.last_class = int(kind[ids[last[-1] - 1]]) if len(ids) and last[-1] else first_class
+        pairs, self.of_token, self.counts = np.unique(classes * len(known) + ids, return_inverse=True, return_counts=True)
+        self.classes, self.word = pairs // len(known), pairs % len(known)
+
+    def units(self) -> Iterator[tuple[list[bytes], np.ndarray]]:
+        """(units that code some pairs, pair of each unit)."""
+        yield from units_of([self.words[w] for w in self.word.tolist()])
+
+
+def units_of(words: list[bytes]) -> Iterator[tuple[list[bytes], np.ndarray]]:
+    """(units that code some of the words, word of each unit), about CODED bytes at a time; long words in parts."""
+    units, owner, size = [], [], 0
+    for i, w in enumerate(words):
+        coded = w + b" " if w else b"\n"
+        for k in range(0, len(coded), LONGEST):
+            units.append(coded[k : k + LONGEST])
+            owner.append(i)
+        size += len(coded)
+        if size >= CODED:
+            yield units, np.array(owner)
+            units, owner, size = [], [], 0
+    if units:
+        yield units, np.array(owner)
 
 
-def _pieces(it):
-    """Arrow batches cut to about PIECE bytes of text."""
-    return batches_by_bytes(it, "text", PIECE)
+def _count_corpus(training: DataFrame) -> DataFrame:
+    """(class, word, n, late): how often each word follows in each class, and that in the rows held back; the end is the empty word."""
 
+    def run(it):
+        carried = 0
+        for b, row, texts, ended in _texts(it):
+            late = b.column("late").to_numpy(zero_copy_only=False)[row : row + len(texts)]
+            p = Pairs(texts, ended, carried)
+            carried = 0 if ended else p.last_class
+            held_back = np.bincount(p.of_token, weights=np.repeat(late, p.sizes), minlength=len(p.counts)).astype(np.int64)
+            words = pa.array(p.words, pa.binary()).take(pa.array(p.word))
+            yield pa.record_batch([pa.array(p.classes, pa.int32()), words, pa.array(p.counts), pa.array(held_back)], ["class", "word", "n", "late"])
+
+    rows = training.withColumn("late", _late()).select("text", "late")
+    return rows.mapInArrow(run, "class int, word binary, n long, late long").groupBy("class", "word").agg(F.sum("n").alias("n"), F.sum("late").alias("late"))
+
+
+def _late():
+    """Whether a training row is held back to learn weights."""
+    return F.pmod(F.xxhash64("doc_id"), F.lit(SHARE)) == 0
 
-def _count_corpus(training: DataFrame) -> DataFrame:
-    """(kind, key, n): word counts (kind 0, the end as the empty word), byte pairs (kind 1)."""
+
+def _byte_pairs(counted: DataFrame) -> np.ndarray:
+    """Counts of (byte before, byte) in all coded words, from the merged pairs."""
 
     def run(it):
-        words: Counter = Counter()
-        pairs = np.zeros(65536, np.int64)
-
-        def emit():
-            return pa.record_batch([pa.array([0] * len(words), pa.int32()), pa.array(list(words), pa.binary()), pa.array(list(words.values()), pa.int64())], ["kind", "key", "n"])
-
-        for b in _pieces(it):
-            for t in b.column("text").to_pylist():
-                w = words_of(t)
-                words.update(w)
-                words[b""] += 1
-                s = np.frombuffer(b"\n" + b" ".join(w) + b"\n", np.uint8).astype(np.int64)
-                pairs += np.bincount(s[:-1] << 8 | s[1:], minlength=65536) if len(s) > 4096 else 0
-                if len(s) <= 4096:
-                    np.add.at(pairs, s[:-1] << 8 | s[1:], 1)
-            if len(words) > HELD:
-                yield emit()
-                words.clear()
-        if words:
-            yield emit()
-        at = np.flatnonzero(pairs)
-        keys = [bytes(divmod(int(i), 256)) for i in at]
-        yield pa.record_batch([pa.array([1] * len(at), pa.int32()), pa.array(keys, pa.binary()), pa.array(pairs[at])], ["kind", "key", "n"])
-
-    return training.select("text").mapInArrow(run, "kind int, key binary, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
-
-
-def _runs(keys: np.ndarray) -> np.ndarray:
-    """Distinct keys (upper half of the words) with their counts, sorted."""
-    keys = np.sort(keys)
-    at = np.flatnonzero(np.r_[len(keys) > 0, keys[1:] != keys[:-1]][: len(keys)])
-    return keys[at].astype(np.uint64) << _U(32) | np.diff(np.r_[at, len(keys)]).astype(np.uint64)
-
-
-def _merged(runs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """(keys, counts) of several runs."""
-    x = np.concatenate(runs)
-    if not len(x):
-        return x, x
-    x.sort()
-    new = np.ones(len(x), bool)
-    new[1:] = x.view(np.uint32)[3::2] != x.view(np.uint32)[1:-2:2]
-    at = np.flatnonzero(new)
-    keys = x[at] >> _U(32)
-    x &= _U(0xFFFFFFFF)  # in place: a worker holds millions of keys
-    return keys, np.add.reduceat(x, at)
+        total = np.zeros(65536, np.int64)
+        plain = Coder(np.zeros((256, 256), np.uint32), np.zeros((256, 256), np.uint8))
+        for b in it:
+            n = b.column("n").to_numpy()
+            for units, owner in units_of(b.column("word").to_pylist()):
+                pair, _, unit = plain.symbols(units)
+                total += np.bincount(pair, weights=n[owner][unit], minlength=65536).astype(np.int64)
+        at = np.flatnonzero(total)
+        yield pa.record_batch([pa.array(at, pa.int32()), pa.array(total[at])], ["pair", "n"])
+
+    out = np.zeros(65536, np.int64)
+    words = counted.groupBy("word").agg(F.sum("n").alias("n"))
+    for r in words.mapInArrow(run, "pair int, n long").groupBy("pair").agg(F.sum("n").alias("n")).collect():  # 65536 rows at most
+        out[r.pair] = r.n
+    return out.reshape(256, 256)
 
 
 def _planes(x: np.ndarray) -> bytes:
     """All first bytes, all second bytes and so on, compressed."""
-    return zstandard.ZstdCompressor(level=3).compress(np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes())
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes())
 
 
 def _of_planes(blob: bytes, width: int) -> np.ndarray:
@@ -262,94 +334,93 @@ def _of_planes(blob: bytes, width: int) -> np.ndarray:
 
 
 def _pack(run: np.ndarray) -> bytes:
-    """Steps between keys, and counts."""
-    return _planes(np.stack([np.diff(run >> _U(32), prepend=_U(0)).astype(np.uint32), run.astype(np.uint32)], axis=1))
+    """Rows (symbol, count in early rows, count in every row), sorted by symbol, which are written as steps."""
+    out = run.copy()
+    out[1:, 0] -= run[:-1, 0]
+    return _planes(out)
 
 
 def _unpack(blob: bytes) -> np.ndarray:
-    both = _of_planes(blob, 8).view(np.uint32)
-    return np.cumsum(both[:, 0], dtype=np.uint64) << _U(32) | both[:, 1]
-
-
-def _count_slots(training: DataFrame, coder: Coder, range_bits: int) -> DataFrame:
-    """(part, late, blob): counts of (key, outcome) by context and range of keys; late rows are those held back."""
-    bounds = np.arange(1, 1 << range_bits, dtype=np.uint64) << _U(64 - range_bits)
-
-    def counted(late: bool):
-        def run(it):
-            raw, size = [[] for _ in range(CONTEXTS)], 0
-            held, new = [np.zeros(0, np.uint64) for _ in range(CONTEXTS)], [[] for _ in range(CONTEXTS)]
-
-            def settle(k, least):
-                new[k].append(_runs(np.concatenate(raw[k])))
-                raw[k].clear()
-                if sum(map(len, new[k])) >= least:
-                    keys, n = _merged([held[k], *new[k]])
-                    keys <<= _U(32)
-                    keys |= n
-                    held[k] = keys
-                    new[k].clear()
-
-            def emit(k):
-                parts = [(i, x) for i, x in enumerate(np.split(held[k], np.searchsorted(held[k], bounds))) if len(x)]
-                held[k] = np.zeros(0, np.uint64)
-                return pa.record_batch([pa.array([k << range_bits | i for i, _ in parts], pa.int32()), pa.array([late] * len(parts)), pa.array([_pack(x) for _, x in parts], pa.binary())], ["part", "late", "blob"])
-
-            for b in _pieces(it):
-                bits, at, _, _ = coder.decisions([_normal(t) for t in b.column("text").to_pylist()])
+    run = _of_planes(blob, 24).view(np.uint64)
+    run[:, 0] = np.cumsum(run[:, 0], dtype=np.uint64)
+    return run
+
+
+def _merged(runs: list[np.ndarray]) -> np.ndarray:
+    """Rows (symbol, early, every) with each symbol once, sorted."""
+    x = np.concatenate(runs) if runs else np.zeros((0, 3), np.uint64)
+    x = x[np.argsort(x[:, 0], kind="stable")]
+    at = np.flatnonzero(np.r_[len(x) > 0, x[1:, 0] != x[:-1, 0]][: len(x)])
+    return np.column_stack([x[at, 0], *(np.add.reduceat(x[:, j], at) if len(at) else x[:0, j] for j in (1, 2))])
+
+
+def _count_symbols(counted: DataFrame, coder: Coder) -> DataFrame:
+    """(part, keys, blob): merged counts of (context, byte before and byte) by context's number and range; keys counts contexts and nodes."""
+    range_bits = coder.range_bits
+    bounds = np.arange(1, 1 << range_bits, dtype=np.uint64) << _U(48 - range_bits)
+
+    def run(it):
+        raw, size = [[] for _ in range(CONTEXTS)], 0
+        held = [np.zeros((0, 3), np.uint64) for _ in range(CONTEXTS)]
+
+        def emit(k):
+            parts = [(i, x) for i, x in enumerate(np.split(held[k], np.searchsorted(held[k][:, 0], bounds))) if len(x)]
+            held[k] = held[k][:0]
+            return pa.record_batch([pa.array([k << range_bits | i for i, _ in parts], pa.int32()), pa.array([_pack(x) for _, x in parts], pa.binary())], ["part", "blob"])
+
+        for b in it:
+            classes, n, late = (b.column(c).to_numpy() for c in ("class", "n", "late"))
+            for units, owner in units_of(b.column("word").to_pylist()):
+                pair, hashes, unit = coder.symbols(units, classes[owner])
+                every = n[owner][unit].astype(np.uint64)
+                early = every - late[owner][unit].astype(np.uint64)
                 for k in range(CONTEXTS):
-                    raw[k].append(at[k].view(np.uint32) << np.uint32(1) | bits)
-                size += len(bits)
+                    raw[k].append(np.column_stack([hashes[k].astype(np.uint64) << _U(16) | pair.astype(np.uint64), early, every]))
+                size += len(pair)
                 if size >= SORTED:
                     size = 0
                     for k in range(CONTEXTS):
-                        settle(k, SORTED)
-                        if len(held[k]) > KEYS_HELD:
+                        held[k] = _merged([held[k], *raw[k]])
+                        raw[k].clear()
+                        if len(held[k]) > HELD:
                             yield emit(k)
-            for k in range(CONTEXTS):
-                raw[k].append(np.zeros(0, np.uint32))
-                settle(k, 0)
-                if len(held[k]):
-                    yield emit(k)
-
-        return training.filter(F.col("late") if late else ~F.col("late")).select("text").mapInArrow(run, "part int, late boolean, blob binary")
+        for k in range(CONTEXTS):
+            held[k] = _merged([held[k], *raw[k]])
+            if len(held[k]):
+                yield emit(k)
 
     def merge(t: pa.Table) -> pa.Table:
-        """The part's keys and, for early rows and for all, counts of both outcomes."""
-        part, late = t.column("part")[0].as_py(), np.array(t.column("late").to_pylist())
-        runs = [_unpack(x.as_py()) for x in t.column("blob")]
-        keys, counts = _merged(runs)
-        slots = np.unique(keys >> _U(1))
-        out = np.zeros((2, len(slots), 2), np.int64)
-        out[1][np.searchsorted(slots, keys >> _U(1)), (keys & _U(1)).astype(int)] = counts
-        if not late.all():
-            keys, counts = _merged([r for r, x in zip(runs, late, strict=True) if not x])
-            out[0][np.searchsorted(slots, keys >> _U(1)), (keys & _U(1)).astype(int)] = counts
-        steps = _planes(np.diff(slots, prepend=_U(0)).astype(np.uint32))
-        early, both = (_planes(x.astype(np.uint64)) for x in out)
-        return pa.table({"part": pa.array([part], pa.int32()), "keys": pa.array([len(slots)], pa.int64()), "steps": pa.array([steps], pa.binary()), "early": pa.array([early], pa.binary()), "every": pa.array([both], pa.binary())})
-
-    return counted(False).unionByName(counted(True)).groupBy("part").applyInArrow(merge, "part int, keys long, steps binary, early binary, every binary")
-
-
-def _tables(merged: DataFrame, counts: str, slot_bits: tuple[int, ...], range_bits: int) -> list[np.ndarray]:
+        x = _merged([_unpack(b.as_py()) for b in t.column("blob")])
+        pos, _, node = coder.paths((x[:, 0] & _U(0xFFFF)).astype(np.int32))
+        keys = len(np.unique((x[:, 0] >> _U(16) << _U(32))[pos] | node))
+        return pa.table({"part": pa.array([t.column("part")[0].as_py()], pa.int32()), "keys": pa.array([keys], pa.int64()), "blob": pa.array([_pack(x)], pa.binary())})
+
+    return counted.select("class", "word", "n", "late").mapInArrow(run, "part int, blob binary").groupBy("part").applyInArrow(merge, "part int, keys long, blob binary")
+
+
+def _tables(merged: DataFrame, coder: Coder, every: bool) -> list[np.ndarray]:
     """Logits by context, from the counts of early rows or of every row."""
 
     def run(it):
         for b in it:
-            for part, steps, blob in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                bits = slot_bits[part >> range_bits]
-                size = 1 << bits - range_bits
-                slots = np.cumsum(_of_planes(steps, 4).view(np.uint32).ravel(), dtype=np.int64)
-                at = slots >> KEY_BITS - bits & size - 1
-                counts = _of_planes(blob, 16).view(np.int64)
-                both = np.stack([np.bincount(at, weights=counts[:, j], minlength=size) for j in (0, 1)], axis=1)
+            for part, blob in zip(*(b.column(c).to_pylist() for c in ("part", "blob")), strict=True):
+                k = part >> coder.range_bits
+                size = 1 << coder.slot_bits[k] - coder.range_bits
+                x = _unpack(blob)
+                both = np.zeros((size, 2))
+                for i in range(0, len(x), 1 << 20):
+                    y = x[i : i + (1 << 20)]
+                    pos, bits, node = coder.paths((y[:, 0] & _U(0xFFFF)).astype(np.int32))
+                    at = coder.slots(k, (y[:, 0] >> _U(16)).astype(np.uint32)[pos], node) & size - 1
+                    n = y[:, 1 + every].astype(np.float64)[pos]
+                    for j in (0, 1):
+                        both[:, j] += np.bincount(at[bits == j], weights=n[bits == j], minlength=size)
                 yield pa.record_batch([pa.array([part], pa.int32()), pa.array([logits_of(both).tobytes()], pa.binary())], ["part", "blob"])
 
-    logits = [np.zeros(1 << n, np.int8) for n in slot_bits]
-    for row in merged.select("part", "steps", counts).mapInArrow(run, "part int, blob binary").toLocalIterator():
-        k, i = row.part >> range_bits, row.part & (1 << range_bits) - 1
-        size = 1 << slot_bits[k] - range_bits
+    logits = [np.zeros(1 << n, np.int8) for n in coder.slot_bits]
+    for row in merged.select("part", "blob").mapInArrow(run, "part int, blob binary").toLocalIterator():
+        k, i = row.part >> coder.range_bits, row.part & (1 << coder.range_bits) - 1
+        size = 1 << coder.slot_bits[k] - coder.range_bits
         logits[k][i * size : (i + 1) * size] = np.frombuffer(row.blob, np.int8)
     return logits
 
@@ -366,23 +437,27 @@ def _learn_weights(late: DataFrame, coder: Coder, logits: list[np.ndarray]) -> t
 
     def run(it):
         coder, logits = shared.value
-        mixer, total = _new_mixer(logits), 0
-        for b in _pieces(it):
-            bits, at, before, _ = coder.decisions([_normal(t) for t in b.column("text").to_pylist()])
-            x, gate = mixer.inputs(at)
-            for i in range(0, len(bits), STEP):
-                part = slice(i, i + STEP)
-                g, y, xs = gate[part], bits[part], [v[part] for v in x]
-                z = mixer.mix(xs, g)
-                error = y.astype(np.float32) - squash(z)
-                n = np.bincount(g, minlength=GATES) + 64.0
-                for k in range(CONTEXTS):
-                    mixer.weights[k] += RATE * np.bincount(g, weights=error * xs[k], minlength=GATES) / n
-                mixer.weights[CONTEXTS] += RATE * np.bincount(g, weights=error, minlength=GATES) / n
-                spot = Mixer.bucket(z, before[part])
-                mixer.hits[1] += np.bincount(spot, weights=y, minlength=256 * BUCKETS)
-                mixer.hits[0] += np.bincount(spot, weights=1 - y, minlength=256 * BUCKETS)
-            total += len(bits)
+        mixer, total, carried = _new_mixer(logits), 0, 0
+        for _, _, texts, ended in _texts(it):
+            pairs = Pairs(texts, ended, carried)
+            carried = 0 if ended else pairs.last_class
+            for units, owner in pairs.units():
+                bits, at, before, per_unit = coder.decisions(units, pairs.classes[owner])
+                times = np.repeat(pairs.counts[owner], per_unit).astype(np.float32)
+                x, gate = mixer.inputs(at)
+                for i in range(0, len(bits), STEP):
+                    part = slice(i, i + STEP)
+                    g, y, xs, m = gate[part], bits[part], [v[part] for v in x], times[part]
+                    z = mixer.mix(xs, g)
+                    error = (y.astype(np.float32) - squash(z)) * m
+                    n = np.bincount(g, weights=m, minlength=GATES) + 64.0
+                    for k in range(CONTEXTS):
+                        mixer.weights[k] += RATE * np.bincount(g, weights=error * xs[k], minlength=GATES) / n
+                    mixer.weights[CONTEXTS] += RATE * np.bincount(g, weights=error, minlength=GATES) / n
+                    spot = Mixer.bucket(z, before[part])
+                    mixer.hits[1] += np.bincount(spot, weights=y * m, minlength=256 * BUCKETS)
+                    mixer.hits[0] += np.bincount(spot, weights=(1 - y) * m, minlength=256 * BUCKETS)
+                total += int(times.sum(dtype=np.float64))
         if total:
             tail = np.concatenate([[float(total)], mixer.weights.ravel() * total, mixer.hits.ravel()])
             yield pa.record_batch([pa.array([zstandard.ZstdCompressor(level=1).compress(tail.tobytes())], pa.binary())], ["blob"])
@@ -397,81 +472,86 @@ def _learn_weights(late: DataFrame, coder: Coder, logits: list[np.ndarray]) -> t
 
 
 def learn(training: DataFrame, counted: DataFrame) -> tuple[Coder, Mixer]:
-    """The coder and mixer of the training texts (doc_id, text). The logits that reach the driver grow with the distinct keys."""
-    pairs = np.zeros((256, 256), np.int64)
-    for row in counted.filter("kind = 1").collect():  # 65536 rows at most
-        pairs[row.key[0], row.key[1]] = row.n
+    """The coder and mixer of the training texts (doc_id, text) and their counted pairs. The logits that reach the driver grow with the corpus."""
+    pairs = _byte_pairs(counted)
     trees, n_bytes = code_trees(pairs), int(pairs.sum())
     range_bits = max(RANGE_BITS, (n_bytes // RANGE).bit_length())
-    training = training.withColumn("late", F.pmod(F.xxhash64("doc_id"), F.lit(SHARE)) == 0)
-    merged = durable(_count_slots(training, Coder(*trees, (KEY_BITS,) * CONTEXTS), range_bits))
+    merged = durable(_count_symbols(counted, Coder(*trees, range_bits=range_bits)))
     keys = {r.k: r.n for r in merged.groupBy(F.expr(f"shiftright(part, {range_bits})").alias("k")).agg(F.sum("keys").alias("n")).collect()}
     # two slots a key at least
-    slot_bits = tuple(min(KEY_BITS, max(SLOT_BITS, range_bits, (2 * keys.get(k, 0)).bit_length())) for k in range(CONTEXTS))
-    coder = Coder(*trees, slot_bits)
-    late = training.filter("late").repartition(max(1, n_bytes // SHARE // LEARN))
-    weights, hits = _learn_weights(late, coder, _tables(merged, "early", slot_bits, range_bits))
-    return coder, Mixer(_tables(merged, "every", slot_bits, range_bits), weights, hits)
+    slot_bits = tuple(min(31, max(SLOT_BITS, range_bits + 1, (2 * keys.get(k, 0)).bit_length())) for k in range(CONTEXTS))
+    coder = Coder(*trees, slot_bits, range_bits)
+    late = training.filter(_late()).repartition(max(1, n_bytes // SHARE // LEARN))
+    weights, hits = _learn_weights(late, coder, _tables(merged, coder, every=False))
+    return coder, Mixer(_tables(merged, coder, every=True), weights, hits)
 
 
-def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mod: int = 7, held: int = 2) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_bits (of the coded bytes)."""
+def _most_frequent(words: DataFrame) -> dict[bytes, int]:
+    """The words (word, n) that are more frequent than any count that over FREQUENT words reach, and the end."""
+    least, held = 1, 0
+    for r in words.groupBy("n").agg(F.count(F.lit(1)).alias("k")).orderBy(F.desc("n")).toLocalIterator():  # distinct counts are few: about the root of twice the tokens
+        held += r.k
+        if held > FREQUENT:
+            least = r.n + 1
+            break
+    return {bytes(r.word): r.n for r in words.filter((F.col("n") >= least) | (F.octet_length("word") == 0)).collect()}
 
+
+def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mod: int = 7, held: int = 2) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_bits, bits_per_byte (of the words, blanks and ends)."""
     rows = keyed(docs, id_col, text_col).withColumn("held_out", fold(F.col("doc_id"), mod) == held)
     training = rows.filter(~F.col("held_out"))
     counted = stored(_count_corpus(training))
-    words = counted.filter("kind = 0")
+    words = stored(counted.groupBy("word").agg(F.sum("n").alias("n")))
     n, v = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-    frequent = {bytes(r.key): r.n for r in words.filter(F.col("n") * FREQUENT >= n).collect()}  # FREQUENT words at most
     coder, mixer = learn(training, counted)
-    shared = docs.sparkSession.sparkContext.broadcast((coder, mixer, frequent))
+    shared = docs.sparkSession.sparkContext.broadcast((coder, mixer, _most_frequent(words)))
     floor = math.log10(n + v + 1)
 
     def run(it):
         coder, mixer, common = shared.value
-        for b in _pieces(it):
-            texts = [words_of(t) for t in b.column("text").to_pylist()]
-            base, known, total, rare, sizes = [], [], [], [], []
-            for w in texts:
-                tf = Counter(w)
-                tf[b""] += 1
-                s = k = 0
-                few = [(x, m) for x, m in tf.items() if x not in common]
-                for x, m in tf.items():
-                    c = common.get(x)
-                    if c is not None:
-                        s += m * (math.log10(c + 1) - floor)
-                        k += m
-                base.append(s)
-                known.append(k)
-                total.append(len(w) + 1)
-                rare += few
-                sizes.append(len(few))
-            coded = [b" ".join(w) + b"\n" for w in texts]
-            bits, at, before, per_text = coder.decisions(coded)
-            out = np.empty(len(bits), np.float32)
-            for i in range(0, len(bits), 1 << 16):
-                part = slice(i, i + (1 << 16))
-                x, gate = mixer.inputs([a[part] for a in at])
-                p = mixer.refine(mixer.mix(x, gate), before[part])
-                out[part] = np.log(np.where(bits[part] == 1, p, 1 - p))
-            ends = np.cumsum(per_text)
-            nats = np.add.reduceat(out.astype(np.float64), ends - per_text)
-            offsets = pa.array(np.r_[0, np.cumsum(sizes)], pa.int32())
-            structs = pa.StructArray.from_arrays([pa.array([x for x, _ in rare], pa.binary()), pa.array([m for _, m in rare], pa.int64())], ["w", "m"])
-            yield pa.record_batch(
-                [b.column("doc_id"), b.column("held_out"), pa.array(total, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(nats / math.log(10)), pa.array(-nats / math.log(2)), pa.ListArray.from_arrays(offsets, structs)],
-                ["doc_id", "held_out", "n_tokens", "known", "base", "score", "n_bits", "rare"],
-            )
-
-    schema = "doc_id long, held_out boolean, n_tokens long, known long, base double, score double, n_bits double, rare array<struct<w: binary, m: long>>"
+        carried, parts = 0, []
+        for b, row, texts, ended in _texts(it):
+            p = Pairs(texts, ended, carried)
+            carried = 0 if ended else p.last_class
+            nats = np.zeros(len(p.counts))
+            for units, owner in p.units():
+                bits, at, before, per_unit = coder.decisions(units, p.classes[owner])
+                x, gate = mixer.inputs(at)
+                q = mixer.refine(mixer.mix(x, gate), before)
+                each = np.log(np.where(bits == 1, q, 1 - q)).astype(np.float64)
+                nats += np.bincount(np.repeat(owner, per_unit), weights=each, minlength=len(nats))
+            count = np.array([common.get(w, -1) for w in p.words])
+            logs = np.where(count >= 0, np.log10(np.maximum(count, 0) + 1.0) - floor, 0.0)
+            byte = np.array([len(w) + 1 for w in p.words])
+            begins = np.cumsum(p.sizes) - p.sizes
+            rare = count[p.ids] < 0
+            if b"" not in common:
+                rare &= p.ids > 0  # without training rows ends are unknown, not rare
+            per_text = lambda x: np.add.reduceat(x, begins)  # noqa: E731, B023
+            stats = [per_text(x) for x in (nats[p.of_token], np.where(p.ids == 0, logs[0] if b"" in common else -floor, logs[p.ids]), (count[p.ids] > 0).astype(np.int64), byte[p.ids], rare.astype(np.int64))]
+            got = [*stats, p.sizes, pa.array(p.words, pa.binary()).take(pa.array(p.ids[rare]))]
+            if not ended:
+                parts.append(got)
+                continue
+            if parts:  # the end of a long row, alone in its batch part
+                every = [*parts, got]
+                got = [*(sum(g[j] for g in every) for j in range(6)), pa.concat_arrays([g[6] for g in every])]
+                parts = []
+            nat, base, known, size, few, tokens, names = got
+            lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(few)], pa.int32()), names)
+            own = b.slice(row, len(tokens))
+            cols = [own.column("doc_id"), own.column("held_out"), pa.array(tokens), pa.array(known), pa.array(base), pa.array(nat / math.log(10)), pa.array(-nat / math.log(2)), pa.array(-nat / math.log(2) / size), lists]
+            yield pa.record_batch(cols, ["doc_id", "held_out", "n_tokens", "known", "base", "score", "n_bits", "bits_per_byte", "rare"])
+
+    schema = "doc_id long, held_out boolean, n_tokens long, known long, base double, score double, n_bits double, bits_per_byte double, rare array<binary>"
     scored = stored(rows.select("doc_id", "held_out", "text").mapInArrow(run, schema).withColumn("row", F.monotonically_increasing_id()))
     shared.destroy()  # the scores are stored, and the model would stay in workers and block stores
-    rare = scored.select("row", F.explode("rare").alias("r")).select("row", "r.w", "r.m")
-    found = rare.join(words.select("key", F.col("n").alias("c")), F.col("w") == F.col("key"), "left")
+    rare = scored.select("row", F.explode("rare").alias("w")).groupBy("row", "w").agg(F.count(F.lit(1)).alias("m"))
+    found = rare.join(words.select("word", F.col("n").alias("c")), F.col("w") == F.col("word"), "left")
     logs = F.col("m") * (F.log10(F.coalesce("c", F.lit(0)) + F.lit(1.0)) - F.lit(floor))
     per_row = found.groupBy(F.col("row").alias("r_row")).agg(F.sum(logs).alias("more"), F.sum(F.when(F.col("c") > 0, F.col("m")).otherwise(0)).alias("k"))
     return scored.drop("rare").join(per_row, F.col("row") == F.col("r_row"), "left").select(
         "doc_id", "held_out", "n_tokens", (F.col("known") + F.coalesce("k", F.lit(0))).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("more", F.lit(0.0))).alias("base_score"), "score", "n_bits",
+        (F.col("base") + F.coalesce("more", F.lit(0.0))).alias("base_score"), "score", "n_bits", "bits_per_byte",
     )

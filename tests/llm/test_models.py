@@ -69,33 +69,98 @@ def test_the_mixture_beats_the_unigram_base_on_held_out_text(spark):
     assert got[0] > got[1]
 
 
+def naive_units(text):
+    """Each word with its class, one by one: the class is named by the last word of up to three bytes."""
+    kind = 0
+    for w in text.encode().lower().split():
+        yield w + b" ", kind
+        if len(w) <= context_mixing.SHORT:
+            kind = 1 + zlib.crc32(w) % (context_mixing.CLASSES - 1)
+    yield b"\n", kind
+
+
+def counted_pairs(df):
+    return context_mixing._count_corpus(df).cache()
+
+
 def test_predictor_tables_grow_with_the_corpus(spark, monkeypatch):
-    """Two slots for every key at least; counts of whole keys are exact, however often a counter is emptied."""
+    """Two slots for every key at least; tables hold the counts of all training words, taken one by one here."""
     monkeypatch.setattr(context_mixing, "SLOT_BITS", 8)
     monkeypatch.setattr(context_mixing, "SORTED", 5000)
-    monkeypatch.setattr(context_mixing, "KEYS_HELD", 3000)
+    monkeypatch.setattr(context_mixing, "HELD", 3000)
     training = documents(spark, DATA).select("doc_id", "text")
     sizes = []
     for df in (training.filter("doc_id % 8 = 0"), training):
-        coder, mixer = context_mixing.learn(df, context_mixing._count_corpus(df).cache())
-        full = context_mixing.Coder(coder.codes, coder.lengths, (context_mixing.KEY_BITS,) * context_mixing.CONTEXTS)
-        bits, at, _, _ = full.decisions([context_mixing._normal(t) for _, t in texts_of(df)])
+        coder, mixer = context_mixing.learn(df, counted_pairs(df))
+        units = [u for _, t in texts_of(df) for u in naive_units(t)]
+        bits, at, _, _ = coder.decisions([u for u, _ in units], np.array([c for _, c in units]))
+        pair, hashes, _ = coder.symbols([u for u, _ in units], np.array([c for _, c in units]))
+        pos, _, node = coder.paths(pair)
         for k, table in enumerate(mixer.logits):
-            keys, where = np.unique(at[k], return_inverse=True)
-            assert len(table) >= 2 * len(keys)
+            assert len(table) >= 2 * len(np.unique(hashes[k][pos].astype(np.uint64) << np.uint64(32) | node))
             counts = np.zeros((len(table), 2))
-            np.add.at(counts, (keys[where] >> context_mixing.KEY_BITS - coder.slot_bits[k], bits), 1)
+            np.add.at(counts, (at[k], bits), 1)
             assert (context_mixing.logits_of(counts) == table).all()
         sizes.append(sum(map(len, mixer.logits)))
     assert sizes[1] > sizes[0]
 
 
+def test_scores_bit_by_bit(spark, odd):
+    """The mixture of every decision by plain arithmetic, word after word; a text's bits are their sum."""
+    for df, n in ((odd, 25), (documents(spark, DATA), 6)):
+        training = df.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).filter(common.fold(F.col("doc_id"), 7) != 2)
+        coder, m = context_mixing.learn(training, counted_pairs(training))
+        got = {}
+        for r in context_mixing.score(df).collect():
+            got.setdefault(r.doc_id, []).append(r)
+        for d, t in [x for x in texts_of(df) if len(x[1]) < 4000][:n]:
+            nats, size = 0.0, 0
+            for unit, kind in naive_units(t):
+                bits, at, before, _ = coder.decisions([unit], np.array([kind]))
+                size += len(unit)
+                for i, bit in enumerate(bits.tolist()):
+                    raw = [int(m.logits[k][at[k][i]]) for k in range(context_mixing.CONTEXTS)]
+                    sure = [sum(abs(x) >= level for level in (1, 16, 44)) for x in raw]
+                    gate = 4 * sure[1] + sure[2]
+                    z = m.weights[-1][gate] + sum(m.weights[k][gate] * raw[k] / context_mixing.SCALE for k in range(context_mixing.CONTEXTS))
+                    z = min(12.0, max(-12.0, z))
+                    spot = int(before[i]) * context_mixing.BUCKETS + round((min(8.0, max(-8.0, z)) + 8) * (context_mixing.BUCKETS - 1) / 16)
+                    zeros, ones = m.hits[0][spot], m.hits[1][spot]
+                    p = 1 / (1 + math.exp(-z))
+                    p += (zeros + ones) / (zeros + ones + 32) / 2 * ((ones + 0.5) / (zeros + ones + 1) - p)
+                    nats += math.log(p if bit else 1 - p)
+            assert any(abs(r.n_bits + nats / math.log(2)) < 2e-3 * r.n_bits and abs(r.bits_per_byte - r.n_bits / size) < 1e-9 for r in got[d])
+
+
+def test_long_texts_are_scored_in_pieces(spark):
+    """Pieces carry the class on; base scores, tokens and bits are those of the whole text."""
+    rng = np.random.default_rng(4)
+    words = ["".join(chr(97 + c) for c in rng.integers(0, 26, n)) for n in rng.integers(1, 9, 3000)]
+    long = " ".join(words[i] for i in rng.integers(0, 3000, 2_000_000)) + "  " + "x" * 9_000_000
+    assert len(long) > 3 * context_mixing.PIECE
+    rows = [(1, "a few words"), (2, long), (3, None), (4, " ".join(words[:500]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    got = {r.doc_id: r for r in context_mixing.score(df).collect()}
+    tokens = {d: (t or "").encode().split() + [b""] for d, t in rows}
+    counts = Counter(w for d, ws in tokens.items() if held(d, 7) != 2 for w in ws)
+    n, v = sum(counts.values()), len(counts)
+    for d, ws in tokens.items():
+        base = sum(math.log10((counts[w] + 1) / (n + v + 1)) for w in ws)
+        assert got[d].n_tokens == len(ws) and got[d].n_known == sum(counts[w] > 0 for w in ws) and abs(got[d].base_score - base) < 1e-6 * abs(base) + 1e-6
+        assert abs(got[d].bits_per_byte * sum(len(w) + 1 for w in ws) - got[d].n_bits) < 1e-6 * got[d].n_bits
+    head, tail = tokens[2][:1000], tokens[2][1000:2000]
+    whole, one = context_mixing.Pairs([head + tail], True), context_mixing.Pairs([head], False)
+    two = context_mixing.Pairs([tail], True, one.last_class)
+    seen = lambda p: [(int(p.classes[i]), p.words[p.word[i]]) for i in p.of_token]
+    assert seen(one) + seen(two) == seen(whole) == [(c, u[:-1] if u != b"\n" else b"") for u, c in naive_units(b" ".join(head + tail).decode())]
+
+
 def test_weights_do_not_depend_on_the_split(spark):
     """Many small partitions learn the gates and the map as one does."""
     got = []
     for n in (1, 40):
         df = documents(spark, DATA).select("doc_id", "text").repartition(n)
-        got.append(context_mixing.learn(df, context_mixing._count_corpus(df).cache())[1])
+        got.append(context_mixing.learn(df, counted_pairs(df))[1])
         assert np.abs(got[-1].weights[: context_mixing.CONTEXTS] - 0.35).max() > 0.02
     assert got[0].hits.sum() == got[1].hits.sum() > 0 and np.abs(got[0].weights - got[1].weights).max() < 0.1
 
