@@ -28,8 +28,9 @@ def test_quotient_filters_merge_without_loss():
     assert [x.tolist() for x in one.merge(one).items()] == [[5], [2]]
 
 
-def test_exact_duplicates_against_sql(spark, duck):
-    same_rows(queries.queries()["op10_exact_dedup"](spark, DATA), duck.sql(queries.oracle_sql()["op10_exact_dedup"]))
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_queries_against_sql(spark, duck, name):
+    same_rows(queries.queries()[name](spark, DATA), duck.sql(queries.oracle_sql()[name]))
 
 
 def test_exact_duplicates_of_odd_rows(odd, empty):

@@ -176,6 +176,77 @@ def test_toxicity_learns_what_marks_it(spark):
     assert c[(1, 1)] / (c[(1, 1)] + c.get((1, 0), 0)) > 0.7 and c.get((0, 1), 0) / c[(0, 0)] < 0.03
 
 
+def naive_grams(text):
+    """The 3- to 5-character strings of a text's words, ends marked; as slots by the same arithmetic on one string."""
+    out = set()
+    for w in set(text.lower().split()):
+        marked = f" {w} "
+        for k in (3, 4, 5):
+            out |= {marked[i : i + k] for i in range(len(marked) - k + 1)}
+    return out
+
+
+def naive_slot(gram):
+    key, mask = len(gram) << 60 & (1 << 64) - 1, (1 << 64) - 1
+    for i, c in enumerate(gram):
+        key ^= (ord(c) & 0xFFF) << 12 * i
+    h = key * 0x9E3779B97F4A7C15 & mask
+    h ^= h >> 29
+    h = h * 0xBF58476D1CE4E5B9 & mask
+    return h >> 64 - toxicity.SLOT_BITS
+
+
+def test_toxicity_against_plain_counts(spark, odd):
+    """n-grams, counts by label, log-count ratios and scores, text by text."""
+    docs = documents(spark, DATA)
+    labelled = toxicity.labelled_rows(docs, common.labels(spark, DATA), "toxic", common.fold(F.col("doc_id"), 4) != 2).cache()
+    rows = [({naive_slot(g) for g in naive_grams(r.text)}, r.label, r.n) for r in labelled.collect()]
+    n = Counter()
+    held_by = (Counter(), Counter())
+    for slots, y, times in rows:
+        n[y] += times
+        held_by[y].update({x: times for x in slots})
+    ones, zeros, n1, n0 = toxicity.class_counts(labelled)
+    assert (n1, n0) == (n[1], n[0])
+    assert {i: int(c) for i, c in enumerate(ones) if c} == held_by[1] and {i: int(c) for i, c in enumerate(zeros) if c} == held_by[0]
+    model = toxicity.train(labelled)
+    kept = np.flatnonzero(model.weights)
+    ratio = {i: math.log((held_by[1][i] + 0.5) / (n1 + 1)) - math.log((held_by[0][i] + 0.5) / (n0 + 1)) for i in kept.tolist()}
+    telling = {i: abs(ratio[i]) * (held_by[1][i] + held_by[0][i]) ** 0.5 for i in ratio}
+    others = [abs(math.log((held_by[1][i] + 0.5) / (n1 + 1)) - math.log((held_by[0][i] + 0.5) / (n0 + 1))) * (held_by[1][i] + held_by[0][i]) ** 0.5 for i in set(held_by[0]) | set(held_by[1]) if i not in ratio and held_by[1][i] + held_by[0][i] >= toxicity.SUPPORT]
+    assert len(kept) <= toxicity.FEATURES and min(telling.values()) >= max(others, default=0) - 1e-9
+    for df in (docs, odd):
+        texts = [t for _, t in texts_of(df)]
+        want = [1 / (1 + math.exp(-min(30, max(-30, model.bias + sum(float(model.weights[naive_slot(g)]) for g in {naive_slot(x): x for x in naive_grams(t)}.values()))))) for t in texts]
+        assert np.allclose(model.scores(texts), want, atol=1e-5)
+    # a fit of weights leaves no gradient: of the penalised likelihood, in scaled features
+    at = {int(i): j for j, i in enumerate(kept)}
+    grad = np.array([toxicity.L2 * model.weights[i] / ratio[i] for i in at])
+    for slots, y, times in rows:
+        z = model.bias + sum(float(model.weights[i]) for i in slots if i in at)
+        for i in slots:
+            if i in at:
+                grad[at[i]] += times * (1 / (1 + math.exp(-z)) - y) * ratio[i]
+    assert np.abs(grad).max() < 0.05 * sum(times for _, _, times in rows)
+
+
+def test_toxicity_reads_long_texts_in_pieces(monkeypatch):
+    rng = np.random.default_rng(6)
+    texts = ["".join(chr(97 + c) for c in rng.integers(0, 26, 5000)), "short one", "", " ".join(str(i) for i in range(3000))]
+    whole = [set(s.tolist()) for s in (toxicity.ngram_slots([t])[1] for t in texts)]
+    monkeypatch.setattr(toxicity, "PIECE", 100)
+    doc, slot = toxicity.ngram_slots(texts)
+    assert [set(slot[doc == i].tolist()) for i in range(len(texts))] == whole == [{naive_slot(g) for g in naive_grams(t)} for t in texts]
+
+
+def test_labels_count_as_often_as_they_stand(spark):
+    docs = spark.createDataFrame([(1, "bad"), (1, "worse"), (2, "good"), (3, "unlabelled")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (1, 1), (1, 0), (2, 0), (9, 1), (None, 1), (2, None), (3, 7)], "doc_id long, toxic int")
+    got = toxicity.labelled_rows(docs, labels, "toxic", F.lit(True))
+    assert sorted(map(tuple, got.collect())) == [(1, "bad", 0, 1), (1, "bad", 1, 2), (1, "worse", 0, 1), (1, "worse", 1, 2), (2, "good", 0, 1)]
+    assert toxicity.labelled_rows(docs, labels, "toxic", F.lit(True), ids=1).select("doc_id").distinct().count() == 1
+
+
 def test_toxicity_of_odd_rows(odd, empty, labels):
     got = toxicity.toxicity(odd, labels).collect()
     assert len(got) == odd.count() and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.3) and r.held_out == (held(r.doc_id, 4) == 2) for r in got)
@@ -200,6 +271,38 @@ def test_quality_of_odd_rows(odd, empty, labels):
     assert quality.quality(odd, labels.limit(0)).filter("predicted = 1").count() == 0
 
 
+def test_statistics_against_plain_counts(spark, odd):
+    """All statistics of whole texts, one by one; 300,000 characters without a blank among them."""
+    import regex
+
+    def naive(t):
+        words, lines = regex.findall(common.WORD, t), t.split("\n")
+        n, blank = len(words), r"\x20\t\n\x0b\f\r"
+        symbol = rf"[^\p{{L}}\p{{N}}{blank}.,;:!?'\"()-]"
+        share = lambda x, of: x / of if of else 0.0
+        count = lambda p: len(regex.findall(p, t))
+        return {
+            "chars": len(t), "words": n, "word_length": share(len(t), n), "symbols": share(count(symbol), n), "symbol_runs": share(count(symbol + "{3,}"), n),
+            "separators": share(count(rf"[{blank}][^\p{{L}}\p{{N}}{blank}][{blank}]"), n), "digits": share(sum("0" <= c <= "9" for c in t), len(t)), "capitals": share(sum("A" <= c <= "Z" for c in t), n),
+            "stops": share(sum(c in ".!?" for c in t), n), "commas": share(sum(c in ",;:" for c in t), n), "lines": share(len(lines), n),
+            "distinct_lines": share(len(set(lines)), len(lines)), "distinct_words": share(len(set(regex.split(r"[\x20\x09-\x0D]+", t))), n),
+        }
+
+    long = spark.createDataFrame([(1, "x" * 300_000), (2, "a b. " * 60_000), (3, "### $$$ " * 5000)], "doc_id long, text string")
+    for df in (odd, documents(spark, DATA), long):
+        stats = quality.statistics(F.col("text"))
+        for r in df.select(F.coalesce("text", F.lit("")).alias("text")).select("text", *[c.alias(n) for n, c in stats.items()]).collect():
+            want = naive(r.text)
+            assert list(want) == list(stats) and all(abs(r[k] - v) < 1e-9 for k, v in want.items()), (r.text[:80], want)
+
+
+def test_ties_at_a_threshold_are_not_above_it(spark):
+    model = quality.RuleEnsemble([((("a", True, 1.0),), 2.0), ((("a", False, 1.0),), -2.0)], 0.0)
+    got = [r.s for r in spark.createDataFrame([(1.0,), (1.0000001,), (0.5,)], "a double").select(model.column({"a": F.col("a")}).alias("s")).collect()]
+    assert got[0] < 0.5 < got[1] and got[2] < 0.5
+    assert quality.holds((("a", True, 1.0),), np.array([[1.0]]), ["a"]).tolist() == [False]
+
+
 def test_rules_in_columns_equal_rules_in_numpy(spark):
     rng = np.random.default_rng(5)
     x = rng.random((3000, 3))
