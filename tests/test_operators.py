@@ -1,9 +1,11 @@
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from folioframe import model
+from helpers import DATA
 from folioframe.functions import exprs as X
 from folioframe.operators import cells as C
 from folioframe.operators import diff, graph, integrity, layout, objects, search, worksheets
@@ -118,6 +120,91 @@ def test_wrap_keeps_words_and_cuts_long_ones():
     assert layout.wrap("漢字漢字", 20) == ["漢字", "漢字"]
 
 
+def naive_wrap(line, width, size):
+    """The same by measuring the growing line again for each word and cut."""
+    if layout.text_width(line, size) <= width:
+        return [line]
+    out, current = [], ""
+    for word in re.findall(r"\s+|\S+", line):
+        if current and layout.text_width(current + word, size) > width:
+            out.append(current.rstrip())
+            current = word.lstrip()
+        else:
+            current += word
+        while len(current) > 1 and layout.text_width(current, size) > width:
+            cut = next((k for k in range(len(current) - 1, 1, -1) if layout.text_width(current[:k], size) <= width), 1)
+            out.append(current[:cut])
+            current = current[cut:]
+    if current:
+        out.append(current.rstrip())
+    return out or [""]
+
+
+def test_wrapping_by_prefix_widths():
+    rng = random.Random(8)
+    for _ in range(3000):
+        line = "".join(rng.choice("abcde      \t漢字ｱ。é") * rng.randint(1, 4) for _ in range(rng.randint(0, 30)))
+        width, size = rng.choice([5, 17.5, 40, 99.9, 480]), rng.choice([10, 7, 12.5])
+        assert layout.wrap(line, width, size) == naive_wrap(line, width, size), (line, width, size)
+
+
+def test_every_wrapped_line_of_the_documents(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text")
+    want = []
+    for d in docs.collect():
+        page = 0
+        for part in (d.text or "").split("\f"):
+            lines = [w for line in part.split("\n") for w in naive_wrap(line, 480.0, 10)]
+            want += [(d.doc_id, page + i // 50, i % 50, t) for i, t in enumerate(lines)]
+            page += max(1, -(-len(lines) // 50))
+    assert rows(layout.paginate(docs, 480.0, 50)) == sorted(want, key=str)
+
+
+def test_changes_rebuild_the_edited_document(spark):
+    """What the comparison reports turns every first version into the second, and nothing is reported twice."""
+    rng = random.Random(9)
+    line = lambda: " ".join(rng.choice("alpha beta gamma delta eps".split()) for _ in range(rng.randint(0, 4)))
+    first, second = {}, {}
+    for pair in range(60):
+        a = [(rng.choice([None, "H"]), line()) for _ in range(rng.randint(0, 9))]
+        b = [x for x in a if rng.random() > 0.2]
+        b = [(s, t + " more") if rng.random() < 0.2 else (s, t) for s, t in b]
+        for _ in range(rng.randint(0, 2)):
+            b.insert(rng.randint(0, len(b)), (None, line()))
+        first[pair], second[pair] = a, b
+    make = lambda v: spark.createDataFrame([(k, i, s, t) for k, x in v.items() for i, (s, t) in enumerate(x)], "pair_id long, idx int, style string, text string").repartition(5)
+    found = {}
+    for r in diff.compare_documents(make(first), make(second)).collect():
+        assert r.aligned
+        found.setdefault(r.pair_id, []).append(r)
+    for pair, a in first.items():
+        b, changes = second[pair], found.get(pair, [])
+        gone, new = {r.index_before for r in changes if r.index_before is not None}, {r.index_after for r in changes if r.index_after is not None}
+        assert len(gone) + len(new) == sum((r.index_before is not None) + (r.index_after is not None) for r in changes)
+        assert [x for i, x in enumerate(a) if i not in gone] == [x for i, x in enumerate(b) if i not in new]
+        for r in changes:
+            assert r.index_before is None or (r.style_before, r.text_before) == a[r.index_before]
+            assert r.index_after is None or (r.style_after, r.text_after) == b[r.index_after]
+        assert (changes == []) == (a == b)
+
+
+def test_blocks_too_large_to_align_are_marked(spark, monkeypatch):
+    monkeypatch.setattr(diff, "MAX_PAIR", 3)
+    a, b = [(i, None, f"a{i}") for i in range(2)], [(i, None, f"b{i}") for i in range(2)]
+    assert diff.compare_sequences(a, b)[1] is False and diff.compare_sequences(a[:1], b)[1] is True
+
+
+def test_search_in_long_and_dense_pages(spark):
+    """Over many runs of hits, with contexts that reach over other hits and page ends."""
+    texts = ["the" * 700, "x\n" * 50 + "The the\n" * 300, "", "theme of the thesis " * 40]
+    pages = spark.createDataFrame([(1, i, t) for i, t in enumerate(texts)] + [(2, 0, "no hit")], "doc_id long, page int, text string")
+    got = search.search(pages, "the", max_results=1000, context=9).collect()
+    want = [(i, m.start(), t[: m.start()].count("\n") + 1, m[0], t[max(0, m.start() - 9) : m.start()], t[m.end() : m.end() + 9]) for i, t in enumerate(texts) for m in re.finditer("(?i)the", t)]
+    assert len(want) > 1000
+    assert sorted((r.page, r.offset, r.line, r.match, r.context_before, r.context_after) for r in got) == want[:1000] and {r.total_matches for r in got} == {len(want)}
+    assert [r.context_before for r in search.search(pages, "the", context=0).collect()] == [""] * 100
+
+
 def test_paginate_breaks_at_form_feeds(spark):
     d = spark.createDataFrame([(1, "a\nb\nc\fd"), (2, None)], "doc_id long, text string")
     assert [tuple(r) for r in layout.paginate(d, 500.0, 2).orderBy("doc_id", "page", "line").collect()] == [(1, 0, 0, "a"), (1, 0, 1, "b"), (1, 1, 0, "c"), (1, 2, 0, "d"), (2, 0, 0, "")]
