@@ -753,4 +753,105 @@ def _(t):
     return s.withColumn("total_ms", F.round("total_ms", 4))
 
 
+# ---- kernels -----------------------------------------------------------------------------------
+
+
+@_query("unit_sizes", f"SELECT p_partkey, p_size * 12700.0 / 914400 AS width_in, p_size * 9525 / 9525.0 AS height_px, {_NUMBER.format(x='(p_size * 914400 / 914400.0)')} AS text FROM part")
+def _(t):
+    """Sizes of slides in inches and pixels."""
+    size = F.col("p_size").cast("long")
+    points = S.slide_sizes(t.part.select("p_partkey", (size * 12700).alias("cx"), (size * 9525).alias("cy"))).select("p_partkey", "width_in", "height_px")
+    whole = S.slide_sizes(t.part.select("p_partkey", (size * 914400).alias("cx"), size.alias("cy"))).select("p_partkey", "text")
+    return points.join(whole, "p_partkey")
+
+
+@_query("unencodable_chars", r"SELECT doc_id, len(list_distinct(regexp_extract_all(text, '[^\t\n\r\x20-\x7E\x{A0}-\x{FF}€‚ƒ„…†‡ˆ‰Š‹ŒŽ‘’“”•–—˜™š›œžŸ]'))) AS n FROM documents")
+def _(t):
+    """Characters of a text that a standard PDF font cannot show."""
+    return t.documents.select("doc_id", F.size(X.unencodable(F.col("text"))).cast("long").alias("n"))
+
+
+_EDGES = "e AS (SELECT l_orderkey AS src, l_partkey AS dst FROM lineitem), k AS (SELECT DISTINCT src AS node FROM e WHERE src % 3 <> 0 UNION SELECT DISTINCT dst FROM e WHERE dst % 2 = 0), i AS (SELECT node, row_number() OVER (ORDER BY node) AS new_id FROM k)"
+
+
+def _edges(t):
+    return t.lineitem.select(F.col("l_orderkey").alias("src"), F.col("l_partkey").alias("dst"))
+
+
+@_query("relabelled_refs", f"WITH {_EDGES} SELECT a.new_id AS src, b.new_id AS dst, count(*) AS n FROM e JOIN i a ON a.node = src LEFT JOIN i b ON b.node = dst GROUP BY 1, 2")
+def _(t):
+    """References under the new numbers of the objects that are kept; what points to others becomes null."""
+    e = _edges(t)
+    kept = e.filter("src % 3 <> 0").select(F.col("src").alias("node")).union(e.filter("dst % 2 = 0").select("dst")).distinct()
+    return graph.relabel(e, graph.renumber(kept)).groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n"))
+
+
+@_query("referrers", "SELECT p_partkey AS node, count(DISTINCT l_orderkey) AS n, coalesce(min(l_orderkey), -1) AS first FROM part LEFT JOIN lineitem ON l_partkey = p_partkey GROUP BY 1")
+def _(t):
+    """Which objects refer to each one."""
+    r = graph.referrers(_edges(t), t.part.select(F.col("p_partkey").alias("node")))
+    return r.select("node", "n", F.coalesce(F.get("from", F.lit(0)), F.lit(-1)).alias("first"))
+
+
+@_query("cleaned_page_refs", "SELECT l_orderkey AS holder, l_partkey AS page FROM lineitem WHERE l_partkey IN (SELECT p_partkey FROM part WHERE p_size % 2 = 0)")
+def _(t):
+    """References without those to pages that are gone."""
+    return graph.clean_page_refs(_edges(t).toDF("holder", "page"), t.part.filter("p_size % 2 = 0").select(F.col("p_partkey").alias("page")))
+
+
+@_query("format_ids", """WITH c AS (SELECT DISTINCT CASE p_size % 4 WHEN 0 THEN '0.00' WHEN 1 THEN 'General' ELSE p_brand || '/' || (p_size % 4) END AS code FROM part), o AS (SELECT code, CAST(200 + row_number() OVER (ORDER BY code) AS INT) AS id FROM c WHERE code LIKE '%/2'),
+ n AS (SELECT code, CAST((SELECT max(id) FROM o) + row_number() OVER (ORDER BY code) AS INT) AS id FROM c WHERE code LIKE '%/3') SELECT '0.00' AS code, 2 AS id UNION ALL SELECT 'General', 0 UNION ALL SELECT code, id FROM o UNION ALL SELECT code, id FROM n""")
+def _(t):
+    """resolveNumFmtId: built-in formats, formats that the workbook defines, new ones behind them."""
+    kind = F.col("p_size") % 4
+    codes = t.part.select(F.when(kind == 0, "0.00").when(kind == 1, "General").otherwise(F.concat("p_brand", F.lit("/"), kind.cast("string"))).alias("code")).distinct()
+    own = model.numbered(codes.filter("code LIKE '%/2'").withColumn("k", F.lit(0)), "k", "id", 201).select("id", "code")
+    return worksheets.format_ids(codes, own)
+
+
+@_query("button_states", "SELECT p_type AS field, array_to_string(list_sort(list(DISTINCT p_brand) FILTER (p_brand <> 'Brand#11')), ',') AS options FROM part GROUP BY 1")
+def _(t):
+    """collectOnStates: the states that the widgets of a button can show."""
+    widgets = t.part.select(F.col("p_type").alias("field"), F.array(F.when(F.col("p_brand") == "Brand#11", "Off").otherwise(F.col("p_brand")), F.lit("Off")).alias("states"))
+    return objects.on_states(widgets).select("field", F.array_join("options", ",").alias("options"))
+
+
+@_query("sheet_page", f"WITH {_CUSTOMERS} SELECT ref, count(*) OVER () AS total, count(*) OVER () > 30 AS truncated FROM cells ORDER BY ord OFFSET 20 LIMIT 10")
+def _(t):
+    """office_read_sheet (offset 20, limit 10) with the true total."""
+    return C.read_sheet(_customers(t), 20, 10).select("ref", "total", "truncated")
+
+
+@_query("chart_categories", f"WITH {_CUSTOMERS} SELECT string_agg(str, '|' ORDER BY row) AS categories FROM cells WHERE col = 2 AND row BETWEEN 2 AND 50")
+def _(t):
+    """office_create_chart: the labels of B2:B50."""
+    return C.chart_categories(_customers(t), "B2:B50").select(F.array_join("categories", "|").alias("categories"))
+
+
+@_query("add_bookmark", "SELECT n_nationkey AS id, n_name AS name, n_regionkey AS paragraph FROM nation UNION ALL SELECT max(n_nationkey) + 1, 'New_mark', 7 FROM nation")
+def _(t):
+    """office_insert_bookmark: a new name gets the next number."""
+    return objects.add_bookmark(t.nation.select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name"), F.col("n_regionkey").alias("paragraph")), 7, "New_mark")
+
+
+@_query("merged_ranges", "SELECT s_suppkey * 4 AS r0, 1 AS c0, s_suppkey * 4 + 2 AS r1, 2 AS c1 FROM supplier UNION ALL SELECT 1, 5, 3, 6")
+def _(t):
+    """office_merge_cells E1:F3 beside the ranges that are merged already."""
+    r = F.col("s_suppkey") * 4
+    return worksheets.merge_range(t.supplier.select(r.alias("r0"), F.lit(1).alias("c0"), (r + 2).alias("r1"), F.lit(2).alias("c1")), "E1:F3")
+
+
+#: Operations on documents that this package does not build: they draw, embed, convert or touch the user's own files.
+NOT_BUILT = (
+    "blank documents, workbooks, decks", "deletion of user files", "external engines and conversion", "headers, footers, page layout and margins of text documents", "page-number fields", "page breaks", "insertion, scaling and wrapping of pictures",
+    "drawn text boxes and annotations", "font subsets", "file locks",
+)
+
+
+def capabilities(spark: SparkSession) -> DataFrame:
+    """name, description, built, has_sql: what is registered, and what is not built."""
+    rows = [(k, (f.__doc__ or "").strip(), True, k in _SQL) for k, f in _QUERIES.items()] + [(n, n, False, False) for n in NOT_BUILT]
+    return spark.createDataFrame(rows, "name string, description string, built boolean, has_sql boolean")
+
+
 from . import file_queries  # noqa: E402, F401  (registers its queries with this module)

@@ -191,3 +191,39 @@ def _(t):
 def _(t):
     """Files that cannot be read as workbooks, with the kind of error; they give no cells."""
     return package.unreadable(t.spark, _mixed(t), sheets.parse_cells()).select(F.substring_index("file_id", "/", -1).alias("file"), "error")
+
+
+@_query("file_validation", """SELECT * FROM (VALUES ('nations.xlsx', 'required_parts', true, 0), ('nations.xlsx', 'relation_targets', true, 0), ('nations.xlsx', 'part_names', true, 0),
+ ('holes.xlsx', 'required_parts', false, 1), ('holes.xlsx', 'relation_targets', false, 2), ('holes.xlsx', 'part_names', false, 1)) v(file, "check", ok, failures)""")
+def _(t):
+    """office_validate_workbook of files: required parts, targets of relations, names that differ in case only."""
+    folder = _book(t)
+    links = writers.relations([("r1", "worksheet", "worksheets/none.xml"), ("r2", "styles", "/xl/no.xml"), ("r3", "theme", "theme.xml")])
+    writers.save(t.spark, f"{folder}/holes.xlsx", writers.package({"xl/workbook.xml": "<workbook/>", "xl/_rels/workbook.xml.rels": links, "xl/theme.xml": "<x/>", "xl/Theme.xml": "<x/>"}))
+    checked = package.validate(package.read_parts(t.spark, folder), package.read_relations(t.spark, folder), ["xl/workbook.xml", "_rels/.rels"])
+    return _name(checked).withColumn("failures", F.col("failures").cast("int"))
+
+
+@_query("file_safety", "SELECT * FROM (VALUES ('plain.xlsx', false, false, false, 5), ('risky.xlsm', true, true, false, 3)) v(file, macros, external_links, encrypted, n_parts)")
+def _(t):
+    """office_get_file_info of workbooks: what asks for care."""
+    risky = writers.package({"xl/workbook.xml": "<workbook/>", "xl/vbaProject.bin": b"x", "xl/externalLinks/externalLink1.xml": "<x/>"})
+    folder = _folder(t, plain_xlsx=writers.workbook({"S": [[1]]}), risky_xlsm=risky)
+    return _name(package.safety(package.read_parts(t.spark, folder))).select("file", "macros", "external_links", "encrypted", F.col("n_parts").cast("int").alias("n_parts"))
+
+
+@_query("file_pdf_validation", """SELECT * FROM (VALUES ('regions.pdf', 'catalog', true, 0), ('regions.pdf', 'pages', true, 0), ('regions.pdf', 'references', true, 0),
+ ('holes.pdf', 'catalog', true, 0), ('holes.pdf', 'pages', false, 1), ('holes.pdf', 'references', false, 2)) v(file, "check", ok, failures)""")
+def _(t):
+    """office_validate_pdf of files: a catalog, pages, and references that lead somewhere."""
+    folder = _paper(t)
+    writers.save(t.spark, f"{folder}/holes.pdf", b"%PDF-1.4\n1 0 obj\n<< /Type /Catalog /Pages 2 0 R /Other 9 0 R >>\nendobj\n")
+    return _name(pdf.validate(pdf.read_objects(t.spark, folder))).withColumn("failures", F.col("failures").cast("int"))
+
+
+@_query("file_protected_markup", f"WITH {_N} SELECT i AS idx, CASE WHEN i % 3 = 2 THEN CASE WHEN i % 4 = 1 THEN 'commentRangeStart,del,ins' ELSE 'del,ins' END WHEN i % 4 = 1 THEN 'commentRangeStart' ELSE '' END AS protected FROM n")
+def _(t):
+    """office_update_paragraph: markup that an update would lose, by paragraph."""
+    tags = texts.read_markup(t.spark, _document(t))
+    found = objects.protected_markup(F.col("tags"), ["ins", "del", "commentRangeStart", "hyperlink", "drawing"])
+    return tags.select(F.col("idx").cast("long").alias("idx"), F.array_join(found, ",").alias("protected"))

@@ -11,6 +11,7 @@ from xml.etree import ElementTree as ET
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from .. import model
@@ -187,3 +188,40 @@ def _opened(file_id: str, content: bytes) -> Iterator[tuple]:
 def bad_files(spark: SparkSession, path: str) -> DataFrame:
     """file_id, error, reason of files that are no readable package; unreadable() checks a whole parse."""
     return unreadable(spark, path, _opened)
+
+
+def _relations(file_id: str, content: bytes) -> Iterator[tuple]:
+    p = Package(content)
+    for name in p.infos:
+        folder, base = posixpath.split(name)
+        if posixpath.basename(folder) == "_rels" and base.endswith(".rels"):
+            source = posixpath.join(posixpath.dirname(folder), base.removesuffix(".rels"))
+            for rid, (kind, target) in p.relations(source).items():
+                yield file_id, source, rid, kind, target
+
+
+def read_relations(spark: SparkSession, path: str) -> DataFrame:
+    """file_id, part, id, kind, target of the relations inside packages; those to the outside are left out."""
+    return read_files(spark, path, "file_id string, part string, id string, kind string, target string", _relations)
+
+
+def safety(parts: DataFrame) -> DataFrame:
+    """One row for each package of read_parts(): what it carries that asks for care, and its size when unpacked."""
+    has = lambda pattern: F.coalesce(F.bool_or(F.col("part").rlike(pattern)), F.lit(False))
+    return parts.groupBy("file_id").agg(
+        has(r"(^|/)vbaProject\.bin$").alias("macros"), has(r"(^|/)externalLinks/").alias("external_links"), has(r"(^|/)(embeddings|activeX|ctrlProps)/").alias("embedded"),
+        has(r"(^|/)(pivotTables|charts|drawings)/").alias("drawn"), F.bool_or("encrypted").alias("encrypted"), F.count(F.lit(1)).alias("n_parts"), F.sum("uncomp_size").alias("unpacked_bytes"),
+    )
+
+
+def validate(parts: DataFrame, relations: DataFrame, required: list[str]) -> DataFrame:
+    """file_id, check, ok, failures: required parts, targets of relations, repeated names (case aside), per package of read_parts()."""
+    files = parts.select("file_id").distinct()
+    need = parts.sparkSession.createDataFrame([(r,) for r in required], "part string")
+    missing = files.join(F.broadcast(need)).join(parts.select("file_id", "part"), ["file_id", "part"], "left_anti").withColumn("check", F.lit("required_parts"))
+    dangling = relations.select("file_id", F.col("target").alias("part")).join(parts.select("file_id", "part"), ["file_id", "part"], "left_anti").withColumn("check", F.lit("relation_targets"))
+    repeated = parts.groupBy("file_id", F.lower("part").alias("part")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("file_id", "part").withColumn("check", F.lit("part_names"))
+    bad = missing.unionByName(dangling).unionByName(repeated).groupBy("file_id", "check").agg(F.count(F.lit(1)).alias("n"))
+    checks = parts.sparkSession.createDataFrame([("required_parts",), ("relation_targets",), ("part_names",)], "check string")
+    every = files.join(F.broadcast(checks)).join(bad, ["file_id", "check"], "left")
+    return every.select("file_id", "check", F.col("n").isNull().alias("ok"), F.coalesce("n", F.lit(0)).alias("failures"))

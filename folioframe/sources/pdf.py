@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .. import model
 from .package import read_files
@@ -478,3 +479,13 @@ def read_runs(spark: SparkSession, path: str) -> DataFrame:
 def read_objects(spark: SparkSession, path: str) -> DataFrame:
     """Objects with their references, for operators.graph.reachable."""
     return read_files(spark, path, OBJECTS, _objects)
+
+
+def validate(objects: DataFrame) -> DataFrame:
+    """file_id, check, ok, failures: a catalog, pages, and references to objects that exist, per file of read_objects()."""
+    files = objects.groupBy("file_id").agg(F.count_if(F.col("kind") == "Catalog").alias("roots"), F.count_if(F.col("kind") == "Page").alias("pages"))
+    refs = objects.select("file_id", F.explode("refs").alias("key")).distinct().join(objects.select("file_id", "key"), ["file_id", "key"], "left_anti")
+    j = files.join(refs.groupBy("file_id").agg(F.count(F.lit(1)).alias("lost")), "file_id", "left")
+    row = lambda name, n: F.struct(F.lit(name).alias("check"), (n == 0).alias("ok"), n.cast("long").alias("failures"))
+    none = lambda c: F.when(F.col(c) == 0, 1).otherwise(0)
+    return j.select("file_id", F.inline(F.array(row("catalog", none("roots")), row("pages", none("pages")), row("references", F.coalesce("lost", F.lit(0))))))

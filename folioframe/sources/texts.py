@@ -81,6 +81,32 @@ def _revisions(file_id: str, content: bytes) -> Iterator[tuple]:
             yield file_id, local(r.tag), attr(r, "author"), attr(r, "date"), attr(r, "id"), "".join(t.text or "" for t in descendants(r, "t", "delText")), i
 
 
+def _markup(file_id: str, content: bytes) -> Iterator[tuple]:
+    _, body = _body(content)
+    for i, e in enumerate(c for c in body if local(c.tag) == "p"):
+        yield file_id, i, sorted({local(x.tag) for x in e.iter()} - {"p"})
+
+
+def _drawings(file_id: str, content: bytes) -> Iterator[tuple]:
+    p, body = _body(content)
+    rels = p.relations(_MAIN)
+    for i, e in enumerate(c for c in body if local(c.tag) == "p"):
+        for d in descendants(e, "inline", "anchor"):
+            size, blip = child(d, "extent"), next(descendants(d, "blip"), None)
+            target = rels.get(attr(blip, "embed", "") or "", (None, None))[1]
+            yield file_id, i, local(d.tag), target, int(attr(size, "cx", "0")), int(attr(size, "cy", "0"))
+
+
+def read_markup(spark: SparkSession, path: str) -> DataFrame:
+    """file_id, idx, tags: the kinds of markup inside each paragraph, for objects.protected_markup."""
+    return read_files(spark, path, "file_id string, idx int, tags array<string>", _markup)
+
+
+def read_drawings(spark: SparkSession, path: str) -> DataFrame:
+    """file_id, idx, kind (inline or anchor), target, cx, cy of the pictures in paragraphs."""
+    return read_files(spark, path, "file_id string, idx int, kind string, target string, cx long, cy long", _drawings)
+
+
 def read_paragraphs(spark: SparkSession, path: str) -> DataFrame:
     """Body paragraphs of text documents; those in tables are read by read_table_cells."""
     return read_files(spark, path, model.PARAGRAPHS, _paragraphs)
