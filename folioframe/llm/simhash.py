@@ -256,8 +256,9 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     # rows of the least id stay, and the least of them if there are several
     keys = members.groupBy("k", "th").agg(F.min("root").alias("root"), F.min("component_id").alias("component_id"), F.count(F.lit(1)).alias("n"))
     keys = durable(keys.withColumn("stays", F.col("k") == F.col("component_id")))
-    several = keys.filter("stays").groupBy("root").agg(F.sum("n").alias("s")).filter("s > 1").select("root", F.lit(True).alias("several"))
-    asked = durable(keys.join(several, "root", "left").filter("NOT stays OR several").select("k", "th", "root", "stays", "n"))
+    stays = keys.filter("stays")  # of any component, however large, those of one id
+    several = stays.groupBy("root").agg(F.sum("n").alias("s")).filter("s > 1")
+    asked = durable(keys.filter("NOT stays").unionByName(stays.join(several, "root", "left_semi").select(*keys.columns)).select("k", "th", "root", "stays", "n"))
     shared = docs.sparkSession.sparkContext.broadcast(repeated_bitmap(asked.select(F.xxhash64("k", "th").alias("fp")), asked.count()))
 
     @F.pandas_udf("boolean")
