@@ -8,9 +8,10 @@ short word (these tell languages apart). A predictor holds the counts of both ou
 slot; what is seen is kept whole, so counts grow with the corpus, and a predictor's table has two
 slots or more for each context and node of a tree that was met. The predictors' logits are mixed by
 weights that a gate selects, learnt online on a held-back share of the training rows against the
-merged counts of the others; an adaptive map refines the mixture by what came true at that estimate
-behind the byte before. Weights are averaged by decisions. Scoring uses the counts of all training
-rows. Total bits give the log probability; bits per byte are those of the words, blanks and ends.
+merged counts of the others and averaged over all decisions on the way; an adaptive map refines the
+mixture by what came true at that estimate behind the byte before. Scoring uses the counts of all
+training rows. Total bits give the log probability; bits per byte are those of the words, blanks and
+ends.
 
 A word's probability depends on the word and the class only, so every batch codes each of its
 distinct pairs of class and word once, and counts are gathered from merged counts of such pairs.
@@ -41,14 +42,14 @@ from pyspark.sql import functions as F
 
 from .common import batches_by_bytes, durable, fold, keyed, offsets_of, stored
 
-#: Slots per predictor (bits, at least), predictors, gates, buckets of the adaptive map, logits' scale.
+#: Slots per predictor (bits, at least), predictors (the last with the class), gates, buckets of the adaptive map, logits' scale.
 SLOT_BITS, CONTEXTS, GATES, BUCKETS, SCALE = 21, 4, 16, 33, 16
 #: Bytes read at a time, bytes of words coded at a time, decisions of a learning step, its rate, words that go to the tasks.
-PIECE, CODED, STEP, RATE, FREQUENT = 4 << 20, 1 << 16, 1 << 14, 1.5, 1 << 19
+PIECE, CODED, STEP, RATE, FREQUENT = 4 << 20, 1 << 16, 1 << 14, 1.5, 1 << 18
 #: Classes, bytes of a short word at most, bytes of a word coded in one part.
 CLASSES, SHORT, LONGEST = 64, 3, 1 << 12
 #: Training bytes of a range when counts are merged, ranges (bits, at least); symbols sorted at a time, symbols held by a counter.
-RANGE, RANGE_BITS, SORTED, HELD = 1 << 25, 4, 1 << 20, 1 << 20
+RANGE, RANGE_BITS, SORTED, HELD = 1 << 25, 4, 1 << 20, 1 << 19
 #: One training row in so many is held back to learn weights; its bytes for a task that learns.
 SHARE, LEARN = 8, 1 << 22
 END, PAD = 10, 5
@@ -98,8 +99,9 @@ def code_trees(pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 class Coder:
     """The decisions of words with their slots."""
 
-    def __init__(self, codes: np.ndarray, lengths: np.ndarray, slot_bits: tuple[int, ...] = (SLOT_BITS,) * CONTEXTS, range_bits: int = RANGE_BITS):
-        self.codes, self.lengths, self.slot_bits, self.range_bits = codes, lengths, slot_bits, range_bits
+    def __init__(self, codes: np.ndarray, lengths: np.ndarray, range_slots: tuple[int, ...] = ((1 << SLOT_BITS) >> RANGE_BITS,) * CONTEXTS, range_bits: int = RANGE_BITS):
+        """range_slots: slots of a range by context."""
+        self.codes, self.lengths, self.range_slots, self.range_bits = codes, lengths, range_slots, range_bits
 
     def symbols(self, units: list[bytes], classes: np.ndarray | None = None) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
         """(byte before and byte, hashes by context, unit) of every byte of the units; contexts end at a unit's start."""
@@ -145,12 +147,14 @@ class Coder:
 
     def slots(self, k: int, hashes: np.ndarray, node: np.ndarray) -> np.ndarray:
         """Slots of context k: a context's hash names a range of slots, the node a place in it."""
-        inside = self.slot_bits[k] - self.range_bits
+        n = self.range_slots[k]
         at = hashes ^ node
         at *= np.uint32(0x85EBCA6B)
-        at >>= np.uint32(32 - inside)
-        at |= hashes >> np.uint32(32 - self.range_bits) << np.uint32(inside)
-        return at.view(np.int32)
+        inside = at.astype(np.uint64)
+        inside *= _U(n)
+        inside >>= _U(32)
+        inside += (hashes >> np.uint32(32 - self.range_bits)).astype(np.uint64) * _U(n)
+        return inside.view(np.int64)
 
     def decisions(self, units: list[bytes], classes: np.ndarray | None = None) -> tuple[np.ndarray, list[np.ndarray], np.ndarray, np.ndarray]:
         """(bits, slots by context, byte before, decisions of each unit)."""
@@ -302,8 +306,8 @@ def _late():
     return F.pmod(F.xxhash64("doc_id"), F.lit(SHARE)) == 0
 
 
-def _byte_pairs(counted: DataFrame) -> np.ndarray:
-    """Counts of (byte before, byte) in all coded words, from the merged pairs."""
+def _byte_pairs(words: DataFrame) -> np.ndarray:
+    """Counts of (byte before, byte) in all coded words."""
 
     def run(it):
         total = np.zeros(65536, np.int64)
@@ -317,8 +321,7 @@ def _byte_pairs(counted: DataFrame) -> np.ndarray:
         yield pa.record_batch([pa.array(at, pa.int32()), pa.array(total[at])], ["pair", "n"])
 
     out = np.zeros(65536, np.int64)
-    words = counted.groupBy("word").agg(F.sum("n").alias("n"))
-    for r in words.mapInArrow(run, "pair int, n long").groupBy("pair").agg(F.sum("n").alias("n")).collect():  # 65536 rows at most
+    for r in words.select("word", "n").mapInArrow(run, "pair int, n long").groupBy("pair").agg(F.sum("n").alias("n")).collect():  # 65536 rows at most
         out[r.pair] = r.n
     return out.reshape(256, 256)
 
@@ -354,12 +357,15 @@ def _merged(runs: list[np.ndarray]) -> np.ndarray:
     return np.column_stack([x[at, 0], *(np.add.reduceat(x[:, j], at) if len(at) else x[:0, j] for j in (1, 2))])
 
 
-def _count_symbols(counted: DataFrame, coder: Coder) -> DataFrame:
-    """(part, keys, blob): merged counts of (context, byte before and byte) by context's number and range; keys counts contexts and nodes."""
+def _count_symbols(counted: DataFrame, words: DataFrame, coder: Coder) -> DataFrame:
+    """(part, keys, blob): merged counts of (context, byte before and byte) by context's number and range; keys counts contexts and nodes.
+
+    Only the last context needs the pairs of class and word; the others are counted from words.
+    """
     range_bits = coder.range_bits
     bounds = np.arange(1, 1 << range_bits, dtype=np.uint64) << _U(48 - range_bits)
 
-    def run(it):
+    def run(it, own):
         raw, size = [[] for _ in range(CONTEXTS)], 0
         held = [np.zeros((0, 3), np.uint64) for _ in range(CONTEXTS)]
 
@@ -374,17 +380,17 @@ def _count_symbols(counted: DataFrame, coder: Coder) -> DataFrame:
                 pair, hashes, unit = coder.symbols(units, classes[owner])
                 every = n[owner][unit].astype(np.uint64)
                 early = every - late[owner][unit].astype(np.uint64)
-                for k in range(CONTEXTS):
+                for k in own:
                     raw[k].append(np.column_stack([hashes[k].astype(np.uint64) << _U(16) | pair.astype(np.uint64), early, every]))
                 size += len(pair)
                 if size >= SORTED:
                     size = 0
-                    for k in range(CONTEXTS):
+                    for k in own:
                         held[k] = _merged([held[k], *raw[k]])
                         raw[k].clear()
                         if len(held[k]) > HELD:
                             yield emit(k)
-        for k in range(CONTEXTS):
+        for k in own:
             held[k] = _merged([held[k], *raw[k]])
             if len(held[k]):
                 yield emit(k)
@@ -395,7 +401,10 @@ def _count_symbols(counted: DataFrame, coder: Coder) -> DataFrame:
         keys = len(np.unique((x[:, 0] >> _U(16) << _U(32))[pos] | node))
         return pa.table({"part": pa.array([t.column("part")[0].as_py()], pa.int32()), "keys": pa.array([keys], pa.int64()), "blob": pa.array([_pack(x)], pa.binary())})
 
-    return counted.select("class", "word", "n", "late").mapInArrow(run, "part int, blob binary").groupBy("part").applyInArrow(merge, "part int, keys long, blob binary")
+    kinds = "part int, blob binary"
+    by_word = words.select(F.lit(0).alias("class"), "word", "n", "late").mapInArrow(lambda it: run(it, range(CONTEXTS - 1)), kinds)
+    by_pair = counted.select("class", "word", "n", "late").mapInArrow(lambda it: run(it, [CONTEXTS - 1]), kinds)
+    return by_word.unionByName(by_pair).groupBy("part").applyInArrow(merge, "part int, keys long, blob binary")
 
 
 def _tables(merged: DataFrame, coder: Coder, every: bool) -> list[np.ndarray]:
@@ -405,22 +414,22 @@ def _tables(merged: DataFrame, coder: Coder, every: bool) -> list[np.ndarray]:
         for b in it:
             for part, blob in zip(*(b.column(c).to_pylist() for c in ("part", "blob")), strict=True):
                 k = part >> coder.range_bits
-                size = 1 << coder.slot_bits[k] - coder.range_bits
+                size, first = coder.range_slots[k], (part & (1 << coder.range_bits) - 1) * coder.range_slots[k]
                 x = _unpack(blob)
                 both = np.zeros((size, 2))
                 for i in range(0, len(x), 1 << 20):
                     y = x[i : i + (1 << 20)]
                     pos, bits, node = coder.paths((y[:, 0] & _U(0xFFFF)).astype(np.int32))
-                    at = coder.slots(k, (y[:, 0] >> _U(16)).astype(np.uint32)[pos], node) & size - 1
+                    at = coder.slots(k, (y[:, 0] >> _U(16)).astype(np.uint32)[pos], node) - first
                     n = y[:, 1 + every].astype(np.float64)[pos]
                     for j in (0, 1):
                         both[:, j] += np.bincount(at[bits == j], weights=n[bits == j], minlength=size)
                 yield pa.record_batch([pa.array([part], pa.int32()), pa.array([logits_of(both).tobytes()], pa.binary())], ["part", "blob"])
 
-    logits = [np.zeros(1 << n, np.int8) for n in coder.slot_bits]
+    logits = [np.zeros(n << coder.range_bits, np.int8) for n in coder.range_slots]
     for row in merged.select("part", "blob").mapInArrow(run, "part int, blob binary").toLocalIterator():
         k, i = row.part >> coder.range_bits, row.part & (1 << coder.range_bits) - 1
-        size = 1 << coder.slot_bits[k] - coder.range_bits
+        size = coder.range_slots[k]
         logits[k][i * size : (i + 1) * size] = np.frombuffer(row.blob, np.int8)
     return logits
 
@@ -432,18 +441,22 @@ def _new_mixer(logits: list[np.ndarray]) -> Mixer:
 
 
 def _learn_weights(late: DataFrame, coder: Coder, logits: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Weights, averaged by decisions, and the adaptive map, from rows that the logits have not seen."""
+    """Weights, averaged over all decisions on the way, and the adaptive map, from rows that the logits have not seen."""
     shared = late.sparkSession.sparkContext.broadcast((coder, logits))
 
     def run(it):
         coder, logits = shared.value
-        mixer, total, carried = _new_mixer(logits), 0, 0
+        mixer, total, carried = _new_mixer(logits), 0.0, 0
+        path = np.zeros_like(mixer.weights)  # the sum of the weights of all steps, by decisions
         for _, _, texts, ended in _texts(it):
             pairs = Pairs(texts, ended, carried)
             carried = 0 if ended else pairs.last_class
-            for units, owner in pairs.units():
-                bits, at, before, per_unit = coder.decisions(units, pairs.classes[owner])
-                times = np.repeat(pairs.counts[owner], per_unit).astype(np.float32)
+            # frequent words come first in a batch: a fixed shuffle lets every step see some of all
+            order = np.random.default_rng(len(pairs.counts)).permutation(len(pairs.counts))
+            counts, classes = pairs.counts[order], pairs.classes[order]
+            for units, owner in units_of([pairs.words[w] for w in pairs.word[order].tolist()]):
+                bits, at, before, per_unit = coder.decisions(units, classes[owner])
+                times = np.repeat(counts[owner], per_unit).astype(np.float32)
                 x, gate = mixer.inputs(at)
                 for i in range(0, len(bits), STEP):
                     part = slice(i, i + STEP)
@@ -457,9 +470,11 @@ def _learn_weights(late: DataFrame, coder: Coder, logits: list[np.ndarray]) -> t
                     spot = Mixer.bucket(z, before[part])
                     mixer.hits[1] += np.bincount(spot, weights=y * m, minlength=256 * BUCKETS)
                     mixer.hits[0] += np.bincount(spot, weights=(1 - y) * m, minlength=256 * BUCKETS)
-                total += int(times.sum(dtype=np.float64))
+                    seen = float(m.sum(dtype=np.float64))
+                    path += mixer.weights * seen
+                    total += seen
         if total:
-            tail = np.concatenate([[float(total)], mixer.weights.ravel() * total, mixer.hits.ravel()])
+            tail = np.concatenate([[total], path.ravel(), mixer.hits.ravel()])
             yield pa.record_batch([pa.array([zstandard.ZstdCompressor(level=1).compress(tail.tobytes())], pa.binary())], ["blob"])
 
     mixer, x = _new_mixer(logits), 0
@@ -471,16 +486,21 @@ def _learn_weights(late: DataFrame, coder: Coder, logits: list[np.ndarray]) -> t
     return x[1 : 1 + mixer.weights.size].reshape(mixer.weights.shape) / x[0], x[1 + mixer.weights.size :].reshape(mixer.hits.shape)
 
 
-def learn(training: DataFrame, counted: DataFrame) -> tuple[Coder, Mixer]:
-    """The coder and mixer of the training texts (doc_id, text) and their counted pairs. The logits that reach the driver grow with the corpus."""
-    pairs = _byte_pairs(counted)
+def word_counts(counted: DataFrame) -> DataFrame:
+    """(word, n, late) over all classes."""
+    return counted.groupBy("word").agg(F.sum("n").alias("n"), F.sum("late").alias("late"))
+
+
+def learn(training: DataFrame, counted: DataFrame, words: DataFrame) -> tuple[Coder, Mixer]:
+    """The coder and mixer of the training texts (doc_id, text), their counted pairs and words. The logits that reach the driver grow with the corpus."""
+    pairs = _byte_pairs(words)
     trees, n_bytes = code_trees(pairs), int(pairs.sum())
     range_bits = max(RANGE_BITS, (n_bytes // RANGE).bit_length())
-    merged = durable(_count_symbols(counted, Coder(*trees, range_bits=range_bits)))
+    merged = durable(_count_symbols(counted, words, Coder(*trees, range_bits=range_bits)))
     keys = {r.k: r.n for r in merged.groupBy(F.expr(f"shiftright(part, {range_bits})").alias("k")).agg(F.sum("keys").alias("n")).collect()}
     # two slots a key at least
-    slot_bits = tuple(min(31, max(SLOT_BITS, range_bits + 1, (2 * keys.get(k, 0)).bit_length())) for k in range(CONTEXTS))
-    coder = Coder(*trees, slot_bits, range_bits)
+    range_slots = tuple(max((1 << SLOT_BITS) >> range_bits, (2 * keys.get(k, 0) >> range_bits) + 1) for k in range(CONTEXTS))
+    coder = Coder(*trees, range_slots, range_bits)
     late = training.filter(_late()).repartition(max(1, n_bytes // SHARE // LEARN))
     weights, hits = _learn_weights(late, coder, _tables(merged, coder, every=False))
     return coder, Mixer(_tables(merged, coder, every=True), weights, hits)
@@ -494,7 +514,8 @@ def _most_frequent(words: DataFrame) -> dict[bytes, int]:
         if held > FREQUENT:
             least = r.n + 1
             break
-    return {bytes(r.word): r.n for r in words.filter((F.col("n") >= least) | (F.octet_length("word") == 0)).collect()}
+    chosen = words.filter((F.col("n") >= least) | (F.octet_length("word") == 0)).select("word", "n").toArrow()
+    return dict(zip(*(c.to_pylist() for c in chosen.columns), strict=True))
 
 
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mod: int = 7, held: int = 2) -> DataFrame:
@@ -502,9 +523,9 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mod:
     rows = keyed(docs, id_col, text_col).withColumn("held_out", fold(F.col("doc_id"), mod) == held)
     training = rows.filter(~F.col("held_out"))
     counted = stored(_count_corpus(training))
-    words = stored(counted.groupBy("word").agg(F.sum("n").alias("n")))
+    words = stored(word_counts(counted))
     n, v = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-    coder, mixer = learn(training, counted)
+    coder, mixer = learn(training, counted, words)
     shared = docs.sparkSession.sparkContext.broadcast((coder, mixer, _most_frequent(words)))
     floor = math.log10(n + v + 1)
 

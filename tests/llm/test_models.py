@@ -79,8 +79,9 @@ def naive_units(text):
     yield b"\n", kind
 
 
-def counted_pairs(df):
-    return context_mixing._count_corpus(df).cache()
+def counts_of(df):
+    pairs = context_mixing._count_corpus(df).cache()
+    return pairs, context_mixing.word_counts(pairs).cache()
 
 
 def test_predictor_tables_grow_with_the_corpus(spark, monkeypatch):
@@ -91,7 +92,7 @@ def test_predictor_tables_grow_with_the_corpus(spark, monkeypatch):
     training = documents(spark, DATA).select("doc_id", "text")
     sizes = []
     for df in (training.filter("doc_id % 8 = 0"), training):
-        coder, mixer = context_mixing.learn(df, counted_pairs(df))
+        coder, mixer = context_mixing.learn(df, *counts_of(df))
         units = [u for _, t in texts_of(df) for u in naive_units(t)]
         bits, at, _, _ = coder.decisions([u for u, _ in units], np.array([c for _, c in units]))
         pair, hashes, _ = coder.symbols([u for u, _ in units], np.array([c for _, c in units]))
@@ -109,7 +110,7 @@ def test_scores_bit_by_bit(spark, odd):
     """The mixture of every decision by plain arithmetic, word after word; a text's bits are their sum."""
     for df, n in ((odd, 25), (documents(spark, DATA), 6)):
         training = df.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).filter(common.fold(F.col("doc_id"), 7) != 2)
-        coder, m = context_mixing.learn(training, counted_pairs(training))
+        coder, m = context_mixing.learn(training, *counts_of(training))
         got = {}
         for r in context_mixing.score(df).collect():
             got.setdefault(r.doc_id, []).append(r)
@@ -160,7 +161,7 @@ def test_weights_do_not_depend_on_the_split(spark):
     got = []
     for n in (1, 40):
         df = documents(spark, DATA).select("doc_id", "text").repartition(n)
-        got.append(context_mixing.learn(df, counted_pairs(df))[1])
+        got.append(context_mixing.learn(df, *counts_of(df))[1])
         assert np.abs(got[-1].weights[: context_mixing.CONTEXTS] - 0.35).max() > 0.02
     assert got[0].hits.sum() == got[1].hits.sum() > 0 and np.abs(got[0].weights - got[1].weights).max() < 0.1
 
