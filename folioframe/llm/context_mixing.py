@@ -28,6 +28,9 @@ gives an empty table; only id and text are read.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import math
 import re
 import zlib
@@ -45,7 +48,7 @@ from .common import batches_by_bytes, durable, fold, keyed, offsets_of, stored
 #: Slots per predictor (bits, at least), predictors (the last with the class), gates, buckets of the adaptive map, logits' scale.
 SLOT_BITS, CONTEXTS, GATES, BUCKETS, SCALE = 21, 4, 16, 33, 16
 #: Bytes read at a time, bytes of words coded at a time, decisions of a learning step, its rate, words that go to the tasks.
-PIECE, CODED, STEP, RATE, FREQUENT = 4 << 20, 1 << 16, 1 << 14, 1.5, 1 << 18
+PIECE, CODED, STEP, RATE, FREQUENT = 4 << 20, 1 << 15, 1 << 14, 1.5, 1 << 18
 #: Classes, bytes of a short word at most, bytes of a word coded in one part.
 CLASSES, SHORT, LONGEST = 64, 3, 1 << 12
 #: Training bytes of a range when counts are merged, ranges (bits, at least); symbols sorted at a time, symbols held by a counter.
@@ -69,6 +72,14 @@ def _powers(n: int) -> list[np.ndarray]:
     return _known_powers
 
 
+def _give_back() -> None:
+    """Return memory that the worker's earlier tasks have freed, but the allocators kept, to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def words_of(text: str | bytes) -> list[bytes]:
     """bytes.lower touches A-Z only, bytes.split cuts at 0x20 and 0x09-0x0D."""
     return (text.encode() if isinstance(text, str) else text).lower().split()
@@ -397,8 +408,11 @@ def _count_symbols(counted: DataFrame, words: DataFrame, coder: Coder) -> DataFr
 
     def merge(t: pa.Table) -> pa.Table:
         x = _merged([_unpack(b.as_py()) for b in t.column("blob")])
-        pos, _, node = coder.paths((x[:, 0] & _U(0xFFFF)).astype(np.int32))
-        keys = len(np.unique((x[:, 0] >> _U(16) << _U(32))[pos] | node))
+        keys = 0
+        cuts = [0, *np.searchsorted(x[:, 0], x[1 << 18 :: 1 << 18, 0] >> _U(16) << _U(16)).tolist(), len(x)]  # contexts stay together
+        for y in (x[i:j, 0] for i, j in zip(cuts, cuts[1:], strict=False)):
+            pos, _, node = coder.paths((y & _U(0xFFFF)).astype(np.int32))
+            keys += len(np.unique((y >> _U(16) << _U(32))[pos] | node))
         return pa.table({"part": pa.array([t.column("part")[0].as_py()], pa.int32()), "keys": pa.array([keys], pa.int64()), "blob": pa.array([_pack(x)], pa.binary())})
 
     kinds = "part int, blob binary"
@@ -445,6 +459,7 @@ def _learn_weights(late: DataFrame, coder: Coder, logits: list[np.ndarray]) -> t
     shared = late.sparkSession.sparkContext.broadcast((coder, logits))
 
     def run(it):
+        _give_back()
         coder, logits = shared.value
         mixer, total, carried = _new_mixer(logits), 0.0, 0
         path = np.zeros_like(mixer.weights)  # the sum of the weights of all steps, by decisions
@@ -530,10 +545,12 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mod:
     floor = math.log10(n + v + 1)
 
     def run(it):
+        _give_back()
         coder, mixer, common = shared.value
         carried, parts = 0, []
         for b, row, texts, ended in _texts(it):
             p = Pairs(texts, ended, carried)
+            del texts  # words are many small objects
             carried = 0 if ended else p.last_class
             nats = np.zeros(len(p.counts))
             for units, owner in p.units():
