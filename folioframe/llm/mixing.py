@@ -31,8 +31,8 @@ WEIGHTS = (5, 2, 1)
 MAX_EPOCHS = 3
 #: Rounds of the permutations.
 ROUNDS = 12
-#: Documents of a chunk, about; slots of a chunk; steps of a running sum that one task takes; sources that may be broadcast.
-CHUNK_DOCS, CHUNK_SLOTS, RUN, FEW_SOURCES = 512, 1 << 16, 4096, 100_000
+#: Documents of a chunk, about; documents taken in part of a chunk; slots of a chunk; steps of a running sum that one task takes; sources that may be broadcast.
+CHUNK_DOCS, CHUNK_PARTS, CHUNK_SLOTS, RUN, FEW_SOURCES = 512, 64, 1 << 16, 4096, 100_000
 
 
 def _permuted(df: DataFrame, out: str, x: Column, n: Column, key: Column, seed: int, inverse: bool = False) -> DataFrame:
@@ -213,8 +213,8 @@ def _blocks(d: DataFrame, block: int) -> DataFrame:
     return d.select("pos", "start", "block", lo.alias("lo"), hi.alias("hi"))
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", block: int = BLOCK, shard: int = SHARD) -> DataFrame:
-    """One row per document: doc_id, size, source_size, target, taken, first_shard (null if not taken)."""
+def _taken(docs: DataFrame, id_col: str, text_col: str, source_col: str, block: int, shard: int) -> DataFrame:
+    """The documents in their streams, with taken (the words that the plan takes of each) and first_shard."""
     d, sources = _documents_in_streams(docs, id_col, text_col, source_col, block)
     uses = _uses(sources, block, shard)
     hit = _blocks(d, block).join(uses, (F.col("pos") == F.col("u_pos")) & (F.col("block") == F.col("u_block")))
@@ -222,21 +222,51 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     taken = hit.groupBy(F.col("pos").alias("t_pos"), F.col("start").alias("t_start")).agg(F.sum(words).alias("t"), F.min("first_shard").alias("fs"))
     # a document without words shares its start with its successor, so it is told apart by its size
     out = d.join(taken, (F.col("pos") == F.col("t_pos")) & (F.col("start") == F.col("t_start")) & (F.col("size") > 0), "left")
-    return out.select("doc_id", "size", "source_size", "target", F.coalesce("t", F.lit(0)).cast("long").alias("taken"), F.col("fs").alias("first_shard"))
+    return out.select(*d.columns, F.coalesce("t", F.lit(0)).cast("long").alias("taken"), F.col("fs").alias("first_shard"))
+
+
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", block: int = BLOCK, shard: int = SHARD) -> DataFrame:
+    """One row per document: doc_id, size, source_size, target, taken, first_shard (null if not taken)."""
+    out = _taken(docs, id_col, text_col, source_col, block, shard)
+    return out.select("doc_id", "size", "source_size", "target", "taken", "first_shard")
 
 
-def mix_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", block: int = BLOCK) -> DataFrame:
+def _whole(d: DataFrame) -> DataFrame:
+    """Documents with words, with copies: what the plan took of them, rounded to whole documents.
+
+    A document is copied as often as the plan took it whole. What is left over of a source's taken
+    words goes to documents that were taken in part, in the order of a Pareto sample, which chooses
+    each about as likely as the part says, up to the document that comes nearest.
+    """
+    d = d.filter("size > 0").withColumn("over", F.col("taken") % F.col("size"))
+    part = F.col("over") / F.col("size")
+    u = (F.pmod(F.xxhash64(F.lit(4), "pos", "start"), F.lit(1 << 40)) + 0.5) / F.lit(float(1 << 40))
+    # odds of the number drawn against odds of the part, as a share
+    d = durable(d.withColumn("rank", u * (1 - part) / (u * (1 - part) + part * (1 - u))))
+    n_chunks = d.filter("over > 0").count() // CHUNK_PARTS + 1
+    some = d.filter("over > 0").withColumn("chunk", F.floor(F.col("rank") * n_chunks).cast("long"))
+    offsets = _before(some.groupBy("pos", "chunk").agg(F.sum("size").alias("t")), "pos", "chunk", "t", "offset")
+    offsets = offsets.select(F.col("pos").alias("o_pos"), F.col("chunk").alias("o_chunk"), "offset")
+    inside = W.partitionBy("pos", "chunk").orderBy("rank", "start").rowsBetween(W.unboundedPreceding, -1)
+    some = some.withColumn("before", F.coalesce(F.sum("size").over(inside), F.lit(0)))
+    some = some.join(offsets, (F.col("pos") == F.col("o_pos")) & (F.col("chunk") == F.col("o_chunk")))
+    over = d.groupBy(F.col("pos").alias("s_pos")).agg(F.sum("over").alias("left_over"))
+    some = some.join(over, F.col("pos") == F.col("s_pos"))
+    more = (F.col("offset") + F.col("before") + F.col("size") / 2 <= F.col("left_over")).cast("int")
+    some = some.select(*d.columns, more.alias("more"))
+    d = d.filter("over = 0").withColumn("more", F.lit(0)).unionByName(some)
+    return d.withColumn("copies", (F.expr("taken div size") + F.col("more")).cast("int")).drop("over", "rank", "more")
+
+
+def mix_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", block: int = BLOCK, shard: int = SHARD) -> DataFrame:
     """The rows of `docs`, all columns, as often as the mix takes them: 0 to MAX_EPOCHS times.
 
-    Whole documents are taken: each as often as its source's target holds the source, and once more
-    while the source's stream has not reached the rest of the target. A source misses its target
-    by half of one document at most. Rows without words are not taken.
+    The plan of `mix` says how many words of each document are taken; these are rounded to whole
+    documents, so that a source misses its target by half of one document at most. Rows without
+    words are not taken.
     """
-    d, _ = _documents_in_streams(docs, id_col, text_col, source_col, block)
-    whole = F.floor(F.col("target") / F.col("source_size"))
-    rest = F.col("target") - whole * F.col("source_size")
-    n = (whole + F.when(F.col("start") + F.col("size") / 2 <= rest, 1).otherwise(0)).cast("int")
-    copies = d.filter("size > 0").select(F.xxhash64("doc_id", "th", "source").alias("__key"), n.alias("__n")).filter("__n > 0")
+    d = _whole(_taken(docs, id_col, text_col, source_col, block, shard)).filter("copies > 0")
+    copies = d.select(F.xxhash64("doc_id", "th", "source").alias("__key"), F.col("copies").alias("__n"))
     # rows equal in id, text and source take these counts in turn
     copies = copies.groupBy("__key").agg(F.sort_array(F.collect_list("__n"), asc=False).alias("__ns"))
     names = docs.columns

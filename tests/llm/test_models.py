@@ -436,3 +436,19 @@ def test_mixed_documents_meet_their_targets(spark):
     for r in mixing.mix_documents(docs).collect():
         got[r.source] += len(r.text.split())
     assert all(abs(got[s] - t) <= longest[s] / 2 + 1 for s, t in water_fill(sizes).items())
+
+
+def test_mixed_documents_follow_the_plan(spark):
+    """Copies of a document are the words that the plan of mix takes, rounded up or down to whole documents; parts taken raise the chance of one more."""
+    rows = [(i, "w " * (1 + i * 7 % 200), "abcd"[i % 4]) for i in range(1200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    copies = Counter(r.doc_id for r in mixing.mix_documents(docs).collect())
+    part, more = [], []
+    for r in mixing.mix(docs).collect():
+        least = r.taken // r["size"]
+        assert least <= copies[r.doc_id] <= -(-r.taken // r["size"]), (r, copies[r.doc_id])
+        if r.taken % r["size"]:
+            part.append(r.taken % r["size"] / r["size"])
+            more.append(copies[r.doc_id] - least)
+    assert len(part) > 100 and np.corrcoef(part, more)[0, 1] > 0.2
+    assert Counter(r.doc_id for r in mixing.mix_documents(docs.repartition(7)).collect()) == copies
