@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
+import gc
 import os
 import shutil
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -79,6 +82,25 @@ def batches_by_bytes(it: Iterator[pa.RecordBatch], column: str | int, limit: int
         yield batch.slice(start)
 
 
+#: What empties the caches that operators keep in a worker from task to task.
+CACHES: list[Callable[[], None]] = []
+
+
+def give_back() -> None:
+    """Drop what other operators' tasks have left in this worker, and return freed memory that the allocators kept to the system."""
+    for clear in CACHES:
+        clear()
+    gc.collect()
+    trim()
+
+
+def trim() -> None:
+    """Return freed memory to the system."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def offsets_of(strings: pa.Array) -> np.ndarray:
     """Byte offsets of a string or binary array, from 0."""
     wide = pa.types.is_large_string(strings.type) or pa.types.is_large_binary(strings.type)

@@ -28,9 +28,6 @@ gives an empty table; only id and text are read.
 
 from __future__ import annotations
 
-import contextlib
-import ctypes
-import gc
 import math
 import re
 import zlib
@@ -43,7 +40,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches_by_bytes, durable, fold, keyed, offsets_of, stored
+from .common import batches_by_bytes, durable, fold, give_back, keyed, offsets_of, stored
 
 #: Slots per predictor (bits, at least), predictors (the last with the class), gates, buckets of the adaptive map, logits' scale.
 SLOT_BITS, CONTEXTS, GATES, BUCKETS, SCALE = 21, 4, 16, 33, 16
@@ -72,14 +69,6 @@ def _powers(n: int) -> list[np.ndarray]:
     return _known_powers
 
 
-def _give_back() -> None:
-    """Return memory that the worker's earlier tasks have freed, but the allocators kept, to the system."""
-    gc.collect()
-    pa.default_memory_pool().release_unused()
-    with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
-        ctypes.CDLL(None).malloc_trim(0)
-
-
 def words_of(text: str | bytes) -> list[bytes]:
     """bytes.lower touches A-Z only, bytes.split cuts at 0x20 and 0x09-0x0D."""
     return (text.encode() if isinstance(text, str) else text).lower().split()
@@ -459,7 +448,7 @@ def _learn_weights(late: DataFrame, coder: Coder, logits: list[np.ndarray]) -> t
     shared = late.sparkSession.sparkContext.broadcast((coder, logits))
 
     def run(it):
-        _give_back()
+        give_back()
         coder, logits = shared.value
         mixer, total, carried = _new_mixer(logits), 0.0, 0
         path = np.zeros_like(mixer.weights)  # the sum of the weights of all steps, by decisions
@@ -545,7 +534,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mod:
     floor = math.log10(n + v + 1)
 
     def run(it):
-        _give_back()
+        give_back()
         coder, mixer, common = shared.value
         carried, parts = 0, []
         for b, row, texts, ended in _texts(it):

@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import batches_by_bytes, keyed, tokenizer_path
+from .common import CACHES, batches_by_bytes, keyed, tokenizer_path, trim
 
 SPACE = "▁"
 #: Entries of one generation of a cache, and the longest string that is kept.
@@ -255,11 +255,15 @@ def model(path: str) -> PieceModel:
     return PieceModel(path)
 
 
+CACHES.append(model.cache_clear)
+
+
 def encode_decode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, keep: bool = False) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256; with keep also ids array<int> and decoded."""
     path = path or tokenizer_path("piece_bpe_32k.model")
 
     def run(it):
+        trim()
         collecting = gc.isenabled()
         gc.disable()  # the caches hold millions of tuples and no cycles; walking them costs a third of the time
         try:
@@ -267,6 +271,7 @@ def encode_decode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         finally:
             if collecting:  # the worker serves other operators later
                 gc.enable()
+            trim()
 
     def encoded(it):
         m = model(path)

@@ -20,12 +20,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches_by_bytes, fold, keyed, stored
+from .common import batches_by_bytes, fold, give_back, keyed, stored
 
 #: Hash slots, n-gram lengths, features kept, labelled ids of the counts, labelled rows of the logistic fit.
 SLOT_BITS, LENGTHS, FEATURES, COUNTED, SAMPLE = 19, (3, 4, 5), 1 << 12, 40_000, 10_000
-#: Characters of a piece of a text; labelled ids of a task.
-PIECE, IDS_A_TASK = 1 << 20, 1250
+#: Characters of a piece of a text, bytes of texts read at a time; labelled ids of a task.
+PIECE, READ, IDS_A_TASK = 1 << 18, 1 << 18, 1250
 #: Slots of a range in the merge of counts; rows a telling feature needs; penalty; threshold.
 RANGE, SUPPORT, L2, THRESHOLD = 1 << 14, 5, 1.0, 0.3
 
@@ -92,9 +92,10 @@ def class_counts(labelled: DataFrame) -> tuple[np.ndarray, np.ndarray, int, int]
     slots = 1 << SLOT_BITS
 
     def count(it):
+        give_back()
         held = np.zeros((2, slots), np.int64)
         rows = np.zeros(2, np.int64)
-        for b in batches_by_bytes(it, "text", 1 << 20):
+        for b in batches_by_bytes(it, "text", READ):
             label, n = (b.column(c).to_numpy() for c in ("label", "n"))
             rows += np.bincount(label, weights=n, minlength=2).astype(np.int64)
             doc, slot = _distinct(*ngram_slots(b.column("text").to_pylist()))
@@ -176,7 +177,8 @@ def train(labelled: DataFrame, sample: int = SAMPLE) -> ToxicityModel:
     column[best] = np.arange(len(best))
 
     def features(it):
-        for b in batches_by_bytes(it, "text", 1 << 20):
+        give_back()
+        for b in batches_by_bytes(it, "text", READ):
             doc, slot = ngram_slots(b.column("text").to_pylist())
             hit = column[slot] >= 0
             doc, slot = _distinct(doc[hit], slot[hit])
@@ -205,7 +207,8 @@ def score(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_co
     shared = sc.broadcast(model)
 
     def run(it):
-        for b in batches_by_bytes(it, "text", 1 << 20):
+        give_back()
+        for b in batches_by_bytes(it, "text", READ):
             yield pa.record_batch([b.column("doc_id"), pa.array(shared.value.scores(b.column("text").to_pylist()), pa.float64())], ["doc_id", "score"])
 
     return keyed(docs, id_col, text_col).mapInArrow(run, "doc_id long, score double")
@@ -243,7 +246,8 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, text_col: str = "text") -> Da
     n = len(docs.columns)
 
     def run(it):
-        for b in batches_by_bytes(it, n, 1 << 20):
+        give_back()
+        for b in batches_by_bytes(it, n, READ):
             keep = shared.value.scores(b.column(n).to_pylist()) < THRESHOLD
             yield pa.record_batch(b.columns[:n], names=b.schema.names[:n]).filter(pa.array(keep))
 

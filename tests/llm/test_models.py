@@ -452,3 +452,24 @@ def test_mixed_documents_follow_the_plan(spark):
             more.append(copies[r.doc_id] - least)
     assert len(part) > 100 and np.corrcoef(part, more)[0, 1] > 0.2
     assert Counter(r.doc_id for r in mixing.mix_documents(docs.repartition(7)).collect()) == copies
+
+
+def test_toxicity_takes_little_memory():
+    """Texts of some MB, one or many, need a small multiple of a piece; caches of other operators leave the worker."""
+    import tracemalloc
+
+    from folioframe.llm import pieces
+
+    rng = np.random.default_rng(3)
+    words = ["".join(chr(97 + c) for c in rng.integers(0, 26, 9)) for _ in range(120_000)]
+    long = " ".join(words)
+    model = toxicity.ToxicityModel(np.zeros(1 << toxicity.SLOT_BITS), 0.0)
+    for texts in ([long], [long[i : i + 2000] for i in range(0, len(long), 2000)]):
+        tracemalloc.start()
+        assert (model.scores(texts) == 0.5).all()
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < 110 << 20
+    pieces.model(common.tokenizer_path("piece_bpe_32k.model"))
+    common.give_back()
+    assert pieces.model.cache_info().currsize == 0
