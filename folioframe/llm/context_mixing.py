@@ -14,7 +14,8 @@ training rows. Total bits give the log probability; bits per byte are those of t
 ends.
 
 A word's probability depends on the word and the class only, so every batch codes each of its
-distinct pairs of class and word once, and counts are gathered from merged counts of such pairs.
+distinct pairs of class and word once, heads that neighbours in order share once too, and counts are
+gathered from merged counts of such pairs.
 
 Beside the mixture each text gets its unigram base score; the FREQUENT most frequent words go to the
 tasks, the others are joined.
@@ -31,7 +32,7 @@ from __future__ import annotations
 import math
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from heapq import heapify, heappop, heappush
 
 import numpy as np
@@ -103,8 +104,19 @@ class Coder:
         """range_slots: slots of a range by context."""
         self.codes, self.lengths, self.range_slots, self.range_bits = codes, lengths, range_slots, range_bits
 
-    def symbols(self, units: list[bytes], classes: np.ndarray | None = None) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
-        """(byte before and byte, hashes by context, unit) of every byte of the units; contexts end at a unit's start."""
+    def symbols(self, units: list[bytes], classes: np.ndarray | None = None, own: Iterable[int] = range(CONTEXTS)) -> tuple[np.ndarray, list, np.ndarray]:
+        """(byte before and byte, hashes by context, unit) of every byte of the units; contexts end at a unit's start; of contexts not in own the hash is None."""
+        return self._hashed(units, classes, False, own)[:3]
+
+    def edges(self, units: list[bytes], classes: np.ndarray) -> tuple[np.ndarray, list[np.ndarray], np.ndarray, np.ndarray]:
+        """(byte before and byte, hashes by context) of edges, and (unit, edge) of every byte.
+
+        A byte has the edge of the unit before if both have the same class and bytes up to there; so
+        units in order are coded as the paths of a tree.
+        """
+        return self._hashed(units, classes, True)
+
+    def _hashed(self, units: list[bytes], classes: np.ndarray | None, shared: bool, own: Iterable[int] = range(CONTEXTS)) -> tuple[np.ndarray, list, np.ndarray, np.ndarray]:
         data = np.frombuffer(_PADDING + _PADDING.join(units), np.uint8)
         sizes = np.array([len(t) for t in units]) + PAD
         n = len(data)
@@ -115,24 +127,47 @@ class Coder:
         three, five = np.zeros(n, np.uint64), np.zeros(n, np.uint64)
         three[3:] = q2[2:-1] | q1[:-3] << _U(16)
         five[5:] = three[5:] | q2[1:-4] << _U(24)
-        # hash of the unit so far: a difference of prefix sums, freed of its place
-        powers, inverse = _powers(n)
-        sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(_MIXED[data] * powers[:n], out=sums[1:])
         unit = np.repeat(np.arange(len(units)), sizes)
         start = (begins + PAD)[unit]
         coded = np.flatnonzero(np.arange(n) >= start)
-        start, unit, three = start[coded], unit[coded], three[coded]
-        word = (sums[coded] - sums[start]) * inverse[start]
+        start, unit = start[coded], unit[coded]
         kind = np.zeros(len(units), np.uint64) if classes is None else classes.astype(np.uint64)
+        of_byte, edge = unit, np.arange(len(coded))
+        if shared:
+            depth = coded - start
+            before = np.maximum(unit - 1, 0)
+            same = (unit > 0) & (kind[unit] == kind[before]) & (depth < (sizes - PAD)[before])
+            same[same] = data[coded[same]] == data[(coded - sizes[before])[same]]
+            # the first byte in which a unit differs from the one before
+            apart = np.minimum.reduceat(np.where(same, LONGEST, depth), np.flatnonzero(depth == 0))
+            new = depth >= apart[unit]
+            # by depth, units in order: a byte that is not new has the last new one before it
+            order = np.argsort(depth.astype(np.uint16), kind="stable")
+            new = new[order]
+            edge[order] = np.cumsum(new) - 1
+            first = order[new]
+            coded, start, unit = coded[first], start[first], unit[first]
+        three = three[coded]
         pair = data[coded - 1].astype(np.int32) << 8 | data[coded]
         hashes = []
-        for k, c in enumerate((three, five[coded], word, three | (kind + _U(1))[unit] << _U(24))):
+        for k in range(CONTEXTS):
+            if k not in own:
+                hashes.append(None)
+                continue
+            c = three if k == 0 else five[coded] if k == 1 else self._so_far(data, coded, start) if k == 2 else three | (kind + _U(1))[unit] << _U(24)
             h = (c + _U(k + 1)) * _U(0xBF58476D1CE4E5B9)
             h ^= h >> _U(29)
             h *= _U(0x94D049BB133111EB)
             hashes.append((h >> _U(32)).astype(np.uint32))
-        return pair, hashes, unit
+        return pair, hashes, of_byte, edge
+
+    @staticmethod
+    def _so_far(data: np.ndarray, coded: np.ndarray, start: np.ndarray) -> np.ndarray:
+        """Hash of the unit so far: a difference of prefix sums, freed of its place."""
+        powers, inverse = _powers(len(data))
+        sums = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum(_MIXED[data] * powers[: len(data)], out=sums[1:])
+        return (sums[coded] - sums[start]) * inverse[start]
 
     def paths(self, pair: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(symbol, bit, node's hash) of every decision on the paths of symbols."""
@@ -210,6 +245,14 @@ class Mixer:
         return np.clip(p + trust[at] * (rates.astype(np.float32)[at] - p), 1e-6, 1 - 1e-6)
 
 
+    def nats(self, coder: Coder, pair: np.ndarray, hashes: list[np.ndarray]) -> np.ndarray:
+        """The log probability of every symbol."""
+        pos, bits, node = coder.paths(pair)
+        x, gate = self.inputs([coder.slots(k, h[pos], node) for k, h in enumerate(hashes)])
+        q = self.refine(self.mix(x, gate), (pair >> 8).astype(np.uint8)[pos])
+        return np.bincount(pos, weights=np.log(np.where(bits == 1, q, 1 - q)), minlength=len(pair))
+
+
 def _texts(it: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, int, list[list[bytes]], bool]]:
     """(batch, first row, words of that and the following rows, whether the last row ends here).
 
@@ -245,12 +288,19 @@ class Pairs:
     """The distinct pairs of class and word in some texts; an end is the empty word."""
 
     def __init__(self, texts: list[list[bytes]], ended: bool, first_class: int = 0):
-        known: dict[bytes, int] = {b"": 0}
-        ids = np.fromiter((known.setdefault(w, len(known)) for t in texts for w in (*t, b"")), np.int64, sum(map(len, texts)) + len(texts))
+        tokens: list[bytes] = []
+        for t in texts:
+            tokens += t
+            tokens.append(b"")
+        # words in order, so that those with the same head are side by side; the empty word is first
+        self.words = sorted({b"", *tokens})
+        known = dict(zip(self.words, range(len(self.words)), strict=True))
+        ids = np.fromiter(map(known.__getitem__, tokens), np.int64, len(tokens))
+        del tokens
         self.sizes = np.array([len(t) + 1 for t in texts])
         if not ended:
             ids, self.sizes[-1] = ids[:-1], self.sizes[-1] - 1
-        self.words, self.ids = list(known), ids
+        self.ids = ids
         kind = np.array([1 + zlib.crc32(w) % (CLASSES - 1) if 0 < len(w) <= SHORT else 0 for w in self.words])
         # the class of a token: that of the last short word before it in its text
         start = np.repeat(np.cumsum(self.sizes) - self.sizes, self.sizes)
@@ -270,6 +320,13 @@ class Pairs:
 
 def units_of(words: list[bytes]) -> Iterator[tuple[list[bytes], np.ndarray]]:
     """(units that code some of the words, word of each unit), about CODED bytes at a time; long words in parts."""
+    coded = [w + b" " if w else b"\n" for w in words]
+    sizes = np.fromiter(map(len, coded), np.int64, len(coded))
+    if len(coded) and sizes.max() <= LONGEST:
+        cuts = np.flatnonzero(np.diff((np.cumsum(sizes) - sizes) // CODED)) + 1
+        for i, j in zip([0, *cuts.tolist()], [*cuts.tolist(), len(coded)], strict=True):
+            yield coded[i:j], np.arange(i, j)
+        return
     units, owner, size = [], [], 0
     for i, w in enumerate(words):
         coded = w + b" " if w else b"\n"
@@ -315,7 +372,7 @@ def _byte_pairs(words: DataFrame) -> np.ndarray:
         for b in it:
             n = b.column("n").to_numpy()
             for units, owner in units_of(b.column("word").to_pylist()):
-                pair, _, unit = plain.symbols(units)
+                pair, _, unit = plain.symbols(units, own=())
                 total += np.bincount(pair, weights=n[owner][unit], minlength=65536).astype(np.int64)
         at = np.flatnonzero(total)
         yield pa.record_batch([pa.array(at, pa.int32()), pa.array(total[at])], ["pair", "n"])
@@ -377,7 +434,7 @@ def _count_symbols(counted: DataFrame, words: DataFrame, coder: Coder) -> DataFr
         for b in it:
             classes, n, late = (b.column(c).to_numpy() for c in ("class", "n", "late"))
             for units, owner in units_of(b.column("word").to_pylist()):
-                pair, hashes, unit = coder.symbols(units, classes[owner])
+                pair, hashes, unit = coder.symbols(units, classes[owner], own)
                 every = n[owner][unit].astype(np.uint64)
                 early = every - late[owner][unit].astype(np.uint64)
                 for k in own:
@@ -543,11 +600,9 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mod:
             carried = 0 if ended else p.last_class
             nats = np.zeros(len(p.counts))
             for units, owner in p.units():
-                bits, at, before, per_unit = coder.decisions(units, p.classes[owner])
-                x, gate = mixer.inputs(at)
-                q = mixer.refine(mixer.mix(x, gate), before)
-                each = np.log(np.where(bits == 1, q, 1 - q)).astype(np.float64)
-                nats += np.bincount(np.repeat(owner, per_unit), weights=each, minlength=len(nats))
+                pair, hashes, unit, edge = coder.edges(units, p.classes[owner])
+                cost = mixer.nats(coder, pair, hashes)
+                nats[owner[0] : owner[-1] + 1] += np.bincount(owner[unit] - owner[0], weights=cost[edge], minlength=owner[-1] + 1 - owner[0])
             count = np.array([common.get(w, -1) for w in p.words])
             logs = np.where(count >= 0, np.log10(np.maximum(count, 0) + 1.0) - floor, 0.0)
             byte = np.array([len(w) + 1 for w in p.words])

@@ -473,3 +473,25 @@ def test_toxicity_takes_little_memory():
     pieces.model(common.tokenizer_path("piece_bpe_32k.model"))
     common.give_back()
     assert pieces.model.cache_info().currsize == 0
+
+
+def test_shared_heads_are_coded_once(monkeypatch):
+    """Edges give every byte the pair and hashes that it has alone, and are as many as there are distinct heads behind a class."""
+    rng = np.random.default_rng(5)
+    words = sorted({bytes(rng.integers(97, 100, n).astype(np.uint8)) for n in rng.integers(0, 9, 3000)} | {b"a" * 9000, b"a" * 4096, b"", b"\xff" * 5})
+    chosen = [(c, w) for c in range(4) for w in words if rng.random() < 0.7]
+    coder = context_mixing.Coder(*context_mixing.code_trees(rng.integers(0, 50, (256, 256))))
+    monkeypatch.setattr(context_mixing, "CODED", 1 << 20)
+    (units, owner), = context_mixing.units_of([w for _, w in chosen])
+    classes = np.array([c for c, _ in chosen])[owner]
+    pair, hashes, unit = coder.symbols(units, classes)
+    e_pair, e_hashes, e_unit, edge = coder.edges(units, classes)
+    assert (e_unit == unit).all() and (e_pair[edge] == pair).all() and all((e[edge] == h).all() for e, h in zip(e_hashes, hashes, strict=True))
+    heads = {(c, u[: i + 1]) for c, u in zip(classes.tolist(), units, strict=True) if len(u) < 100 for i in range(len(u))}
+    assert len(heads) <= len(e_pair) < 0.6 * len([x for u in units if len(u) < 100 for x in u]) + sum(len(u) for u in units if len(u) >= 100)
+    mixer = context_mixing.Mixer([rng.integers(-60, 60, 1 << context_mixing.SLOT_BITS).astype(np.int8) for _ in range(context_mixing.CONTEXTS)], np.full((context_mixing.CONTEXTS + 1, context_mixing.GATES), 0.3), rng.integers(0, 9, (2, 256 * context_mixing.BUCKETS)).astype(float))
+    got = np.bincount(unit, weights=mixer.nats(coder, e_pair, e_hashes)[edge])
+    bits, at, before, per_unit = coder.decisions(units, classes)
+    q = mixer.refine(mixer.mix(*mixer.inputs(at)), before)
+    want = np.bincount(np.repeat(np.arange(len(units)), per_unit), weights=np.log(np.where(bits == 1, q, 1 - q)))
+    assert np.abs(got - want).max() < 1e-3
