@@ -14,6 +14,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from py4j.protocol import Py4JError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -101,6 +102,25 @@ def trim() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
+def relieve_driver(spark: SparkSession) -> None:
+    """Return memory that the driver has freed to the system: its JVM's heap, what the C library keeps of that JVM's planning and compiling, and its Python's.
+
+    Dropped shuffles and broadcasts go with the collection too.
+    """
+    gc.collect()
+    trim()
+    jvm, array = spark._jvm, spark.sparkContext._gateway.new_array
+    jvm.java.lang.System.gc()
+    with contextlib.suppress(Py4JError):  # JVMs before 17.0.9 and on other systems have no such command
+        given, kinds, args = array(jvm.java.lang.Object, 1), array(jvm.java.lang.String, 1), array(jvm.java.lang.Object, 4)
+        given[0], kinds[0] = array(jvm.java.lang.String, 0), "[Ljava.lang.String;"
+        for i, x in enumerate((jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap", given, kinds)):
+            args[i] = x
+        # by the interface's method: the server's own class is not open to reflection
+        invoke = next(m for m in jvm.java.lang.Class.forName("javax.management.MBeanServer").getMethods() if m.getName() == "invoke")
+        invoke.invoke(jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer(), args)
+
+
 def offsets_of(strings: pa.Array) -> np.ndarray:
     """Byte offsets of a string or binary array, from 0."""
     wide = pa.types.is_large_string(strings.type) or pa.types.is_large_binary(strings.type)

@@ -15,11 +15,13 @@ table gives an empty table; other columns are never read.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .common import WORD, durable
+from .common import WORD, durable, relieve_driver, stored
 
 #: Words of a block.
 BLOCK = 32
@@ -194,9 +196,9 @@ def slots(sources: DataFrame, block: int = BLOCK, shard: int = SHARD) -> DataFra
     return k.select("out_shard", "slot", "pos", "epoch", "block", take.cast("long").alias("take"), last.alias("is_last"))
 
 
-def _uses(sources: DataFrame, block: int, shard: int) -> DataFrame:
-    """How often each (source, block) is taken whole, and the words its cut use takes."""
-    return slots(sources, block, shard).groupBy(F.col("pos").alias("u_pos"), F.col("block").alias("u_block")).agg(
+def _uses(sources: DataFrame, block: int, shard: int, hold: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """How often each (source, block) is taken whole, and the words its cut use takes; hold gets the slots."""
+    return hold(slots(sources, block, shard).select("out_shard", "pos", "block", "take", "is_last")).groupBy(F.col("pos").alias("u_pos"), F.col("block").alias("u_block")).agg(
         F.sum(F.when(F.col("is_last"), 0).otherwise(1)).alias("whole"),
         F.max(F.when(F.col("is_last"), F.col("take")).otherwise(0)).alias("cut"),
         F.min("out_shard").alias("first_shard"),
@@ -213,10 +215,17 @@ def _blocks(d: DataFrame, block: int) -> DataFrame:
     return d.select("pos", "start", "block", lo.alias("lo"), hi.alias("hi"))
 
 
-def _taken(docs: DataFrame, id_col: str, text_col: str, source_col: str, block: int, shard: int) -> DataFrame:
+def _held(df: DataFrame) -> DataFrame:
+    """The rows stored, so that what follows is planned without what led to them, and the driver has its memory back."""
+    out = stored(df)
+    relieve_driver(df.sparkSession)
+    return out
+
+
+def _taken(docs: DataFrame, id_col: str, text_col: str, source_col: str, block: int, shard: int, hold: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
     """The documents in their streams, with taken (the words that the plan takes of each) and first_shard."""
     d, sources = _documents_in_streams(docs, id_col, text_col, source_col, block)
-    uses = _uses(sources, block, shard)
+    uses = _uses(sources, block, shard, hold)
     hit = _blocks(d, block).join(uses, (F.col("pos") == F.col("u_pos")) & (F.col("block") == F.col("u_block")))
     words = (F.col("hi") - F.col("lo")) * F.col("whole") + F.greatest(F.lit(0), F.least("hi", "cut") - F.col("lo"))
     taken = hit.groupBy(F.col("pos").alias("t_pos"), F.col("start").alias("t_start")).agg(F.sum(words).alias("t"), F.min("first_shard").alias("fs"))
@@ -265,10 +274,10 @@ def mix_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     documents, so that a source misses its target by half of one document at most. Rows without
     words are not taken.
     """
-    d = _whole(_taken(docs, id_col, text_col, source_col, block, shard)).filter("copies > 0")
+    d = _whole(_taken(docs, id_col, text_col, source_col, block, shard, _held)).filter("copies > 0")
     copies = d.select(F.xxhash64("doc_id", "th", "source").alias("__key"), F.col("copies").alias("__n"))
     # rows equal in id, text and source take these counts in turn
-    copies = copies.groupBy("__key").agg(F.sort_array(F.collect_list("__n"), asc=False).alias("__ns"))
+    copies = _held(copies.groupBy("__key").agg(F.sort_array(F.collect_list("__n"), asc=False).alias("__ns")))
     names = docs.columns
     text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
     packed = docs.select(F.struct(*[docs[c] for c in names]).alias("__row"), F.xxhash64(docs[id_col].cast("long"), F.xxhash64(text), docs[source_col].cast("string")).alias("__key"))

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches_by_bytes, durable, hex64, join_hot, keyed
+from .common import batches_by_bytes, durable, hex64, join_hot, keyed, relieve_driver
 from .components import components
 from .exact_dedup import holds, repeated_bitmap
 
@@ -251,8 +251,10 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
     prints = durable(docs.select(rank.alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("text")).mapInArrow(run, "doc_id long, th long, fp long"))
     n_rows = prints.count()
+    relieve_driver(docs.sparkSession)
     classes = _classes(prints.select("doc_id", "fp"), distance).filter("n_rows > 1")
     members = join_hot(prints, classes, ["fp"], F.col("n"), n_rows).select(F.col("doc_id").alias("k"), "th", "root", "component_id")
+    relieve_driver(docs.sparkSession)
     # rows of the least id stay, and the least of them if there are several
     keys = members.groupBy("k", "th").agg(F.min("root").alias("root"), F.min("component_id").alias("component_id"), F.count(F.lit(1)).alias("n"))
     keys = durable(keys.withColumn("stays", F.col("k") == F.col("component_id")))

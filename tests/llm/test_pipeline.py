@@ -43,3 +43,20 @@ def test_stages(spark, odd):
     want = Counter((r.doc_id, hashlib.sha256(",".join(map(str, library.encode(r.text))).encode()).hexdigest()) for r in mixed)
     assert Counter((r.doc_id, r.ids_sha256) for r in encoded) == want
     assert Counter(map(tuple, p.run(spark, DATA).collect())) == Counter(map(tuple, encoded))
+
+
+def test_the_driver_gets_its_memory_back(spark, odd, monkeypatch):
+    """Every stage begins with it, and what the mixing stage returns is planned without the draw before it."""
+    import corpus_pipeline as p
+    from folioframe.llm import mixing
+
+    began = []
+    monkeypatch.setattr(p, "relieve_driver", lambda s: began.append(s))
+    for module, name in ((p.toxicity, "drop_toxic"), (p.exact_dedup, "drop_exact_duplicates"), (p.simhash, "drop_near_duplicates"), (p.mixing, "mix_documents"), (p.pieces, "encode_decode")):
+        monkeypatch.setattr(module, name, lambda docs, *_: docs)
+    for _, stage in p.STAGES:
+        stage(spark, odd, DATA)
+    assert len(began) == len(p.STAGES)
+    monkeypatch.undo()
+    plan = mixing.mix_documents(odd)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Window [") == 1 and "LogicalRDD" not in plan
