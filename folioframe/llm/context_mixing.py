@@ -37,11 +37,12 @@ from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches_by_bytes, durable, fold, give_back, keyed, offsets_of, stored
+from .common import batches_by_bytes, bytes_of, durable, fold, give_back, keyed, offsets_of, stored
 
 #: Slots per predictor (bits, at least), predictors (the last with the class), gates, buckets of the adaptive map, logits' scale.
 SLOT_BITS, CONTEXTS, GATES, BUCKETS, SCALE = 21, 4, 16, 33, 16
@@ -124,9 +125,10 @@ class Coder:
         q1 = data.astype(np.uint64)
         q2 = q1.copy()
         q2[1:] |= q1[:-1] << _U(8)
-        three, five = np.zeros(n, np.uint64), np.zeros(n, np.uint64)
+        three, five = np.zeros(n, np.uint64), np.zeros(n if 1 in own else 0, np.uint64)
         three[3:] = q2[2:-1] | q1[:-3] << _U(16)
-        five[5:] = three[5:] | q2[1:-4] << _U(24)
+        if 1 in own:
+            five[5:] = three[5:] | q2[1:-4] << _U(24)
         unit = np.repeat(np.arange(len(units)), sizes)
         start = (begins + PAD)[unit]
         coded = np.flatnonzero(np.arange(n) >= start)
@@ -253,16 +255,21 @@ class Mixer:
         return np.bincount(pos, weights=np.log(np.where(bits == 1, q, 1 - q)), minlength=len(pair))
 
 
-def _texts(it: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, int, list[list[bytes]], bool]]:
-    """(batch, first row, words of that and the following rows, whether the last row ends here).
+def split_words(texts: pa.Array) -> pa.ListArray:
+    """What words_of says, as an Arrow list for each text; empty strings beside a blank at a text's edge are no words."""
+    return pc.ascii_split_whitespace(pc.ascii_lower(texts))
+
+
+def _texts(it: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, int, list[list[bytes]] | pa.ListArray, bool]]:
+    """(batch, first row, words of that and the following rows as Pairs takes them, whether the last row ends here).
 
     A row of more than PIECE bytes is alone, its words in pieces that end at a blank.
     """
     for b in batches_by_bytes(it, "text", PIECE):
-        texts = b.column("text").to_pylist()
         if np.diff(offsets_of(b.column("text"))).max() <= PIECE:
-            yield b, 0, [words_of(t) for t in texts], True
+            yield b, 0, split_words(b.column("text")), True
             continue
+        texts = b.column("text").to_pylist()
         short: list[list[bytes]] = []
         for i, t in enumerate(texts):
             raw = t.encode()
@@ -287,21 +294,34 @@ def _texts(it: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, int,
 class Pairs:
     """The distinct pairs of class and word in some texts; an end is the empty word."""
 
-    def __init__(self, texts: list[list[bytes]], ended: bool, first_class: int = 0):
-        tokens: list[bytes] = []
-        for t in texts:
-            tokens += t
-            tokens.append(b"")
+    def __init__(self, texts: list[list[bytes]] | pa.ListArray, ended: bool, first_class: int = 0):
+        """texts: lists of words, or what split_words makes of them."""
+        if isinstance(texts, list):
+            texts = pa.array(texts, pa.list_(pa.binary()))
+        coded = texts.flatten().cast(pa.binary()).dictionary_encode()
         # words in order, so that those with the same head are side by side; the empty word is first
-        self.words = sorted({b"", *tokens})
-        known = dict(zip(self.words, range(len(self.words)), strict=True))
-        ids = np.fromiter(map(known.__getitem__, tokens), np.int64, len(tokens))
-        del tokens
-        self.sizes = np.array([len(t) + 1 for t in texts])
+        order = pc.sort_indices(coded.dictionary)
+        self.named = coded.dictionary.take(order)
+        lacks_end = len(self.named) == 0 or self.named[0].as_py() != b""
+        if lacks_end:
+            self.named = pa.concat_arrays([pa.array([b""], pa.binary()), self.named])
+        rank = np.empty(len(order), np.int64)
+        rank[order.to_numpy()] = np.arange(len(order)) + lacks_end
+        ids = rank[coded.indices.to_numpy()]
+        text = np.repeat(np.arange(len(texts)), texts.value_lengths().to_numpy())[ids > 0]
+        self.sizes = np.bincount(text, minlength=len(texts)) + 1
+        # a text's words stand behind the ends of the texts before it
+        self.ids = np.zeros(len(text) + len(texts), np.int64)
+        self.ids[np.arange(len(text)) + text] = ids[ids > 0]
         if not ended:
-            ids, self.sizes[-1] = ids[:-1], self.sizes[-1] - 1
-        self.ids = ids
-        kind = np.array([1 + zlib.crc32(w) % (CLASSES - 1) if 0 < len(w) <= SHORT else 0 for w in self.words])
+            self.ids, self.sizes[-1] = self.ids[:-1], self.sizes[-1] - 1
+        ids = self.ids
+        raw, at = bytes_of(self.named)
+        self.lengths, at, raw = np.diff(at), at.tolist(), raw.tobytes()
+        self.words = [raw[i:j] for i, j in zip(at, at[1:], strict=False)]
+        kind = np.zeros(len(self.words), np.int64)
+        short = np.flatnonzero((self.lengths > 0) & (self.lengths <= SHORT))
+        kind[short] = [1 + zlib.crc32(self.words[i]) % (CLASSES - 1) for i in short.tolist()]
         # the class of a token: that of the last short word before it in its text
         start = np.repeat(np.cumsum(self.sizes) - self.sizes, self.sizes)
         last = np.maximum.accumulate(np.where(kind[ids] > 0, np.arange(1, len(ids) + 1), 0))
@@ -310,17 +330,25 @@ class Pairs:
         if first_class:
             classes = np.where((before <= start) & (start == 0), first_class, classes)
         self.last_class = int(kind[ids[last[-1] - 1]]) if len(ids) and last[-1] else first_class
-        pairs, self.of_token, self.counts = np.unique(classes * len(known) + ids, return_inverse=True, return_counts=True)
-        self.classes, self.word = pairs // len(known), pairs % len(known)
+        pairs, self.of_token, self.counts = np.unique(classes * len(kind) + ids, return_inverse=True, return_counts=True)
+        self.classes, self.word = pairs // len(kind), pairs % len(kind)
 
     def units(self) -> Iterator[tuple[list[bytes], np.ndarray]]:
         """(units that code some pairs, pair of each unit)."""
-        yield from units_of([self.words[w] for w in self.word.tolist()])
+        coded = _coded(self.words)
+        yield from _units([coded[w] for w in self.word.tolist()])
+
+
+def _coded(words: list[bytes]) -> list[bytes]:
+    return [w + b" " if w else b"\n" for w in words]
 
 
 def units_of(words: list[bytes]) -> Iterator[tuple[list[bytes], np.ndarray]]:
     """(units that code some of the words, word of each unit), about CODED bytes at a time; long words in parts."""
-    coded = [w + b" " if w else b"\n" for w in words]
+    yield from _units(_coded(words))
+
+
+def _units(coded: list[bytes]) -> Iterator[tuple[list[bytes], np.ndarray]]:
     sizes = np.fromiter(map(len, coded), np.int64, len(coded))
     if len(coded) and sizes.max() <= LONGEST:
         cuts = np.flatnonzero(np.diff((np.cumsum(sizes) - sizes) // CODED)) + 1
@@ -328,12 +356,11 @@ def units_of(words: list[bytes]) -> Iterator[tuple[list[bytes], np.ndarray]]:
             yield coded[i:j], np.arange(i, j)
         return
     units, owner, size = [], [], 0
-    for i, w in enumerate(words):
-        coded = w + b" " if w else b"\n"
-        for k in range(0, len(coded), LONGEST):
-            units.append(coded[k : k + LONGEST])
+    for i, w in enumerate(coded):
+        for k in range(0, len(w), LONGEST):
+            units.append(w[k : k + LONGEST])
             owner.append(i)
-        size += len(coded)
+        size += len(w)
         if size >= CODED:
             yield units, np.array(owner)
             units, owner, size = [], [], 0
@@ -351,8 +378,7 @@ def _count_corpus(training: DataFrame) -> DataFrame:
             p = Pairs(texts, ended, carried)
             carried = 0 if ended else p.last_class
             held_back = np.bincount(p.of_token, weights=np.repeat(late, p.sizes), minlength=len(p.counts)).astype(np.int64)
-            words = pa.array(p.words, pa.binary()).take(pa.array(p.word))
-            yield pa.record_batch([pa.array(p.classes, pa.int32()), words, pa.array(p.counts), pa.array(held_back)], ["class", "word", "n", "late"])
+            yield pa.record_batch([pa.array(p.classes, pa.int32()), p.named.take(pa.array(p.word)), pa.array(p.counts), pa.array(held_back)], ["class", "word", "n", "late"])
 
     rows = training.withColumn("late", _late()).select("text", "late")
     return rows.mapInArrow(run, "class int, word binary, n long, late long").groupBy("class", "word").agg(F.sum("n").alias("n"), F.sum("late").alias("late"))
@@ -409,7 +435,7 @@ def _unpack(blob: bytes) -> np.ndarray:
 def _merged(runs: list[np.ndarray]) -> np.ndarray:
     """Rows (symbol, early, every) with each symbol once, sorted."""
     x = np.concatenate(runs) if runs else np.zeros((0, 3), np.uint64)
-    x = x[np.argsort(x[:, 0], kind="stable")]
+    x = x[np.argsort(np.ascontiguousarray(x[:, 0]))]
     at = np.flatnonzero(np.r_[len(x) > 0, x[1:, 0] != x[:-1, 0]][: len(x)])
     return np.column_stack([x[at, 0], *(np.add.reduceat(x[:, j], at) if len(at) else x[:0, j] for j in (1, 2))])
 
@@ -467,8 +493,8 @@ def _count_symbols(counted: DataFrame, words: DataFrame, coder: Coder) -> DataFr
     return by_word.unionByName(by_pair).groupBy("part").applyInArrow(merge, "part int, keys long, blob binary")
 
 
-def _tables(merged: DataFrame, coder: Coder, every: bool) -> list[np.ndarray]:
-    """Logits by context, from the counts of early rows or of every row."""
+def _logits(merged: DataFrame, coder: Coder) -> DataFrame:
+    """(part, early, every): the logits of a range of slots, from the counts of early rows and of every row."""
 
     def run(it):
         for b in it:
@@ -476,22 +502,27 @@ def _tables(merged: DataFrame, coder: Coder, every: bool) -> list[np.ndarray]:
                 k = part >> coder.range_bits
                 size, first = coder.range_slots[k], (part & (1 << coder.range_bits) - 1) * coder.range_slots[k]
                 x = _unpack(blob)
-                both = np.zeros((size, 2))
+                both = np.zeros((2, 2 * size))
                 for i in range(0, len(x), 1 << 20):
                     y = x[i : i + (1 << 20)]
                     pos, bits, node = coder.paths((y[:, 0] & _U(0xFFFF)).astype(np.int32))
-                    at = coder.slots(k, (y[:, 0] >> _U(16)).astype(np.uint32)[pos], node) - first
-                    n = y[:, 1 + every].astype(np.float64)[pos]
+                    at = (coder.slots(k, (y[:, 0] >> _U(16)).astype(np.uint32)[pos], node) - first) << 1 | bits
                     for j in (0, 1):
-                        both[:, j] += np.bincount(at[bits == j], weights=n[bits == j], minlength=size)
-                yield pa.record_batch([pa.array([part], pa.int32()), pa.array([logits_of(both).tobytes()], pa.binary())], ["part", "blob"])
+                        both[j] += np.bincount(at, weights=y[:, 1 + j].astype(np.float64)[pos], minlength=2 * size)
+                early, every = (pa.array([logits_of(n.reshape(size, 2)).tobytes()], pa.binary()) for n in both)
+                yield pa.record_batch([pa.array([part], pa.int32()), early, every], ["part", "early", "every"])
+
+    return stored(merged.select("part", "blob").mapInArrow(run, "part int, early binary, every binary"))
+
 
-    logits = [np.zeros(n << coder.range_bits, np.int8) for n in coder.range_slots]
-    for row in merged.select("part", "blob").mapInArrow(run, "part int, blob binary").toLocalIterator():
+def _tables(logits: DataFrame, coder: Coder, column: str) -> list[np.ndarray]:
+    """A column of the logits by context."""
+    out = [np.zeros(n << coder.range_bits, np.int8) for n in coder.range_slots]
+    for row in logits.select("part", F.col(column).alias("blob")).toLocalIterator():
         k, i = row.part >> coder.range_bits, row.part & (1 << coder.range_bits) - 1
         size = coder.range_slots[k]
-        logits[k][i * size : (i + 1) * size] = np.frombuffer(row.blob, np.int8)
-    return logits
+        out[k][i * size : (i + 1) * size] = np.frombuffer(row.blob, np.int8)
+    return out
 
 
 def _new_mixer(logits: list[np.ndarray]) -> Mixer:
@@ -562,9 +593,10 @@ def learn(training: DataFrame, counted: DataFrame, words: DataFrame) -> tuple[Co
     # two slots a key at least
     range_slots = tuple(max((1 << SLOT_BITS) >> range_bits, (2 * keys.get(k, 0) >> range_bits) + 1) for k in range(CONTEXTS))
     coder = Coder(*trees, range_slots, range_bits)
+    logits = _logits(merged, coder)
     late = training.filter(_late()).repartition(max(1, n_bytes // SHARE // LEARN))
-    weights, hits = _learn_weights(late, coder, _tables(merged, coder, every=False))
-    return coder, Mixer(_tables(merged, coder, every=True), weights, hits)
+    weights, hits = _learn_weights(late, coder, _tables(logits, coder, "early"))
+    return coder, Mixer(_tables(logits, coder, "every"), weights, hits)
 
 
 def _most_frequent(words: DataFrame) -> dict[bytes, int]:
@@ -596,7 +628,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mod:
         carried, parts = 0, []
         for b, row, texts, ended in _texts(it):
             p = Pairs(texts, ended, carried)
-            del texts  # words are many small objects
+            del texts
             carried = 0 if ended else p.last_class
             nats = np.zeros(len(p.counts))
             for units, owner in p.units():
@@ -605,14 +637,14 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mod:
                 nats[owner[0] : owner[-1] + 1] += np.bincount(owner[unit] - owner[0], weights=cost[edge], minlength=owner[-1] + 1 - owner[0])
             count = np.array([common.get(w, -1) for w in p.words])
             logs = np.where(count >= 0, np.log10(np.maximum(count, 0) + 1.0) - floor, 0.0)
-            byte = np.array([len(w) + 1 for w in p.words])
+            byte = p.lengths + 1
             begins = np.cumsum(p.sizes) - p.sizes
             rare = count[p.ids] < 0
             if b"" not in common:
                 rare &= p.ids > 0  # without training rows ends are unknown, not rare
             per_text = lambda x: np.add.reduceat(x, begins)  # noqa: E731, B023
             stats = [per_text(x) for x in (nats[p.of_token], np.where(p.ids == 0, logs[0] if b"" in common else -floor, logs[p.ids]), (count[p.ids] > 0).astype(np.int64), byte[p.ids], rare.astype(np.int64))]
-            got = [*stats, p.sizes, pa.array(p.words, pa.binary()).take(pa.array(p.ids[rare]))]
+            got = [*stats, p.sizes, p.named.take(pa.array(p.ids[rare]))]
             if not ended:
                 parts.append(got)
                 continue

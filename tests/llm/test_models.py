@@ -3,6 +3,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -495,3 +496,18 @@ def test_shared_heads_are_coded_once(monkeypatch):
     q = mixer.refine(mixer.mix(*mixer.inputs(at)), before)
     want = np.bincount(np.repeat(np.arange(len(units)), per_unit), weights=np.log(np.where(bits == 1, q, 1 - q)))
     assert np.abs(got - want).max() < 1e-3
+
+
+def test_words_split_in_arrow_are_those_of_the_text():
+    """Batches are split without an object for each token; ids, classes and ends are those of words_of, text by text."""
+    texts = [" a\x0bb  The\tthe\x0c ", "", " \r\n", "x\x1cy\x85z\u3000w\xa0 ÄÖ äö", "of THE word", "word"]
+    split = context_mixing.split_words(pa.array(["cut off", *texts]).slice(1))
+    pairs = context_mixing.Pairs(split, True)
+    lists = [context_mixing.words_of(t) for t in texts]
+    assert [pairs.words[i] for i in pairs.ids] == [w for t in lists for w in [*t, b""]]
+    assert pairs.sizes.tolist() == [len(t) + 1 for t in lists] and pairs.words == sorted({b"", *(w for t in lists for w in t)})
+    other = context_mixing.Pairs(lists, True)
+    for name in ("ids", "sizes", "classes", "word", "counts", "of_token", "lengths"):
+        assert (getattr(pairs, name) == getattr(other, name)).all()
+    got = [(pairs.words[pairs.word[i]], pairs.classes[i]) for i in pairs.of_token]
+    assert [((w + b" ") if w else b"\n", k) for w, k in got] == [x for t in texts for x in naive_units(t)]
