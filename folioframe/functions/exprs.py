@@ -137,8 +137,12 @@ def aspect_name(width: Column, height: Column) -> Column:
 
 
 def unencodable(text: Column) -> Column:
-    """The distinct characters that a standard PDF font cannot show, in order of appearance."""
-    return F.array_distinct(F.regexp_extract_all(text, F.lit(f"([^{WIN_ANSI}])"), F.lit(1)))
+    """The distinct characters that a standard PDF font cannot show, in order of appearance.
+
+    Runs of plain characters leave first, by a class of ranges only: the full class tries dozens of single characters at each place.
+    """
+    rest = F.regexp_replace(text, r"[\t\n\r\x20-\x7E\xA0-\xFF]+", "")
+    return F.array_distinct(F.regexp_extract_all(rest, F.lit(f"([^{WIN_ANSI}])"), F.lit(1)))
 
 
 def bigrams(text: Column) -> Column:

@@ -1,5 +1,6 @@
 import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -228,6 +229,21 @@ def test_numbering_of_nulls_repeats_and_sparse_keys(spark):
     assert model.numbered(spark.createDataFrame([], "k long"), "k", "n").count() == 0
 
 
+def test_plain_text_is_passed_by_quickly(spark):
+    """Over 8 million plain characters, against the full class tried at each of them."""
+    odd = "x\u0100y\t€z\u0400\u0100\x7f\x80\xa0ÿ\U0001f600\x00é\u0400"
+    got = spark.createDataFrame([(odd,), ("",), (None,)], "s string").select(X.unencodable(F.col("s")).alias("u")).collect()
+    assert [r.u for r in got] == [["\u0100", "\u0400", "\x7f", "\x80", "\U0001f600", "\x00"], [], None]
+    long = spark.range(0, 80, 1, 1).select(F.concat(F.repeat(F.lit("plain, "), 100_000 // 7), F.lit("\u0100")).alias("s")).localCheckpoint()
+    each = F.array_distinct(F.regexp_extract_all("s", F.lit(f"([^{X.WIN_ANSI}])"), F.lit(1)))
+    took = []
+    for chars in (X.unencodable(F.col("s")), each) * 3:
+        start = time.perf_counter()
+        assert {tuple(r.u) for r in long.select(chars.alias("u")).collect()} == {("\u0100",)}
+        took.append(time.perf_counter() - start)
+    assert min(took[::2]) < 0.6 * min(took[1::2]), took
+
+
 def test_one_folding_rule(spark):
     df = spark.createDataFrame([("ma\u017f\u212a",), ("MASK",), ("nix",), (None,)], "s string")
     got = df.select(X.literal_contains(F.col("s"), "mask"), X.literal_count(F.col("s"), "mask"), X.literal_replace(F.col("s"), "mask", "x")).collect()
