@@ -88,11 +88,22 @@ def label(items: DataFrame, keys: list[str], index: str, template: str, start_at
     return chosen.withColumn("label", text).drop("__t")
 
 
+def _beside_width(rows: DataFrame) -> DataFrame:
+    """Rows (r, cells array) with `w`, the cells of the widest."""
+    return rows.join(F.broadcast(rows.agg(F.max(F.size("cells")).alias("w"))))  # one row
+
+
 def pad_table(rows: DataFrame) -> DataFrame:
     """(r, cells array) of a ragged table -> all rows as wide as the widest, blanks empty."""
-    width = rows.agg(F.max(F.size("cells")).alias("w"))
-    wide = rows.join(F.broadcast(width))  # one row
-    return wide.select("r", F.transform(F.sequence(F.lit(0), F.col("w") - 1), lambda i: F.coalesce(F.get("cells", i), F.lit(""))).alias("cells"))
+    cells = F.transform(F.coalesce("cells", F.array().cast("array<string>")), lambda c: F.coalesce(c, F.lit("")))
+    return _beside_width(rows).select("r", F.concat(cells, F.array_repeat(F.lit(""), F.col("w") - F.size(cells))).alias("cells"))
+
+
+def pad_lines(rows: DataFrame, separator: str) -> DataFrame:
+    """r, line: the rows of `pad_table` joined. The blanks behind a row's own cells are written as one run of separators, never as cells."""
+    cells = F.coalesce("cells", F.array().cast("array<string>"))
+    blanks = F.repeat(F.lit(separator), F.col("w") - F.greatest(F.size(cells), F.lit(1)))
+    return _beside_width(rows).select("r", F.concat(F.array_join(cells, separator, ""), blanks).alias("line"))
 
 
 def merge_cells(cells: DataFrame, keys: list[str], r0: int, c0: int, rows: int, cols: int) -> DataFrame:

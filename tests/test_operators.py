@@ -5,7 +5,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
-from folioframe import model
+from folioframe import catalog, model
 from helpers import DATA
 from folioframe.functions import exprs as X
 from folioframe.operators import cells as C
@@ -244,6 +244,16 @@ def test_plain_text_is_passed_by_quickly(spark):
     assert min(took[::2]) < 0.6 * min(took[1::2]), took
 
 
+def test_padded_lines_make_no_cell_of_a_blank(spark):
+    ragged = spark.createDataFrame([(1, ["a", None, "c", ""]), (2, ["x"]), (3, []), (4, None), (5, ["", ""])], "r long, cells array<string>")
+    want = [(1, ["a", "", "c", ""]), (2, ["x", "", "", ""]), (3, [""] * 4), (4, [""] * 4), (5, [""] * 4)]
+    assert rows(S.pad_table(ragged)) == want
+    assert rows(S.pad_lines(ragged, "||")) == [(r, "||".join(c)) for r, c in want]
+    assert rows(S.pad_table(ragged.filter("r = 3"))) == [(3, [])] and rows(S.pad_lines(ragged.filter("r = 3"), "|")) == [(3, "")]
+    plan = catalog.queries()["pad_table"](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+    assert "sequence(" not in plan and "array_repeat(" not in plan and "repeat(|" in plan  # the width of the table is no array of each line
+
+
 def test_one_folding_rule(spark):
     df = spark.createDataFrame([("ma\u017f\u212a",), ("MASK",), ("nix",), (None,)], "s string")
     got = df.select(X.literal_contains(F.col("s"), "mask"), X.literal_count(F.col("s"), "mask"), X.literal_replace(F.col("s"), "mask", "x")).collect()
