@@ -27,33 +27,58 @@ def _checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-#: Levels that one round of a traversal goes down.
-HOPS = 4
+#: Levels after which the seen nodes are dealt anew, and parts after which they are written as one.
+DEALT_LEVELS, PARTS = 8, 64
 
 
-def reachable(edges: DataFrame, roots: DataFrame, max_rounds: int = 1000) -> DataFrame:
+def reachable(edges: DataFrame, roots: DataFrame, max_levels: int = 4000) -> DataFrame:
     """node, depth: all nodes that roots (node) lead to over edges (src, dst); cycles are fine.
 
-    Breadth first, HOPS levels a round: a round's nodes, at their least depth, are kept if they were
-    not seen. What a round visits again is at most HOPS times the edges of its levels.
+    Breadth first. Edges are dealt by src once and held; what was seen is held in the same way, dealt
+    anew every DEALT_LEVELS levels. So a level shuffles its own nodes, the ends of their edges and the
+    nodes of the few levels before, never all edges. Held tables are counted first: only then the
+    planner knows how they are dealt.
     """
-    seen = _checkpointed(roots.select("node").distinct().withColumn("depth", F.lit(0)))
-    newest, depth = seen.select("node"), 0
-    for turn in range(1, max_rounds):
-        at, levels = newest, []
-        for hop in range(1, HOPS + 1):
-            at = at.join(edges, F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct()
-            levels.append(at.withColumn("depth", F.lit(depth + hop)))
-        met = reduce(DataFrame.unionByName, levels).groupBy("node").agg(F.min("depth").alias("depth"))
-        found = _checkpointed(met.join(seen.select(F.col("node").alias("s")), F.col("node") == F.col("s"), "left_anti"))
-        depth += HOPS
-        if found.isEmpty():
-            return seen
-        newest = found.filter(F.col("depth") == depth).select("node")  # what lies above it has been followed
-        seen = seen.unionByName(found)
-        if turn % 8 == 0:
-            seen = _checkpointed(seen)
-    raise RuntimeError("the graph is deeper than max_rounds")
+    n = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # with fewer the planner deals held tables anew at every join
+    held = []
+
+    def hold(df: DataFrame, key: str) -> tuple[DataFrame, int]:
+        held.append(df.sortWithinPartitions(key).persist())
+        return held[-1], held[-1].count()
+
+    def drop(df: DataFrame) -> None:
+        held.remove(df)
+        df.unpersist()
+
+    union = lambda parts: reduce(DataFrame.unionByName, parts).coalesce(n)
+    nodes = lambda parts: union(parts).select(F.col("node").alias("s")).repartition(n, "s")
+    newest = _checkpointed(roots.select("node").distinct().withColumn("depth", F.lit(0)))
+    seen, fresh, old = [newest], [newest], None
+    try:
+        out, _ = hold(edges.select("src", "dst").repartition(n, "src"), "src")
+        for depth in range(1, max_levels):
+            ends = newest.join(out, F.col("node") == F.col("src")).select(F.col("dst").alias("node"))
+            ends, some = hold(ends.repartition(n, "node").distinct(), "node")
+            if not some:
+                return union(seen)
+            if len(fresh) == DEALT_LEVELS:
+                if old is not None:
+                    drop(old)
+                old, fresh = hold(nodes(seen), "s")[0], []
+            new = ends
+            for known in ([] if old is None else [old]) + ([nodes(fresh)] if fresh else []):
+                new = new.join(known, F.col("node") == F.col("s"), "left_anti")
+            newest = _checkpointed(new.withColumn("depth", F.lit(depth)))
+            drop(ends)
+            if newest.isEmpty():
+                return union(seen)
+            seen, fresh = [*seen, newest], [*fresh, newest]
+            if len(seen) == PARTS:
+                seen = [_checkpointed(union(seen))]
+    finally:
+        for df in held:
+            df.unpersist()
+    raise RuntimeError("the graph is deeper than max_levels")
 
 
 def renumber(nodes: DataFrame) -> DataFrame:

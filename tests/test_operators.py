@@ -218,6 +218,37 @@ def test_reachability_survives_cycles(spark):
     assert rows(graph.renumber(got.select("node"))) == [(1, 1), (2, 2), (3, 3)]
 
 
+def test_reachability_deals_edges_once(spark, monkeypatch):
+    """Depths by a plain search; what is shuffled is no multiple of edges and levels, also where nothing is broadcast."""
+    n = 20_000
+    refs = {k: ((k * 7 + 3) % n, (k * 2 + 1) % n) for k in range(n)}
+    depths, level = {1: 0}, [1]
+    while level:
+        level = sorted({d for k in level for d in refs[k]} - set(depths))
+        depths.update(dict.fromkeys(level, max(depths.values()) + 1))
+    assert max(depths.values()) > 8
+    edges = spark.createDataFrame([(k, d) for k, ds in refs.items() for d in ds], "src long, dst long")
+    root = spark.createDataFrame([(1,)], "node long")
+    store = spark.sparkContext._jsc.sc().statusStore()
+
+    def shuffled() -> int:
+        stages = store.stageList(None, False, False, spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0), None)
+        return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        before = shuffled()
+        assert {r.node: r.depth for r in graph.reachable(edges, root).collect()} == depths
+        assert shuffled() - before < 10 * 2 * n
+        monkeypatch.setattr(graph, "DEALT_LEVELS", 2)
+        monkeypatch.setattr(graph, "PARTS", 5)
+        assert {r.node: r.depth for r in graph.reachable(edges, root).collect()} == depths
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    with pytest.raises(RuntimeError):
+        graph.reachable(edges, root, 3)
+
+
 def test_numbering_over_buckets(spark):
     keys = [5, 70_000, 70_001, 200_000]
     assert rows(model.numbered(spark.createDataFrame([(k,) for k in keys], "k long"), "k", "n")) == sorted([(k, i) for i, k in enumerate(keys, 1)], key=str)
