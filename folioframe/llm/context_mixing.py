@@ -14,8 +14,9 @@ training rows. Total bits give the log probability; bits per byte are those of t
 ends.
 
 A word's probability depends on the word and the class only, so every batch codes each of its
-distinct pairs of class and word once, heads that neighbours in order share once too, and counts are
-gathered from merged counts of such pairs.
+distinct words once, heads that neighbours in order share once too; what the class changes is coded
+once for each class in which such a head occurs. Counts are gathered from merged counts of pairs of
+class and word.
 
 Beside the mixture each text gets its unigram base score; the FREQUENT most frequent words go to the
 tasks, the others are joined.
@@ -54,6 +55,8 @@ CLASSES, SHORT, LONGEST = 64, 3, 1 << 12
 RANGE, RANGE_BITS, SORTED, HELD = 1 << 25, 4, 1 << 20, 1 << 19
 #: One training row in so many is held back to learn weights; its bytes for a task that learns.
 SHARE, LEARN = 8, 1 << 22
+#: Keys that are told apart by marks in a table at most; more are sorted.
+MARKED = 1 << 24
 END, PAD = 10, 5
 
 _U = np.uint64
@@ -109,15 +112,28 @@ class Coder:
         """(byte before and byte, hashes by context, unit) of every byte of the units; contexts end at a unit's start; of contexts not in own the hash is None."""
         return self._hashed(units, classes, False, own)[:3]
 
-    def edges(self, units: list[bytes], classes: np.ndarray) -> tuple[np.ndarray, list[np.ndarray], np.ndarray, np.ndarray]:
+    def edges(self, units: list[bytes], classes: np.ndarray | None, own: Iterable[int] = range(CONTEXTS)) -> tuple[np.ndarray, list, np.ndarray, np.ndarray]:
         """(byte before and byte, hashes by context) of edges, and (unit, edge) of every byte.
 
         A byte has the edge of the unit before if both have the same class and bytes up to there; so
-        units in order are coded as the paths of a tree.
+        units in order are coded as the paths of a tree. If the last context is not in own, its
+        place has the last three bytes, for with_class.
         """
-        return self._hashed(units, classes, True)
+        return self._hashed(units, classes, True, own)
 
-    def _hashed(self, units: list[bytes], classes: np.ndarray | None, shared: bool, own: Iterable[int] = range(CONTEXTS)) -> tuple[np.ndarray, list, np.ndarray, np.ndarray]:
+    @staticmethod
+    def _mixed(c: np.ndarray, k: int) -> np.ndarray:
+        h = (c + _U(k + 1)) * _U(0xBF58476D1CE4E5B9)
+        h ^= h >> _U(29)
+        h *= _U(0x94D049BB133111EB)
+        return (h >> _U(32)).astype(np.uint32)
+
+    @classmethod
+    def with_class(cls, three: np.ndarray, kind: np.ndarray) -> np.ndarray:
+        """The last context's hashes: of the last three bytes and the class."""
+        return cls._mixed(three | (kind + _U(1)) << _U(24), CONTEXTS - 1)
+
+    def _hashed(self, units: list[bytes], classes: np.ndarray | None, shared: bool, own: Iterable[int]) -> tuple[np.ndarray, list, np.ndarray, np.ndarray]:
         data = np.frombuffer(_PADDING + _PADDING.join(units), np.uint8)
         sizes = np.array([len(t) for t in units]) + PAD
         n = len(data)
@@ -154,13 +170,11 @@ class Coder:
         hashes = []
         for k in range(CONTEXTS):
             if k not in own:
-                hashes.append(None)
-                continue
-            c = three if k == 0 else five[coded] if k == 1 else self._so_far(data, coded, start) if k == 2 else three | (kind + _U(1))[unit] << _U(24)
-            h = (c + _U(k + 1)) * _U(0xBF58476D1CE4E5B9)
-            h ^= h >> _U(29)
-            h *= _U(0x94D049BB133111EB)
-            hashes.append((h >> _U(32)).astype(np.uint32))
+                hashes.append(three if k == CONTEXTS - 1 else None)
+            elif k == CONTEXTS - 1:
+                hashes.append(self.with_class(three, kind[unit]))
+            else:
+                hashes.append(self._mixed(three if k == 0 else five[coded] if k == 1 else self._so_far(data, coded, start), k))
         return pair, hashes, of_byte, edge
 
     @staticmethod
@@ -221,17 +235,21 @@ class Mixer:
         self.logits, self.weights, self.hits = logits, weights, hits
 
     def inputs(self, slots: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
-        raw = [t[s] for t, s in zip(self.logits, slots, strict=True)]
+        """(logits, gate); the contexts may be the first ones only."""
+        raw = [t[s] for t, s in zip(self.logits, slots, strict=False)]
         # how sure the long context and the word are: unseen, unsure, likely, nearly certain
         gate = (_SURE[raw[1].view(np.uint8)] * np.uint8(4) + _SURE[raw[2].view(np.uint8)]).astype(np.intp)
         return [r.astype(np.float32) * np.float32(1 / SCALE) for r in raw], gate
 
     def mix(self, x: list[np.ndarray], gate: np.ndarray) -> np.ndarray:
+        return np.clip(self._sum(x, gate), -12, 12)
+
+    def _sum(self, x: list[np.ndarray], gate: np.ndarray) -> np.ndarray:
         w = self.weights.astype(np.float32)
         z = w[CONTEXTS][gate]
-        for k in range(CONTEXTS):
-            z += w[k][gate] * x[k]
-        return np.clip(z, -12, 12)
+        for k, v in enumerate(x):
+            z += w[k][gate] * v
+        return z
 
     @staticmethod
     def bucket(z: np.ndarray, before: np.ndarray) -> np.ndarray:
@@ -246,13 +264,30 @@ class Mixer:
         p = squash(z)
         return np.clip(p + trust[at] * (rates.astype(np.float32)[at] - p), 1e-6, 1 - 1e-6)
 
+    def nats(self, coder: Coder, pair: np.ndarray, hashes: list[np.ndarray], edge: np.ndarray | None = None) -> np.ndarray:
+        """The log probability of every symbol; edge: the last context's hashes are of results, each of which has that edge's pair and other hashes.
 
-    def nats(self, coder: Coder, pair: np.ndarray, hashes: list[np.ndarray]) -> np.ndarray:
-        """The log probability of every symbol."""
+        So all but the last context are looked up and mixed once an edge.
+        """
         pos, bits, node = coder.paths(pair)
-        x, gate = self.inputs([coder.slots(k, h[pos], node) for k, h in enumerate(hashes)])
-        q = self.refine(self.mix(x, gate), (pair >> 8).astype(np.uint8)[pos])
-        return np.bincount(pos, weights=np.log(np.where(bits == 1, q, 1 - q)), minlength=len(pair))
+        *first, last = hashes
+        x, gate = self.inputs([coder.slots(k, h[pos], node) for k, h in enumerate(first)])
+        mixed, weight, before = self._sum(x, gate), self.weights[CONTEXTS - 1].astype(np.float32)[gate], (pair >> 8).astype(np.uint8)[pos]
+        if edge is not None:
+            wide = np.bincount(pos, minlength=len(pair))
+            begins = np.cumsum(wide) - wide
+            # the decisions of each result, out of those of its edge
+            wide = wide.take(edge)
+            pos = np.repeat(np.arange(len(edge)), wide)
+            at = np.arange(len(pos))
+            at += (begins.take(edge) - np.cumsum(wide) + wide).take(pos)
+            mixed, weight, before, bits, node = (v.take(at) for v in (mixed, weight, before, bits, node))
+        x = self.logits[CONTEXTS - 1].take(coder.slots(CONTEXTS - 1, last.take(pos), node)).astype(np.float32)
+        x *= np.float32(1 / SCALE)
+        x *= weight
+        x += mixed
+        q = self.refine(np.clip(x, -12, 12, out=x), before)
+        return np.bincount(pos, weights=np.log(np.where(bits == 1, q, 1 - q)), minlength=len(last))
 
 
 def split_words(texts: pa.Array) -> pa.ListArray:
@@ -291,6 +326,18 @@ def _texts(it: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, int,
             yield b, len(texts) - len(short), short, True
 
 
+def distinct(keys: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys in order, and the place of each key among them; keys are below n."""
+    if n > MARKED:
+        return np.unique(keys, return_inverse=True)
+    seen = np.zeros(n, bool)
+    seen[keys] = True
+    met = np.flatnonzero(seen)
+    place = np.empty(n, np.int32)
+    place[met] = np.arange(len(met), dtype=np.int32)
+    return met, place.take(keys)
+
+
 class Pairs:
     """The distinct pairs of class and word in some texts; an end is the empty word."""
 
@@ -330,25 +377,34 @@ class Pairs:
         if first_class:
             classes = np.where((before <= start) & (start == 0), first_class, classes)
         self.last_class = int(kind[ids[last[-1] - 1]]) if len(ids) and last[-1] else first_class
-        pairs, self.of_token, self.counts = np.unique(classes * len(kind) + ids, return_inverse=True, return_counts=True)
-        self.classes, self.word = pairs // len(kind), pairs % len(kind)
-
-    def units(self) -> Iterator[tuple[list[bytes], np.ndarray]]:
-        """(units that code some pairs, pair of each unit)."""
-        coded = _coded(self.words)
-        yield from _units([coded[w] for w in self.word.tolist()])
-
-
-def _coded(words: list[bytes]) -> list[bytes]:
-    return [w + b" " if w else b"\n" for w in words]
+        pairs, self.of_token = distinct(ids * CLASSES + classes, len(self.words) * CLASSES)
+        self.counts = np.bincount(self.of_token, minlength=len(pairs))
+        self.word, self.classes = pairs // CLASSES, pairs % CLASSES
+
+    def nats(self, coder: Coder, mixer: Mixer) -> np.ndarray:
+        """The log probability of every pair."""
+        nats = np.zeros(len(self.word))
+        for units, owner in units_of(self.words):
+            pair, hashes, unit, edge = coder.edges(units, None, range(CONTEXTS - 1))
+            # the bytes of a word are side by side, so are the pairs with it, and the pairs of these words
+            first, n = owner[0], owner[-1] + 1 - owner[0]
+            size = np.bincount(owner[unit] - first, minlength=n)
+            i, j = np.searchsorted(self.word, [first, first + n])
+            word, kind = self.word[i:j] - first, self.classes[i:j]
+            wide = size[word]
+            of = np.repeat(np.arange(j - i), wide)
+            key = edge[np.arange(len(of)) + ((np.cumsum(size) - size)[word] - np.cumsum(wide) + wide)[of]] * CLASSES + kind[of]
+            met, place = distinct(key, len(pair) * CLASSES)
+            met, kind = met // CLASSES, (met % CLASSES).astype(np.uint64)
+            hashes[-1] = coder.with_class(hashes[-1][met], kind)
+            cost = mixer.nats(coder, pair, hashes, met)
+            nats[i:j] = np.bincount(of, weights=cost[place], minlength=j - i)
+        return nats
 
 
 def units_of(words: list[bytes]) -> Iterator[tuple[list[bytes], np.ndarray]]:
     """(units that code some of the words, word of each unit), about CODED bytes at a time; long words in parts."""
-    yield from _units(_coded(words))
-
-
-def _units(coded: list[bytes]) -> Iterator[tuple[list[bytes], np.ndarray]]:
+    coded = [w + b" " if w else b"\n" for w in words]
     sizes = np.fromiter(map(len, coded), np.int64, len(coded))
     if len(coded) and sizes.max() <= LONGEST:
         cuts = np.flatnonzero(np.diff((np.cumsum(sizes) - sizes) // CODED)) + 1
@@ -432,12 +488,15 @@ def _unpack(blob: bytes) -> np.ndarray:
     return run
 
 
-def _merged(runs: list[np.ndarray]) -> np.ndarray:
-    """Rows (symbol, early, every) with each symbol once, sorted."""
-    x = np.concatenate(runs) if runs else np.zeros((0, 3), np.uint64)
-    x = x[np.argsort(np.ascontiguousarray(x[:, 0]))]
-    at = np.flatnonzero(np.r_[len(x) > 0, x[1:, 0] != x[:-1, 0]][: len(x)])
-    return np.column_stack([x[at, 0], *(np.add.reduceat(x[:, j], at) if len(at) else x[:0, j] for j in (1, 2))])
+def _merged(runs: list) -> np.ndarray:
+    """Rows (symbol, early, every) with each symbol once, sorted; runs: each the three columns of such rows."""
+    if not runs:
+        return np.zeros((0, 3), np.uint64)
+    columns = [np.concatenate([run[j] for run in runs]) for j in range(3)]
+    # equal symbols are many: they are summed in a hash table, and only the distinct ones sorted
+    x = pa.table(columns, ["symbol", "early", "every"]).group_by("symbol", use_threads=False).aggregate([("early", "sum"), ("every", "sum")])
+    order = np.argsort(x.column("symbol").to_numpy())
+    return np.column_stack([x.column(c).to_numpy()[order] for c in ("symbol", "early_sum", "every_sum")])
 
 
 def _count_symbols(counted: DataFrame, words: DataFrame, coder: Coder) -> DataFrame:
@@ -464,22 +523,22 @@ def _count_symbols(counted: DataFrame, words: DataFrame, coder: Coder) -> DataFr
                 every = n[owner][unit].astype(np.uint64)
                 early = every - late[owner][unit].astype(np.uint64)
                 for k in own:
-                    raw[k].append(np.column_stack([hashes[k].astype(np.uint64) << _U(16) | pair.astype(np.uint64), early, every]))
+                    raw[k].append((hashes[k].astype(np.uint64) << _U(16) | pair.astype(np.uint64), early, every))
                 size += len(pair)
                 if size >= SORTED:
                     size = 0
                     for k in own:
-                        held[k] = _merged([held[k], *raw[k]])
+                        held[k] = _merged([held[k].T, *raw[k]])
                         raw[k].clear()
                         if len(held[k]) > HELD:
                             yield emit(k)
         for k in own:
-            held[k] = _merged([held[k], *raw[k]])
+            held[k] = _merged([held[k].T, *raw[k]])
             if len(held[k]):
                 yield emit(k)
 
     def merge(t: pa.Table) -> pa.Table:
-        x = _merged([_unpack(b.as_py()) for b in t.column("blob")])
+        x = _merged([_unpack(b.as_py()).T for b in t.column("blob")])
         keys = 0
         cuts = [0, *np.searchsorted(x[:, 0], x[1 << 18 :: 1 << 18, 0] >> _U(16) << _U(16)).tolist(), len(x)]  # contexts stay together
         for y in (x[i:j, 0] for i, j in zip(cuts, cuts[1:], strict=False)):
@@ -544,7 +603,7 @@ def _learn_weights(late: DataFrame, coder: Coder, logits: list[np.ndarray]) -> t
             pairs = Pairs(texts, ended, carried)
             carried = 0 if ended else pairs.last_class
             # frequent words come first in a batch: a fixed shuffle lets every step see some of all
-            order = np.random.default_rng(len(pairs.counts)).permutation(len(pairs.counts))
+            order = np.argsort(pairs.classes.astype(np.uint8), kind="stable")[np.random.default_rng(len(pairs.counts)).permutation(len(pairs.counts))]
             counts, classes = pairs.counts[order], pairs.classes[order]
             for units, owner in units_of([pairs.words[w] for w in pairs.word[order].tolist()]):
                 bits, at, before, per_unit = coder.decisions(units, classes[owner])
@@ -599,8 +658,8 @@ def learn(training: DataFrame, counted: DataFrame, words: DataFrame) -> tuple[Co
     return coder, Mixer(_tables(logits, coder, "every"), weights, hits)
 
 
-def _most_frequent(words: DataFrame) -> dict[bytes, int]:
-    """The words (word, n) that are more frequent than any count that over FREQUENT words reach, and the end."""
+def _most_frequent(words: DataFrame) -> tuple[pa.Array, np.ndarray]:
+    """The words (word, n) that are more frequent than any count that over FREQUENT words reach, and the end; and their n."""
     least, held = 1, 0
     for r in words.groupBy("n").agg(F.count(F.lit(1)).alias("k")).orderBy(F.desc("n")).toLocalIterator():  # distinct counts are few: about the root of twice the tokens
         held += r.k
@@ -608,7 +667,8 @@ def _most_frequent(words: DataFrame) -> dict[bytes, int]:
             least = r.n + 1
             break
     chosen = words.filter((F.col("n") >= least) | (F.octet_length("word") == 0)).select("word", "n").toArrow()
-    return dict(zip(*(c.to_pylist() for c in chosen.columns), strict=True))
+    word, n = (c.combine_chunks() for c in chosen.columns)
+    return word.cast(pa.binary()), n.to_numpy()
 
 
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mod: int = 7, held: int = 2) -> DataFrame:
@@ -624,26 +684,24 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mod:
 
     def run(it):
         give_back()
-        coder, mixer, common = shared.value
+        coder, mixer, (common, n_common) = shared.value
+        n_common = np.r_[n_common, -1]  # of words that are not among them
+        ends_known = pc.index(common, b"").as_py() >= 0
         carried, parts = 0, []
         for b, row, texts, ended in _texts(it):
             p = Pairs(texts, ended, carried)
             del texts
             carried = 0 if ended else p.last_class
-            nats = np.zeros(len(p.counts))
-            for units, owner in p.units():
-                pair, hashes, unit, edge = coder.edges(units, p.classes[owner])
-                cost = mixer.nats(coder, pair, hashes)
-                nats[owner[0] : owner[-1] + 1] += np.bincount(owner[unit] - owner[0], weights=cost[edge], minlength=owner[-1] + 1 - owner[0])
-            count = np.array([common.get(w, -1) for w in p.words])
+            nats = p.nats(coder, mixer)
+            count = n_common[pc.index_in(p.named, common).fill_null(-1).to_numpy()]
             logs = np.where(count >= 0, np.log10(np.maximum(count, 0) + 1.0) - floor, 0.0)
             byte = p.lengths + 1
             begins = np.cumsum(p.sizes) - p.sizes
             rare = count[p.ids] < 0
-            if b"" not in common:
+            if not ends_known:
                 rare &= p.ids > 0  # without training rows ends are unknown, not rare
             per_text = lambda x: np.add.reduceat(x, begins)  # noqa: E731, B023
-            stats = [per_text(x) for x in (nats[p.of_token], np.where(p.ids == 0, logs[0] if b"" in common else -floor, logs[p.ids]), (count[p.ids] > 0).astype(np.int64), byte[p.ids], rare.astype(np.int64))]
+            stats = [per_text(x) for x in (nats[p.of_token], np.where(p.ids == 0, logs[0] if ends_known else -floor, logs[p.ids]), (count[p.ids] > 0).astype(np.int64), byte[p.ids], rare.astype(np.int64))]
             got = [*stats, p.sizes, p.named.take(pa.array(p.ids[rare]))]
             if not ended:
                 parts.append(got)

@@ -511,3 +511,43 @@ def test_words_split_in_arrow_are_those_of_the_text():
         assert (getattr(pairs, name) == getattr(other, name)).all()
     got = [(pairs.words[pairs.word[i]], pairs.classes[i]) for i in pairs.of_token]
     assert [((w + b" ") if w else b"\n", k) for w, k in got] == [x for t in texts for x in naive_units(t)]
+
+
+@pytest.mark.parametrize("marked", [context_mixing.MARKED, 0])
+def test_classes_share_what_is_known_without_them(monkeypatch, marked):
+    """Of a word in many classes all contexts but the last are looked up once; pairs have the bits that they have alone."""
+    monkeypatch.setattr(context_mixing, "MARKED", marked)
+    monkeypatch.setattr(context_mixing, "CODED", 2000)
+    rng = np.random.default_rng(6)
+    words = sorted({bytes(rng.integers(97, 101, n).astype(np.uint8)) for n in rng.integers(4, 9, 400)} | {b"ab" * 5000})
+    short = [b"%d" % i for i in range(30)]
+    texts = [[s, *(words[i] for i in rng.integers(0, len(words), 200))] for s in short]
+    pairs = context_mixing.Pairs(texts, True)
+    coder = context_mixing.Coder(*context_mixing.code_trees(rng.integers(0, 50, (256, 256))))
+    mixer = context_mixing.Mixer([rng.integers(-60, 60, 1 << context_mixing.SLOT_BITS).astype(np.int8) for _ in range(context_mixing.CONTEXTS)], rng.normal(0.3, 0.1, (context_mixing.CONTEXTS + 1, context_mixing.GATES)), rng.integers(0, 9, (2, 256 * context_mixing.BUCKETS)).astype(float))
+    looked, slots = Counter(), context_mixing.Coder.slots
+    with monkeypatch.context() as m:
+        m.setattr(context_mixing.Coder, "slots", lambda self, k, hashes, node: looked.update({k: len(node)}) or slots(self, k, hashes, node))
+        got = pairs.nats(coder, mixer)
+    alone = {}
+    for i, (w, k) in enumerate(zip(pairs.word.tolist(), pairs.classes.tolist(), strict=True)):
+        coded = pairs.words[w] + b" " if pairs.words[w] else b"\n"
+        units = [coded[j : j + context_mixing.LONGEST] for j in range(0, len(coded), context_mixing.LONGEST)]
+        bits, at, before, _ = coder.decisions(units, np.full(len(units), k))
+        q = mixer.refine(mixer.mix(*mixer.inputs(at)), before)
+        assert abs(got[i] - np.log(np.where(bits == 1, q, 1 - q)).sum()) < 1e-3 * abs(got[i])
+        alone[w] = len(bits)
+    assert len(got) > 3 * len(words) and looked[context_mixing.CONTEXTS - 1] > sum(alone.values())
+    assert all(0 < looked[k] <= sum(alone.values()) for k in range(context_mixing.CONTEXTS - 1))
+
+
+def test_counts_of_equal_symbols_are_summed():
+    """Merged runs have every symbol once, in order, with exact sums; nothing gives nothing."""
+    rng = np.random.default_rng(7)
+    runs = [np.stack([rng.integers(0, 50, n), *rng.integers(0, 1 << 40, (2, n))]).astype(np.uint64) for n in (0, 300, 1, 500)]
+    want = {}
+    for run in runs:
+        for s, *n in run.T.tolist():
+            want[s] = [x + y for x, y in zip(want.get(s, [0, 0]), n, strict=True)]
+    assert context_mixing._merged(runs).tolist() == [[s, *want[s]] for s in sorted(want)]
+    assert context_mixing._merged([]).shape == context_mixing._merged(runs[:1]).shape == (0, 3)
