@@ -330,12 +330,15 @@ def distinct(keys: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """The distinct keys in order, and the place of each key among them; keys are below n."""
     if n > MARKED:
         return np.unique(keys, return_inverse=True)
-    seen = np.zeros(n, bool)
+    seen = np.zeros((n + 63) // 64 * 64, bool)
     seen[keys] = True
-    met = np.flatnonzero(seen)
-    place = np.empty(n, np.int32)
-    place[met] = np.arange(len(met), dtype=np.int32)
-    return met, place.take(keys)
+    # a key's place: the marks in the 64s before its own, and those before it in its own
+    bits = np.packbits(seen, bitorder="little").view("<u8")
+    marks = np.bitwise_count(bits)
+    at = keys >> 6
+    below = bits.take(at)
+    below &= (_U(1) << (keys & 63).astype(np.uint64)) - _U(1)
+    return np.flatnonzero(seen), (np.cumsum(marks, dtype=np.int64) - marks).take(at) + np.bitwise_count(below)
 
 
 class Pairs:
@@ -495,8 +498,14 @@ def _merged(runs: list) -> np.ndarray:
     columns = [np.concatenate([run[j] for run in runs]) for j in range(3)]
     # equal symbols are many: they are summed in a hash table, and only the distinct ones sorted
     x = pa.table(columns, ["symbol", "early", "every"]).group_by("symbol", use_threads=False).aggregate([("early", "sum"), ("every", "sum")])
+    del columns
     order = np.argsort(x.column("symbol").to_numpy())
-    return np.column_stack([x.column(c).to_numpy()[order] for c in ("symbol", "early_sum", "every_sum")])
+    out = np.empty((len(x), 3), np.uint64)
+    for j, c in enumerate(("symbol", "early_sum", "every_sum")):
+        out[:, j] = x.column(c).to_numpy()[order]
+    del x
+    pa.default_memory_pool().release_unused()
+    return out
 
 
 def _count_symbols(counted: DataFrame, words: DataFrame, coder: Coder) -> DataFrame:
